@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from functools import lru_cache
+from pathlib import Path
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -43,3 +46,18 @@ def drop_materialized(df: DataFrame) -> None:
     for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         path = jvm.org.apache.hadoop.fs.Path(parent)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@lru_cache(maxsize=8)
+def _ship(app_id: str) -> None:
+    package = Path(__file__).parent
+    archive = Path(tempfile.mkdtemp(prefix="parcela-")) / f"{package.name}.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    SparkContext.getOrCreate().addPyFile(str(archive))
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once for each application, so that Python tasks can import it."""
+    _ship(spark.sparkContext.applicationId)
