@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import ship_package
+
 #: The contract's white space and its word pattern, as Java and RE2 read them.
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -30,7 +32,7 @@ def id_type(df: DataFrame, name: str) -> T.DataType:
     return df.schema[name].dataType
 
 
-def arrow_map(df: DataFrame, columns: list[str], body: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch | pa.Table]], schema: T.StructType) -> DataFrame:
+def arrow_map(df: DataFrame, columns: list[str], body: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch | pa.Table]], schema: T.StructType | str) -> DataFrame:
     """``mapInArrow`` over the named columns only, so nothing else leaves the JVM."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -38,6 +40,7 @@ def arrow_map(df: DataFrame, columns: list[str], body: Callable[[pa.RecordBatch]
             for out in body(batch):
                 yield from out.to_batches() if isinstance(out, pa.Table) else [out]
 
+    ship_package(df.sparkSession)
     return df.select(*columns).mapInArrow(run, schema)
 
 
