@@ -56,7 +56,7 @@ class ByteBpe:
     def ids(self, text: str) -> bytes:
         """The ids of a whole text; special strings inside it become their own ids, as by default in the library."""
         try:
-            return self.core.encode_to_tiktoken_buffer(text, self._all)
+            return bytes(self.core.encode_to_tiktoken_buffer(text, self._all))
         except ValueError:  # a run of white space too long for the library's regex stack
             return self._ids_by_pieces(text)
 
