@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table
-from . import decontamination, jaccard_join, language_id, license_scan, packing, quality_model, quality_rules, token_counts
+from ..session import shared_root, table
+from . import decontamination, jaccard_join, language_id, license_scan, packing, quality_model, quality_rules, revisits, sharding, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -35,6 +36,13 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, language_id.train(docs))
 
 
+def op6_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Revisits of the captures that are derived from ``pages``; headers as one text, ``name: value`` by name."""
+    found = revisits.resolve_revisits(revisits.captures_of_pages(table(spark, sf_dir, "pages")))
+    lines = F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat_ws(": ", e["key"], e["value"]))
+    return found.withColumn("headers", F.array_join(lines, "\n"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
@@ -47,12 +55,24 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_packing, op2_license_scan, op3_quality_classifier, op4_decontamination, op5_language_id, op7_token_counts, op8_quality_rules, op9_jaccard_join)}
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents appended as eight arrivals, compacted, and read back from the last version."""
+    docs = table(spark, sf_dir, "documents")
+    store = sharding.ShardStore(spark, f"{shared_root(spark)}/parcela/shards-{uuid.uuid4().hex}", docs.schema)
+    store.append(docs, arrivals=8)
+    store.compact_fully()
+    store.vacuum()
+    return store.read().select("doc_id", "lang", "source", "n_chars", F.octet_length("text").cast("long").alias("n_bytes"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_packing, op2_license_scan, op3_quality_classifier, op4_decontamination, op5_language_id, op6_revisits, op7_token_counts, op8_quality_rules, op9_jaccard_join, op10_sharding)}
 ORACLE: dict[str, str] = {}
 
 
 def queries() -> dict[str, Query]:
-    return dict(QUERIES)
+    import corpus_pipeline
+
+    return QUERIES | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
