@@ -2,4 +2,6 @@
 
 from __future__ import annotations
 
-ORACLE: dict[str, str] = {}
+from . import market
+
+ORACLE: dict[str, str] = {**market.ORACLE}

@@ -6,4 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from . import market
+from .market import flagship
+
+__all__ = ["QUERIES", "flagship"]
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**market.QUERIES}
