@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from . import market
+from . import changes, market
 
-ORACLE: dict[str, str] = {**market.ORACLE}
+ORACLE: dict[str, str] = {**market.ORACLE, **changes.ORACLE}
