@@ -14,7 +14,8 @@ by hash), and a pair is verified only if it passes all of them.
 3. In every group of classes with a common prefix token each class is tried against one pivot, the
    one with fewest tokens of its own: a linear number of pairs that joins most near copies.
 4. What is left is exact: all pairs of different components with a common prefix token that pass the
-   size bound, the repeated-token bound and the other orders, and were not tried yet, are verified.
+   size bound, the bound by what follows the first shared token and the other orders, and were not
+   tried yet, are verified.
    Components are labels spread over the links, in rounds that each end in a written table.
 """
 
@@ -255,7 +256,7 @@ def _with_component(rows: DataFrame, labels: DataFrame) -> DataFrame:
 def _class_links(classes: DataFrame, config: JaccardConfig) -> DataFrame | None:
     """``k, comp`` of all linked classes, or None where nothing links."""
     percent = config.percent
-    index = classes.select("k", "n", F.size("tokens").alias("r"), F.explode("p1").alias("token"))
+    index = classes.select("k", "n", F.size("tokens").alias("r"), F.posexplode("p1").alias("place", "token"))
     # one pivot a token: the class with the fewest tokens of its own, then the smallest key
     pivots = index.groupBy("token").agg(F.min(F.struct((F.col("n") - F.col("r")).alias("own"), F.col("k"), F.col("n"))).alias("p"), F.count(F.lit(1)).alias("size")).where(F.col("size") > 1)
     tried = index.join(pivots.select("token", F.col("p.k").alias("pk"), F.col("p.n").alias("pn")), "token").where(F.col("k") != F.col("pk"))
@@ -265,14 +266,15 @@ def _class_links(classes: DataFrame, config: JaccardConfig) -> DataFrame | None:
     links = materialize(_verify(star, classes, percent), "star-links")
     labels = components(links)
 
-    # the rest, exactly: groups that still hold several components
-    alone = F.col("n") + F.col("least_n") - F.col("r")  # |union| at least, with the smallest partner of the group
-    hopeless = (F.col("least_n") > F.col("r")) & (100 * F.col("r") < percent * alone)
+    # the rest, exactly: groups that still hold several components. Where a token is the first that a pair
+    # shares, the pair shares no more than either has from there on; at its other tokens a pair may fall.
+    ahead = F.col("r") - F.col("place")
+    hopeless = (F.col("least_n") > ahead) & ~_similar(ahead, F.col("n") + F.col("least_n"), percent)
     groups = index.groupBy("token").agg(F.min("n").alias("least_n"), F.count(F.lit(1)).alias("size")).where(F.col("size") > 1)
-    left = _with_component(index.join(groups, "token").where(~hopeless).select("token", "k", "n", "r"), labels)
+    left = _with_component(index.join(groups, "token").where(~hopeless).select("token", "k", "n", ahead.alias("ahead")), labels)
     mixed = left.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where(F.col("x") != F.col("y")).select("token")
     left = materialize(left.join(mixed, "token", "left_semi"), "residue")
-    most = F.least("x.r", "y.r")
+    most = F.least("x.ahead", "y.ahead")
     near = (F.col("x.token") == F.col("y.token")) & (F.col("x.k") < F.col("y.k")) & (F.col("x.comp") != F.col("y.comp")) & _size_ok("x", "y", percent) & _similar(most, F.col("x.n") + F.col("y.n"), percent)
     pairs = left.alias("x").join(left.alias("y"), near).select(F.col("x.k").alias("a"), F.col("y.k").alias("b")).distinct()
     rest = materialize(_verify(pairs.join(star, ["a", "b"], "left_anti"), classes, percent), "rest-links")
