@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from . import changes, market
+from . import changes, market, scanning
 
-ORACLE: dict[str, str] = {**market.ORACLE, **changes.ORACLE}
+ORACLE: dict[str, str] = {**market.ORACLE, **changes.ORACLE, **scanning.ORACLE}

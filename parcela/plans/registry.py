@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import changes, market
+from . import changes, market, scanning
 from .market import flagship
 
 __all__ = ["QUERIES", "flagship"]
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**market.QUERIES, **changes.QUERIES}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**market.QUERIES, **changes.QUERIES, **scanning.QUERIES}
