@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from . import changes, market, scanning
+from . import changes, ingest, market, scanning
 
-ORACLE: dict[str, str] = {**market.ORACLE, **changes.ORACLE, **scanning.ORACLE}
+ORACLE: dict[str, str] = {**market.ORACLE, **changes.ORACLE, **scanning.ORACLE, **ingest.ORACLE}

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import strip_nul
 
-_PLACE = "STRUCT<depth INT, name STRING>"
+_PLACE = "STRUCT<depth: INT, name: STRING>"
 for _ in range(4):
-    _PLACE = _PLACE[:-1] + f", parent {_PLACE}>"
+    _PLACE = f"STRUCT<depth: INT, name: STRING, parent: {_PLACE}>"
 PAIR = "STRUCT<value STRING, label STRING, measure STRING>"
 POSTING = f"""postingId STRING, id STRING, url STRING, status STRING, modified_date STRING, generatedTitle STRING, descriptionNormalized STRING,
   realEstateType STRUCT<realEstateTypeId: STRING, name: STRING>,
