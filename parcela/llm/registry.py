@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_root, table
-from . import decontamination, jaccard_join, language_id, license_scan, packing, quality_model, quality_rules, revisits, sharding, token_counts
+from . import decontamination, jaccard_join, language_id, license_scan, oracles, packing, quality_model, quality_rules, revisits, sharding, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -66,7 +66,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_packing, op2_license_scan, op3_quality_classifier, op4_decontamination, op5_language_id, op6_revisits, op7_token_counts, op8_quality_rules, op9_jaccard_join, op10_sharding)}
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = oracles.all_sql()
 
 
 def queries() -> dict[str, Query]:
