@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from . import changes, ingest, market, scanning
+from . import changes, ingest, market, scanning, streams
 
-ORACLE: dict[str, str] = {**market.ORACLE, **changes.ORACLE, **scanning.ORACLE, **ingest.ORACLE}
+ORACLE: dict[str, str] = {**market.ORACLE, **changes.ORACLE, **scanning.ORACLE, **ingest.ORACLE, **streams.ORACLE}
