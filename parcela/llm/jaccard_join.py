@@ -312,7 +312,7 @@ def near_duplicates(docs: DataFrame, config: JaccardConfig = JaccardConfig(), id
 
 
 def keep_one(docs: DataFrame, config: JaccardConfig = JaccardConfig(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, with their own columns, whose id is their component's; repeated rows once; empty in, empty out."""
+    """The rows of ``docs``, with their own columns, whose id is their component's. Rows that share id and text stay once; empty in, empty out."""
     found = near_duplicates(docs, config, id_col, text_col)
     keepers = materialize(found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__keep")).distinct(), "keepers")
-    return docs.join(keepers, F.col(id_col).eqNullSafe(F.col("__keep")), "left_semi").dropDuplicates()
+    return docs.join(keepers, F.col(id_col).eqNullSafe(F.col("__keep")), "left_semi").dropDuplicates([id_col, text_col])
