@@ -312,7 +312,14 @@ def near_duplicates(docs: DataFrame, config: JaccardConfig = JaccardConfig(), id
 
 
 def keep_one(docs: DataFrame, config: JaccardConfig = JaccardConfig(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, with their own columns, whose id is their component's. Rows that share id and text stay once; empty in, empty out."""
+    """The rows of ``docs``, with their own columns, whose id is their component's.
+
+    Rows that share id and text stay once. Rows without an id stay if one of them is in a component
+    without any id. Empty in, empty out. One shuffle by id serves the join and the removal of repeats.
+    """
     found = near_duplicates(docs, config, id_col, text_col)
     keepers = materialize(found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__keep")).distinct(), "keepers")
-    return docs.join(keepers, F.col(id_col).eqNullSafe(F.col("__keep")), "left_semi").dropDuplicates([id_col, text_col])
+    named = docs.join(keepers.where(F.col("__keep").isNotNull()), F.col(id_col) == F.col("__keep"), "left_semi").dropDuplicates([id_col, text_col])
+    if not keepers.where(F.col("__keep").isNull()).limit(1).count():
+        return named
+    return named.unionByName(docs.where(F.col(id_col).isNull()).dropDuplicates([text_col]))
