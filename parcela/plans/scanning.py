@@ -139,13 +139,13 @@ def T_full(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- rollups ----------------------------------------------------------------------------------
 
 _Q, _E = ctes("scan_queue"), ctes("errors")
-_add("ops_performance", lambda s, d: O.performance(view(s, d, "scan_queue"), _at(SINCE)), _Q + f"""SELECT sum(requests_total) AS requests_total, sum(requests_failed) AS requests_failed, round(avg(avg_latency_ms), 6) AS avg_latency_ms, max(avg_latency_ms) AS max_latency_ms,
+_add("ops_performance", lambda s, d: O.performance(view(s, d, "scan_queue"), _at(SINCE)), _Q + f"""SELECT CAST(sum(requests_total) AS BIGINT) AS requests_total, CAST(sum(requests_failed) AS BIGINT) AS requests_failed, round(avg(avg_latency_ms), 6) AS avg_latency_ms, max(avg_latency_ms) AS max_latency_ms,
     count(*) FILTER (cooldown_triggered) AS cooldowns, round((sum(requests_total) - sum(requests_failed)) * 100.0e0 / nullif(sum(requests_total), 0), 1) AS success_rate FROM scan_queue WHERE completed_at >= {_SINCE}""")
 _add("ops_errors_by_type", lambda s, d: O.errors_by_type(view(s, d, "errors"), _at("1998-01-01 00:00:00")), _E + "SELECT error_type, count(*) AS n FROM errors WHERE failed_at >= TIMESTAMP '1998-01-01 00:00:00' GROUP BY 1")
 _add("ops_recent_errors", lambda s, d: O.recent_errors(view(s, d, "errors"), 20, 5, error_type="http"), _E + "SELECT * FROM errors WHERE error_type = 'http' ORDER BY id DESC LIMIT 20 OFFSET 5")
 _add("http_error_class", lambda s, d: view(s, d, "errors").select("id", *[c.alias(n) for n, c in O.error_class(F.col("http_status")).items()]), _E + "SELECT id, CASE WHEN http_status IS NULL THEN 'timeout_or_connection' ELSE 'http_' || http_status END AS error_class, CASE WHEN http_status IS NULL THEN true WHEN http_status IN (403, 404) THEN false WHEN http_status = 429 THEN true ELSE http_status >= 500 END AS retryable FROM errors")
 _add("ops_problem_segments", lambda s, d: O.problem_segments(view(s, d, "scan_queue")).select("id", "segment_id", "updated_at"), _Q + "SELECT id, segment_id, updated_at FROM scan_queue WHERE status = 'failed' OR attempt_count >= 3 ORDER BY updated_at DESC, id LIMIT 10")
-_add("ops_daily_trends", lambda s, d: O.daily_trends(view(s, d, "scan_queue"), _at(SINCE)), _Q + f"SELECT CAST(completed_at AS DATE) AS day, sum(requests_total) AS requests, sum(requests_failed) AS failures, round(avg(avg_latency_ms), 6) AS avg_latency_ms, count(*) AS n FROM scan_queue WHERE completed_at >= {_SINCE} GROUP BY 1")
+_add("ops_daily_trends", lambda s, d: O.daily_trends(view(s, d, "scan_queue"), _at(SINCE)), _Q + f"SELECT CAST(completed_at AS DATE) AS day, CAST(sum(requests_total) AS BIGINT) AS requests, CAST(sum(requests_failed) AS BIGINT) AS failures, round(avg(avg_latency_ms), 6) AS avg_latency_ms, count(*) AS n FROM scan_queue WHERE completed_at >= {_SINCE} GROUP BY 1")
 _add("ops_pipeline_tables", lambda s, d: O.table_totals(entities(s, d), view(s, d, "snapshots"), M.pending_ids(entities(s, d), _built(s, d))), ctes("listings", "snapshots") + f"SELECT 'listings' AS name, count(*) AS n FROM listings UNION ALL SELECT 'snapshots', count(*) FROM snapshots UNION ALL SELECT 'pending', count(*) FROM ({_PENDING})")
 _add("ops_segment_totals", lambda s, d: O.segment_totals(view(s, d, "segments")), ctes("segments") + "SELECT count(*) AS total, count(*) FILTER (is_leaf) AS leaves, count(*) FILTER (is_oversized) AS oversized FROM segments WHERE status = 'active'")
 _add("ops_progress", lambda s, d: O.progress(view(s, d, "scan_queue")), _Q + "SELECT count(*) AS total, count(*) FILTER (status = 'complete') AS complete, round(count(*) FILTER (status = 'complete') * 100.0e0 / nullif(count(*), 0), 1) AS progress_pct FROM scan_queue")
