@@ -28,6 +28,11 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
 
 
+def hash_place(column: str) -> Column:
+    """A fixed place of a value between 0 and 1, spread evenly: rows under a share make a sample of that share."""
+    return F.shiftrightunsigned(F.xxhash64(column), 1) / F.lit(2.0**63)
+
+
 def id_type(df: DataFrame, name: str) -> T.DataType:
     return df.schema[name].dataType
 

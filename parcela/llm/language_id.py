@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import materialize
-from .common import arrow_map, id_type, text_slices
+from .common import arrow_map, hash_place, id_type, text_slices
 
 START = "▁"
 #: Words longer than this are scored in runs of this many letters.
@@ -193,11 +193,14 @@ def train(docs: DataFrame, config: LanguageConfig = LanguageConfig(), id_col: st
     vocab = vocabulary(config.vocabulary, config.longest_piece)
     usable = docs.where(training_rows(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     top = usable.groupBy(F.col(lang_col).alias("__lang")).count().orderBy(F.desc("count"), "__lang").limit(config.most_languages)
-    languages = sorted(r["__lang"] for r in top.collect())
+    sizes = {r["__lang"]: r["count"] for r in top.collect()}
+    languages = sorted(sizes)
     if not languages:
         return LanguageModel([], np.zeros((len(vocab.pieces), 0)), config)
-    by_hash = Window.partitionBy("__lang").orderBy(F.xxhash64("__id"), "__id")
-    ids = usable.select(F.col(id_col).alias("__id"), F.col(lang_col).alias("__lang")).where(F.col("__lang").isin(languages))
+    # twice the share that fills the sample is ranked, so that a large language sends few rows to its task
+    share = F.element_at(F.create_map(*[F.lit(x) for k in languages for x in (k, min(1.0, 2.0 * config.docs_per_language / sizes[k]))]), F.col("__lang"))
+    by_hash = Window.partitionBy("__lang").orderBy(hash_place("__id"), "__id")
+    ids = usable.select(F.col(id_col).alias("__id"), F.col(lang_col).alias("__lang")).where(F.col("__lang").isin(languages)).where(hash_place("__id") <= share)
     chosen = ids.withColumn("__n", F.row_number().over(by_hash)).where(F.col("__n") <= config.docs_per_language).select("__id").distinct()
     sample = usable.join(F.broadcast(chosen), F.col(id_col) == F.col("__id"), "left_semi").select(F.col(lang_col).alias("__lang"), F.col(text_col).alias("__text"))
 
