@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 DAY_MICROS = 86_400_000_000
 
 
-
 def normalize_location(entities: DataFrame) -> DataFrame:
     """One location row a listing: both coordinates give a confident row, anything less a pending one without coordinates."""
     both = F.col("lat").isNotNull() & F.col("lon").isNotNull()
