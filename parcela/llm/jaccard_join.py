@@ -38,6 +38,7 @@ from .common import id_type
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _FINAL = np.uint64(0xBF58476D1CE4E5B9)
+SHARED = 0xFFFF
 
 
 @dataclass(frozen=True)
@@ -82,14 +83,28 @@ def _batch(schema: pa.Schema, rows: int, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) if f.name in columns else pa.nulls(rows, f.type) for f in schema], schema=schema)
 
 
+def _distinct(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """The distinct tokens of a chunk, sorted, with their number of documents and the document's place, or SHARED where several have it;
+    and the tokens and places of those. A token costs its range one entry a chunk, however many documents hold it."""
+    tokens = np.concatenate(sets)
+    places = np.repeat(np.arange(len(sets), dtype=np.uint16), [len(s) for s in sets])
+    order = np.argsort(tokens, kind="stable")
+    tokens, places = tokens[order], places[order]
+    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(tokens)), dtype=bool), tokens[1:] != tokens[:-1]]))
+    count = np.diff(np.append(first, len(tokens))).astype(np.uint32)
+    many = np.repeat(count > 1, count)
+    return tokens[first], count, np.where(count > 1, SHARED, places[first]).astype(np.uint16), (tokens[many], places[many])
+
+
 def _chunks(docs: DataFrame, config: JaccardConfig, n_ranges: int, id_col: str, text_col: str) -> DataFrame:
-    """Rows of two kinds: a document (chunk, place, id, n, digest), or a chunk's tokens of one range with their places."""
+    """Rows of three kinds: a document (chunk, place, id, n, digest), a chunk's tokens of one range with places and uses, or the places of those that several of its documents have."""
     schema = _chunk_schema(docs, id_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         arrow = None
         seq = 0
+        _apart = lambda chunk: -1 - chunk * 2654435761 % n_ranges  # noqa: E731  rows that only pass have negative ranges, by chunk
         word_hash = _WordHash()
         place: dict[bytes, int] = {}
         sets: list[np.ndarray] = []
@@ -98,17 +113,14 @@ def _chunks(docs: DataFrame, config: JaccardConfig, n_ranges: int, id_col: str,
         def close() -> Iterator[pa.RecordBatch]:
             nonlocal seq, held
             if sets:
-                tokens = np.concatenate(sets)
-                places = np.repeat(np.arange(len(sets), dtype=np.uint16), [len(s) for s in sets])
-                where = (tokens >> np.uint64(32)).astype(np.int64) * n_ranges >> 32
-                order = np.argsort(where, kind="stable")
-                cuts = np.searchsorted(where[order], np.arange(n_ranges + 1))
+                tokens, count, places, shared = _distinct(sets)
+                where = (tokens >> np.uint64(32)).astype(np.int64) * n_ranges >> 32  # tokens are sorted, so these are
+                cuts = np.searchsorted(where, np.arange(n_ranges + 1))
                 full = np.flatnonzero(np.diff(cuts))
-                tokens, places = tokens[order], places[order]
-                yield _batch(
-                    arrow, len(full), range=pa.array(full.astype(np.int32)), chunk=pa.array(np.full(len(full), part << 32 | seq, dtype=np.int64)),
-                    tokens=pa.array([tokens[cuts[r] : cuts[r + 1]].tobytes() for r in full], pa.binary()), places=pa.array([places[cuts[r] : cuts[r + 1]].tobytes() for r in full], pa.binary()),
-                )
+                cut = lambda x: pa.array([x[cuts[r] : cuts[r + 1]].tobytes() for r in full], pa.binary())
+                chunk = part << 32 | seq
+                yield _batch(arrow, len(full), range=pa.array(full.astype(np.int32)), chunk=pa.array(np.full(len(full), chunk, dtype=np.int64)), tokens=cut(tokens), places=cut(places), uses=cut(count))
+                yield _batch(arrow, 1, range=pa.array([_apart(chunk)], pa.int32()), chunk=pa.array([chunk], pa.int64()), tokens=pa.array([shared[0].tobytes()], pa.binary()), places=pa.array([shared[1].tobytes()], pa.binary()))
             seq += 1
             held = 0
             sets.clear()
@@ -130,8 +142,7 @@ def _chunks(docs: DataFrame, config: JaccardConfig, n_ranges: int, id_col: str,
                 if held >= config.chunk_tokens or len(sets) == 65_000:
                     yield from close()
             chunk = pa.array([f[0] for f in found], pa.int64())
-            # documents spread over negative ranges, by chunk
-            spread = pa.array([-1 - (f[0] * 2654435761 % n_ranges) for f in found], pa.int32())
+            spread = pa.array([_apart(f[0]) for f in found], pa.int32())
             yield _batch(arrow, len(found), range=spread, chunk=chunk, place=pa.array([f[1] for f in found], pa.int32()), id=batch.column(0), n=pa.array([f[2] for f in found], pa.int64()), digest=pa.array([f[3] for f in found], pa.binary()))
         yield from close()
 
@@ -139,29 +150,29 @@ def _chunks(docs: DataFrame, config: JaccardConfig, n_ranges: int, id_col: str,
 
 
 def _count_range(group: pa.Table) -> pa.Table:
-    """Of one token range: each chunk's tokens that two or more documents have, with their number of documents. Documents pass."""
+    """Of one token range: each chunk's tokens that two or more documents have, with their number of documents. Other rows pass."""
     if not group.num_rows or group.column("range")[0].as_py() < 0:
         return group
-    tokens = [np.frombuffer(t, dtype=np.uint64) for t in group.column("tokens").to_pylist()]
+    read = lambda name, kind: [np.frombuffer(b, dtype=kind) for b in group.column(name).to_pylist()]
+    tokens = read("tokens", np.uint64)
     flat = np.concatenate(tokens)
     order = np.argsort(flat, kind="stable")
     ordered = flat[order]
     first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-    count = np.diff(np.concatenate([first, [len(ordered)]]))
+    total = np.add.reduceat(np.concatenate(read("uses", np.uint32)).astype(np.int64)[order], first)
     uses = np.empty(len(flat), dtype=np.int64)
-    uses[order] = np.repeat(count, count)
+    uses[order] = np.repeat(total, np.diff(np.append(first, len(ordered))))
     at, out = 0, {"tokens": [], "places": [], "uses": []}
-    for t, p in zip(tokens, group.column("places").to_pylist(), strict=True):
+    for t, p in zip(tokens, read("places", np.uint16), strict=True):
         u = uses[at : at + len(t)]
         at += len(t)
         keep = u > 1
         out["tokens"].append(t[keep].tobytes())
-        out["places"].append(np.frombuffer(p, dtype=np.uint16)[keep].tobytes())
+        out["places"].append(p[keep].tobytes())
         out["uses"].append(np.minimum(u[keep], 65_535).astype(np.uint16).tobytes())
     for name, column in out.items():
         group = group.set_column(group.schema.get_field_index(name), name, pa.array(column, pa.binary()).cast(group.schema.field(name).type))
-    keep = np.array([len(t) > 0 for t in out["tokens"]])
-    return group.filter(pa.array(keep, pa.bool_()))
+    return group.filter(pa.array([len(t) > 0 for t in out["tokens"]], pa.bool_()))
 
 
 def _mix(tokens: np.ndarray, salt: int) -> np.ndarray:
@@ -182,10 +193,16 @@ def _assemble(percent: int):
     """Documents of one chunk: repeated tokens and prefixes of those that could still link, else nulls."""
 
     def run(group: pa.Table) -> pa.Table:
-        is_doc = np.array(group.column("place").is_valid())
-        docs, blobs = group.filter(pa.array(is_doc)), group.filter(pa.array(~is_doc))
-        read = lambda name, kind: np.concatenate([np.frombuffer(b, dtype=kind) for b in blobs.column(name).to_pylist()] or [np.zeros(0, dtype=kind)])
-        tokens, places, uses = read("tokens", np.uint64), read("places", np.uint16), read("uses", np.uint16)
+        is_doc, counted = np.array(group.column("place").is_valid()), np.array(group.column("uses").is_valid())
+        docs = group.filter(pa.array(is_doc))
+        read = lambda mask, name, kind: np.concatenate([np.frombuffer(b, dtype=kind) for b in group.filter(pa.array(mask)).column(name).to_pylist()] or [np.zeros(0, dtype=kind)])
+        tokens, places, uses = read(counted, "tokens", np.uint64), read(counted, "places", np.uint16), read(counted, "uses", np.uint16)
+        own = places != SHARED
+        known, known_uses = tokens[~own], uses[~own]
+        by_token = np.argsort(known)
+        shared, shared_places = read(~is_doc & ~counted, "tokens", np.uint64), read(~is_doc & ~counted, "places", np.uint16)
+        shared_uses = known_uses[by_token][np.searchsorted(known[by_token], shared)] if len(shared) else known_uses[:0]
+        tokens, places, uses = np.concatenate([tokens[own], shared]), np.concatenate([places[own], shared_places]), np.concatenate([uses[own], shared_uses])
         order = np.lexsort((tokens, places))
         tokens, places, uses = tokens[order], places[order], uses[order].astype(np.int64)
         cuts = np.searchsorted(places, np.arange(65_537))
