@@ -12,6 +12,7 @@ are: records carry a digest.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -25,9 +26,9 @@ TRACKING = r"(?:utm_[^=&]*|ref|fbclid|gclid)"
 
 @dataclass(frozen=True)
 class RevisitConfig:
-    """``rows_per_chunk``: the number of time chunks is the number of captures over it."""
+    """``chunks``: the number of time chunks; by default the root of the number of captures, so that one URL's rows in a chunk and its chunks are alike in number."""
 
-    rows_per_chunk: int = 200_000
+    chunks: int | None = None
 
 
 def canonical_url(url: Column) -> Column:
@@ -66,7 +67,7 @@ def resolve_revisits(captures: DataFrame, config: RevisitConfig = RevisitConfig(
     """
     base = captures.select("record_id", "url", "ts", "record_type", "etag", "last_modified", "headers", "payload_digest").withColumn("__u", canonical_url(F.col("url")))
     span = base.agg(F.min("ts").alias("a"), F.max("ts").alias("b"), F.count(F.lit(1)).alias("n")).first()
-    chunks = max(1, -(-span["n"] // config.rows_per_chunk))
+    chunks = config.chunks or max(1, math.isqrt(span["n"]))
     width = max(1, -(-((span["b"] or 0) - (span["a"] or 0) + 1) // chunks))
     base = base.withColumn("__c", F.coalesce(F.floor((F.col("ts") - F.lit(span["a"] or 0)) / F.lit(width)), F.lit(-1)))
 

@@ -193,8 +193,8 @@ def test_revisit_cases(spark):
         (3, "http://x.org/a", 5, "revisit", "a", None, None, None), (4, "http://x.org/a", 30, "response", "b", None, None, "p2"), (5, "http://x.org/a", 40, "revisit", "a", None, None, None),
         (6, "http://x.org/a", 50, "revisit", None, None, None, None), (7, None, 50, "revisit", "a", None, None, None), (8, "http://x.org/a", 30, "revisit", "b", None, None, None),
     ]
-    for size in (200_000, 2):
-        got = {r["record_id"]: r for r in revisits.resolve_revisits(spark.createDataFrame(rows, cols), revisits.RevisitConfig(rows_per_chunk=size)).collect()}
+    for chunks in (None, 1, 7):
+        got = {r["record_id"]: r for r in revisits.resolve_revisits(spark.createDataFrame(rows, cols), revisits.RevisitConfig(chunks=chunks)).collect()}
         assert {k: (r["target_id"], r["outcome"]) for k, r in got.items()} == {2: (1, "resolved"), 3: (None, "orphan"), 5: (4, "mismatch"), 6: (4, "unvalidated"), 7: (None, "orphan"), 8: (4, "resolved")}
         assert got[2]["headers"] == {"etag": "a", "content-length": "9", "date": "now"} and got[2]["payload_digest"] == "p1"
 
