@@ -243,3 +243,36 @@ def test_pipeline(spark, sf_dir, docs):
     assert set(pieces) == {d["doc_id"] for d in found}
     for d, ids in zip(found, _encode([d["text"] for d in found]), strict=True):
         assert np.frombuffer(b"".join(bytes(r["ids"]) for r in sorted(pieces[d["doc_id"]], key=lambda r: r["start"])), "<u4").tolist() == [*ids, 0]
+
+
+def test_pipeline_near_duplicates_against_all_pairs(spark, sf_dir):
+    """The stage against five-word sets at 0.8: pairs on both sides of the limit, chains, and short and odd texts."""
+    rng = np.random.default_rng(11)
+    base = [f"b{k}" for k in range(100)]
+    far = [*base[:30], "x", *base[31:70], "y", *base[71:]]  # 86 of 106 five-word shingles, and 89 of 105 four-word ones
+    worse = [*base[:20], "x", *base[21:50], "y", *base[51:80], "z", *base[81:]]  # 81 of 111
+    texts = [" ".join(t) for t in (base, far, worse)]
+    for k in range(8):
+        words = [f"t{k}w{x}" for x in rng.integers(0, 400, rng.integers(8, 120))]
+        for _ in range(6):
+            words = list(words)
+            for _ in range(rng.integers(0, 4)):
+                words[rng.integers(0, len(words))] = f"n{rng.integers(0, 10_000)}"
+            texts.append(" ".join(words))
+    texts += [texts[5].upper(), "", " ", None, "one two", "one two", "one two three four", "one two three four five"]
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    label = list(range(len(sets)))
+    moved = True
+    while moved:
+        moved = False
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                if label[i] > label[j] and a and b and 100 * len(a & b) >= 80 * len(a | b):
+                    label[i], moved = label[j], True
+    assert label[1] == 0 and label[2] != 0
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    stage = dict(corpus_pipeline.STAGES)["near duplicates"]
+    assert sorted(r["doc_id"] for r in stage(spark, docs, sf_dir).collect()) == sorted(set(label))
