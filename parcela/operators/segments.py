@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -153,9 +154,14 @@ def due(segments: DataFrame, snapshots: DataFrame, queue: DataFrame, now: Column
 def take_within_budget(rows: DataFrame, group: str, order: list[Column], max_pages: int, max_items: int | None) -> DataFrame:
     """``group, segment_id`` of the items that a greedy walk takes: one that would exceed the pages is skipped, not the end.
 
-    Skips give budget back, so this is an ordered fold over each group's candidates. ``rows`` has
-    one short row a due segment of a portal.
+    Skips give budget back, so this is an ordered fold. Room only shrinks, so of the items of one
+    number of pages those taken come first; no more than ``max_pages / estimated_pages`` of them fit.
+    Only these go into a group's array, which thus holds about ``max_pages * ln(max_pages)`` items.
     """
+    pages = F.col("estimated_pages")
+    fits = F.floor(F.lit(max_pages) / F.when(pages > 0, pages))
+    w = Window.partitionBy(group, "estimated_pages").orderBy(*order, F.col("segment_id"))
+    rows = rows.withColumn("__n", F.row_number().over(w)).where((pages <= 0) | (F.col("__n") <= fits))
     item = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], F.col("segment_id"), F.col("estimated_pages"))
     start = F.struct(F.lit(0).cast("long").alias("pages"), F.array().cast("array<bigint>").alias("ids"))
 
@@ -187,15 +193,33 @@ def scan_outcomes(history: DataFrame) -> DataFrame:
     return rows.withColumn("churn", F.when(counts, churn_daily(F.col("new_count"), F.col("changed_count"), F.col("listings_found"), F.col("elapsed_days"))))
 
 
-def churn_ewma(outcomes: DataFrame, prior: DataFrame | None = None, alpha: float = 0.5) -> DataFrame:
+def churn_ewma(outcomes: DataFrame, prior: DataFrame | None = None, alpha: float = 0.5, chunks: int | None = None) -> DataFrame:
     """``segment_id, churn_ewma, churn_samples``: the exponentially weighted churn in scan order, from an inherited prior where there is one.
 
-    A fold over each segment's scans, of which there is about one a day.
+    A run of ``n`` scans takes a value ``v`` to ``(1 - alpha)^n v + s``, so a segment's scans are cut
+    into chunks of time, each becomes its ``n`` and ``s``, and the fold goes over the chunks. ``chunks``:
+    their number; by default the root of the number of scans.
     """
-    seen = outcomes.where(F.col("churn").isNotNull()).groupBy("segment_id").agg(F.array_sort(F.collect_list(F.struct("scanned_at", "id", "churn"))).alias("__s"))
+    scans = outcomes.where(F.col("churn").isNotNull()).select("segment_id", "scanned_at", "id", "churn", F.unix_micros(F.col("scanned_at").cast("timestamp")).alias("__at"))
+    span = scans.agg(F.min("__at").alias("a"), F.max("__at").alias("b"), F.count(F.lit(1)).alias("n")).first()
+    width = max(1, -(-((span["b"] or 0) - (span["a"] or 0) + 1) // (chunks or max(1, math.isqrt(span["n"])))))
+    scans = scans.withColumn("__c", F.coalesce(F.floor((F.col("__at") - F.lit(span["a"] or 0)) / F.lit(width)), F.lit(-1)))
+    inside = Window.partitionBy("segment_id", "__c")
+    placed = scans.withColumns({"__k": F.row_number().over(inside.orderBy("scanned_at", "id")), "__n": F.count(F.lit(1)).over(inside)})
+    # a segment's first value counts whole where there is no prior, so it is kept apart
+    weight = F.pow(F.lit(1 - alpha), F.col("__n") - F.col("__k"))
+    first = F.col("__k") == 1
+    part = placed.groupBy("segment_id", "__c").agg(
+        F.count(F.lit(1)).alias("n"), F.max(F.when(first, F.col("churn"))).alias("v"), F.sum(F.when(first, F.lit(0.0)).otherwise(alpha * weight * F.col("churn"))).alias("s"),
+    )
+    seen = part.groupBy("segment_id").agg(F.array_sort(F.collect_list(F.struct("__c", "n", "v", "s"))).alias("__s"), F.sum("n").cast("int").alias("churn_samples"))
     seen = seen.join(prior.select("segment_id", F.col("churn_ewma").alias("__prior")), "segment_id", "left") if prior is not None else seen.withColumn("__prior", F.lit(None).cast("double"))
-    value = F.aggregate("__s", F.col("__prior"), lambda a, x: F.when(a.isNull(), x["churn"]).otherwise(alpha * x["churn"] + (1 - alpha) * a))
-    return seen.select("segment_id", value.alias("churn_ewma"), F.size("__s").alias("churn_samples"))
+
+    def step(a: Column, x: Column) -> Column:
+        begun = F.when(a.isNull(), x["v"]).otherwise(alpha * x["v"] + (1 - alpha) * a)
+        return F.pow(F.lit(1 - alpha), x["n"] - 1) * begun + x["s"]
+
+    return seen.select("segment_id", F.aggregate("__s", F.col("__prior"), step).alias("churn_ewma"), "churn_samples")
 
 
 def inherit_churn(segments: DataFrame, sample_cap: int = 0) -> DataFrame:

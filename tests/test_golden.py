@@ -104,3 +104,41 @@ def test_stale_work_timer(spark, tmp_path):
     made.coalesce(1).write.parquet(str(tmp_path / "in"))
     out = jobs.drain(jobs.stale_work(spark.readStream.schema(made.schema).parquet(str(tmp_path / "in"))), "update")
     assert [(r["segment_id"], r["status"]) for r in out.collect()] == [(1, "pending")]
+
+
+def _bounded_lists(monkeypatch, most):
+    """A collected array of more than ``most`` items fails the query."""
+    collect = F.collect_list
+    monkeypatch.setattr(F, "collect_list", lambda c: F.when(F.count(F.lit(1)) > most, F.raise_error(F.lit("long array"))).otherwise(collect(c)))
+
+
+def test_ewma_in_chunks(spark, monkeypatch):
+    """Against a plain fold, with and without prior, ties and one segment of most scans; no array of all scans."""
+    churn = lambda i: (i * 7919 % 1000) / 1000
+    rows = [(1 if i % 10 else 2, i, i * 37 % 2000, churn(i)) for i in range(2000)] + [(3, 5000, 4, 0.25), (4, 5001, 4, None)]
+    scans = spark.createDataFrame(rows, "segment_id long, id long, s long, churn double").withColumn("scanned_at", F.timestamp_seconds("s")).drop("s")
+    for given in ({}, {1: 0.9, 3: 0.5}):
+        want = {}
+        for seg in (1, 2, 3):
+            v = given.get(seg)
+            for _, _, c in sorted((at, i, c) for g, i, at, c in rows if g == seg):
+                v = c if v is None else 0.3 * c + 0.7 * v
+            want[seg] = v
+        prior = spark.createDataFrame(list(given.items()), "segment_id long, churn_ewma double") if given else None
+        with monkeypatch.context() as m:
+            _bounded_lists(m, 200)
+            got = {r["segment_id"]: (r["churn_ewma"], r["churn_samples"]) for r in T.churn_ewma(scans, prior, 0.3).collect()}
+        assert got == {g: (pytest.approx(v, abs=1e-12), sum(r[0] == g for r in rows)) for g, v in want.items()}
+
+
+@pytest.mark.parametrize("most", [None, 7])
+def test_budget_arrays_are_bounded(spark, monkeypatch, most):
+    """The greedy walk over 3,000 candidates of a portal, whose array holds only what may fit."""
+    pages = [i * 7919 % 45 + 1 for i in range(3000)]
+    room, taken = 60, []
+    for i, n in enumerate(pages):
+        if n <= room and (most is None or len(taken) < most):
+            room, taken = room - n, [*taken, i + 1]
+    _bounded_lists(monkeypatch, 300)
+    got = T.take_within_budget(_due(spark, pages), "portal", [-F.col("overdue_ratio")], 60, most).collect()
+    assert sorted(r["segment_id"] for r in got) == sorted(taken)
