@@ -7,7 +7,7 @@ tokens that occur once before all others and then differ (by frequency, by frequ
 by hash), and a pair is verified only if it passes all of them.
 
 1. One pass over the texts hashes the shingles. Each chunk of documents sends its distinct tokens,
-   packed by token range, to the task that counts that range. Tokens of two or more documents come
+   as packed differences by token range, to the task that counts that range. Tokens of two or more documents come
    back with their frequency. A token that occurs once is in no intersection, so from here on a
    document is its repeated tokens and its size; documents with too few of them are done.
 2. Documents with equal sets (a 128-bit digest) become one class, so copies are never paired.
@@ -39,16 +39,45 @@ from .common import id_type
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _FINAL = np.uint64(0xBF58476D1CE4E5B9)
 SHARED = 0xFFFF
+#: Bits of a token.
+TOKEN_BITS = 56
 
 
 @dataclass(frozen=True)
 class JaccardConfig:
-    """``percent``: linked from this similarity on. A chunk is closed at ``chunk_tokens`` tokens; there are ``ranges_per_partition`` token ranges for each shuffle partition."""
+    """``percent``: linked from this similarity on. A chunk is closed at ``chunk_tokens`` tokens; token ranges are made to hold about ``range_tokens``, but a chunk and range share no fewer than ``least_share``."""
 
     shingle_words: int = 4
     percent: int = 85
     chunk_tokens: int = 2_000_000
-    ranges_per_partition: int = 8
+    range_tokens: int = 500_000
+    least_share: int = 32
+
+
+def pack(values: np.ndarray) -> bytes:
+    """Unsigned numbers in as few bytes each as the largest needs, one byte plane after the other."""
+    values = values.astype("<u8")
+    width = max(1, (int(values.max()).bit_length() + 7) // 8) if len(values) else 1
+    return bytes([width]) + values.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def unpack(data: bytes, start: int = 0) -> np.ndarray:
+    width = data[start]
+    planes = np.frombuffer(data, dtype=np.uint8, offset=start + 1).reshape(width, -1)
+    out = np.zeros((planes.shape[1], 8), dtype=np.uint8)
+    out[:, :width] = planes.T
+    return out.reshape(-1).view("<u8")
+
+
+def pack_sorted(values: np.ndarray) -> bytes:
+    """Sorted numbers as the first one and packed differences."""
+    return values[:1].astype("<u8").tobytes() + pack(np.diff(values)) if len(values) else b""
+
+
+def unpack_sorted(data: bytes) -> np.ndarray:
+    if not data:
+        return np.zeros(0, dtype=np.uint64)
+    return np.cumsum(np.concatenate([np.frombuffer(data, dtype="<u8", count=1), unpack(data, 8)]), dtype=np.uint64)
 
 
 class _WordHash(dict):
@@ -58,7 +87,7 @@ class _WordHash(dict):
 
 
 def shingles(text: str | None, k: int, word_hash: dict[bytes, int]) -> np.ndarray:
-    """The sorted distinct 64-bit hashes of the ``k``-word shingles; a shorter text is one shingle, no words none."""
+    """The sorted distinct hashes (``TOKEN_BITS`` bits) of the ``k``-word shingles; a shorter text is one shingle, no words none."""
     words = (text or "").encode().lower().split()  # both touch ASCII only, as the contract's words do
     if not words:
         return np.zeros(0, dtype=np.uint64)
@@ -70,11 +99,11 @@ def shingles(text: str | None, k: int, word_hash: dict[bytes, int]) -> np.ndarra
         for i in range(size):
             out = (out ^ (out >> np.uint64(31))) * _MULT + h[i : i + n]
         out = (out ^ (out >> np.uint64(30))) * _FINAL
-    return np.unique(out ^ (out >> np.uint64(27)))
+    return np.unique((out ^ (out >> np.uint64(27))) >> np.uint64(64 - TOKEN_BITS))
 
 
 def _chunk_schema(docs: DataFrame, id_col: str) -> T.StructType:
-    fields = [("range", T.IntegerType()), ("chunk", T.LongType()), ("place", T.IntegerType()), ("id", id_type(docs, id_col)), ("n", T.LongType()), ("digest", T.BinaryType()), ("tokens", T.BinaryType()), ("places", T.BinaryType()), ("uses", T.BinaryType())]
+    fields = [("range", T.IntegerType()), ("chunk", T.LongType()), ("place", T.IntegerType()), ("id", id_type(docs, id_col)), ("key", T.BinaryType()), ("n", T.LongType()), ("digest", T.BinaryType()), ("tokens", T.BinaryType()), ("places", T.BinaryType()), ("uses", T.BinaryType())]
     return T.StructType([T.StructField(n, t) for n, t in fields])
 
 
@@ -96,31 +125,38 @@ def _distinct(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return tokens[first], count, np.where(count > 1, SHARED, places[first]).astype(np.uint16), (tokens[many], places[many])
 
 
-def _chunks(docs: DataFrame, config: JaccardConfig, n_ranges: int, id_col: str, text_col: str) -> DataFrame:
-    """Rows of three kinds: a document (chunk, place, id, n, digest), a chunk's tokens of one range with places and uses, or the places of those that several of its documents have."""
+def _chunks(docs: DataFrame, config: JaccardConfig, n_ranges: int, id_col: str, text_col: str, key: Column) -> DataFrame:
+    """Rows of three kinds: a document (chunk, place, id, key, n, digest), a chunk's tokens of one range with places and the uses of those that several of its documents have, or the places of the latter.
+
+    Rows that only pass the counting have negative ranges, dealt evenly.
+    """
     schema = _chunk_schema(docs, id_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         arrow = None
         seq = 0
-        _apart = lambda chunk: -1 - chunk * 2654435761 % n_ranges  # noqa: E731  rows that only pass have negative ranges, by chunk
+        passed = part * 7919
         word_hash = _WordHash()
         place: dict[bytes, int] = {}
         sets: list[np.ndarray] = []
         held = 0
 
         def close() -> Iterator[pa.RecordBatch]:
-            nonlocal seq, held
+            nonlocal seq, held, passed
             if sets:
                 tokens, count, places, shared = _distinct(sets)
-                where = (tokens >> np.uint64(32)).astype(np.int64) * n_ranges >> 32  # tokens are sorted, so these are
+                where = (tokens >> np.uint64(TOKEN_BITS - 32)).astype(np.int64) * n_ranges >> 32  # tokens are sorted, so these are
                 cuts = np.searchsorted(where, np.arange(n_ranges + 1))
                 full = np.flatnonzero(np.diff(cuts))
-                cut = lambda x: pa.array([x[cuts[r] : cuts[r + 1]].tobytes() for r in full], pa.binary())
+                cut = lambda write: pa.array([write(slice(cuts[r], cuts[r + 1])) for r in full], pa.binary())
                 chunk = part << 32 | seq
-                yield _batch(arrow, len(full), range=pa.array(full.astype(np.int32)), chunk=pa.array(np.full(len(full), chunk, dtype=np.int64)), tokens=cut(tokens), places=cut(places), uses=cut(count))
-                yield _batch(arrow, 1, range=pa.array([_apart(chunk)], pa.int32()), chunk=pa.array([chunk], pa.int64()), tokens=pa.array([shared[0].tobytes()], pa.binary()), places=pa.array([shared[1].tobytes()], pa.binary()))
+                yield _batch(
+                    arrow, len(full), range=pa.array(full.astype(np.int32)), chunk=pa.array(np.full(len(full), chunk, dtype=np.int64)), tokens=cut(lambda r: pack_sorted(tokens[r])),
+                    places=cut(lambda r: pack(places[r])), uses=cut(lambda r: pack(count[r][count[r] > 1])),
+                )
+                passed += 1
+                yield _batch(arrow, 1, range=pa.array([-1 - passed % n_ranges], pa.int32()), chunk=pa.array([chunk], pa.int64()), tokens=pa.array([pack_sorted(shared[0])], pa.binary()), places=pa.array([pack(shared[1])], pa.binary()))
             seq += 1
             held = 0
             sets.clear()
@@ -128,9 +164,10 @@ def _chunks(docs: DataFrame, config: JaccardConfig, n_ranges: int, id_col: str,
             word_hash.clear()
 
         for batch in batches:
-            arrow = arrow or pa.schema([pa.field(n, batch.column(0).type if n == "id" else t) for n, t in (("range", pa.int32()), ("chunk", pa.int64()), ("place", pa.int32()), ("id", None), ("n", pa.int64()), ("digest", pa.binary()), ("tokens", pa.binary()), ("places", pa.binary()), ("uses", pa.binary()))])
+            types = {"range": pa.int32(), "chunk": pa.int64(), "place": pa.int32(), "id": batch.column(0).type, "key": pa.binary(), "n": pa.int64(), "digest": pa.binary(), "tokens": pa.binary(), "places": pa.binary(), "uses": pa.binary()}
+            arrow = arrow or pa.schema(list(types.items()))
             found: list[tuple[int, int, int, bytes]] = []  # chunk, place, size, digest
-            for text in batch.column(1):
+            for text in batch.column(2):
                 s = shingles(text.as_py(), config.shingle_words, word_hash)
                 digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
                 at = place.get(digest)
@@ -141,35 +178,40 @@ def _chunks(docs: DataFrame, config: JaccardConfig, n_ranges: int, id_col: str,
                 found.append((part << 32 | seq, at, len(s), digest))
                 if held >= config.chunk_tokens or len(sets) == 65_000:
                     yield from close()
-            chunk = pa.array([f[0] for f in found], pa.int64())
-            spread = pa.array([_apart(f[0]) for f in found], pa.int32())
-            yield _batch(arrow, len(found), range=spread, chunk=chunk, place=pa.array([f[1] for f in found], pa.int32()), id=batch.column(0), n=pa.array([f[2] for f in found], pa.int64()), digest=pa.array([f[3] for f in found], pa.binary()))
+            chunk, at, n, digest = ([f[i] for f in found] for i in range(4))
+            spread = -1 - (passed + np.arange(len(found)) // 64) % n_ranges
+            passed += len(found) // 64 + 1
+            yield _batch(arrow, len(found), range=pa.array(spread.astype(np.int32)), chunk=pa.array(chunk, pa.int64()), place=pa.array(at, pa.int32()), id=batch.column(0), key=batch.column(1), n=pa.array(n, pa.int64()), digest=pa.array(digest, pa.binary()))
         yield from close()
 
-    return docs.select(F.col(id_col).alias("id"), text_col).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).alias("id"), key.alias("key"), text_col).mapInArrow(run, schema)
 
 
 def _count_range(group: pa.Table) -> pa.Table:
     """Of one token range: each chunk's tokens that two or more documents have, with their number of documents. Other rows pass."""
     if not group.num_rows or group.column("range")[0].as_py() < 0:
         return group
-    read = lambda name, kind: [np.frombuffer(b, dtype=kind) for b in group.column(name).to_pylist()]
-    tokens = read("tokens", np.uint64)
+    tokens = [unpack_sorted(t) for t in group.column("tokens").to_pylist()]
+    places = [unpack(p).astype(np.uint16) for p in group.column("places").to_pylist()]
+    counts = []
+    for p, u in zip(places, group.column("uses").to_pylist(), strict=True):
+        c = np.ones(len(p), dtype=np.int64)
+        c[p == SHARED] = unpack(u)
+        counts.append(c)
     flat = np.concatenate(tokens)
     order = np.argsort(flat, kind="stable")
     ordered = flat[order]
     first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-    total = np.add.reduceat(np.concatenate(read("uses", np.uint32)).astype(np.int64)[order], first)
     uses = np.empty(len(flat), dtype=np.int64)
-    uses[order] = np.repeat(total, np.diff(np.append(first, len(ordered))))
+    uses[order] = np.repeat(np.add.reduceat(np.concatenate(counts)[order], first), np.diff(np.append(first, len(ordered))))
     at, out = 0, {"tokens": [], "places": [], "uses": []}
-    for t, p in zip(tokens, read("places", np.uint16), strict=True):
+    for t, p in zip(tokens, places, strict=True):
         u = uses[at : at + len(t)]
         at += len(t)
         keep = u > 1
-        out["tokens"].append(t[keep].tobytes())
-        out["places"].append(p[keep].tobytes())
-        out["uses"].append(np.minimum(u[keep], 65_535).astype(np.uint16).tobytes())
+        out["tokens"].append(pack_sorted(t[keep]))
+        out["places"].append(pack(p[keep]))
+        out["uses"].append(pack(np.minimum(u[keep], 65_535)))
     for name, column in out.items():
         group = group.set_column(group.schema.get_field_index(name), name, pa.array(column, pa.binary()).cast(group.schema.field(name).type))
     return group.filter(pa.array([len(t) > 0 for t in out["tokens"]], pa.bool_()))
@@ -190,37 +232,40 @@ def _prefixes(tokens: np.ndarray, uses: np.ndarray, size: int) -> list[np.ndarra
 
 
 def _assemble(percent: int):
-    """Documents of one chunk: repeated tokens and prefixes of those that could still link, else nulls."""
+    """Documents of one chunk. The first of each set that could still link has its repeated tokens and prefixes; they are null elsewhere."""
 
     def run(group: pa.Table) -> pa.Table:
         is_doc, counted = np.array(group.column("place").is_valid()), np.array(group.column("uses").is_valid())
         docs = group.filter(pa.array(is_doc))
-        read = lambda mask, name, kind: np.concatenate([np.frombuffer(b, dtype=kind) for b in group.filter(pa.array(mask)).column(name).to_pylist()] or [np.zeros(0, dtype=kind)])
-        tokens, places, uses = read(counted, "tokens", np.uint64), read(counted, "places", np.uint16), read(counted, "uses", np.uint16)
+
+        def read(mask: np.ndarray, name: str, decode) -> np.ndarray:
+            return np.concatenate([np.zeros(0, dtype=np.uint64), *map(decode, group.filter(pa.array(mask)).column(name).to_pylist())])
+
+        tokens, places, uses = read(counted, "tokens", unpack_sorted), read(counted, "places", unpack), read(counted, "uses", unpack)
         own = places != SHARED
         known, known_uses = tokens[~own], uses[~own]
         by_token = np.argsort(known)
-        shared, shared_places = read(~is_doc & ~counted, "tokens", np.uint64), read(~is_doc & ~counted, "places", np.uint16)
+        shared, shared_places = read(~is_doc & ~counted, "tokens", unpack_sorted), read(~is_doc & ~counted, "places", unpack)
         shared_uses = known_uses[by_token][np.searchsorted(known[by_token], shared)] if len(shared) else known_uses[:0]
         tokens, places, uses = np.concatenate([tokens[own], shared]), np.concatenate([places[own], shared_places]), np.concatenate([uses[own], shared_uses])
         order = np.lexsort((tokens, places))
         tokens, places, uses = tokens[order], places[order], uses[order].astype(np.int64)
         cuts = np.searchsorted(places, np.arange(65_537))
-        made: dict[int, tuple] = {}
+        seen: set[int] = set()
         columns: list[list] = [[], [], [], []]
         for at, n in zip(docs.column("place").to_pylist(), docs.column("n").to_pylist(), strict=True):
-            if at not in made:
+            made: tuple = (None,) * 4
+            if at not in seen:
+                seen.add(at)
                 a, b = cuts[at], cuts[at + 1]
                 need = -(-percent * n // 100)
                 if n and b - a >= need:
                     prefix = (n - need + 1) - (n - (b - a))
-                    made[at] = tuple(x.view(np.int64) for x in (tokens[a:b], *_prefixes(tokens[a:b], uses[a:b], prefix)))
-                else:
-                    made[at] = (None,) * 4
-            for column, x in zip(columns, made[at], strict=True):
+                    made = tuple(x.view(np.int64) for x in (tokens[a:b], *_prefixes(tokens[a:b], uses[a:b], prefix)))
+            for column, x in zip(columns, made, strict=True):
                 column.append(x)
         arrays = [pa.array(c, pa.list_(pa.int64())) for c in columns]
-        return pa.table([docs.column("id"), docs.column("n"), docs.column("digest"), *arrays], names=["id", "n", "k", "tokens", "p1", "p2", "p3"])
+        return pa.table([docs.column("id"), docs.column("key"), docs.column("n"), docs.column("digest"), *arrays], names=["id", "key", "n", "k", "tokens", "p1", "p2", "p3"])
 
     return run
 
@@ -234,13 +279,18 @@ def _similar(shared: Column, n: Column, percent: int) -> Column:
     return 100 * shared >= percent * (n - shared)
 
 
+def _with_sides(pairs: DataFrame, classes: DataFrame, columns: list[str]) -> DataFrame:
+    """The pairs (a, b) with the named columns of both classes, as ``a_<column>`` and ``b_<column>``."""
+    for end in ("a", "b"):
+        pairs = pairs.join(classes.select(F.col("k").alias(end), *[F.col(c).alias(f"{end}_{c}") for c in columns]), end)
+    return pairs
+
+
 def _verify(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that pass the other orders' prefix filters and reach the similarity; each side's tokens meet the pair in a skew-splittable join."""
-    side = classes.select("k", "n", "p2", "p3", "tokens")
-    both = pairs.join(side.alias("a"), F.col("a") == F.col("a.k")).join(side.alias("b"), F.col("b") == F.col("b.k"))
-    passed = both.where(F.arrays_overlap("a.p2", "b.p2") & F.arrays_overlap("a.p3", "b.p3"))
-    shared = F.size(F.array_intersect("a.tokens", "b.tokens"))
-    return passed.where(_similar(shared, F.col("a.n") + F.col("b.n"), percent)).select("a", "b")
+    """The pairs (a, b) that reach the similarity: those that pass the other orders' prefix filters meet their tokens. Each side joins by key, in joins that AQE can split."""
+    passed = _with_sides(pairs.select("a", "b"), classes, ["p2", "p3"]).where(F.arrays_overlap("a_p2", "b_p2") & F.arrays_overlap("a_p3", "b_p3")).select("a", "b")
+    shared = F.size(F.array_intersect("a_tokens", "b_tokens"))
+    return _with_sides(passed, classes, ["n", "tokens"]).where(_similar(shared, F.col("a_n") + F.col("b_n"), percent)).select("a", "b")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -296,47 +346,63 @@ def _class_links(classes: DataFrame, config: JaccardConfig) -> DataFrame | None:
     pairs = left.alias("x").join(left.alias("y"), near).select(F.col("x.k").alias("a"), F.col("y.k").alias("b")).distinct()
     rest = materialize(_verify(pairs.join(star, ["a", "b"], "left_anti"), classes, percent), "rest-links")
     if rest.limit(1).count():
+        drop_materialized(labels)
         labels = components(links.unionByName(rest))
-    for used in (star, left):
+    for used in (star, left, links, rest):
         drop_materialized(used)
     return labels
 
 
+def _grouped(docs: DataFrame, config: JaccardConfig, id_col: str, text_col: str, key: Column) -> tuple[DataFrame, DataFrame]:
+    """Two written tables: ``id, key, n, k`` of each row, and ``k, comp`` of each class that links."""
+    spark = docs.sparkSession
+    ship_package(spark)
+    size = docs.agg(F.sum(F.octet_length(text_col)).alias("n")).first()["n"] or 0
+    n_ranges = min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // (6 * config.range_tokens))), max(1, config.chunk_tokens // config.least_share))
+    schema = _chunk_schema(docs, id_col)
+    counted = _chunks(docs, config, n_ranges, id_col, text_col, key).groupBy("range").applyInArrow(_count_range, schema)
+    held = T.StructType([schema["id"], schema["key"], schema["n"], T.StructField("k", T.BinaryType()), *[T.StructField(c, T.ArrayType(T.LongType())) for c in ("tokens", "p1", "p2", "p3")]])
+    table = materialize(counted.groupBy("chunk").applyInArrow(_assemble(config.percent), held), "documents")
+    classes = materialize(table.where(F.col("tokens").isNotNull()).groupBy("k").agg(*[F.first(c).alias(c) for c in ("n", "tokens", "p1", "p2", "p3")]), "classes")
+    rows = materialize(table.select("id", "key", "n", "k"), "rows")
+    drop_materialized(table)
+    labels = _class_links(classes, config)
+    drop_materialized(classes)
+    return rows, labels
+
+
 def near_duplicates(docs: DataFrame, config: JaccardConfig = JaccardConfig(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id`` of each row: the smallest id that links reach.
 
     Null and empty texts, and texts of white space, have no shingles and are a component of their
     own. Equal sets always link, so repeated rows share a component. Null ids take part; they are
     never the smallest unless a component has no other. Empty in, empty out; other columns are
-    ignored. Sets are compared by 64-bit hashes of their shingles and equal sets by 128-bit digests.
+    ignored. Sets are compared by 56-bit hashes of their shingles and equal sets by 128-bit digests.
     """
-    spark = docs.sparkSession
-    ship_package(spark)
-    n_ranges = config.ranges_per_partition * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    schema = _chunk_schema(docs, id_col)
-    counted = _chunks(docs, config, n_ranges, id_col, text_col).groupBy("range").applyInArrow(_count_range, schema)
-    held = T.StructType([schema["id"], schema["n"], T.StructField("k", T.BinaryType()), *[T.StructField(c, T.ArrayType(T.LongType())) for c in ("tokens", "p1", "p2", "p3")]])
-    table = materialize(counted.groupBy("chunk").applyInArrow(_assemble(config.percent), held), "documents")
-    full = table.where(F.col("n") > 0)
-    smallest = full.groupBy("k").agg(F.min("id").alias("rep"))
-    classes = materialize(full.where(F.col("tokens").isNotNull()).groupBy("k").agg(*[F.first(c).alias(c) for c in ("n", "tokens", "p1", "p2", "p3")]), "classes")
-    labels = _class_links(classes, config)
-    named = _with_component(smallest, labels)
+    rows, labels = _grouped(docs, config, id_col, text_col, F.lit(None).cast("binary"))
+    full = rows.where(F.col("n") > 0)
+    named = _with_component(full.groupBy("k").agg(F.min("id").alias("rep")), labels)
     named = named.join(named.groupBy("comp").agg(F.min("rep").alias("component_id")), "comp").select("k", "component_id")
     out = full.select("id", "n", "k").join(named, "k").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
-    lone = table.where(F.col("n") == 0).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
+    lone = rows.where(F.col("n") == 0).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
     return out.unionByName(lone)
 
 
 def keep_one(docs: DataFrame, config: JaccardConfig = JaccardConfig(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, with their own columns, whose id is their component's.
+    """One row of each component of ``docs``, with its own columns: the smallest id's, null ids last.
 
-    Rows that share id and text stay once. Rows without an id stay if one of them is in a component
-    without any id. Empty in, empty out. One shuffle by id serves the join and the removal of repeats.
+    Where several rows of a component have that id, the one with the smallest digest of id and text
+    stays. Rows without shingles are components of their own. Rows that share id and text stay once.
+    Empty in, empty out. One shuffle of the rows, by the digest of id and text, serves the join with
+    the digests that stay and the removal of repeats.
     """
-    found = near_duplicates(docs, config, id_col, text_col)
-    keepers = materialize(found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__keep")).distinct(), "keepers")
-    named = docs.join(keepers.where(F.col("__keep").isNotNull()), F.col(id_col) == F.col("__keep"), "left_semi").dropDuplicates([id_col, text_col])
-    if not keepers.where(F.col("__keep").isNull()).limit(1).count():
-        return named
-    return named.unionByName(docs.where(F.col(id_col).isNull()).dropDuplicates([text_col]))
+    marked = F.concat(F.coalesce(F.concat(F.lit("i"), F.col(id_col).cast("string")), F.lit("n")), F.lit("\x00"), F.coalesce(F.concat(F.lit("t"), F.col(text_col)), F.lit("n")))
+    key = F.unhex(F.md5(F.encode(marked, "UTF-8")))
+    rows, labels = _grouped(docs, config, id_col, text_col, key)
+    best = F.min(F.struct(F.col("id").isNull().alias("a"), F.col("id").alias("b"), F.col("key").alias("key")))
+    named = _with_component(rows.where(F.col("n") > 0).groupBy("k").agg(best.alias("best")), labels)
+    keepers = named.groupBy("comp").agg(F.min("best").alias("best")).select(F.col("best.key").alias("__key"))
+    kept = materialize(keepers.unionByName(rows.where(F.col("n") == 0).select(F.col("key").alias("__key"))).distinct(), "keepers")
+    for used in (rows, labels):
+        drop_materialized(used)
+    return docs.withColumn("__key", key).join(kept, "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")

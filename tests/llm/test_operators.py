@@ -276,3 +276,19 @@ def test_pipeline_near_duplicates_against_all_pairs(spark, sf_dir):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     stage = dict(corpus_pipeline.STAGES)["near duplicates"]
     assert sorted(r["doc_id"] for r in stage(spark, docs, sf_dir).collect()) == sorted(set(label))
+
+
+def test_keep_one_goes_by_rows(spark):
+    """One id may have several texts: a row stays for its own component, not for its id's."""
+    a, b = "one two three four five six seven", "eight nine ten eleven twelve thirteen"
+    rows = [(3, a), (5, a), (5, b), (5, b), (None, b), (None, "lone words of a row without id"), (7, None), (7, None), (7, ""), (8, a.upper())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = Counter(map(tuple, jaccard_join.keep_one(docs).collect()))
+    assert kept == Counter([(3, a), (5, b), (None, "lone words of a row without id"), (7, None), (7, "")])
+
+
+def test_packed_numbers_round_trip():
+    rng = np.random.default_rng(0)
+    for n in (0, 1, 2, 1000):
+        v = np.sort(rng.integers(0, 2**56, n, dtype=np.uint64))
+        assert (jaccard_join.unpack_sorted(jaccard_join.pack_sorted(v)) == v).all() and (jaccard_join.unpack(jaccard_join.pack(v)) == v).all()
