@@ -1,7 +1,7 @@
 """Benchmark decontamination by greedy string tiling.
 
-Documents and benchmark items are joined on shared seeds of ``seed_words`` consecutive words. For
-every pair that shares a seed, running Karp-Rabin matching marks the longest non-overlapping
+Documents and benchmark items are joined on shared seeds of ``seed_words`` consecutive words; an item
+of fewer words is its own seed. For every pair that shares a seed, running Karp-Rabin matching marks the longest non-overlapping
 matches on both sides, longest first, so a passage is found in whatever order its parts stand. A
 document is contaminated by an item when the tiles cover enough of the item (Wise 1993).
 
@@ -11,6 +11,7 @@ documents. Documents are never shuffled, so a hot source, copies and long texts
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -58,45 +59,48 @@ class Block:
         self.keys, self.texts, self.config = keys, texts, config
 
     @cached_property
-    def _index(self) -> tuple[dict[str, int], list[np.ndarray], np.ndarray, np.ndarray]:
+    def _index(self) -> tuple[dict[str, int], list[np.ndarray], list[tuple[int, np.ndarray, np.ndarray]]]:
+        """Word numbers, the items, and for each length of a seed the sorted seeds and their items."""
         number: dict[str, int] = {}
         items = [np.array([number.setdefault(w, len(number)) for w in words(text)], dtype=np.int64) for text in self.texts]
-        hashes = [_windows(x, self.config.seed_words) for x in items]
-        owner = np.repeat(np.arange(len(items)), [len(h) for h in hashes])
-        flat = np.concatenate([*hashes, np.zeros(0, dtype=np.uint64)])
-        order = np.argsort(flat, kind="stable")
-        return number, items, flat[order], owner[order]
+        full = self.config.seed_words
+        sizes = sorted({min(len(x), full) for x in items} - {0})
+        seeds = []
+        for k in sizes:
+            hashes = [_windows(x, k) if min(len(x), full) == k else np.zeros(0, dtype=np.uint64) for x in items]
+            owner = np.repeat(np.arange(len(items)), [len(h) for h in hashes])
+            flat = np.concatenate([*hashes, np.zeros(0, dtype=np.uint64)])
+            order = np.argsort(flat, kind="stable")
+            seeds.append((k, flat[order], owner[order]))
+        return number, items, seeds
 
     def item_words(self, item: int) -> int:
         return len(self._index[1][item])
 
     def find(self, text: str | None) -> list[tuple[int, int, int]]:
         """(item, covered words, tiles) of each item that shares a seed with the text."""
-        k = self.config.seed_words
-        number, items, seeds, owners = self._index
+        number, items, seeds = self._index
         ids = np.array([number.get(w, -1) for w in words(text)], dtype=np.int64)
-        if len(ids) < k or not len(seeds):
-            return []
         known = np.concatenate([[0], np.cumsum(ids >= 0)])
-        at = np.flatnonzero(known[k:] - known[:-k] == k)  # runs of words that all occur in the benchmark
-        if not len(at):
-            return []
-        h = _windows(ids, k)[at]
-        low, high = np.searchsorted(seeds, h, "left"), np.searchsorted(seeds, h, "right")
-        hit = np.flatnonzero(high > low)
-        if not len(hit):
-            return []
-        places: dict[int, list[int]] = {}
-        for p, a, b in zip(at[hit].tolist(), low[hit].tolist(), high[hit].tolist(), strict=True):
-            for item in set(owners[a:b].tolist()):
-                places.setdefault(item, []).append(p)
-        return [(item, *tile(self._around(ids, where), items[item], k)) for item, where in sorted(places.items())]
-
-    def _around(self, ids: np.ndarray, where: list[int]) -> np.ndarray:
+        found: list[tuple[int, int, int]] = []
+        for k, hashes, owners in seeds:
+            at = np.flatnonzero(known[k:] - known[:-k] == k)  # runs of words that all occur in the benchmark
+            h = _windows(ids, k)[at] if len(at) else np.zeros(0, dtype=np.uint64)
+            low, high = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
+            hit = np.flatnonzero(high > low)
+            places: dict[int, list[int]] = {}
+            for p, a, b in zip(at[hit].tolist(), low[hit].tolist(), high[hit].tolist(), strict=True):
+                for item in set(owners[a:b].tolist()):
+                    places.setdefault(item, []).append(p)
+            found += [(item, *tile(self._around(ids, where, k), items[item], k)) for item, where in places.items()]
+        return sorted(found)
+
+    @staticmethod
+    def _around(ids: np.ndarray, where: list[int], size: int) -> np.ndarray:
         """The words inside the seeds, separate runs kept apart by -1: no match reaches outside them."""
         held = np.zeros(len(ids) + 1, dtype=bool)
         starts = np.array(where)
-        for i in range(self.config.seed_words):
+        for i in range(size):
             held[starts + i] = True
         kept = np.flatnonzero(held)
         gap = np.flatnonzero(np.diff(kept) > 1) + 1
@@ -108,7 +112,8 @@ def tile(text: np.ndarray, item: np.ndarray, shortest: int) -> tuple[int, int]:
 
     Matches of at least the current length are looked up by rolling hashes of unmarked words,
     verified and extended; a match over twice as long restarts the search at its length. The
-    longest are marked first, then the length is halved down to ``shortest``.
+    longest are marked first (ties: first in the item, then in the text), and what an earlier tile
+    leaves of a match goes back into the queue. Then the length is halved down to ``shortest``.
     """
     free_text, free_item = text >= 0, np.ones(len(item), dtype=bool)
     length, covered, tiles = max(shortest, len(item) // 2), 0, 0
@@ -117,16 +122,21 @@ def tile(text: np.ndarray, item: np.ndarray, shortest: int) -> tuple[int, int]:
         if longest > 2 * length:
             length = longest
             continue
-        marked = 0
-        for size, a, b in sorted(found, key=lambda m: (-m[0], m[2], m[1])):
-            if free_text[a : a + size].all() and free_item[b : b + size].all():
-                free_text[a : a + size] = False
-                free_item[b : b + size] = False
-                covered += size
-                marked += 1
-        tiles += marked
-        if 0 < marked < len(found):
-            continue  # what is left of matches that were partly taken
+        queue = [(-size, b, a) for size, a, b in found]
+        heapq.heapify(queue)
+        while queue:
+            size, b, a = heapq.heappop(queue)
+            free = free_text[a : a - size] & free_item[b : b - size]
+            if free.all():
+                free_text[a : a - size] = False
+                free_item[b : b - size] = False
+                covered -= size
+                tiles += 1
+                continue
+            edges = np.flatnonzero(np.diff(np.concatenate([[False], free, [False]])))
+            for i, j in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+                if j - i >= length:  # shorter rests are found again when their length is due
+                    heapq.heappush(queue, (i - j, b + i, a + i))
         if length == shortest:
             return covered, tiles
         length = max(shortest, length // 2)
@@ -179,7 +189,8 @@ def _verdicts(text: str | None, block: Block) -> list[tuple[int, int, int]]:
 def find_contaminated(docs: DataFrame, benchmark: DataFrame, config: TilingConfig = TilingConfig(), id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """``doc_id, item_id, item_words, covered_words, n_tiles, coverage`` of every contaminated pair.
 
-    Null and empty texts, and items of fewer words than a seed, match nothing. Every row of
+    Null texts and texts without words match nothing; an item of fewer words than a seed matches where
+    all of them stand together. Every row of
     ``docs`` and every item row is judged by itself, so repeated rows give repeated pairs and null
     ids appear as null. Empty tables give no rows; other columns are ignored.
     """

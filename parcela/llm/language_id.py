@@ -5,13 +5,15 @@ the sum over all its segmentations into pieces, which the forward algorithm adds
 the product over its words, as no piece crosses words. Training is expectation-maximization on a
 bounded sample of labelled documents: Spark counts the sample's words and runs the
 forward-backward step on partitions of them, and only one number a language and piece comes back
-to the driver. Scoring is one pass without a shuffle.
+to the driver. Scoring is one pass without a shuffle. A word is a run of letters of any length, so
+pieces with anything but letters are in no segmentation and are left out of the tables.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import lru_cache
 
 import numpy as np
@@ -21,12 +23,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import materialize
+from ..session import drop_materialized, materialize
 from .common import arrow_map, hash_place, id_type, text_slices
 
 START = "▁"
-#: Words longer than this are scored in runs of this many letters.
-LONGEST_WORD = 48
 #: The probability of a letter that no piece covers.
 UNSEEN = 1e-9
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -34,39 +34,41 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 @dataclass(frozen=True)
 class LanguageConfig:
-    """``docs_per_language`` bounds the training sample (documents of smallest hash), ``most_languages`` the classes."""
+    """``docs_per_language`` bounds the training sample (documents of smallest hash). ``fit_deviations``: how far under its language's mean a text's log probability a letter may lie, for one of ``fit_letters`` letters; shorter texts may lie further."""
 
     vocabulary: str = "piece_bpe_32k.model"
     docs_per_language: int = 1000
-    most_languages: int = 200
     rounds: int = 2
     smoothing: float = 0.05
-    longest_piece: int = 12
+    fit_deviations: float = 20.0
+    fit_letters: int = 400
 
 
 @dataclass(frozen=True)
 class LanguageModel:
-    """Languages and a piece x language matrix of probabilities."""
+    """Languages, a piece x language matrix of probabilities, and each language's least log probability a letter (see ``fit_limits``)."""
 
     languages: list[str]
     probability: np.ndarray
     config: LanguageConfig
+    mean: np.ndarray | None = None
+    spread: np.ndarray | None = None
 
 
 class Vocabulary:
     """Pieces by a polynomial hash of their letters, so that a column of words is looked up at once."""
 
-    def __init__(self, name: str, longest: int):
+    def __init__(self, name: str):
         import public_tokenizers
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(name))
         pieces = {model.id_to_piece(i).lower() for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))}
-        pieces = sorted(p for p in pieces if 0 < len(p) <= longest and all(c.isalpha() or c == START for c in p))
+        pieces = sorted(p for p in pieces if p and all(c.isalpha() or c == START for c in p))
         with np.errstate(over="ignore"):
             keys = np.array([self._key(p) for p in pieces], dtype=np.uint64)
         order = np.argsort(keys)
-        self.keys, self.ids, self.pieces, self.longest = keys[order], order, pieces, longest
+        self.keys, self.ids, self.pieces, self.longest = keys[order], order.astype(np.int32), pieces, max(map(len, pieces))
         if len(np.unique(keys)) != len(keys):
             raise ValueError("two pieces share a hash")
 
@@ -84,19 +86,16 @@ class Vocabulary:
 
 
 @lru_cache(maxsize=2)
-def vocabulary(name: str, longest: int) -> Vocabulary:
-    return Vocabulary(name, longest)
+def vocabulary(name: str) -> Vocabulary:
+    return Vocabulary(name)
 
 
 _WORD = regex.compile(r"\p{L}+")
 
 
 def words(text: str) -> list[str]:
-    """Lower-cased runs of letters, long ones in runs of ``LONGEST_WORD``."""
-    found = _WORD.findall(text.lower())
-    if not any(len(w) > LONGEST_WORD for w in found):
-        return found
-    return [w[i : i + LONGEST_WORD] for w in found for i in range(0, len(w), LONGEST_WORD)]
+    """Lower-cased runs of letters."""
+    return _WORD.findall(text.lower())
 
 
 def _by_length(distinct: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -110,48 +109,63 @@ def _by_length(distinct: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield rows, np.frombuffer(joined.encode("utf-32-le"), dtype="<u4").reshape(len(rows), -1)
 
 
-def _pieces(codes: np.ndarray, vocab: Vocabulary) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]:
-    """(start, end) -> (rows that have a piece there, its ids)."""
-    found = {}
-    wide = codes.astype(np.uint64)
-    for i in range(codes.shape[1]):
-        h = np.zeros(len(codes), dtype=np.uint64)
-        for j in range(i + 1, min(i + vocab.longest, codes.shape[1]) + 1):
+class _Lattice:
+    """The pieces of words of one length: ``at(start, size)`` gives the rows that have a piece there, and its ids."""
+
+    def __init__(self, codes: np.ndarray, vocab: Vocabulary):
+        wide = np.ascontiguousarray(codes.T).astype(np.uint64)
+        self.letters, self.rows = wide.shape
+        self.all = np.arange(self.rows)
+        self.ids, self.any = [], []
+        h = np.zeros_like(wide)
+        for size in range(1, min(vocab.longest, self.letters) + 1):
             with np.errstate(over="ignore"):
-                h = h * _BASE + wide[:, j - 1]
+                h = h[: self.letters - size + 1] * _BASE + wide[size - 1 :]
             ids = vocab.find(h)
-            if j == i + 1:
-                found[i, j] = (np.arange(len(codes)), ids)  # a lone letter always has a probability, if only UNSEEN
-            elif len(rows := np.flatnonzero(ids >= 0)):
-                found[i, j] = (rows, ids[rows])
-    return found
-
-
-def _forward(codes: np.ndarray, found: dict, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Scaled forward sums (position, row, language) and the log of the scale of each position and row."""
-    n = codes.shape[1]
-    alpha = np.zeros((n + 1, len(codes), p.shape[1]))
-    scale = np.zeros((n + 1, len(codes)))
+            self.ids.append(ids)
+            self.any.append((ids >= 0).any(axis=1))
+
+    def at(self, start: int, size: int) -> tuple[np.ndarray, np.ndarray] | None:
+        ids = self.ids[size - 1][start]
+        if size == 1:
+            return self.all, ids  # a lone letter always has a probability, if only UNSEEN
+        if not self.any[size - 1][start]:
+            return None
+        rows = np.flatnonzero(ids >= 0)
+        return rows, ids[rows]
+
+    def ending(self, end: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        for size in range(1, min(len(self.ids), end) + 1):
+            if (hit := self.at(end - size, size)) is not None:
+                yield end - size, *hit
+
+
+def _forward(found: _Lattice, p: np.ndarray, keep: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Scaled forward sums (position, row, language) and the log of the scale of each position and row; positions wrap around after the longest piece unless ``keep``."""
+    n = found.letters
+    ring = n + 1 if keep else len(found.ids) + 1
+    alpha = np.zeros((ring, found.rows, p.shape[1]))
+    scale = np.zeros((ring, found.rows))
     alpha[0] = 1.0
     for j in range(1, n + 1):
-        for i in range(max(0, j - 64), j):
-            if (hit := found.get((i, j))) is not None:
-                rows, ids = hit
-                alpha[j, rows] += alpha[i, rows] * np.exp(scale[i, rows] - scale[j - 1, rows])[:, None] * p[ids]
-        top = np.maximum(alpha[j].max(axis=1), 1e-300)
-        alpha[j] /= top[:, None]
-        scale[j] = scale[j - 1] + np.log(top)
-    return alpha, scale
+        before = scale[(j - 1) % ring].copy()
+        total = np.zeros(alpha.shape[1:])
+        for i, rows, ids in found.ending(j):
+            total[rows] += alpha[i % ring, rows] * np.exp(scale[i % ring, rows] - before[rows])[:, None] * p[ids]
+        top = np.maximum(total.max(axis=1), 1e-300)
+        alpha[j % ring] = total / top[:, None]
+        scale[j % ring] = before + np.log(top)
+    return (alpha, scale) if keep else (alpha[n % ring], scale[n % ring])
 
 
 def word_scores(distinct: list[str], model: LanguageModel) -> np.ndarray:
     """Log probability (word x language), summed over all segmentations."""
-    vocab = vocabulary(model.config.vocabulary, model.config.longest_piece)
+    vocab = vocabulary(model.config.vocabulary)
     p = np.vstack([model.probability, np.full((1, len(model.languages)), UNSEEN)])  # id -1 is the last row
     out = np.zeros((len(distinct), len(model.languages)))
     for rows, codes in _by_length(distinct):
-        alpha, scale = _forward(codes, _pieces(codes, vocab), p)
-        out[rows] = np.log(np.maximum(alpha[-1], 1e-300)) + scale[-1][:, None]
+        alpha, scale = _forward(_Lattice(codes, vocab), p, keep=False)
+        out[rows] = np.log(np.maximum(alpha, 1e-300)) + scale[:, None]
     return out
 
 
@@ -160,21 +174,18 @@ def expected_counts(distinct: list[str], weight: np.ndarray, p: np.ndarray, voca
     p1 = np.vstack([p, np.full((1, p.shape[1]), UNSEEN)])
     out = np.zeros_like(p1)
     for rows, codes in _by_length(distinct):
-        found = _pieces(codes, vocab)
-        alpha, scale = _forward(codes, found, p1)
-        n = codes.shape[1]
+        found = _Lattice(codes, vocab)
+        alpha, scale = _forward(found, p1, keep=True)
+        n = found.letters
         beta = np.zeros_like(alpha)
         beta[n] = 1.0
-        for i in range(n - 1, -1, -1):
-            for j in range(i + 1, min(n, i + vocab.longest) + 1):
-                if (hit := found.get((i, j))) is not None:
-                    r, ids = hit
-                    # beta shares the forward scale, so that alpha * p * beta / total is a probability
-                    beta[i, r] += beta[j, r] * p1[ids] * np.exp(scale[i, r] - scale[j, r])[:, None]
-        total = np.maximum(alpha[n], 1e-300)
-        for (i, j), (r, ids) in found.items():
-            use = alpha[i, r] * p1[ids] * beta[j, r] * np.exp(scale[i, r] - scale[j, r])[:, None] / total[r] * weight[rows[r]]
-            np.add.at(out, ids, use)
+        share = weight[rows] / np.maximum(alpha[n], 1e-300)
+        for j in range(n, 0, -1):
+            for i, r, ids in found.ending(j):
+                # beta shares the forward scale, so that alpha * p * beta / total is a probability
+                step = beta[j, r] * p1[ids] * np.exp(scale[i, r] - scale[j, r])[:, None]
+                beta[i, r] += step
+                np.add.at(out, ids, alpha[i, r] * step * share[r])
     return out[:-1]
 
 
@@ -184,40 +195,39 @@ def training_rows(id_col: str = "doc_id") -> Column:
 
 
 def train(docs: DataFrame, config: LanguageConfig = LanguageConfig(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
-    """Learn from text and language of the training rows alone.
+    """Learn every language that the training rows have, from their text and language alone.
 
     The sample has ``docs_per_language`` documents of each language, those whose ids have the
     smallest hashes; it is found on two columns, pruned before the shuffle, and its bounded list of
     ids is then joined with the texts.
     """
-    vocab = vocabulary(config.vocabulary, config.longest_piece)
+    vocab = vocabulary(config.vocabulary)
     usable = docs.where(training_rows(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    top = usable.groupBy(F.col(lang_col).alias("__lang")).count().orderBy(F.desc("count"), "__lang").limit(config.most_languages)
-    sizes = {r["__lang"]: r["count"] for r in top.collect()}
+    sizes = {r["__lang"]: r["count"] for r in usable.groupBy(F.col(lang_col).alias("__lang")).count().collect()}  # a row a language
     languages = sorted(sizes)
     if not languages:
         return LanguageModel([], np.zeros((len(vocab.pieces), 0)), config)
     # twice the share that fills the sample is ranked, so that a large language sends few rows to its task
-    share = F.element_at(F.create_map(*[F.lit(x) for k in languages for x in (k, min(1.0, 2.0 * config.docs_per_language / sizes[k]))]), F.col("__lang"))
+    shares = docs.sparkSession.createDataFrame([(k, min(1.0, 2.0 * config.docs_per_language / n)) for k, n in sizes.items()], "__lang string, __share double")
     by_hash = Window.partitionBy("__lang").orderBy(hash_place("__id"), "__id")
-    ids = usable.select(F.col(id_col).alias("__id"), F.col(lang_col).alias("__lang")).where(F.col("__lang").isin(languages)).where(hash_place("__id") <= share)
+    ids = usable.select(F.col(id_col).alias("__id"), F.col(lang_col).alias("__lang")).join(F.broadcast(shares), "__lang").where(hash_place("__id") <= F.col("__share"))
     chosen = ids.withColumn("__n", F.row_number().over(by_hash)).where(F.col("__n") <= config.docs_per_language).select("__id").distinct()
     sample = usable.join(F.broadcast(chosen), F.col(id_col) == F.col("__id"), "left_semi").select(F.col(lang_col).alias("__lang"), F.col(text_col).alias("__text"))
+    number = {k: i for i, k in enumerate(languages)}
 
     def count(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        counts: dict[tuple[str, str], int] = {}
+        counts: Counter[tuple[int, str]] = Counter()
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            for w in words(text.as_py()):
-                counts[lang, w] = counts.get((lang, w), 0) + 1
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], names=["lang", "w", "n"])
+            counts.update((number[lang], w) for w in words(text.as_py()))
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts], pa.int32()), pa.array([k[1] for k in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], names=["lang", "w", "n"])
 
-    counted = arrow_map(sample, ["__lang", "__text"], count, "lang string, w string, n long")
-    uses = [F.sum(F.when(F.col("lang") == lang, F.col("n")).otherwise(F.lit(0))).alias(f"n{k}") for k, lang in enumerate(languages)]
-    table = materialize(counted.groupBy("w").agg(*uses), "language-words")
+    counted = arrow_map(sample, ["__lang", "__text"], count, "lang int, w string, n long").groupBy("w", "lang").agg(F.sum("n").alias("n"))
+    table = materialize(counted.groupBy("w").agg(F.collect_list("lang").alias("langs"), F.collect_list("n").alias("uses")), "language-words")
     p = np.full((len(vocab.pieces), len(languages)), 1.0 / len(vocab.pieces))
     for _ in range(config.rounds):
         p = _maximize(table, p, config, len(languages))
-    return LanguageModel(languages, p, config)
+    drop_materialized(table)
+    return _with_limits(sample, LanguageModel(languages, p, config))
 
 
 def _maximize(table: DataFrame, p: np.ndarray, config: LanguageConfig, n_languages: int) -> np.ndarray:
@@ -225,43 +235,81 @@ def _maximize(table: DataFrame, p: np.ndarray, config: LanguageConfig, n_languag
     held = table.sparkSession.sparkContext.broadcast(p)
 
     def expect(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        vocab = vocabulary(config.vocabulary, config.longest_piece)
-        weight = np.column_stack([batch.column(1 + k).to_numpy() for k in range(n_languages)]).astype(float)
-        use = expected_counts(batch.column(0).to_pylist(), weight, held.value, vocab)
-        piece, lang = np.nonzero(use)
-        yield pa.RecordBatch.from_arrays([pa.array(piece.astype(np.int32)), pa.array(lang.astype(np.int32)), pa.array(use[piece, lang])], names=["piece", "lang", "uses"])
-
-    sums = arrow_map(table, ["w", *[f"n{k}" for k in range(n_languages)]], expect, "piece int, lang int, uses double").groupBy("piece", "lang").agg(F.sum("uses").alias("uses"))
+        vocab = vocabulary(config.vocabulary)
+        found = batch.column(0).to_pylist()
+        for a, b in text_slices(found, 200_000):
+            weight = np.zeros((b - a, n_languages))
+            langs, uses = batch.column(1).slice(a, b - a), batch.column(2).slice(a, b - a)
+            weight[np.repeat(np.arange(b - a), langs.value_lengths().to_numpy()), langs.flatten().to_numpy()] = uses.flatten().to_numpy()
+            use = expected_counts(found[a:b], weight, held.value, vocab)
+            piece, lang = np.nonzero(use)
+            yield pa.RecordBatch.from_arrays([pa.array(piece.astype(np.int32)), pa.array(lang.astype(np.int32)), pa.array(use[piece, lang])], names=["piece", "lang", "uses"])
+
+    sums = arrow_map(table, ["w", "langs", "uses"], expect, "piece int, lang int, uses double").groupBy("piece", "lang").agg(F.sum("uses").alias("uses"))
     total = np.full(p.shape, config.smoothing)
     for r in sums.collect():  # bounded by pieces times languages
         total[r["piece"], r["lang"]] += r["uses"]
+    held.unpersist()
     return total / total.sum(axis=0)
 
 
-def score(texts: list[str | None], model: LanguageModel) -> tuple[list[str], list[float]]:
-    """Language and posterior of each text; ``und`` and 0 without letters or without a model."""
-    langs, scores = ["und"] * len(texts), [0.0] * len(texts)
-    if not model.languages:
-        return langs, scores
+def _with_limits(sample: DataFrame, model: LanguageModel) -> LanguageModel:
+    """The model with the mean and spread of the log probability a letter over each language's sample texts.
+
+    The spread is that of a text of ``fit_letters`` letters: deviations count times the root of the text's letters over that number.
+    """
+    held = sample.sparkSession.sparkContext.broadcast(model)
+    number = {k: i for i, k in enumerate(model.languages)}
+
+    def body(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        total, letters = log_scores(batch.column(1).to_pylist(), held.value)
+        lang = np.array([number[x] for x in batch.column(0).to_pylist()], dtype=np.int32)
+        full = np.flatnonzero(letters)
+        yield pa.RecordBatch.from_arrays([pa.array(lang[full], pa.int32()), pa.array(total[full, lang[full]] / letters[full]), pa.array(letters[full].astype(np.int64))], names=["lang", "fit", "letters"])
+
+    fits = arrow_map(sample, ["__lang", "__text"], body, "lang int, fit double, letters long")
+    weight = F.least(F.col("letters") / model.config.fit_letters, F.lit(1.0))
+    found = fits.groupBy("lang").agg((F.sum(F.col("fit") * weight) / F.sum(weight)).alias("m"), (F.sum(F.pow("fit", F.lit(2)) * weight) / F.sum(weight)).alias("m2")).collect()  # a row a language
+    mean, spread = np.zeros(len(model.languages)), np.full(len(model.languages), np.inf)
+    for r in found:
+        mean[r["lang"]], spread[r["lang"]] = r["m"], max(0.02, max(0.0, r["m2"] - r["m"] ** 2) ** 0.5)
+    return replace(model, mean=mean, spread=spread)
+
+
+def log_scores(texts: list[str | None], model: LanguageModel) -> tuple[np.ndarray, np.ndarray]:
+    """Log probability (text x language) and number of letters of each text."""
+    totals, letters = np.zeros((len(texts), len(model.languages))), np.zeros(len(texts))
     for a, b in text_slices(texts, 2_000_000):
         number: dict[str, int] = {}
         places, sizes = [], []
-        for text in texts[a:b]:
+        for k, text in enumerate(texts[a:b], a):
             found = words(text or "")
             sizes.append(len(found))
+            letters[k] = sum(map(len, found))
             places += [number.setdefault(w, len(number)) for w in found]
-        if not places:
-            continue
-        table = word_scores(list(number), model)
-        full = np.flatnonzero(sizes)
-        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])[full]
-        total = np.add.reduceat(table[np.array(places)], starts, axis=0)
-        share = np.exp(total - total.max(axis=1, keepdims=True))
-        share /= share.sum(axis=1, keepdims=True)
-        for row, s in zip(full, share, strict=True):
-            langs[a + row] = model.languages[int(s.argmax())]
-            scores[a + row] = float(s.max())
-    return langs, scores
+        if places:
+            table = word_scores(list(number), model)
+            full = np.flatnonzero(sizes)
+            starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])[full]
+            totals[a + full] = np.add.reduceat(table[np.array(places)], starts, axis=0)
+    return totals, letters
+
+
+def score(texts: list[str | None], model: LanguageModel) -> tuple[list[str], list[float], list[bool]]:
+    """Language and posterior of each text, and whether it is as probable as that language's texts are; ``und`` and 0 without letters or without a model."""
+    langs, scores, fits = ["und"] * len(texts), [0.0] * len(texts), [False] * len(texts)
+    if not model.languages:
+        return langs, scores, fits
+    totals, letters = log_scores(texts, model)
+    best = totals.argmax(axis=1)
+    share = np.exp(totals - totals.max(axis=1, keepdims=True))
+    share = share.max(axis=1) / share.sum(axis=1)
+    for k in np.flatnonzero(letters):
+        langs[k], scores[k] = model.languages[best[k]], float(share[k])
+        if model.mean is not None:
+            slack = model.config.fit_deviations * model.spread[best[k]] * max(1.0, (model.config.fit_letters / letters[k]) ** 0.5)
+            fits[k] = bool(totals[k, best[k]] / letters[k] >= model.mean[best[k]] - slack)
+    return langs, scores, fits
 
 
 def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -275,19 +323,22 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     schema = T.StructType([T.StructField(id_col, id_type(docs, id_col)), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def body(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        langs, scores = score(batch.column(1).to_pylist(), held.value)
+        langs, scores, _ = score(batch.column(1).to_pylist(), held.value)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=schema.names)
 
     return arrow_map(docs, [id_col, text_col], body, schema).select(id_col, (~training_rows(id_col)).alias("held_out"), "lang_pred", "score")
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel, least_score: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, with their own columns, that are in a learned language with at least ``least_score``; empty in, empty out."""
+    """The rows of ``docs``, with their own columns, that are in a learned language with more than ``least_score`` (or are all that was learned) and as probable a letter as that language's texts are.
+
+    Texts that are null or without letters go. Repeated rows and null ids are judged one by one; empty in, empty out.
+    """
     held = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
     def body(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        langs, scores = score(batch.column(at).to_pylist(), held.value)
-        yield batch.filter(pa.array([x != "und" and s >= least_score for x, s in zip(langs, scores, strict=True)], pa.bool_()))
+        found = zip(*score(batch.column(at).to_pylist(), held.value), strict=True)
+        yield batch.filter(pa.array([lang != "und" and s > least_score and fit for lang, s, fit in found], pa.bool_()))
 
     return arrow_map(docs, docs.columns, body, docs.schema)

@@ -178,8 +178,9 @@ def _matrix(texts: pa.Array) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame, config: GamConfig = GamConfig(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Gam:
     """Fit on at most ``sample_rows`` labelled documents that are not held out.
 
-    Labels with a null id or value are ignored; an id with several labels takes the largest. The
-    sample's ids (bounded) are broadcast to one scan of the texts, and only their features come back.
+    Labels with a null id or value are ignored; an id with several labels takes the largest, and one
+    with several texts counts once, with the smallest of their feature rows. The sample's ids (bounded)
+    are broadcast to one scan of the texts, and only their features come back.
     """
     usable = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(id_col))
     # twice the share that fills the sample is sorted, so that the last task gets few rows
@@ -192,7 +193,7 @@ def train(docs: DataFrame, labels: DataFrame, config: GamConfig = GamConfig(), i
         x = _matrix(batch.column(1))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(x), pa.list_(pa.float64())), batch.column(2)], names=["id", "x", "y"])
 
-    rows = arrow_map(sample, ["__id", "__text", "__y"], body, "id string, x array<double>, y double").orderBy("id", "x").limit(2 * config.sample_rows).collect()
+    rows = arrow_map(sample, ["__id", "__text", "__y"], body, "id string, x array<double>, y double").groupBy("id", "y").agg(F.min("x").alias("x")).orderBy("id").collect()
     x = np.array([r["x"] for r in rows], dtype=float).reshape(len(rows), len(FEATURES))
     return fit(x, np.array([r["y"] for r in rows], dtype=float), config)
 

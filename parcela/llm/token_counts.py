@@ -4,11 +4,17 @@ Which vocabulary strings encode alone as one token is proved once, on the driver
 itself; that set is as large as the vocabulary at most. A pre-token in the set counts one, every
 other pre-token is merged. A pre-token's tokens do not depend on its neighbours, so the sum is
 the library's count for the whole text. One pass, no shuffle.
+
+Pre-tokens are cut by letters, numbers and white space. Libraries have the Unicode tables of their
+own release, so a text with a character whose kind is not the same since an old release is merged as a
+whole, in the encoder that has the library's tables.
 """
 
 from __future__ import annotations
 
 import json
+import sys
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 from pathlib import Path
@@ -42,6 +48,18 @@ def prove_whole_tokens(path: str) -> frozenset[str]:
     return frozenset(t for t, e in zip(texts, library.encode_batch(texts, add_special_tokens=False), strict=True) if len(e.ids) == 1)
 
 
+def _kind(category: str) -> str:
+    return category[0] if category[0] in "LNZ" else "-" if category != "Cn" else "?"
+
+
+@lru_cache(maxsize=1)
+def settled_characters() -> frozenset[str]:
+    """Characters that Unicode 3.2 already had and that still are letters, numbers, spaces or neither, as they were then."""
+    old = unicodedata.ucd_3_2_0
+    kinds = ((c, _kind(old.category(c))) for c in map(chr, range(sys.maxunicode + 1)))
+    return frozenset(c for c, k in kinds if k != "?" and k == _kind(unicodedata.category(c)))
+
+
 class _Counts(dict):
     def __init__(self, whole: frozenset[str], merge):
         super().__init__(dict.fromkeys(whole, 1))
@@ -59,9 +77,12 @@ def _counter(path: str, whole: frozenset[str]):
     encoder = bpe.load(path)
     counts = _Counts(whole, encoder.piece_length).__getitem__
     find = bpe.pre_tokens(encoder.pattern).findall
+    settled = settled_characters().issuperset
     special = regex.compile("|".join(regex.escape(s) for s in sorted(encoder.special, key=len, reverse=True))) if encoder.special else None
 
     def count(text: str) -> int:
+        if not text.isascii() and not settled(text):
+            return len(encoder.ids(text)) // 4
         parts = special.split(text) if special else [text]
         return len(parts) - 1 + sum(sum(map(counts, find(p))) for p in parts)
 

@@ -74,6 +74,10 @@ def test_tokens_of_rare_characters():
     for t, ids in zip(texts, _encode(texts), strict=True):
         assert np.frombuffer(encoder.ids(t), "<u4").tolist() == ids and count(t) == len(ids)
     assert len(encoder.ids(" " * 300_000)) > 0
+    rng = np.random.default_rng(1)
+    drawn = ["".join(chr(c) for c in rng.integers(32, 0x33480, 6) if not 0xD800 <= c < 0xE000) for _ in range(4000)] + ["\U0003e576溝", "a\u180eb", "x\ua7cb1"]
+    for t, ids in zip(drawn, _encode(drawn), strict=True):
+        assert count(t) == len(ids)
 
 
 def _word_sets(rows):
@@ -128,18 +132,18 @@ def test_decontamination(spark):
     w = item.split()
     texts = [f"before {item} after", " ".join(w[10:]) + " and then " + " ".join(w[:10]), " ".join(w[:6]) + " only a little", None, "", item.upper(), "clean text of other words entirely here"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    bench = spark.createDataFrame([(7, item), (8, None), (9, ""), (10, "two words")], "item_id long, text string")
+    bench = spark.createDataFrame([(7, item), (8, None), (9, ""), (10, "other words")], "item_id long, text string")
     found = {r["doc_id"]: (r["item_id"], r["covered_words"], r["n_tiles"]) for r in decontamination.find_contaminated(docs, bench).collect()}
-    assert found == {0: (7, 20, 1), 1: (7, 20, 2), 5: (7, 20, 1)}
+    assert found == {0: (7, 20, 1), 1: (7, 20, 2), 5: (7, 20, 1), 6: (10, 2, 1)}
     small = decontamination.TilingConfig(block_chars=60)
     twice = bench.unionByName(bench.withColumn("item_id", F.col("item_id") + 100))
-    assert {r["doc_id"] for r in decontamination.find_contaminated(docs, twice, small).collect()} == {0, 1, 5}
-    assert sorted(r["doc_id"] for r in decontamination.drop_contaminated(docs, bench).collect()) == [2, 3, 4, 6]
+    assert {r["doc_id"] for r in decontamination.find_contaminated(docs, twice, small).collect()} == {0, 1, 5, 6}
+    assert sorted(r["doc_id"] for r in decontamination.drop_contaminated(docs, bench).collect()) == [2, 3, 4]
 
 
 def test_word_probability_sums_all_segmentations():
     config = language_id.LanguageConfig()
-    vocab = language_id.vocabulary(config.vocabulary, config.longest_piece)
+    vocab = language_id.vocabulary(config.vocabulary)
     rng = np.random.default_rng(3)
     p = rng.random((len(vocab.pieces), 2))
     p /= p.sum(axis=0)
@@ -149,12 +153,160 @@ def test_word_probability_sums_all_segmentations():
     def total(word, k):
         if not word:
             return 1.0
-        return sum((p[number[word[:n]], k] if word[:n] in number else language_id.UNSEEN if n == 1 else 0.0) * total(word[n:], k) for n in range(1, min(len(word), config.longest_piece) + 1))
+        return sum((p[number[word[:n]], k] if word[:n] in number else language_id.UNSEEN if n == 1 else 0.0) * total(word[n:], k) for n in range(1, min(len(word), vocab.longest) + 1))
 
     words = ["the", "house", "ñandú", "x", "ωx"]
     got = np.exp(language_id.word_scores(words, model))
     assert np.allclose(got, [[total(language_id.START + w, k) for k in range(2)] for w in words], rtol=1e-9)
 
+    def uses(word, k):
+        """(probability, expected uses times probability) over all segmentations."""
+        if not word:
+            return 1.0, Counter()
+        whole, sums = 0.0, Counter()
+        for n in range(1, min(len(word), vocab.longest) + 1):
+            head = word[:n]
+            q = p[number[head], k] if head in number else language_id.UNSEEN if n == 1 else 0.0
+            if q:
+                rest, inner = uses(word[n:], k)
+                whole += q * rest
+                sums.update({x: q * v for x, v in inner.items()})
+                if head in number:
+                    sums[number[head]] += q * rest
+        return whole, sums
+
+    weight = rng.random((len(words), 2)) * 5
+    expected = np.zeros_like(p)
+    for i, w in enumerate(words):
+        for k in range(2):
+            whole, sums = uses(language_id.START + w, k)
+            for x, v in sums.items():
+                expected[x, k] += weight[i, k] * v / whole
+    assert np.allclose(language_id.expected_counts(words, weight, p, vocab), expected, rtol=1e-9)
+
+
+def test_many_languages_and_long_words(spark):
+    """More than 256 languages, each with words of its own, and a word of 500 letters."""
+    letters = [chr(c) for c in range(0x4E00, 0x4E00 + 300)]
+    rows = [(2 * i + j, " ".join([a * 3, a * 2, a] * 5), f"l{i:03d}") for i, a in enumerate(letters) for j in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    config = language_id.LanguageConfig(rounds=1)
+    model = language_id.train(docs, config)
+    taught = {r["lang"] for r in docs.where(language_id.training_rows()).select("lang").collect()}
+    assert set(model.languages) == taught and len(taught) > 256
+    found = quality_rules.language_references(docs)
+    assert [r["lang"] for r in found] == [f"l{i:03d}" for i in range(300)]
+    assert quality_rules.score_quality(docs).count() == 600
+    vocab = language_id.vocabulary(config.vocabulary)
+    p = np.full((len(vocab.pieces), 1), 1 / len(vocab.pieces))
+    long = "thehouse" * 63
+    got = language_id.word_scores([long, long[:250]], language_id.LanguageModel(["x"], p, config))
+    table = np.zeros(len(long) + 2)  # all segmentations by plain sums, one position after the other
+    word, number = language_id.START + long, set(vocab.pieces)
+    table[0] = 1.0
+    scale = 0.0
+    for j in range(1, len(word) + 1):
+        table[j] = sum(table[i] * (p[0, 0] if word[i:j] in number else language_id.UNSEEN if j - i == 1 else 0.0) for i in range(max(0, j - vocab.longest), j))
+        if table[j] < 1e-100:
+            table[max(0, j - vocab.longest) : j + 1] *= 1e100
+            scale -= 100 * np.log(10)
+        if j == 251:
+            half = np.log(table[j]) + scale
+    assert np.allclose(got[:, 0], [np.log(table[len(word)]) + scale, half], rtol=1e-9)
+
+
+def test_foreign_and_gibberish_texts_go(docs):
+    model = language_id.train(docs)
+    kept = language_id.keep_identified(docs.where("lang is not null"), model)
+    assert kept.count() >= 0.995 * docs.where("lang is not null").count()
+    polish = "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. " * 6
+    finnish = "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. " * 6
+    odd = [polish, finnish, "xkqz vbwq jjzx qqwv zxkj vvkq wqzj xzvk " * 10, "Все люди рождаются свободными и равными. " * 8, "一" * 500, "12 34 !!", "", None]
+    planted = docs.sparkSession.createDataFrame([(i, t) for i, t in enumerate(odd)], "doc_id long, text string")
+    assert language_id.keep_identified(planted, model).count() == 0
+
+
+def _greedy(text, item, shortest):
+    """Greedy string tiling word by word: again and again the longest match of unmarked words, the first in the item, then in the text."""
+    free_a, free_b, covered, tiles = [x >= 0 for x in text], [True] * len(item), 0, 0
+    while True:
+        best = (0, 0, 0)
+        for b in range(len(item)):
+            for a in range(len(text)):
+                n = 0
+                while a + n < len(text) and b + n < len(item) and free_a[a + n] and free_b[b + n] and text[a + n] == item[b + n]:
+                    n += 1
+                if n > best[0]:
+                    best = (n, a, b)
+        n, a, b = best
+        if n < shortest:
+            return covered, tiles
+        for k in range(n):
+            free_a[a + k] = free_b[b + k] = False
+        covered, tiles = covered + n, tiles + 1
+
+
+def test_tiling_against_plain_greedy():
+    rng = np.random.default_rng(5)
+    for _ in range(400):
+        item = rng.integers(0, rng.integers(2, 12), rng.integers(3, 30))
+        parts = [item[a : a + rng.integers(1, 12)] for a in rng.integers(0, len(item), rng.integers(1, 6))]
+        text = np.concatenate([x for p in parts for x in (p, rng.integers(-1, 4, 1))])
+        shortest = int(rng.integers(2, 4))
+        assert decontamination.tile(text, item, shortest) == _greedy(text.tolist(), item.tolist(), shortest)
+
+
+def test_decontamination_against_all_pairs(spark):
+    """Every document against every item, in reordered, cut and short passages."""
+    rng = np.random.default_rng(9)
+    items = [" ".join(f"w{x}" for x in rng.integers(0, 60, n)) for n in (1, 3, 4, 5, 8, 12, 20, 20, 40)]
+    texts = []
+    for _ in range(120):
+        parts = []
+        for _ in range(rng.integers(1, 5)):
+            w = items[rng.integers(0, len(items))].split()
+            a = int(rng.integers(0, len(w)))
+            parts += [*w[a : a + rng.integers(1, 25)], f"x{rng.integers(0, 9)}"]
+        texts.append(" ".join(parts))
+    docs, bench = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    config, want = decontamination.TilingConfig(), set()
+    for d, t in enumerate(texts):
+        for i, x in enumerate(items):
+            a, b = t.split(), x.split()
+            covered, tiles = _greedy([b.index(w) if w in b else -1 for w in a], [b.index(w) for w in b], min(config.seed_words, len(b)))
+            if tiles and covered >= config.coverage * len(b):
+                want.add((d, i, covered, tiles))
+    got = {(r["doc_id"], r["item_id"], r["covered_words"], r["n_tiles"]) for r in decontamination.find_contaminated(docs, bench).collect()}
+    assert got == want and want
+
+
+def test_additive_model_against_row_wise_sums():
+    """Scores row by row, the trees against all splits, and that each round lowers the loss."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(300, 4))
+    y = ((x[:, 0] + x[:, 1] * x[:, 2] + 0.3 * rng.normal(size=300)) > 0).astype(float)
+    config = quality_model.GamConfig(rounds=20, pair_rounds=10, pairs=2, bins=8, pair_bins=4)
+    model = quality_model.fit(x, y, config)
+
+    def one(row):
+        total = model.intercept
+        for k, t in enumerate(model.tables):
+            total += t[sum(e < row[k] for e in model.edges[k])]
+        for (a, b), t in zip(model.pairs, model.pair_tables, strict=True):
+            total += t[sum(e < row[a] for e in model.pair_edges[a]), sum(e < row[b] for e in model.pair_edges[b])]
+        return 1 / (1 + np.exp(-total))
+
+    assert np.allclose(model.scores(x), [one(r) for r in x])
+    assert (1, 2) in model.pairs
+    loss = lambda m: -np.mean(y * np.log(m.scores(x)) + (1 - y) * np.log(1 - m.scores(x)))
+    losses = [loss(quality_model.fit(x, y, quality_model.GamConfig(rounds=r, pair_rounds=0, pairs=0, bins=8))) for r in (0, 1, 5, 20)]
+    assert losses == sorted(losses, reverse=True) and loss(model) < losses[-1]
+    g, h = rng.normal(size=6), rng.random(6) + 0.1
+    worth = lambda s: g[s].sum() ** 2 / (h[s].sum() + 1.0)
+    cut = max(range(1, 6), key=lambda c: worth(slice(0, c)) + worth(slice(c, 6)))
+    tree = quality_model._tree(g, h, 2, 1.0)
+    assert np.allclose(tree, [g[:cut].sum() / (h[:cut].sum() + 1.0)] * cut + [g[cut:].sum() / (h[cut:].sum() + 1.0)] * (6 - cut))
+
 
 def test_language_accuracy(docs):
     found = language_id.identify(docs, language_id.train(docs)).join(docs.select("doc_id", "lang"), "doc_id").where("held_out and lang is not null").collect()
@@ -229,8 +381,11 @@ def test_pipeline(spark, sf_dir, docs):
         ids = {r["doc_id"] for r in kept.select("doc_id").collect()}
         if name == "quality rules":
             assert ids == {r["doc_id"] for r in quality_rules.score_quality(left).where("kept").collect()}
+        if name == "language id":
+            fit = language_id.keep_identified(left, language_id.train(left))
+            assert ids == {r["doc_id"] for r in fit.collect()} and len(ids) >= 0.99 * left.count()
         if name == "near duplicates":
-            assert ids == {r["component_id"] for r in jaccard_join.near_duplicates(left).collect()}
+            assert ids == {r["component_id"] for r in jaccard_join.near_duplicates(left, jaccard_join.JaccardConfig(shingle_words=5, percent=80)).collect()}
         if name == "benchmark decontamination":
             bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
             assert ids == {r["doc_id"] for r in left.collect()} - {r["doc_id"] for r in decontamination.find_contaminated(left, bench).collect()}
