@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zipfile
@@ -12,6 +13,10 @@ from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Spark's setting to remove an execution's shuffle files at its end.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given Parquet tables; Spark reads it, so any file system works."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -23,19 +28,27 @@ def _local_root() -> str:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The shared folder in ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """The shared folder in ``spark.checkpoint.dir``; a temporary one only where it is unset and executors are threads of the driver."""
     root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return (root or f"file://{_local_root()}").rstrip("/")
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
-    The result has no lineage, is read by every executor and survives the loss of any of them.
+    The result has no lineage, is read by every executor and survives the loss of any of them. The
+    shuffle files of the write go as soon as it ends, as nothing reads them any more.
     """
     spark = df.sparkSession
     path = f"{shared_root(spark)}/parcela/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEAN_UP, "false")
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN_UP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
