@@ -32,7 +32,6 @@ def license_scan() -> str:
 
 def quality_rules() -> str:
     c = Q.QualityConfig()
-    bins = _list(Q.BINS)
     classes = [r"\p{Ll}+", r"\s+", r"\p{Lu}+", "[0-9]+", r"\p{L}+"]
     steps, at = [], "x0"
     for i, p in enumerate(classes):
@@ -43,26 +42,30 @@ def quality_rules() -> str:
     for s in steps:
         nested = f"SELECT *, {s} FROM ({nested})"
     counts = "[" + ", ".join(f"length(x{i}) - length(x{i + 1})" for i in range(5)) + ", length(x5)]"
-    js = "sqrt(greatest(list_sum([CASE WHEN p[i] > 0 THEN p[i] * log2(p[i] * 2 / (p[i] + q[i])) ELSE 0.0e0 END + CASE WHEN q[i] > 0 THEN q[i] * log2(q[i] * 2 / (p[i] + q[i])) ELSE 0.0e0 END for i in range(1, len(p) + 1)]) / 2, 0.0e0))"
-    share = "[CASE WHEN list_sum({0}) > 0 THEN x / CAST(list_sum({0}) AS DOUBLE) ELSE 0.0e0 END for x in {0}]"
-    sums = lambda col, n: "[" + ", ".join(f"sum({col}[{i + 1}])" for i in range(n)) + "]"
+    part = "CASE WHEN p > 0 THEN p * log2(p * 2 / (p + q)) ELSE 0.0e0 END + CASE WHEN q > 0 THEN q * log2(q * 2 / (p + q)) ELSE 0.0e0 END"
     return rf"""
-    WITH base AS (SELECT row_number() OVER () AS rid, doc_id, lang, x0 AS t, {counts} AS cls, list_filter(regexp_split_to_array(x0, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w,
-        list_filter(regexp_split_to_array(lower(x0), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS lw FROM ({nested})),
-    counted AS (SELECT *, list_concat([len(list_filter(lw, lambda v: v = b)) for b in {bins}], [len(list_filter(lw, lambda v: NOT list_contains({bins}, v)))]) AS com FROM base),
-    refs AS (SELECT lang, {sums('cls', 6)} AS rc, {sums('com', len(Q.BINS) + 1)} AS rw FROM counted WHERE lang IS NOT NULL GROUP BY lang),
-    pairs AS (SELECT rid, {share.format('cls')} AS p, {share.format('rc')} AS q, {share.format('com')} AS p2, {share.format('rw')} AS q2 FROM counted, refs),
-    near AS (SELECT rid, round(min({js}), 6) AS class_distance, round(min({js.replace('p[', 'p2[').replace('q[', 'q2[').replace('len(p)', 'len(p2)')}), 6) AS common_distance FROM pairs GROUP BY rid),
+    WITH base AS (SELECT row_number() OVER () AS rid, doc_id, lang, x0 AS t, {counts} AS cls, list_filter(regexp_split_to_array(x0, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM ({nested})),
+    each AS (SELECT rid, lang, len(w) AS n_words, unnest(w) AS word FROM base),
+    totals AS (SELECT lang, count(*) AS total FROM each WHERE lang IS NOT NULL GROUP BY lang),
+    top AS (SELECT lang, word, count(*) AS n FROM each WHERE lang IS NOT NULL GROUP BY lang, word QUALIFY row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, word) <= {c.common_words}),
+    bins AS (SELECT lang, word, n / CAST(total AS DOUBLE) AS q FROM top JOIN totals USING (lang)
+      UNION ALL SELECT lang, NULL, (total - sum(n)) / CAST(total AS DOUBLE) FROM top JOIN totals USING (lang) GROUP BY lang, total),
+    uses AS (SELECT rid, word, count(*) AS n FROM each WHERE n_words >= {c.min_words_for_common} GROUP BY ALL),
+    known AS (SELECT rid, lang, sum(uses.n) AS n FROM uses JOIN top USING (word) GROUP BY ALL),
+    pairs AS (SELECT d.rid, b.lang, q, (CASE WHEN b.word IS NULL THEN len(w) - coalesce(k.n, 0) ELSE coalesce(u.n, 0) END) / CAST(len(w) AS DOUBLE) AS p FROM base d, bins b LEFT JOIN uses u ON u.rid = d.rid AND u.word = b.word LEFT JOIN known k ON k.rid = d.rid AND k.lang = b.lang WHERE len(w) >= {c.min_words_for_common}),
+    near AS (SELECT rid, round(min(d), 6) AS common_distance FROM (SELECT rid, lang, sqrt(greatest(sum({part}) / 2, 0.0e0)) AS d FROM pairs GROUP BY ALL) GROUP BY rid),
+    sums AS (SELECT lang, i, sum(cls[i]) AS n FROM base, range(1, 7) r(i) WHERE lang IN (SELECT lang FROM totals) GROUP BY ALL),
+    kinds AS (SELECT lang, i, n / CAST(sum(n) OVER (PARTITION BY lang) AS DOUBLE) AS q FROM sums),
+    shapes AS (SELECT rid, round(min(d), 6) AS class_distance FROM (SELECT rid, lang, sqrt(greatest(sum({part}) / 2, 0.0e0)) AS d FROM (SELECT rid, k.lang, q, cls[i] / CAST(length(t) AS DOUBLE) AS p FROM base, kinds k WHERE length(t) >= {c.min_chars}) GROUP BY ALL) GROUP BY rid),
     windows AS (SELECT rid, i, array_to_string(w[i:i + 4], ' ') AS k FROM (SELECT rid, w, unnest(range(1, len(w) - 3)) AS i FROM base WHERE len(w) >= 5)),
     again AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, k) AS n FROM windows) WHERE n > 1),
     covered AS (SELECT rid, count(DISTINCT i + j) AS n FROM again, range(0, 5) r(j) GROUP BY rid),
     lines AS (SELECT rid, count(*) - count(DISTINCT l) AS n FROM (SELECT rid, unnest(string_split(t, chr(10))) AS l FROM base) WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY rid),
-    facts AS (SELECT doc_id, t, CAST(len(w) AS BIGINT) AS n_words, length(array_to_string(w, '')) AS word_chars, length(t) - length(regexp_replace(t, '{Q.SYMBOLS}', '', 'g')) AS n_symbols,
-        coalesce(lines.n, 0) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words, coalesce(class_distance, 0.0e0) AS class_distance, coalesce(common_distance, 0.0e0) AS common_distance
-        FROM base LEFT JOIN near ON near.rid = base.rid LEFT JOIN covered ON covered.rid = base.rid LEFT JOIN lines ON lines.rid = base.rid)
-    SELECT * EXCLUDE (t), n_words < {c.min_words} OR 100 * n_repeat_words > {c.most_repeat_percent} * n_words AS base_failed,
-      NOT (n_words < {c.min_words} OR 100 * n_repeat_words > {c.most_repeat_percent} * n_words) AND NOT (length(t) >= {c.min_chars} AND class_distance > {c.most_class_distance})
-      AND NOT (n_words >= {c.min_words_for_common} AND common_distance > {c.most_common_distance}) AS kept FROM facts"""
+    facts AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, length(array_to_string(w, '')) AS word_chars, length(t) - length(regexp_replace(t, '{Q.SYMBOLS}', '', 'g')) AS n_symbols,
+        coalesce(lines.n, 0) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words, class_distance, common_distance
+        FROM base LEFT JOIN near ON near.rid = base.rid LEFT JOIN shapes ON shapes.rid = base.rid LEFT JOIN covered ON covered.rid = base.rid LEFT JOIN lines ON lines.rid = base.rid)
+    SELECT *, n_words < {c.min_words} OR 100 * n_repeat_words > {c.most_repeat_percent} * n_words AS base_failed,
+      NOT (n_words < {c.min_words} OR 100 * n_repeat_words > {c.most_repeat_percent} * n_words) AND coalesce(class_distance, 0) <= {c.most_class_distance} AND coalesce(common_distance, 0) <= {c.most_common_distance} AS kept FROM facts"""
 
 
 def jaccard_join() -> str:

@@ -1,35 +1,30 @@
 """Quality rules: repetition and length rules, then distribution divergence.
 
-A document's character classes and common words are two histograms. Each language's reference is
-the sum of the histograms of all its documents, and a document fails where its Jensen-Shannon
-distance to every reference is over a limit. Short documents have noisy histograms, so each test
-has a minimum length. DataFrame expressions only: two scans and one aggregation to a row a language.
+A document's character classes and common words are two histograms. A language's reference is the sum
+of the histograms of all its documents; its common words are those that occur most often in them. A
+document fails where its Jensen-Shannon distance to every reference is over a limit. Short documents
+have noisy histograms, so each test has a minimum length. DataFrame expressions only: the words and
+classes of each language are counted over all its documents, and one pass judges.
 """
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
+from ..session import drop_materialized, materialize
 from .common import let, words_of
 
-# Frequent function words of the corpus languages, in alphabetical order for each.
-COMMON_WORDS = {
-    "de": "auf das der des die ein eine im in ist mit nicht sich und von zu",
-    "en": "a and as be for in is it of on that the to was with",
-    "es": "con de del el en es la las los no por que se su un una y",
-    "fr": "dans de des du en est et la le les pour que qui sur un une",
-}
-BINS = sorted({w for line in COMMON_WORDS.values() for w in line.split()})
 SYMBOLS = "[#*$%&|<>]"
 WINDOW = 5
 
 
 @dataclass(frozen=True)
 class QualityConfig:
-    """Limits of the rules; a distance is between 0 and 1."""
+    """Limits of the rules; a distance is between 0 and 1. ``common_words``: the bins of a language's histogram, besides all other words."""
 
     min_words: int = 10
     most_repeat_percent: int = 20
@@ -37,7 +32,7 @@ class QualityConfig:
     most_class_distance: float = 0.22
     min_words_for_common: int = 100
     most_common_distance: float = 0.34
-    most_languages: int = 256
+    common_words: int = 20
 
 
 def _repeat_words(words: Column) -> Column:
@@ -82,102 +77,101 @@ def _class_counts(text: Column) -> Column:
     return chain([text], patterns)
 
 
-def _common_counts(text: Column) -> Column:
-    """Occurrences of each common word (lower-cased), in the order of ``BINS``, then of all other words."""
-
-    def counts(words: Column) -> Column:
-        found = F.filter(words, lambda w: w.isin(*BINS))
-        joined = F.concat(F.lit(" "), F.array_join(found, "  "), F.lit(" "))
-        return let(joined, lambda j: F.array(*[of_word(j, b) for b in BINS], (F.size(words) - F.size(found)).cast("long")))
-
-    def of_word(joined: Column, word: str) -> Column:
-        return F.floor((F.char_length(joined) - F.char_length(F.replace(joined, F.lit(f" {word} ")))) / (len(word) + 2))
-
-    return let(words_of(F.lower(text)), counts)
-
-
-def _share(counts: Column) -> Column:
-    """Counts as shares of their sum; all zero where there is nothing."""
-    return let(F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x), lambda n: F.transform(counts, lambda x: F.when(n > 0, x / n).otherwise(F.lit(0.0))))
-
-
 def js_distance(p: Column, q: Column) -> Column:
-    """Jensen-Shannon distance (base 2) of two arrays of shares."""
+    """Jensen-Shannon distance (base 2) of two arrays of shares. A bin that one side lacks adds half of the other's share."""
 
     def part(x: Column, y: Column) -> Column:
-        return F.when(x > 0, x * F.log2(x * 2 / (x + y))).otherwise(F.lit(0.0))
+        return F.when(x == 0, y / 2).when(y == 0, x / 2).otherwise((x * F.log2(x * 2 / (x + y)) + y * F.log2(y * 2 / (x + y))) / 2)
 
-    total = F.aggregate(F.zip_with(p, q, lambda x, y: part(x, y) + part(y, x)), F.lit(0.0), lambda a, x: a + x)
-    return F.sqrt(F.greatest(total / 2, F.lit(0.0)))
+    return F.sqrt(F.greatest(F.aggregate(F.zip_with(p, q, part), F.lit(0.0), lambda a, x: a + x), F.lit(0.0)))
 
 
 def language_references(docs: DataFrame, config: QualityConfig = QualityConfig(), text_col: str = "text", lang_col: str = "lang") -> list[Row]:
-    """A row a language, the largest first: ``lang, classes, common``, the summed histograms of all its documents.
+    """A row a language, by name: ``lang, classes, words, common``, the summed histograms of all its documents.
 
-    At most ``most_languages`` rows, each as long as the histograms.
+    ``common`` counts ``words``, the most frequent ones (ties by spelling), and then all others. As
+    many rows as languages, each as long as the histograms.
     """
     base = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("__lang"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
-    classes = base.select("__lang", let(F.col("__text"), _class_counts).alias("__c"), F.size(words_of(F.col("__text"))).alias("__n"))
-    sums = classes.groupBy("__lang").agg(F.count(F.lit(1)).alias("__docs"), F.sum("__n").alias("__n"), F.array(*[F.sum(F.get(F.col("__c"), F.lit(i))) for i in range(6)]).alias("__classes"))
-    top = sums.orderBy(F.desc("__docs"), "__lang").limit(config.most_languages).collect()
-    listed = F.filter(words_of(F.lower(F.col("__text"))), lambda w: w.isin(*BINS))
-    found = base.where(F.col("__lang").isin([r["__lang"] for r in top])).select("__lang", F.explode(listed).alias("__w")).groupBy("__lang", "__w").count().collect() if top else []
-    count = {(r["__lang"], r["__w"]): r["count"] for r in found}
+    counted = base.select("__lang", F.explode(words_of(F.col("__text"))).alias("__w")).groupBy("__lang", "__w").agg(F.count(F.lit(1)).alias("__n"))
+    counted = materialize(counted, "language-words")
+    classes = base.select("__lang", let(F.col("__text"), _class_counts).alias("__c")).groupBy("__lang").agg(F.array(*[F.sum(F.get(F.col("__c"), F.lit(i))) for i in range(6)]).alias("classes"))
+    sums = counted.groupBy("__lang").agg(F.sum("__n").alias("n")).join(classes, "__lang").orderBy("__lang").collect()
+    by_count = Window.partitionBy("__lang").orderBy(F.desc("__n"), "__w")
+    top: dict[str, list[Row]] = {}
+    for r in counted.withColumn("__k", F.row_number().over(by_count)).where(F.col("__k") <= config.common_words).orderBy("__lang", "__k").collect():
+        top.setdefault(r["__lang"], []).append(r)
+    drop_materialized(counted)
     rows = []
-    for r in top:
-        common = [count.get((r["__lang"], w), 0) for w in BINS]
-        rows.append(Row(lang=r["__lang"], classes=list(r["__classes"]), common=[*common, r["__n"] - sum(common)]))
+    for r in sums:
+        own = top[r["__lang"]]
+        rows.append(Row(lang=r["__lang"], classes=list(r["classes"]), words=[x["__w"] for x in own], common=[*(x["__n"] for x in own), r["n"] - sum(x["__n"] for x in own)]))
     return rows
 
 
-def _nearest(counts: Column, references: list[list[int]]) -> Column:
-    """The smallest distance to a reference; 0 where there is none."""
-    shares = [[x / sum(r) for x in r] for r in references if sum(r)]
-    if not shares:
-        return F.lit(0.0)
-    refs = F.array(*[F.array(*map(F.lit, s)) for s in shares])
-    return let(_share(counts), lambda p: F.array_min(F.transform(refs, lambda q: js_distance(p, q))))
-
-
-def quality_columns(text: Column, references: list[Row], config: QualityConfig = QualityConfig()) -> dict[str, Column]:
-    """The columns of the contract as expressions over a text that is not null, in dependency order."""
-    return {
-        "n_words": F.size(words_of(text)).cast("long"),
-        "word_chars": F.char_length(F.array_join(words_of(text), "")).cast("long"),
-        "n_symbols": F.regexp_count(text, F.lit(SYMBOLS)).cast("long"),
-        "n_dup_lines": let(F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")), lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")),
-        "n_repeat_words": _repeat_words(words_of(text)),
-        "class_distance": F.round(_nearest(let(text, _class_counts), [r["classes"] for r in references]), 6),
-        "common_distance": F.round(_nearest(_common_counts(text), [r["common"] for r in references]), 6),
-        "base_failed": (F.col("n_words") < config.min_words) | (100 * F.col("n_repeat_words") > config.most_repeat_percent * F.col("n_words")),
-        "kept": ~F.col("base_failed")
-        & ~((F.char_length(text) >= config.min_chars) & (F.col("class_distance") > config.most_class_distance))
-        & ~((F.col("n_words") >= config.min_words_for_common) & (F.col("common_distance") > config.most_common_distance)),
-    }
+def _constant(value: object, kind: str) -> Column:
+    """A nested value as one folded literal, however large."""
+    return F.from_json(F.lit(json.dumps(value)), kind)
+
+
+def _shares(counts: list[int]) -> list[float]:
+    return [x / sum(counts) for x in counts]
+
+
+def _class_distance(counts: Column, references: list[Row]) -> Column:
+    """The smallest distance of a document's classes to a reference."""
+    refs = _constant([_shares(r["classes"]) for r in references], "array<array<double>>")
+    share = let(F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x), lambda n: F.transform(counts, lambda x: x / n))
+    return let(share, lambda p: F.array_min(F.transform(refs, lambda q: js_distance(p, q))))
+
+
+def _common_distance(words: Column, references: list[Row]) -> Column:
+    """The smallest distance of a document's words to a reference, over that language's common words and all others."""
+    refs = _constant([{"w": r["words"], "q": _shares(r["common"])} for r in references], "array<struct<w: array<string>, q: array<double>>>")
+    listed = F.filter(words, lambda w: w.isin(*sorted({w for r in references for w in r["words"]})))
+
+    def distance(found: Column, n: Column, ref: Column) -> Column:
+        counts = F.transform(ref["w"], lambda b: F.size(found) - F.size(F.array_remove(found, b)))
+        rest = lambda c: F.array_append(c, n - F.aggregate(c, F.lit(0), lambda a, x: a + x))
+        return js_distance(F.transform(let(counts, rest), lambda c: c / n), ref["q"])
+
+    return let(F.size(words), lambda n: let(listed, lambda found: F.array_min(F.transform(refs, lambda r: distance(found, n, r)))))
+
+
+def _judged(docs: DataFrame, held: list[Column], config: QualityConfig, references: list[Row], text_col: str) -> DataFrame:
+    """``held`` and the columns of the contract. The words and the classes of a text are made once."""
+    references = [r for r in references if sum(r["classes"]) and sum(r["common"])]
+    out = docs.select(*held, F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
+    out = out.withColumns({"__words": words_of(F.col("__text")), "__classes": let(F.col("__text"), _class_counts), "__chars": F.char_length("__text")})
+    words, text, none = F.col("__words"), F.col("__text"), F.lit(0.0)
+    n = F.size(words)
+    out = out.select(
+        *[F.col(c) for c in out.columns if c not in ("__text", "__words", "__classes")],
+        n.cast("long").alias("n_words"), (F.col("__chars") - F.get("__classes", F.lit(1))).cast("long").alias("word_chars"), F.regexp_count(text, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
+        let(F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")), lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")).alias("n_dup_lines"), _repeat_words(words).alias("n_repeat_words"),
+        F.when(F.col("__chars") >= config.min_chars, F.round(_class_distance(F.col("__classes"), references), 6) if references else none).alias("class_distance"),
+        F.when(n >= config.min_words_for_common, F.round(_common_distance(words, references), 6) if references else none).alias("common_distance"),
+    )
+    out = out.withColumn("base_failed", (F.col("n_words") < config.min_words) | (100 * F.col("n_repeat_words") > config.most_repeat_percent * F.col("n_words")))
+    far = (F.coalesce("class_distance", none) > config.most_class_distance) | (F.coalesce("common_distance", none) > config.most_common_distance)
+    return out.withColumn("kept", ~F.col("base_failed") & ~far).drop("__chars")
 
 
 def score_quality(docs: DataFrame, config: QualityConfig = QualityConfig(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, class_distance, common_distance, base_failed, kept`` of each row.
 
-    A null or empty text has no words, fails the base rule and has distance 0. Rows are judged one
-    by one, so null and repeated ids stay as they are; documents without a language count for no
-    reference but are judged by all. With no reference at all (an empty table, or no language)
-    distances are 0. Other columns of ``docs`` are ignored. Windows are compared by 64-bit hashes.
+    A distance is null where the text is shorter than its test asks for, which it then passes. A null
+    or empty text has no words and fails the base rule. Rows are judged one by one, so null and
+    repeated ids stay as they are; documents without a language count for no reference but are judged
+    by all. With no reference at all (an empty table, or no language with a word) distances are 0.
+    Other columns of ``docs`` are ignored. Windows are compared by 64-bit hashes.
     """
-    references = language_references(docs, config, text_col, lang_col)
-    columns = quality_columns(F.col("__text"), references, config)
-    out = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
-    last = {k: columns.pop(k) for k in ("base_failed", "kept")}
-    out = out.select(id_col, "__text", *[c.alias(k) for k, c in columns.items()]).withColumn("base_failed", last["base_failed"]).withColumn("kept", last["kept"])
-    return out.drop("__text")
+    return _judged(docs, [F.col(id_col)], config, language_references(docs, config, text_col, lang_col), text_col)
 
 
 def keep_good(docs: DataFrame, config: QualityConfig = QualityConfig(), text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of ``docs`` that are kept, with their own columns. The same rules as ``score_quality``; empty in, empty out."""
     references = language_references(docs, config, text_col, lang_col)
-    names = docs.columns
-    held = docs.select(F.struct(*names).alias("__row"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
-    columns = quality_columns(F.col("__text"), references, config)
-    wanted = ("n_words", "n_repeat_words", "class_distance", "common_distance")
-    judged = held.select("__row", "__text", *[columns[k].alias(k) for k in wanted]).withColumn("base_failed", columns["base_failed"]).where(columns["kept"])
-    return judged.select("__row.*")
+    judged = _judged(docs, [F.struct(*docs.columns).alias("__row")], config, references, text_col)
+    # a plain filter would be pushed under the columns it needs, and then split the text for each of them anew
+    return judged.select(F.explode_outer(F.when(F.col("kept"), F.array("__row"))).alias("__row")).where(F.col("__row").isNotNull()).select("__row.*")
