@@ -2,17 +2,29 @@
 
 from __future__ import annotations
 
+import json
+import sys
+import unicodedata
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Accented letters and their plain forms, pairwise.
-ACCENTED = "ÁÀÂÄÃÅÉÈÊËÍÌÎÏÓÒÔÖÕÚÙÛÜÑÇáàâäãåéèêëíìîïóòôöõúùûüñç"
-PLAIN = "AAAAAAEEEEIIIIOOOOOUUUUNCaaaaaaeeeeiiiiooooouuuunc"
+@lru_cache(maxsize=1)
+def _plain_letters() -> tuple[str, str, dict[str, str]]:
+    """Characters beyond ASCII with one plain ASCII form each, those forms, and the characters with longer ones, by compatibility decomposition."""
+    plain = {c: unicodedata.normalize("NFKD", c).encode("ascii", "ignore").decode() for c in map(chr, range(0x80, sys.maxunicode + 1)) if not 0xD800 <= ord(c) < 0xE000}
+    one = {c: p for c, p in plain.items() if len(p) == 1}
+    return "".join(one), "".join(one.values()), {c: p for c, p in plain.items() if len(p) > 1}
 
 
 def slugify(text: Column) -> Column:
-    """Lower-case ASCII words joined by hyphens; other letters without a plain form are dropped."""
-    ascii_only = F.regexp_replace(F.translate(text, ACCENTED, PLAIN), r"[^\x00-\x7F]", "")
+    """Lower-case ASCII words joined by hyphens; letters beyond ASCII take their plain form, those without one are dropped."""
+    letters, forms, longer = _plain_letters()
+    forms_of = F.from_json(F.lit(json.dumps(longer)), "map<string,string>")
+    spelled = F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(F.element_at(forms_of, c), c)), "")
+    whole = F.when(text.rlike("[" + "".join(longer) + "]"), spelled).otherwise(text)
+    ascii_only = F.regexp_replace(F.translate(whole, letters, forms), r"[^\x00-\x7F]", "")
     return F.regexp_replace(F.regexp_replace(F.lower(ascii_only), "[^a-z0-9]+", "-"), "^-+|-+$", "")
 
 

@@ -9,15 +9,39 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# The fields that make a listing's content, in alphabetical order.
-HASHED = ("bathrooms", "bedrooms", "expenses_amount", "garages", "price_amount", "price_currency", "rooms", "seller_id", "status", "surface_total")
+from ..functions.text import strip_nul
+
+# The fields that make a listing's content, numbers and texts, in alphabetical order.
+NUMBERS = ("bathrooms", "bedrooms", "expenses_amount", "garages", "price_amount", "rooms", "surface_total")
+TEXTS = ("price_currency", "seller_id", "status")
+HASHED = tuple(sorted(NUMBERS + TEXTS))
+# All fields that a posting brings.
+PAYLOAD = (
+    "canonical_url", "status", "source_modified_at", "operation_type", "property_type", "generated_title", "description", "price_amount", "price_currency", "expenses_amount", "expenses_currency",
+    "surface_total", "surface_covered", "surface_unit", "rooms", "bedrooms", "bathrooms", "toilettes", "garages", "antiquity_years", "disposition", "orientation", "address", "neighborhood", "city",
+    "province_name", "lat", "lon", "seller_id", "seller_name", "seller_type", "extra_data",
+)
 KEYS = ("source_id", "external_id")
 
 
 def content_hash(columns: list[str], prefix: str = "") -> Column:
-    """SHA-256 of the hashed fields that a table has, each as text with a mark for null, in fixed order."""
-    parts = [F.concat(F.lit(f"{c}="), F.coalesce(F.col(prefix + c).cast("string"), F.lit("␀"))) for c in HASHED if c in columns]
-    return F.sha2(F.concat_ws("␟", *parts), 256)
+    """SHA-256 of the hashed fields as a JSON object in alphabetical order.
+
+    A field that the table lacks counts as null. A number is written in its shortest decimal form, so
+    its type makes no difference.
+    """
+
+    def value(c: str) -> Column:
+        if c not in columns:
+            return F.lit("null")
+        if c in TEXTS:
+            quoted = F.regexp_extract(F.to_json(F.struct(F.col(prefix + c).cast("string").alias("v"))), r'(?s)^\{"v":(.*)\}$', 1)
+            return F.when(F.col(prefix + c).isNull(), "null").otherwise(quoted)
+        digits = F.col(prefix + c).try_cast("decimal(38,10)").cast("string")
+        return F.coalesce(F.regexp_replace(F.regexp_replace(digits, "0+$", ""), r"\.$", ""), F.lit("null"))
+
+    fields = [F.concat(F.lit(f'"{c}": '), value(c)) for c in HASHED]
+    return F.sha2(F.concat(F.lit("{"), F.concat_ws(", ", *fields), F.lit("}")), 256)
 
 
 def latest_per_key(rows: DataFrame, keys: tuple[str, ...], order: list[Column]) -> DataFrame:
@@ -26,27 +50,43 @@ def latest_per_key(rows: DataFrame, keys: tuple[str, ...], order: list[Column])
     return ranked.where(F.col("__n") == 1).drop("__n")
 
 
+def _payload(current: DataFrame) -> list[str]:
+    return [c for c in PAYLOAD if c in current.columns]
+
+
 def classify(current: DataFrame, incoming: DataFrame) -> DataFrame:
     """Each key's case: A new, B seen again unchanged, C changed, D not in the incoming rows. One full outer join on the key.
 
-    Incoming rows that repeat a key count once, the last by page and position.
+    Incoming rows that repeat a key count once, the last by page and position. A payload field that
+    they lack is null, and the others come in the current table's types, texts without NUL. A stored
+    ``content_hash`` is what a current row is compared by; without one it is computed.
     """
-    payload = [c for c in current.columns if c in HASHED]
-    fresh = latest_per_key(incoming, KEYS, [F.desc("page"), F.desc("position")]).select(*KEYS, *[F.col(c).alias(f"in_{c}") for c in payload])
-    fresh = fresh.withColumn("in_hash", content_hash(payload, "in_"))
-    known = current.withColumn("hash", content_hash(payload))
+    kinds = {f.name: f.dataType for f in current.schema}
+
+    def brought(c: str) -> Column:
+        if c not in incoming.columns:
+            return F.lit(None).cast(kinds[c])
+        value = F.col(c).cast(kinds[c])
+        return strip_nul(value) if kinds[c].simpleString() == "string" else value
+
+    payload = _payload(current)
+    fresh = latest_per_key(incoming, KEYS, [F.desc("page"), F.desc("position")]).withColumn("in_hash", content_hash(incoming.columns)).select(*KEYS, "in_hash", *[brought(c).alias(f"in_{c}") for c in payload])
+    computed = content_hash(current.columns)
+    known = current.withColumn("hash", F.coalesce("content_hash", computed) if "content_hash" in current.columns else computed)
     both = known.join(fresh, list(KEYS), "full_outer")
     case = F.when(F.col("hash").isNull(), "A").when(F.col("in_hash").isNull(), "D").when(F.col("hash") == F.col("in_hash"), "B").otherwise("C")
     return both.withColumn("case", case)
 
 
 def merge(current: DataFrame, incoming: DataFrame, now: Column) -> DataFrame:
-    """The new current table. A changed listing takes the whole incoming payload, nulls too; one seen again only a new ``last_seen_at``."""
-    payload = [c for c in current.columns if c in HASHED]
+    """The new current table. A changed listing takes the whole incoming payload, nulls too; one seen again only a new ``last_seen_at``. Columns that no posting brings stay."""
+    payload = _payload(current)
+    rest = [c for c in current.columns if c not in (*KEYS, *payload, "first_seen_at", "last_seen_at", "last_changed_at", "content_hash")]
     case = F.col("case")
     changed, seen = case.isin("A", "C"), case.isin("A", "B", "C")
     return classify(current, incoming).select(
         *KEYS,
+        *rest,
         *[F.when(changed, F.col(f"in_{c}")).otherwise(F.col(c)).alias(c) for c in payload],
         F.coalesce("first_seen_at", now).alias("first_seen_at"),
         F.when(seen, now).otherwise(F.col("last_seen_at")).alias("last_seen_at"),
@@ -56,11 +96,17 @@ def merge(current: DataFrame, incoming: DataFrame, now: Column) -> DataFrame:
 
 
 def snapshots(classified: DataFrame, now: Column) -> DataFrame:
-    """Rows to append to the history: new and changed listings."""
+    """Rows to append to the history: new and changed listings with their whole payload."""
     payload = [c.removeprefix("in_") for c in classified.columns if c.startswith("in_") and c != "in_hash"]
     return classified.where(F.col("case").isin("A", "C")).select(*KEYS, now.alias("captured_at"), *[F.col(f"in_{c}").alias(c) for c in payload], F.col("in_hash").alias("content_hash"))
 
 
+def append_row(target: DataFrame, rows: DataFrame, now: Column) -> DataFrame:
+    """The target and the rows after it, with ``created_at`` now; columns that they lack are null. No key is checked."""
+    stamped = rows.withColumn("created_at", now.cast(target.schema["created_at"].dataType))
+    return target.unionByName(stamped, allowMissingColumns=True).select(*target.columns)
+
+
 def counters(classified: DataFrame) -> DataFrame:
     """New, changed, unchanged and disappeared listings of each source."""
     return classified.groupBy("source_id").agg(*[F.count_if(F.col("case") == k).alias(n) for k, n in (("A", "new_count"), ("C", "changed_count"), ("B", "unchanged_count"), ("D", "disappeared_count"))])

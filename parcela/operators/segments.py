@@ -129,14 +129,18 @@ def volatility(snapshots: DataFrame, config: RefreshConfig = RefreshConfig()) ->
 
 
 def score(rows: DataFrame, config: RefreshConfig = RefreshConfig()) -> DataFrame:
-    """Adds ``score`` and ``tier`` from ``churn_ewma, churn_samples, count_volatility, total_count``."""
-    evidence = F.col("churn_ewma").isNotNull() & (F.col("churn_samples") >= config.min_churn_samples)
-    churn = F.when(evidence, F.least(F.col("churn_ewma") / config.churn_cap, F.lit(1.0))).otherwise(F.lit(0.0))
+    """Adds ``score`` (four digits) and ``tier`` from ``churn_ewma, churn_samples, count_volatility, total_count``.
+
+    Samples alone are evidence, as a churn value may be inherited. The tier goes by the sum itself,
+    added in the order churn, volatility, volume.
+    """
+    evidence = F.coalesce("churn_samples", F.lit(0)) >= config.min_churn_samples
+    churn = F.when(evidence & F.col("churn_ewma").isNotNull(), F.least(F.col("churn_ewma") / config.churn_cap, F.lit(1.0))).otherwise(F.lit(0.0))
     vol = F.least(F.coalesce("count_volatility", F.lit(0.0)) / config.volatility_cap, F.lit(1.0))
     size = F.least(F.col("total_count") / config.count_cap, F.lit(1.0))
-    value = F.round((config.weight_churn * churn + config.weight_volatility * vol + config.weight_count * size).cast("decimal(18,10)"), 4).cast("double")
-    tier = F.when(~evidence, "unknown").when(F.col("score") >= config.hot, "hot").when((F.col("score") >= config.warm) | (F.col("total_count") >= config.warm_count), "warm").otherwise("cold")
-    return rows.withColumn("score", value).withColumn("tier", tier)
+    value = config.weight_churn * churn + config.weight_volatility * vol + config.weight_count * size
+    tier = F.when(~evidence, "unknown").when(value >= config.hot, "hot").when((value >= config.warm) | (F.col("total_count") >= config.warm_count), "warm").otherwise("cold")
+    return rows.withColumn("tier", tier).withColumn("score", F.round(value.cast("decimal(18,10)"), 4).cast("double"))
 
 
 def due(segments: DataFrame, snapshots: DataFrame, queue: DataFrame, now: Column, config: RefreshConfig = RefreshConfig()) -> DataFrame:
@@ -148,7 +152,7 @@ def due(segments: DataFrame, snapshots: DataFrame, queue: DataFrame, now: Column
     age = (F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col("__at").cast("timestamp"))) / F.lit(3_600_000_000.0)
     rows = rows.withColumns({"age_hours": age, "gap_hours": gap})
     rows = rows.where((F.col("age_hours") >= config.min_age_hours) & (F.col("age_hours") > F.col("gap_hours")))
-    return rows.withColumns({"overdue_ratio": F.round(F.col("age_hours") / F.col("gap_hours"), 6), "estimated_pages": F.greatest(F.ceil(F.col("total_count") / config.page_size), F.lit(1)).cast("int")}).drop("__at")
+    return rows.withColumns({"overdue_ratio": F.col("age_hours") / F.col("gap_hours"), "estimated_pages": F.greatest(F.ceil(F.col("total_count") / config.page_size), F.lit(1)).cast("int")}).drop("__at")
 
 
 def take_within_budget(rows: DataFrame, group: str, order: list[Column], max_pages: int, max_items: int | None) -> DataFrame:

@@ -20,18 +20,24 @@ def _add(name: str, query, sql: str) -> None:
     QUERIES[name], ORACLE[name] = query, sql
 
 
-def _hash_sql(columns: list[str], prefix: str = "") -> str:
-    return "sha256(concat_ws('␟', " + ", ".join(f"'{c}=' || coalesce(CAST({prefix}{c} AS VARCHAR), '␀')" for c in L.HASHED if c in columns) + "))"
+def _hash_sql(prefix: str = "") -> str:
+    number = lambda c: f"coalesce(regexp_replace(regexp_replace(CAST(CAST({prefix}{c} AS DECIMAL(38,10)) AS VARCHAR), '0+$', ''), '\\.$', ''), 'null')"
+    text = lambda c: f"coalesce(CAST(to_json({prefix}{c}) AS VARCHAR), 'null')"
+    return "sha256('{' || concat_ws(', ', " + ", ".join(f"'\"{c}\": ' || {text(c) if c in L.TEXTS else number(c)}" for c in L.HASHED) + ") || '}')"
 
 
-_P = ["price_amount", "price_currency", "status"]
+_COLUMNS = ", ".join([*[f"c.{c}, f.{c} AS in_{c}" for c in L.PAYLOAD], "c.id", "c.first_seen_at", "c.last_seen_at", "c.last_changed_at"])
 _CASES = ctes("current_entities", "incoming", more={
     "fresh": "SELECT * FROM incoming QUALIFY row_number() OVER (PARTITION BY source_id, external_id ORDER BY page DESC, position DESC) = 1",
-    "cases": f"""SELECT coalesce(c.source_id, f.source_id) AS source_id, coalesce(c.external_id, f.external_id) AS external_id, c.status, c.price_amount, c.price_currency, c.first_seen_at, c.last_seen_at, c.last_changed_at,
-      f.status AS in_status, f.price_amount AS in_price_amount, f.price_currency AS in_price_currency, {_hash_sql(_P, 'c.')} AS h, {_hash_sql(_P, 'f.')} AS in_h,
-      CASE WHEN c.external_id IS NULL THEN 'A' WHEN f.external_id IS NULL THEN 'D' WHEN {_hash_sql(_P, 'c.')} = {_hash_sql(_P, 'f.')} THEN 'B' ELSE 'C' END AS k
+    "cases": f"""SELECT coalesce(c.source_id, f.source_id) AS source_id, coalesce(c.external_id, f.external_id) AS external_id, {_COLUMNS}, {_hash_sql('c.')} AS h, {_hash_sql('f.')} AS in_h,
+      CASE WHEN c.external_id IS NULL THEN 'A' WHEN f.external_id IS NULL THEN 'D' WHEN {_hash_sql('c.')} = {_hash_sql('f.')} THEN 'B' ELSE 'C' END AS k
       FROM current_entities c FULL JOIN fresh f ON c.source_id = f.source_id AND c.external_id = f.external_id""",
 })
+_IN = lambda c: f"CAST(in_{c} AS DECIMAL(18,2))" if c == "price_amount" else f"in_{c}"
+#: The current table after a merge.
+MERGED = _CASES + "SELECT source_id, external_id, id, " + ", ".join(f"CASE WHEN k IN ('A','C') THEN {_IN(c)} ELSE {c} END AS {c}" for c in L.PAYLOAD) + f""",
+    coalesce(first_seen_at, {_T}) AS first_seen_at, CASE WHEN k <> 'D' THEN {_T} ELSE last_seen_at END AS last_seen_at, CASE WHEN k IN ('A','C') THEN {_T} ELSE last_changed_at END AS last_changed_at,
+    CASE WHEN k IN ('A','C') THEN in_h ELSE h END AS content_hash FROM cases"""
 
 
 def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,16 +45,12 @@ def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _add("lifecycle_classify", lambda s, d: cases(s, d).select("source_id", "external_id", "case"), _CASES + "SELECT source_id, external_id, k AS \"case\" FROM cases")
-_add("lifecycle_merge", lambda s, d: L.merge(view(s, d, "current_entities"), view(s, d, "incoming"), _now()), _CASES + f"""SELECT source_id, external_id,
-    CASE WHEN k IN ('A','C') THEN in_status ELSE status END AS status, CASE WHEN k IN ('A','C') THEN in_price_amount ELSE price_amount END AS price_amount, CASE WHEN k IN ('A','C') THEN in_price_currency ELSE price_currency END AS price_currency,
-    coalesce(first_seen_at, {_T}) AS first_seen_at, CASE WHEN k <> 'D' THEN {_T} ELSE last_seen_at END AS last_seen_at, CASE WHEN k IN ('A','C') THEN {_T} ELSE last_changed_at END AS last_changed_at,
-    CASE WHEN k IN ('A','C') THEN in_h ELSE h END AS content_hash FROM cases""")
-_add("lifecycle_snapshots", lambda s, d: L.snapshots(cases(s, d), _now()), _CASES + f"SELECT source_id, external_id, {_T} AS captured_at, in_status AS status, in_price_amount AS price_amount, in_price_currency AS price_currency, in_h AS content_hash FROM cases WHERE k IN ('A','C')")
+_add("lifecycle_merge", lambda s, d: L.merge(view(s, d, "current_entities"), view(s, d, "incoming"), _now()), MERGED)
+_add("lifecycle_snapshots", lambda s, d: L.snapshots(cases(s, d), _now()), _CASES + f"SELECT source_id, external_id, {_T} AS captured_at, " + ", ".join(f"{_IN(c)} AS {c}" for c in L.PAYLOAD) + ", in_h AS content_hash FROM cases WHERE k IN ('A','C')")
 _add("lifecycle_counts", lambda s, d: L.counters(cases(s, d)), _CASES + "SELECT source_id, count(*) FILTER (k='A') AS new_count, count(*) FILTER (k='C') AS changed_count, count(*) FILTER (k='B') AS unchanged_count, count(*) FILTER (k='D') AS disappeared_count FROM cases GROUP BY 1")
 _add("disappeared_listings", lambda s, d: cases(s, d).where(F.col("case") == "D").select("source_id", "external_id"), _CASES + "SELECT source_id, external_id FROM cases WHERE k = 'D'")
 
-_HASHED = [c for c in L.HASHED]
-_add("content_hash", lambda s, d: view(s, d, "listings").select("id", L.content_hash(_HASHED).alias("content_hash")), ctes("listings") + f"SELECT id, {_hash_sql(_HASHED)} AS content_hash FROM listings")
+_add("content_hash", lambda s, d: view(s, d, "listings").select("id", L.content_hash(list(L.HASHED)).alias("content_hash")), ctes("listings") + f"SELECT id, {_hash_sql()} AS content_hash FROM listings")
 
 
 def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +58,7 @@ def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("content_hash", F.when(F.col("id") % 12 == 0, "old").otherwise(L.content_hash(rows.columns)))
 
 
-_add("rehash_diff", lambda s, d: L.rehash(_stored(s, d)), ctes("listings") + f"SELECT id, 'old' AS content_hash, {_hash_sql(_HASHED)} AS new_hash FROM listings WHERE id % 12 = 0")
+_add("rehash_diff", lambda s, d: L.rehash(_stored(s, d)), ctes("listings") + f"SELECT id, 'old' AS content_hash, {_hash_sql()} AS new_hash FROM listings WHERE id % 12 = 0")
 
 
 def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +70,9 @@ _add("segment_upsert", lambda s, d: L.merge_upsert(_segments(s, d), view(s, d, "
     coalesce(t.created_at, {_T}) AS created_at, CASE WHEN u.id IS NOT NULL THEN {_T} ELSE t.updated_at END AS updated_at
     FROM segments t FULL JOIN (SELECT id + 700 AS id, total_count + 1 AS total_count FROM segments WHERE id % 3 = 0) u ON t.id = u.id""")
 _add("merge_upsert", lambda s, d: L.merge_upsert(view(s, d, "current_entities").select("external_id", "price_amount", F.col("first_seen_at").alias("created_at"), F.col("last_seen_at").alias("updated_at")), L.latest_per_key(view(s, d, "incoming"), L.KEYS, [F.desc("page"), F.desc("position")]), ["external_id"], ["price_amount"], _now()),
-     _CASES + f"SELECT external_id, CASE WHEN k <> 'D' THEN in_price_amount ELSE price_amount END AS price_amount, coalesce(first_seen_at, {_T}) AS created_at, CASE WHEN k <> 'D' THEN {_T} ELSE last_seen_at END AS updated_at FROM cases")
+     _CASES + f"SELECT external_id, CASE WHEN k <> 'D' THEN in_price_amount ELSE CAST(price_amount AS DOUBLE) END AS price_amount, coalesce(first_seen_at, {_T}) AS created_at, CASE WHEN k <> 'D' THEN {_T} ELSE last_seen_at END AS updated_at FROM cases")
+_add("append_row", lambda s, d: L.append_row(view(s, d, "runs").select("id", "run_type", "status", F.col("started_at").alias("created_at")), view(s, d, "runs").where("status = 'failed'").select("id", "run_type"), _now()),
+     ctes("runs") + f"SELECT id, run_type, status, started_at AS created_at FROM runs UNION ALL SELECT id, run_type, NULL, {_T} FROM runs WHERE status = 'failed'")
 _add("insert_if_absent", lambda s, d: L.insert_if_absent(view(s, d, "scan_queue").where(F.col("segment_id") % 2 == 0).select("segment_id", "status"), view(s, d, "segments").select(F.col("id").alias("segment_id"), F.lit("pending").alias("status")), ["segment_id"]),
      ctes("scan_queue", "segments") + "SELECT segment_id, status FROM scan_queue WHERE segment_id % 2 = 0 UNION ALL SELECT id, 'pending' FROM segments WHERE id % 2 <> 0")
 _add("append_new_ids", lambda s, d: L.new_rows(view(s, d, "incoming").select("external_id"), view(s, d, "current_entities"), "external_id"), ctes("incoming", "current_entities") + "SELECT DISTINCT external_id FROM incoming WHERE external_id NOT IN (SELECT external_id FROM current_entities)")

@@ -70,7 +70,7 @@ _add("jsonl_scan", lambda s, d: jsonl.parse_lines(_lines(s, d), "external_id STR
 
 _PARTS = "SELECT p_partkey AS id, p_name AS name, p_brand AS brand, p_retailprice AS price FROM part"
 _parts = lambda s, d: table(s, d, "part").selectExpr("p_partkey as id", "p_name as name", "p_brand as brand", "p_retailprice as price")
-_add("slugify", lambda s, d: table(s, d, "documents").select("doc_id", X.slugify(F.substring("text", 1, 60)).alias("slug")), "SELECT doc_id, regexp_replace(regexp_replace(lower(regexp_replace(strip_accents(substr(text, 1, 60)), '[^\\x00-\\x7F]', '', 'g')), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM documents")
+_add("slugify", lambda s, d: table(s, d, "documents").select("doc_id", X.slugify(F.col("text")).alias("slug")), "SELECT doc_id, regexp_replace(regexp_replace(lower(regexp_replace(strip_accents(text), '[^\\x00-\\x7F]', '', 'g')), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM documents")
 _add("ar_number", lambda s, d: _parts(s, d).select("id", X.ar_number(F.expr("concat('USD 1.', lpad(string(id % 1000), 3, '0'), ',', id % 10)")).alias("value")), f"SELECT id, CAST(1000 + id % 1000 AS DOUBLE) + (id % 10) / 10.0e0 AS value FROM ({_PARTS})")
 _URL = "case id % 4 when 0 then concat('/propiedades/clasificado/casa-', id + 100000, '.html') when 1 then concat('https://p.example/propiedades/clasificado/x-', id + 100000, '.html?x=1#a') when 2 then concat('mailto:', id) else concat('https://p.example/propiedades/emprendimiento/y-', id, '.html') end"
 _SURL = "CASE id % 4 WHEN 0 THEN '/propiedades/clasificado/casa-' || (id + 100000) || '.html' WHEN 1 THEN 'https://p.example/propiedades/clasificado/x-' || (id + 100000) || '.html?x=1#a' WHEN 2 THEN 'mailto:' || id ELSE 'https://p.example/propiedades/emprendimiento/y-' || id || '.html' END"

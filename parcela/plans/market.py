@@ -111,9 +111,9 @@ _EQUAL = S.SearchRequest(status="active", operation_type="venta", province="Sant
 _FLAGSHIP = S.SearchRequest(operation_type="venta", surface_min=20, surface_max=90, price_min=900, require_price=True, require_surface=True, min_quality=50, limit=50)
 for _name, _request, _columns, _where in (
     ("search_equality", _EQUAL, ["listing_id", "status", "operation_type", "province", "city"], "status = 'active' AND operation_type = 'venta' AND province = 'Santa Fe' AND city = 'Rosario' AND location_source = 'normalized'"),
-    ("search_ranges", S.SearchRequest(surface_min=20, surface_max=80, price_min=1000, price_max=1500), ["listing_id", "surface_total", "price_usd"], "surface_total BETWEEN 20 AND 80 AND price_usd BETWEEN 1000 AND 1500"),
+    ("search_ranges", S.SearchRequest(surface_min=20, surface_max=80, price_min=905, price_max=960), ["listing_id", "surface_total", "price_usd"], "surface_total BETWEEN 20 AND 80 AND price_usd BETWEEN 905 AND 960"),
     ("search_rooms", S.SearchRequest(rooms_min=2, rooms_max=4, bedrooms_min=1, bathrooms_max=2), ["listing_id", "rooms", "bedrooms", "bathrooms"], "rooms BETWEEN 2 AND 4 AND bedrooms >= 1 AND bathrooms <= 2"),
-    ("search_quality", S.SearchRequest(min_quality=75, market_bucket="venta_economy anodized steel"), ["listing_id", "data_quality_score", "market_bucket"], "data_quality_score >= 75 AND market_bucket = 'venta_economy anodized steel'"),
+    ("search_quality", S.SearchRequest(min_quality=75, market_bucket="venta_large"), ["listing_id", "data_quality_score", "market_bucket"], "data_quality_score >= 75 AND market_bucket = 'venta_large'"),
     ("search_required", S.SearchRequest(require_price=True, require_surface=True, require_coordinates=True), ["listing_id", "price_usd", "surface_total", "latitude", "longitude"], "price_usd IS NOT NULL AND surface_total IS NOT NULL AND latitude IS NOT NULL AND longitude IS NOT NULL"),
     ("search_radius", S.SearchRequest(lat=-34.6, lon=-58.4, radius_m=6000), ["listing_id", "latitude", "longitude"], "latitude BETWEEN -34.6 - 6000/111000.0e0 AND -34.6 + 6000/111000.0e0 AND 2 * 6371000 * asin(sqrt(least(pow(sin(radians(CAST(latitude AS DOUBLE) + 34.6e0) / 2), 2) + cos(radians(CAST(latitude AS DOUBLE))) * cos(radians(-34.6e0)) * pow(sin(radians(CAST(longitude AS DOUBLE) + 58.4e0) / 2), 2), 1.0))) <= 6000"),
     ("search_join", S.SearchRequest(), ["listing_id", "source_code", "title", "rooms"], "true"),

@@ -59,16 +59,17 @@ _add("segment_top_delta", lambda s, d: T.top_delta(changed(s, d)).select("segmen
 _VOL = {"ranked": _RANKED, "steps": "SELECT segment_id, total_count, lag(total_count) OVER (PARTITION BY segment_id ORDER BY rn DESC) AS p FROM ranked WHERE rn <= 5",
         "vol": "SELECT segment_id, coalesce(avg(CASE WHEN p > 0 THEN abs(total_count - p) / CAST(p AS DOUBLE) WHEN p = 0 THEN CASE WHEN total_count > 0 THEN 1.0e0 ELSE 0.0e0 END END), 0.0e0) AS count_volatility FROM steps GROUP BY 1"}
 _add("segment_volatility", lambda s, d: T.volatility(view(s, d, "segment_snapshots")).withColumn("count_volatility", F.round("count_volatility", 6)), ctes("segment_snapshots", more=_VOL) + "SELECT segment_id, round(count_volatility, 6) AS count_volatility FROM vol")
-_EVIDENCE = "(churn_ewma IS NOT NULL AND churn_samples >= 1)"
+_EVIDENCE = "churn_samples >= 1"
 _SCORED = {**_VOL, "scored": f"""SELECT s.id AS segment_id, portal, total_count, churn_ewma, churn_samples, count_volatility,
-      CAST(round(CAST(0.5e0 * CASE WHEN {_EVIDENCE} THEN least(churn_ewma / 0.05e0, 1.0e0) ELSE 0.0e0 END + 0.25e0 * least(coalesce(count_volatility, 0.0e0) / 0.10e0, 1.0e0) + 0.25e0 * least(total_count / 2000.0e0, 1.0e0) AS DECIMAL(18,10)), 4) AS DOUBLE) AS score, status, is_leaf, is_oversized
+      0.5e0 * CASE WHEN {_EVIDENCE} AND churn_ewma IS NOT NULL THEN least(churn_ewma / 0.05e0, 1.0e0) ELSE 0.0e0 END + 0.25e0 * least(coalesce(count_volatility, 0.0e0) / 0.10e0, 1.0e0) + 0.25e0 * least(total_count / 2000.0e0, 1.0e0) AS raw_score,
+      CAST(round(CAST(raw_score AS DECIMAL(18,10)), 4) AS DOUBLE) AS score, status, is_leaf, is_oversized
       FROM segments s LEFT JOIN vol v ON v.segment_id = s.id""",
-    "tiers": f"SELECT *, CASE WHEN NOT {_EVIDENCE} THEN 'unknown' WHEN score >= 0.7e0 THEN 'hot' WHEN score >= 0.35e0 OR total_count >= 1500 THEN 'warm' ELSE 'cold' END AS tier FROM scored"}
+    "tiers": f"SELECT *, CASE WHEN NOT {_EVIDENCE} THEN 'unknown' WHEN raw_score >= 0.7e0 THEN 'hot' WHEN raw_score >= 0.35e0 OR total_count >= 1500 THEN 'warm' ELSE 'cold' END AS tier FROM scored"}
 _add("segment_score", lambda s, d: T.score(view(s, d, "segments").withColumnRenamed("id", "segment_id").join(T.volatility(view(s, d, "segment_snapshots")), "segment_id", "left")).select("segment_id", "score", "tier"),
      ctes("segments", "segment_snapshots", more=_SCORED) + "SELECT segment_id, score, tier FROM tiers")
 _DUE = {**_SCORED, "aged": f"""SELECT t.*, (epoch_us({_TS}) - epoch_us(coalesce(completed_at, updated_at, created_at))) / 3600000000.0e0 AS age_hours, CASE tier WHEN 'hot' THEN 24.0e0 WHEN 'warm' THEN 72.0e0 WHEN 'cold' THEN 168.0e0 ELSE 72.0e0 END AS gap_hours
       FROM tiers t JOIN (SELECT segment_id, completed_at, updated_at, created_at FROM scan_queue WHERE status = 'complete') q ON q.segment_id = t.segment_id WHERE t.status = 'active' AND is_leaf AND NOT is_oversized AND total_count > 0""",
-    "due": "SELECT *, round(age_hours / gap_hours, 6) AS overdue_ratio, CAST(greatest(ceil(total_count / 20.0e0), 1) AS INT) AS estimated_pages FROM aged WHERE age_hours >= 12 AND age_hours > gap_hours"}
+    "due": "SELECT *, age_hours / gap_hours AS overdue_ratio, CAST(greatest(ceil(total_count / 20.0e0), 1) AS INT) AS estimated_pages FROM aged WHERE age_hours >= 12 AND age_hours > gap_hours"}
 
 
 def due(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import segments as T
 from ..session import shared_root
 from ..streaming import jobs as J
-from .changes import NOW, _CASES, _now
+from .changes import MERGED, _now
 from .scanning import _OUT
 from .views import ctes, view
 
@@ -80,8 +80,4 @@ def stream_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{root}/current/version={query.lastProgress['batchId'] + 1}")
 
 
-_T = f"TIMESTAMP '{NOW}'"
-_add("stream_lifecycle_merge", stream_lifecycle, _CASES + f"""SELECT source_id, external_id,
-    CASE WHEN k IN ('A','C') THEN in_status ELSE status END AS status, CASE WHEN k IN ('A','C') THEN in_price_amount ELSE price_amount END AS price_amount, CASE WHEN k IN ('A','C') THEN in_price_currency ELSE price_currency END AS price_currency,
-    coalesce(first_seen_at, {_T}) AS first_seen_at, CASE WHEN k <> 'D' THEN {_T} ELSE last_seen_at END AS last_seen_at, CASE WHEN k IN ('A','C') THEN {_T} ELSE last_changed_at END AS last_changed_at,
-    CASE WHEN k IN ('A','C') THEN in_h ELSE h END AS content_hash FROM cases""")
+_add("stream_lifecycle_merge", stream_lifecycle, MERGED)

@@ -12,6 +12,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
 
+#: A posting's payload besides status, price and title.
+_REST = """concat('https://portal.example/p-', CAST(p_partkey AS STRING), '.html') AS canonical_url, CAST(CAST('1998-01-01' AS DATE) + CAST(p_partkey % 90 AS INT) AS TS) AS source_modified_at,
+          CASE p_partkey % 3 WHEN 0 THEN 'venta' WHEN 1 THEN 'alquiler' END AS operation_type, lower(p_type) AS property_type, concat(p_name, ', ', p_brand) AS description, 'USD' AS price_currency,
+          CAST(CASE WHEN p_partkey % 4 = 1 THEN p_size * 10 END AS DECIMAL(18,2)) AS expenses_amount, CASE WHEN p_partkey % 4 = 1 THEN 'ARS' END AS expenses_currency,
+          CAST(CASE WHEN p_size % 7 <> 0 THEN 2 * p_size END AS DECIMAL(18,2)) AS surface_total, CAST(1.5 * p_size AS DECIMAL(18,2)) AS surface_covered, 'm2' AS surface_unit,
+          CAST(p_size % 6 + 1 AS INT) AS rooms, CAST(p_size % 5 AS INT) AS bedrooms, CAST(p_size % 3 + 1 AS INT) AS bathrooms, CAST(p_size % 2 AS INT) AS toilettes, CAST(p_size % 2 AS INT) AS garages,
+          CAST(p_size AS INT) AS antiquity_years, CASE WHEN p_size % 2 = 0 THEN 'Frente' END AS disposition, CASE p_size % 3 WHEN 0 THEN 'Norte' WHEN 1 THEN 'Sur' END AS orientation,
+          concat('Street ', CAST(p_size AS STRING)) AS address, p_brand AS neighborhood, 'Rosario' AS city, 'Santa Fe' AS province_name,
+          CAST(-34.5 - (p_partkey % 200) * 0.0013 AS DECIMAL(10,6)) AS lat, CAST(-58.3 - (p_partkey % 170) * 0.0017 AS DECIMAL(10,6)) AS lon,
+          CASE WHEN p_partkey % 4 <> 0 THEN concat('s', CAST(p_partkey % 40 AS STRING)) END AS seller_id, concat('Seller ', CAST(p_partkey % 40 AS STRING)) AS seller_name, 'inmobiliaria' AS seller_type,
+          CASE WHEN p_partkey % 2 = 0 THEN 'extra' END AS extra_data"""
+
 SQL: dict[str, str] = {
     "sources": "SELECT CAST(r_regionkey AS BIGINT) AS id, lower(r_name) AS code, r_regionkey <> 4 AS enabled FROM {region}",
     "listings": """SELECT p_partkey AS id, p_partkey % 5 AS source_id, CAST(p_partkey AS STRING) AS external_id,
@@ -35,20 +47,19 @@ SQL: dict[str, str] = {
         FROM {part}""",
     "snapshots": """SELECT l_orderkey * 100 + l_linenumber AS id, l_partkey AS listing_id, CAST(l_shipdate AS TS) AS captured_at,
         CAST(l_extendedprice AS DECIMAL(18,2)) AS price_amount, CASE WHEN l_returnflag = 'R' THEN 'ARS' ELSE 'USD' END AS price_currency, l_linestatus AS status FROM {lineitem}""",
-    "incoming": """SELECT l.* FROM (
-        SELECT p_partkey % 5 AS source_id, CAST(p_partkey AS STRING) AS external_id, 'active' AS status,
-          CAST(CASE WHEN p_partkey % 10 = 0 THEN p_retailprice + 1 ELSE p_retailprice END AS DECIMAL(18,2)) AS price_amount, 'USD' AS price_currency,
-          CAST(floor(p_partkey / 20) AS INT) AS page, CAST(p_partkey % 20 AS INT) AS position FROM {part} WHERE p_partkey % 17 <> 0
-        UNION ALL SELECT p_partkey % 5, concat('new-', CAST(p_partkey AS STRING)), 'active', CAST(p_retailprice AS DECIMAL(18,2)), 'USD', 9999, CAST(p_partkey AS INT) FROM {part} WHERE p_partkey <= 100
-        UNION ALL SELECT p_partkey % 5, CAST(p_partkey AS STRING), 'paused', CAST(p_retailprice AS DECIMAL(18,2)), 'USD', 10000, CAST(p_partkey AS INT) FROM {part} WHERE p_partkey % 101 = 0) l""",
-    "current_entities": """SELECT p_partkey % 5 AS source_id, CAST(p_partkey AS STRING) AS external_id, 'active' AS status, CAST(p_retailprice AS DECIMAL(18,2)) AS price_amount,
-        'USD' AS price_currency, CAST('1998-01-01 00:00:00' AS TS) AS first_seen_at, CAST('1998-06-01 00:00:00' AS TS) AS last_seen_at, CAST('1998-03-01 00:00:00' AS TS) AS last_changed_at FROM {part}""",
+    "incoming": f"""SELECT l.* FROM (
+        SELECT p_partkey % 5 AS source_id, CAST(p_partkey AS STRING) AS external_id, 'active' AS status, CASE WHEN p_partkey % 10 = 0 THEN p_retailprice + 1 ELSE p_retailprice END AS price_amount, concat(p_name, ' (seen)') AS generated_title, {_REST},
+          CAST(floor(p_partkey / 20) AS INT) AS page, CAST(p_partkey % 20 AS INT) AS position FROM {{part}} WHERE p_partkey % 17 <> 0
+        UNION ALL SELECT p_partkey % 5, concat('new-', CAST(p_partkey AS STRING)), 'active', p_retailprice, concat(p_name, ' (new)'), {_REST}, 9999, CAST(p_partkey AS INT) FROM {{part}} WHERE p_partkey <= 100
+        UNION ALL SELECT p_partkey % 5, CAST(p_partkey AS STRING), 'paused', p_retailprice, concat(p_name, ' (paused)'), {_REST}, 10000, CAST(p_partkey AS INT) FROM {{part}} WHERE p_partkey % 101 = 0) l""",
+    "current_entities": f"""SELECT p_partkey + 5000000 AS id, p_partkey % 5 AS source_id, CAST(p_partkey AS STRING) AS external_id, 'active' AS status, CAST(p_retailprice AS DECIMAL(18,2)) AS price_amount, p_name AS generated_title, {_REST},
+        CAST('1998-01-01 00:00:00' AS TS) AS first_seen_at, CAST('1998-06-01 00:00:00' AS TS) AS last_seen_at, CAST('1998-03-01 00:00:00' AS TS) AS last_changed_at FROM {{part}}""",
     "segments": """SELECT c_custkey AS id, 'portal' AS portal, c_mktsegment AS operation_key, CAST(c_nationkey AS STRING) AS province_key, CAST(c_custkey % 5 AS INT) AS depth,
         CAST((c_custkey % CASE c_custkey % 5 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 4 WHEN 3 THEN 8 ELSE 16 END) * (16000 / CASE c_custkey % 5 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 4 WHEN 3 THEN 8 ELSE 16 END) AS DOUBLE) AS price_min,
         CAST((c_custkey % CASE c_custkey % 5 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 4 WHEN 3 THEN 8 ELSE 16 END + 1) * (16000 / CASE c_custkey % 5 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 4 WHEN 3 THEN 8 ELSE 16 END) AS DOUBLE) AS price_max,
         CAST(0 AS DOUBLE) AS surface_min, CAST(1000 AS DOUBLE) AS surface_max, CAST(c_custkey * 7 % 2600 AS INT) AS total_count,
         c_custkey % 5 <> 0 AS is_leaf, c_custkey % 37 = 0 AS is_oversized, CASE WHEN c_custkey % 23 = 0 THEN 'inactive' ELSE 'active' END AS status,
-        CASE WHEN c_custkey % 2 = 1 THEN (c_custkey % 70) / 1000.0E0 END AS churn_ewma, CAST(CASE WHEN c_custkey % 2 = 1 THEN c_custkey % 4 ELSE 0 END AS INT) AS churn_samples,
+        CASE WHEN c_custkey % 2 = 1 THEN (c_custkey % 70) / 1000.0E0 END AS churn_ewma, CAST(CASE WHEN c_custkey % 2 = 1 THEN c_custkey % 4 WHEN c_custkey % 10 = 0 THEN 3 ELSE 0 END AS INT) AS churn_samples,
         CAST('1998-01-01 00:00:00' AS TS) AS created_at, CAST('1998-02-01 00:00:00' AS TS) AS updated_at FROM {customer}""",
     "segment_snapshots": "SELECT o_orderkey AS id, o_custkey AS segment_id, CAST(o_orderdate AS TS) AS captured_at, CAST(floor(o_totalprice / 1000) AS INT) AS total_count FROM {orders}",
     "scan_queue": """SELECT c_custkey + 100000 AS id, c_custkey AS segment_id, CASE c_custkey % 4 WHEN 0 THEN 'pending' WHEN 1 THEN 'complete' WHEN 2 THEN 'running' ELSE 'complete' END AS status,
@@ -70,7 +81,7 @@ SQL: dict[str, str] = {
         CASE c_custkey % 5 WHEN 0 THEN 'success' WHEN 1 THEN 'failed' WHEN 2 THEN 'partial' WHEN 3 THEN 'running' ELSE 'queued' END AS status,
         CAST(CAST('1998-01-01' AS DATE) + CAST(c_custkey % 90 AS INT) AS TS) AS started_at,
         CASE WHEN c_custkey % 5 < 3 THEN CAST(CAST('1998-01-02' AS DATE) + CAST(c_custkey % 90 AS INT) AS TS) END AS finished_at FROM {customer}""",
-    "pages_seen": "SELECT l_suppkey AS segment, l_linenumber + CAST(l_orderkey % 6 AS INT) * 7 AS page, l_partkey % 30 AS item FROM {lineitem} WHERE l_orderkey % 3 = 0",
+    "pages_seen": "SELECT l_suppkey AS segment, l_linenumber + CAST(l_orderkey % 6 AS INT) * 7 AS page, l_partkey % 30 AS item FROM {lineitem}",
     "catalog_pages": "SELECT user_id AS catalog, event_id AS page, CASE WHEN event_type = 'error' THEN 'error' WHEN event_type IN ('view', 'click') THEN 'empty' ELSE 'ok' END AS result FROM {events}",
     "tree_rows": "SELECT concat(l_returnflag, l_linestatus) AS root, l_extendedprice AS price, l_quantity AS surface FROM {lineitem}",
 }

@@ -55,10 +55,8 @@ def merge_batches(incoming: DataFrame, current_path: str, snapshot_path: str, ch
     def merge(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
         current = spark.read.parquet(f"{current_path}/version={n}")
-        payload = [c for c in current.columns if c not in ("content_hash",)]
-        held = current.select(*payload)
-        L.merge(held, batch, now).write.mode("overwrite").parquet(f"{current_path}/version={n + 1}")
-        L.snapshots(L.classify(held, batch), now).write.mode("overwrite").parquet(f"{snapshot_path}/batch={n}")
+        L.merge(current, batch, now).write.mode("overwrite").parquet(f"{current_path}/version={n + 1}")
+        L.snapshots(L.classify(current, batch), now).write.mode("overwrite").parquet(f"{snapshot_path}/batch={n}")
 
     return incoming.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

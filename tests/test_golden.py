@@ -1,5 +1,11 @@
 """Golden cases of the scoring and invalidation rules, search validation, and null and tie cases."""
 
+import hashlib
+import json
+import re
+import unicodedata
+from decimal import Decimal
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -84,6 +90,66 @@ def test_pending_order_and_stale(spark):
     assert [r["status"] for r in done] == ["pending", "running", "running"]
 
 
+def test_score_tiers_by_the_sum_itself(spark):
+    """0.69995 rounds to the limit but is under it; samples alone are evidence, whatever the churn."""
+    near = 0.05 * (0.69995 - 0.25 - 0.25 * 0.6) / 0.5
+    rows = spark.createDataFrame([(1, near, 3, 0.10, 1200), (2, None, 3, 0.0, 1800), (3, 0.05, 0, 0.2, 2000), (4, 0.05, None, 0.2, 10)], "i int, churn_ewma double, churn_samples int, count_volatility double, total_count int")
+    got = {r["i"]: (r["tier"], r["score"]) for r in T.score(rows).collect()}
+    assert {k: v[0] for k, v in got.items()} == {1: "warm", 2: "warm", 3: "unknown", 4: "unknown"} and got[1][1] in (0.6999, 0.7)
+
+
+def test_content_hash_is_one_for_all_number_types(spark):
+    content = {"price_amount": 120000, "price_currency": "US\"D", "expenses_amount": 10.5, "surface_total": 80, "rooms": 3, "bedrooms": None, "bathrooms": 1, "garages": None, "status": "active", "seller_id": "ñ1"}
+    want = hashlib.sha256(json.dumps(content, sort_keys=True, ensure_ascii=False).encode()).hexdigest()
+    rows = spark.range(1).select(F.lit("US\"D").alias("price_currency"), F.lit("active").alias("status"), F.lit("ñ1").alias("seller_id"), F.lit(1).alias("bathrooms"), F.lit(3).cast("long").alias("rooms"))
+    for price, surface, expenses in (("decimal(18,2)", "double", "double"), ("double", "int", "decimal(12,4)"), ("string", "decimal(9,3)", "string")):
+        typed = rows.select("*", F.lit(120000).cast(price).alias("price_amount"), F.lit(80).cast(surface).alias("surface_total"), F.lit("10.50").cast(expenses).alias("expenses_amount"))
+        assert typed.select(lifecycle.content_hash(typed.columns)).first()[0] == want
+
+
+def test_merge_carries_the_whole_payload(spark):
+    at = F.lit("1999-01-01 00:00:00").cast("timestamp_ntz")
+    cols = "id long, source_id long, external_id string, canonical_url string, generated_title string, status string, price_amount decimal(18,2), rooms int"
+    old = spark.createDataFrame([(7, 1, "a", "u", "t", "active", 5, 2), (8, 1, "b", "u", "t", "active", 5, 2)], cols.replace("decimal(18,2)", "int")).withColumn("price_amount", F.col("price_amount").cast("decimal(18,2)"))
+    for c in ("first_seen_at", "last_seen_at", "last_changed_at"):
+        old = old.withColumn(c, F.lit("1998-01-01 00:00:00").cast("timestamp_ntz"))
+    new = spark.createDataFrame([(1, "a", "u2", "t\0 2", "active", 5.0, 2, 1, 1), (1, "b", "u2", "t2", "active", 6.0, None, 1, 2), (1, "c", "u3", "t3", "paused", 1.5, 1, 1, 3)], "source_id long, external_id string, canonical_url string, generated_title string, status string, price_amount double, rooms int, page int, position int")
+    got = {r["external_id"]: r for r in lifecycle.merge(old, new, at).collect()}
+    pick = lambda k: tuple(got[k][c] for c in ("id", "canonical_url", "generated_title", "price_amount", "rooms"))
+    assert pick("a") == (7, "u", "t", 5, 2) and pick("b") == (8, "u2", "t2", 6, None) and pick("c")[0] is None and pick("c")[1:4] == ("u3", "t3", Decimal("1.50"))
+    assert got["a"]["last_changed_at"].year == 1998 and got["b"]["last_changed_at"].year == 1999 and got["a"]["last_seen_at"].year == 1999
+    assert {r["external_id"]: r["canonical_url"] for r in lifecycle.snapshots(lifecycle.classify(old, new), at).collect()} == {"b": "u2", "c": "u3"}
+
+
+def test_stream_merge_replays_batches(spark, tmp_path):
+    """Three batches, then the last one again from its start: the same tables as plain merges one after the other."""
+    now = F.lit("1999-01-01 00:00:00").cast("timestamp_ntz")
+    cols = "source_id long, external_id string, status string, price_amount double, generated_title string, page int, position int"
+    batches = [[(1, "a", "active", 1.0, "x", 1, 1)], [(1, "a", "active", 2.0, "y", 1, 1), (1, "b", "active", 1.0, "z", 1, 2)], [(1, "b", "active", 1.0, "later", 1, 1)]]
+    start = spark.createDataFrame([], "source_id long, external_id string, status string, price_amount double, generated_title string, first_seen_at timestamp_ntz, last_seen_at timestamp_ntz, last_changed_at timestamp_ntz, content_hash string")
+    start.write.parquet(f"{tmp_path}/current/version=0")
+    want = start
+    for k, rows in enumerate(batches):
+        made = spark.createDataFrame(rows, cols)
+        made.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        jobs.merge_batches(spark.readStream.schema(made.schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/current", f"{tmp_path}/snapshots", f"{tmp_path}/checkpoint", now).awaitTermination()
+        want = spark.createDataFrame(lifecycle.merge(want, made, now).select(start.columns).collect(), start.schema)
+    last = f"{tmp_path}/current/version={len(batches)}"
+    once = sorted(map(tuple, spark.read.parquet(last).select(start.columns).collect()))
+    assert once == sorted(map(tuple, want.select(start.columns).collect())) and [r[4] for r in once] == ["y", "z"]
+    for name in (str(len(batches) - 1), f".{len(batches) - 1}.crc"):
+        (tmp_path / "checkpoint" / "commits" / name).unlink(missing_ok=True)
+    jobs.merge_batches(spark.readStream.schema(made.schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/current", f"{tmp_path}/snapshots", f"{tmp_path}/checkpoint", now).awaitTermination()
+    assert sorted(map(tuple, spark.read.parquet(last).select(start.columns).collect())) == once
+    assert spark.read.parquet(f"{tmp_path}/snapshots").count() == 3
+
+
+def test_slugs_by_decomposition(spark):
+    texts = ["Łódź ½ ﬁn", "Ñandú  Árbol!", "Ⅷ ㎏ Ａｂ", "ß æ", "", "--x--"]
+    want = ["-".join(re.findall("[a-z0-9]+", unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode().lower())) for t in texts]
+    assert [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(X.slugify(F.col("t"))).collect()] == want
+
+
 def test_empty_batch_rate(spark):
     assert ops.batch_summary(spark.createDataFrame([], "b int, f boolean"), "b", F.col("f")).count() == 0
 
