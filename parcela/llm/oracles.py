@@ -89,7 +89,7 @@ def revisits() -> str:
     )
     query = "regexp_replace(regexp_replace(regexp_extract(r, '\\?(.*)$', 1), '(?:^|&)" + V.TRACKING + "=[^&]*', '', 'g'), '^&+', '')"
     return rf"""
-    WITH p AS (SELECT page_id AS p, url, coalesce(html, '') AS h, substr(md5(coalesce(html, '')), 1, 16) AS tag, 'day ' || (page_id % 365) AS day FROM pages WHERE page_id IS NOT NULL AND url IS NOT NULL),
+    WITH p AS (SELECT page_id AS p, CASE WHEN page_id IS NOT NULL THEN url END AS url, coalesce(html, '') AS h, substr(md5(coalesce(html, '')), 1, 16) AS tag, 'day ' || (page_id % 365) AS day FROM pages),
     raw AS (SELECT p * 4 AS record_id, url, p * 10 AS ts, 'response' AS kind, tag AS etag, day AS date, md5(h) AS digest, strlen(h)::VARCHAR AS size FROM p
       UNION ALL SELECT p * 4 + 1, url, CASE WHEN p % 11 = 0 THEN p * 10 - 5 ELSE p * 10 + 7 + p % 5 * 1000 END, 'revisit', CASE WHEN p % 13 = 0 THEN NULL WHEN p % 7 = 0 THEN 'stale' ELSE 'W/' || tag END, CASE WHEN p % 26 = 0 THEN NULL ELSE day END, NULL, '0' FROM p
       UNION ALL SELECT p * 4 + 2, {host} || '/robots.txt', p * 10 + 1, CASE WHEN p % 50 = 0 THEN 'response' ELSE 'revisit' END, 'robots-' || (p - p % 50), NULL, CASE WHEN p % 50 = 0 THEN 'robots-' || (p - p % 50) END, CASE WHEN p % 50 = 0 THEN strlen(h)::VARCHAR ELSE '0' END FROM p),

@@ -4,33 +4,25 @@ A revisit record says that a page had not changed since an earlier capture. It i
 canonical URL, to the latest earlier full response; their validators are compared, and the headers
 that a 304 response may update (RFC 9110, 15.4.5) are laid over the stored ones.
 
-One URL may hold a third of all captures, so the as-of join has two levels. Time is cut into
-chunks; a window within (URL, chunk) finds matches of the same chunk, and a second window over one
-row a (URL, chunk) carries the last response of earlier chunks forward. Payloads stay where they
-are: records carry a digest.
+One URL may hold a third of all captures, or all of them at one time, so the as-of join has two levels.
+Captures are written in chunks, ranges of (URL, time, record) of even size; a window within (URL,
+chunk) finds matches of the same chunk, and a second window over one row a (URL, chunk) carries the
+last response of earlier chunks forward. Payloads stay where they are: records carry a digest.
 """
 
 from __future__ import annotations
 
-import math
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 # The header fields that a 304 response may update.
 PERMITTED_HEADERS = ("cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
 # Query parameters that do not change a page.
 TRACKING = r"(?:utm_[^=&]*|ref|fbclid|gclid)"
 
 
-@dataclass(frozen=True)
-class RevisitConfig:
-    """``chunks``: the number of time chunks; by default the root of the number of captures, so that one URL's rows in a chunk and its chunks are alike in number."""
-
-    chunks: int | None = None
-
-
 def canonical_url(url: Column) -> Column:
     """Host in lower case without ``www.``, path and query without scheme, fragment, tracking parameters and closing slash."""
     rest = F.regexp_replace(F.regexp_replace(url, "^[A-Za-z][A-Za-z0-9+.-]*://", ""), "#.*$", "")
@@ -53,7 +45,7 @@ def merge_headers(stored: Column, update: Column) -> Column:
     return F.map_concat(kept, allowed)
 
 
-def resolve_revisits(captures: DataFrame, config: RevisitConfig = RevisitConfig()) -> DataFrame:
+def resolve_revisits(captures: DataFrame, chunks: int | None = None) -> DataFrame:
     """Every revisit with the response it stands for.
 
     ``captures``: ``record_id, url, ts (long), record_type ('response' or 'revisit'), etag,
@@ -63,13 +55,12 @@ def resolve_revisits(captures: DataFrame, config: RevisitConfig = RevisitConfig(
     has validators that do not, ``unvalidated`` if it has none, ``orphan`` without an earlier
     response; only a resolved one gets headers and digest of the response. Null URLs are orphans; a
     null ``ts`` comes before all others. Repeated revisits are resolved one by one. Other columns
-    are ignored; empty in, empty out.
+    are ignored; empty in, empty out. ``chunks``: their number; by default as many as shuffle partitions.
     """
     base = captures.select("record_id", "url", "ts", "record_type", "etag", "last_modified", "headers", "payload_digest").withColumn("__u", canonical_url(F.col("url")))
-    span = base.agg(F.min("ts").alias("a"), F.max("ts").alias("b"), F.count(F.lit(1)).alias("n")).first()
-    chunks = config.chunks or max(1, math.isqrt(span["n"]))
-    width = max(1, -(-((span["b"] or 0) - (span["a"] or 0) + 1) // chunks))
-    base = base.withColumn("__c", F.coalesce(F.floor((F.col("ts") - F.lit(span["a"] or 0)) / F.lit(width)), F.lit(-1)))
+    ranges = ["__u", "ts", "record_id"]
+    dealt = base.repartitionByRange(chunks, *ranges) if chunks else base.repartitionByRange(*ranges)
+    base = materialize(dealt.withColumn("__c", F.spark_partition_id()), "captures")
 
     response = F.struct(F.col("record_id").alias("id"), "etag", "last_modified", "headers", "payload_digest")
     full = F.when((F.col("record_type") == "response") & F.col("__u").isNotNull(), response)
@@ -98,10 +89,12 @@ def captures_of_pages(pages: DataFrame) -> DataFrame:
 
     ``page_id`` gives the order of time. Every fiftieth page is also a full response for
     ``robots.txt``, the others a revisit of it, so one host can hold most captures of a URL. Some
-    revisits come before the response, have another tag, or only a date.
+    revisits come before the response, have another tag, or only a date. A page without an id has no
+    place in time, so its captures have no URL, and those of a page without a URL neither.
     """
     p, html = F.col("page_id"), F.coalesce(F.col("html"), F.lit(""))
-    host = F.regexp_extract("url", "^[A-Za-z]+://[^/?#]*", 0)
+    url = F.when(p.isNotNull(), F.col("url"))
+    host = F.regexp_extract(url, "^[A-Za-z]+://[^/?#]*", 0)
     tag, day = F.substring(F.md5(html.cast("binary")), 1, 16), F.concat(F.lit("day "), (p % 365).cast("string"))
 
     def record(k: int, url: Column, ts: Column, kind: Column, etag: Column, date: Column, digest: Column) -> Column:
@@ -122,8 +115,8 @@ def captures_of_pages(pages: DataFrame) -> DataFrame:
     robots_tag = F.concat(F.lit("robots-"), (p - p % 50).cast("string"))
     is_head = p % 50 == 0
     records = F.array(
-        record(0, F.col("url"), p * 10, F.lit("response"), tag, day, F.md5(html.cast("binary"))),
-        record(1, F.col("url"), late, F.lit("revisit"), F.when(p % 13 == 0, none).when(p % 7 == 0, "stale").otherwise(F.concat(F.lit("W/"), tag)), F.when(p % 26 == 0, none).otherwise(day), none),
+        record(0, url, p * 10, F.lit("response"), tag, day, F.md5(html.cast("binary"))),
+        record(1, url, late, F.lit("revisit"), F.when(p % 13 == 0, none).when(p % 7 == 0, "stale").otherwise(F.concat(F.lit("W/"), tag)), F.when(p % 26 == 0, none).otherwise(day), none),
         record(2, F.concat(host, F.lit("/robots.txt")), p * 10 + 1, F.when(is_head, "response").otherwise("revisit"), robots_tag, none, robots_tag),
     )
-    return pages.where(p.isNotNull() & F.col("url").isNotNull()).select(F.inline(records))
+    return pages.select(F.inline(records))
