@@ -56,12 +56,16 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents appended as eight arrivals, compacted, and read back from the last version."""
+    """Documents as eight arrivals by id, each appended and compacted into what is there, and read back from the last version."""
     docs = table(spark, sf_dir, "documents")
     store = sharding.ShardStore(spark, f"{shared_root(spark)}/parcela/shards-{uuid.uuid4().hex}", docs.schema)
-    store.append(docs, arrivals=8)
-    store.compact_fully()
-    store.vacuum()
+    span = docs.agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).first()
+    cuts = [(span["a"] or 0) + ((span["b"] or 0) - (span["a"] or 0) + 1) * k // 8 for k in range(1, 8)]
+    for k in range(8):
+        arrival = F.col("doc_id").isNull() | (F.col("doc_id") < cuts[0]) if k == 0 else F.col("doc_id") >= cuts[k - 1]
+        store.append(docs.where(arrival if k in (0, 7) else arrival & (F.col("doc_id") < cuts[k])))
+        store.compact_fully()
+        store.vacuum()
     return store.read().select("doc_id", "lang", "source", "n_chars", F.octet_length("text").cast("long").alias("n_bytes"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 

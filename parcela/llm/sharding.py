@@ -3,14 +3,21 @@
 Arrivals are appended as small immutable shards. Shards of similar size (a tier of the logarithm of
 their size) are merged into files of the target size once there are enough of them. Every change is
 a new manifest version, a table of the live shards, that one rename makes visible; a reader sees
-one version, and a failed or lost job leaves files that no version names. DataFrame operations
-only; the driver handles file names, never rows.
+one version, and a failed or lost job leaves files that no version names. A run is marked while it
+writes, so that a vacuum spares files that are about to be committed. DataFrame operations only; the
+driver handles file names, never rows, and of a merge no more than ``merge_files`` at once.
+
+Rows are stored as they are: nulls and repeated rows stay, an empty arrival adds no shard, and columns
+that the store's schema lacks are dropped.
 """
 
 from __future__ import annotations
 
 import math
+import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,11 +29,13 @@ MANIFEST = "path string, bytes long, n_rows long"
 
 @dataclass(frozen=True)
 class ShardConfig:
-    """Files under ``small_bytes`` are tier 0, each next tier is ``fan_in`` times as large; ``fan_in`` shards of a tier are merged."""
+    """Files under ``small_bytes`` are tier 0, each next tier is ``fan_in`` times as large; ``fan_in`` to ``merge_files`` shards of a tier are merged at once. A mark older than ``stale_seconds`` is of a lost run."""
 
     target_bytes: int = 128 * 1024 * 1024
     small_bytes: int = 64 * 1024
     fan_in: int = 4
+    merge_files: int = 10_000
+    stale_seconds: float = 7 * 86_400
 
 
 class CommitConflict(RuntimeError):
@@ -77,36 +86,41 @@ class ShardStore:
         files = self.spark.read.schema(self.schema).option("recursiveFileLookup", "true").parquet(f"{self.path}/data/{run}")
         return files.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("bytes")).groupBy("path", "bytes").agg(F.count(F.lit(1)).alias("n_rows")).select("path", "bytes", "n_rows")
 
-    def append(self, rows: DataFrame, arrivals: int = 1) -> int:
-        """Write ``rows`` as new shards and commit them; with ``arrivals`` over 1 they are dealt by hash into as many runs of shards."""
-        version = self.version()
-        run = f"append-{uuid.uuid4().hex}"
-        rows = rows.select(*[F.col(f.name).cast(f.dataType) for f in self.schema])
-        out = f"{self.path}/data/{run}"
-        if arrivals > 1:
-            rows.withColumn("__arrival", F.pmod(F.xxhash64(self.schema.fieldNames()[0]), F.lit(arrivals))).write.partitionBy("__arrival").parquet(out)
-        else:
-            rows.write.parquet(out)
-        return self._commit(self.manifest(version).unionByName(self._shards(run)), version + 1)
+    @contextmanager
+    def _run(self, kind: str) -> Iterator[str]:
+        """The name of a new run, marked until it is committed or has failed."""
+        run = f"{kind}-{uuid.uuid4().hex}"
+        mark = self._path(f"{self.path}/running/{run}")
+        self._fs.mkdirs(mark)
+        try:
+            yield run
+        finally:
+            self._fs.delete(mark, True)
+
+    def append(self, rows: DataFrame) -> int:
+        """Write ``rows`` as new shards and commit them on the version that is then the latest."""
+        with self._run("append") as run:
+            rows.select(*[F.col(f.name).cast(f.dataType) for f in self.schema]).write.parquet(f"{self.path}/data/{run}")
+            version = self.version()
+            return self._commit(self.manifest(version).unionByName(self._shards(run)), version + 1)
 
     def _tiers(self, shards: DataFrame) -> DataFrame:
         tier = F.floor(F.log(F.greatest(F.col("bytes") / self.config.small_bytes, F.lit(1.0))) / math.log(self.config.fan_in)).cast("int")
         return shards.withColumn("tier", F.when(F.col("bytes") < 0.75 * self.config.target_bytes, tier))
 
     def compact(self) -> int | None:
-        """Merge every tier that has ``fan_in`` shards and commit the result; None where no tier has."""
+        """Merge the smallest tier that has ``fan_in`` shards, the smallest of them first, and commit the result; None where no tier has."""
         version = self.version()
         live = self._tiers(self.manifest(version))
-        ready = live.where(F.col("tier").isNotNull()).groupBy("tier").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"), F.collect_list("path").alias("paths")).where(F.col("n") >= self.config.fan_in).orderBy("tier").collect()
-        if not ready:
+        ready = live.where(F.col("tier").isNotNull()).groupBy("tier").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= self.config.fan_in).orderBy("tier").first()
+        if ready is None:
             return None
-        run = f"merge-{uuid.uuid4().hex}"
-        for r in ready:
-            files = max(1, -(-r["bytes"] // self.config.target_bytes))
-            self.spark.read.schema(self.schema).parquet(*sorted(r["paths"])).coalesce(files).write.parquet(f"{self.path}/data/{run}/tier={r['tier']}")
-        gone = {r["tier"] for r in ready}
-        rest = live.where(F.col("tier").isNull() | ~F.col("tier").isin(*gone)).drop("tier")
-        return self._commit(rest.unionByName(self._shards(run)), version + 1)
+        chosen = live.where(F.col("tier") == ready["tier"]).orderBy("bytes", "path").limit(self.config.merge_files).select("path", "bytes").collect()
+        with self._run("merge") as run:
+            files = max(1, -(-sum(r["bytes"] for r in chosen) // self.config.target_bytes))
+            self.spark.read.schema(self.schema).parquet(*[r["path"] for r in chosen]).coalesce(files).write.parquet(f"{self.path}/data/{run}")
+            gone = self.spark.createDataFrame([(r["path"],) for r in chosen], "path string")
+            return self._commit(live.drop("tier").join(gone, "path", "left_anti").unionByName(self._shards(run)), version + 1)
 
     def compact_fully(self) -> int:
         """Compact until no tier has enough shards; each step has fewer shards than the one before."""
@@ -115,13 +129,22 @@ class ShardStore:
         return self.version()
 
     def vacuum(self, keep_versions: int = 1) -> int:
-        """Delete data files that none of the last versions names; returns how many."""
+        """Delete data files that none of the last versions names, but for runs that are marked; returns how many.
+
+        Files are listed first, then marks, then versions: a listed file's run is still marked, or it
+        has been committed and a version names it.
+        """
+        listed, dropped = [], 0
+        files = self._fs.listFiles(self._path(f"{self.path}/data"), True)
+        while files.hasNext():
+            listed.append(files.next().getPath())
+        marks = self._path(f"{self.path}/running")
+        fresh = (time.time() - self.config.stale_seconds) * 1000
+        running = {s.getPath().getName() for s in self._fs.listStatus(marks) if s.getModificationTime() > fresh} if self._fs.exists(marks) else set()
         latest = self.version()
         kept = {r["path"].rsplit("/data/", 1)[1] for v in range(max(1, latest - keep_versions + 1), latest + 1) for r in self.manifest(v).select("path").collect()}
-        files, dropped = self._fs.listFiles(self._path(f"{self.path}/data"), True), 0
-        while files.hasNext():
-            path = files.next().getPath()
+        for path in listed:
             name = path.toString().rsplit("/data/", 1)[1]
-            if name.endswith(".parquet") and name not in kept:
+            if name.endswith(".parquet") and name not in kept and name.split("/", 1)[0] not in running:
                 dropped += bool(self._fs.delete(path, False))
         return dropped

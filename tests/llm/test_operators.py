@@ -325,7 +325,7 @@ def test_compaction_keeps_rows_and_versions(spark, tmp_path):
     store = sharding.ShardStore(spark, f"file://{tmp_path}/s", rows.schema, sharding.ShardConfig(target_bytes=60_000, small_bytes=4_000, fan_in=3))
     assert store.version() == 0 and store.read().count() == 0
     for k in range(4):
-        store.append(rows.where(F.col("doc_id") % 4 == k), arrivals=3)
+        store.append(rows.where(F.col("doc_id") % 4 == k).repartition(3))
     before = store.version()
     assert store.compact_fully() > before
     assert store.manifest().count() < store.manifest(before).count()
@@ -337,6 +337,39 @@ def test_compaction_keeps_rows_and_versions(spark, tmp_path):
         store._commit(store.manifest(), store.version())
 
 
+def test_shards_of_odd_rows(spark, tmp_path, odd, none):
+    """Nulls, repeats, empty arrivals and extra columns; merges of a few files at a time."""
+    schema = odd.select("doc_id", "text").schema
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/s", schema, sharding.ShardConfig(fan_in=2, merge_files=2))
+    for _ in range(3):
+        store.append(odd.repartition(2).withColumn("__arrival", F.lit(1)))
+        store.append(none)
+    want = Counter(map(tuple, odd.select("doc_id", "text").collect() * 3))
+    store.compact_fully()
+    assert Counter(map(tuple, store.read().collect())) == want and store.read().columns == ["doc_id", "text"]
+
+
+def test_vacuum_spares_what_is_about_to_be_committed(spark, tmp_path, monkeypatch):
+    rows = spark.range(100).select(F.col("id").alias("doc_id"))
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/s", rows.schema, sharding.ShardConfig(fan_in=2))
+    other = sharding.ShardStore(spark, f"file://{tmp_path}/s", rows.schema, sharding.ShardConfig(fan_in=2))
+    store.append(rows)
+    commit = store._commit
+
+    def late(shards, version):
+        assert other.vacuum() == 0  # the files are written, and no version names them yet
+        return commit(shards, version)
+
+    monkeypatch.setattr(store, "_commit", late)
+    store.append(rows)
+    store.compact_fully()
+    assert store.read().count() == 200 and other.vacuum() > 0 and store.read().count() == 200
+    stale = sharding.ShardStore(spark, f"file://{tmp_path}/s", rows.schema, sharding.ShardConfig(stale_seconds=-1))
+    rows.write.parquet(f"file://{tmp_path}/s/data/append-lost")
+    (tmp_path / "s" / "running" / "append-lost").mkdir()
+    assert other.vacuum() == 0 and stale.vacuum() > 0
+
+
 def test_revisit_cases(spark):
     cols = "record_id long, url string, ts long, record_type string, etag string, last_modified string, headers map<string,string>, payload_digest string"
     h = {"etag": "a", "content-length": "9"}
@@ -346,11 +379,38 @@ def test_revisit_cases(spark):
         (6, "http://x.org/a", 50, "revisit", None, None, None, None), (7, None, 50, "revisit", "a", None, None, None), (8, "http://x.org/a", 30, "revisit", "b", None, None, None),
     ]
     for chunks in (None, 1, 7):
-        got = {r["record_id"]: r for r in revisits.resolve_revisits(spark.createDataFrame(rows, cols), revisits.RevisitConfig(chunks=chunks)).collect()}
+        got = {r["record_id"]: r for r in revisits.resolve_revisits(spark.createDataFrame(rows, cols), chunks).collect()}
         assert {k: (r["target_id"], r["outcome"]) for k, r in got.items()} == {2: (1, "resolved"), 3: (None, "orphan"), 5: (4, "mismatch"), 6: (4, "unvalidated"), 7: (None, "orphan"), 8: (4, "resolved")}
         assert got[2]["headers"] == {"etag": "a", "content-length": "9", "date": "now"} and got[2]["payload_digest"] == "p1"
 
 
+def test_revisits_against_a_plain_search(spark):
+    """One URL with bursts at one time, null times, repeated rows, long values and clashing extra columns."""
+    rng = np.random.default_rng(4)
+    cols = "record_id long, url string, ts long, record_type string, etag string, last_modified string, headers map<string,string>, payload_digest string, __u string, __c int, outcome string"
+    rows = []
+    for i in range(400):
+        kind = "response" if rng.random() < 0.2 else "revisit"
+        url = [f"http://x.org/{'long' * 5000}", "http://x.org/b", None][int(rng.choice(3, p=[0.7, 0.2, 0.1]))]
+        ts = None if rng.random() < 0.05 else int(rng.choice([0, 5, 5, 7, int(rng.integers(0, 10**9))]))
+        rows.append((i, url, ts, kind, f"e{rng.integers(0, 3)}", None, {"etag": "e"}, f"p{i}" if kind == "response" else None, "x", 1, "y"))
+    rows += [r for r in rows if r[3] == "revisit"][:20]
+    place = lambda r: (r[2] is not None, r[2] or 0, r[0])
+    want = Counter()
+    for r in rows:
+        if r[3] == "revisit":
+            before = [f for f in rows if r[1] is not None and f[3] == "response" and f[1] == r[1] and place(f) < place(r)]
+            f = max(before, key=place, default=None)
+            want[r[0], f and f[0], "orphan" if f is None else "resolved" if f[4] == r[4] else "mismatch"] += 1
+    captures = spark.createDataFrame(rows, cols)
+    for chunks in (None, 1, 50):
+        assert Counter((r["record_id"], r["target_id"], r["outcome"]) for r in revisits.resolve_revisits(captures, chunks).collect()) == want
+    assert revisits.resolve_revisits(captures.where("false")).count() == 0
+    pages = spark.createDataFrame([(1, "http://a.org/x", "h"), (None, "http://a.org/x", "h"), (2, None, None)], "page_id long, url string, html string")
+    got = revisits.resolve_revisits(revisits.captures_of_pages(pages)).collect()
+    assert Counter(r["outcome"] for r in got if r["canonical_url"] is None) == Counter({"orphan": 4}) and len(got) == 6
+
+
 def test_odd_and_empty_tables(spark, odd, none):
     bench = spark.createDataFrame([(1, "one two three four five six")], "item_id long, text string")
     labels = spark.createDataFrame([(1, 1), (2, 0), (None, 1), (5, None)], "doc_id long, quality int")
