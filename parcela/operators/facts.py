@@ -53,8 +53,8 @@ def price_history(snapshots: DataFrame) -> DataFrame:
     """
     priced = (F.col("price_currency") == "USD") & F.col("price_amount").isNotNull()
     rows = snapshots.select("listing_id", "id", "captured_at", F.coalesce(priced, F.lit(False)).alias("__usd"), F.when(priced, F.col("price_amount")).alias("__price"))
-    order = Window.partitionBy("listing_id", "__usd").orderBy("captured_at", "id", "__price")
-    moved = rows.withColumn("__moved", F.col("__usd") & (F.col("__price") != F.lag("__price").over(order)))
+    earlier = Window.partitionBy("listing_id").orderBy("captured_at", "id", "__price").rowsBetween(Window.unboundedPreceding, -1)
+    moved = rows.withColumn("__moved", F.col("__usd") & (F.col("__price") != F.last("__price", ignorenulls=True).over(earlier)))
     when_usd = F.struct("captured_at", "id", "__price")
     return moved.groupBy("listing_id").agg(
         F.min_by("__price", F.when(F.col("__usd"), when_usd)).alias("initial_price_usd"), F.min("__price").alias("min_price_usd"), F.max("__price").alias("max_price_usd"),

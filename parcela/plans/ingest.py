@@ -93,23 +93,23 @@ def made_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _add("page_ldjson", lambda s, d: pages.ld_json(made_pages(s, d)).select("id", "address", "price", "currency", "surface", "kind"), _L + """SELECT id, CASE WHEN id % 4 <> 3 THEN concat_ws(', ', address, province_name) END AS address,
-    CASE WHEN id % 4 <> 3 AND price_currency = 'USD' THEN CAST(floor(price_amount) AS BIGINT) END AS price, CASE WHEN id % 4 <> 3 AND price_currency = 'USD' THEN 'USD' END AS currency, CASE WHEN id % 4 <> 3 THEN CAST(surface_total AS DOUBLE) END AS surface, CASE WHEN id % 4 <> 3 THEN 'house' END AS kind FROM listings""")
+    CASE WHEN id % 4 <> 3 AND price_currency = 'USD' THEN CAST(floor(price_amount) AS BIGINT) END AS price, CASE WHEN id % 4 <> 3 AND price_currency = 'USD' THEN 'USD' END AS currency, CASE WHEN id % 4 <> 3 THEN CAST(surface_total AS DOUBLE) END AS surface, CASE WHEN id % 4 <> 3 THEN 'Casa' END AS kind FROM listings""")
 _add("page_body_text", lambda s, d: pages.body_text(made_pages(s, d)).select("id", "body_price", "body_surface", "body_garage", "body_age"), _L + """SELECT id, CASE WHEN price_amount > 1000 THEN CAST(floor(price_amount) AS BIGINT) END AS body_price, CAST(surface_covered AS DOUBLE) AS body_surface, id % 2 = 0 AS body_garage, CAST(id % 30 + 1 AS INT) AS body_age FROM listings""")
 _add("page_og_image", lambda s, d: made_pages(s, d).select("id", pages.og_image(F.col("html")).alias("image")), _L + "SELECT id, CASE WHEN id % 5 <> 4 THEN 'https://img.example/' || id || '.jpg' END AS image FROM listings")
 _add("page_inline_vars", lambda s, d: pages.inline_variables(made_pages(s, d)).select("id", "days", "views", "lat", "lon"), _L + "SELECT id, CAST(CASE id % 4 WHEN 0 THEN id % 20 + 2 WHEN 1 THEN 0 WHEN 2 THEN 1 ELSE (id % 5 + 2) * 30 END AS INT) AS days, CAST(id * 3 AS INT) AS views, CAST(lat AS DOUBLE) AS lat, CAST(lon AS DOUBLE) AS lon FROM listings")
-_add("page_price_block", lambda s, d: pages.price_block(made_pages(s, d)).select("id", "operation", "block_currency", "block_amount"), _L + "SELECT id, operation_type AS operation, CASE WHEN price_currency = 'USD' THEN 'USD' ELSE 'ARS' END AS block_currency, CAST(floor(price_amount) AS DOUBLE) AS block_amount FROM listings")
+_add("page_price_block", lambda s, d: pages.price_block(made_pages(s, d)).select("id", "operation", "block_currency", "block_amount"), _L + "SELECT id, operation_type AS operation, CASE WHEN price_currency = 'USD' THEN 'USD' ELSE 'ARS' END AS block_currency, CAST(floor(price_amount) AS BIGINT) AS block_amount FROM listings")
 _add("page_icon_features", lambda s, d: pages.icon_features(made_pages(s, d)).select("id", "icon_rooms", "icon_bathrooms", "icon_age"), _L + "SELECT id, CAST(rooms AS INT) AS icon_rooms, CAST(bathrooms AS INT) AS icon_bathrooms, CAST(CASE WHEN id % 3 = 0 THEN 0 ELSE id % 30 END AS INT) AS icon_age FROM listings")
-_add("page_features", lambda s, d: pages.features(made_pages(s, d)).select("id", "key", "value"), _L + "SELECT id, 'parrilla' AS key, 'true' AS value FROM listings UNION ALL SELECT id, 'cantidad_plantas', CAST(id % 5 AS VARCHAR) FROM listings WHERE id % 5 <> 0")
+_add("page_features", lambda s, d: pages.features(made_pages(s, d)).select("id", "key", "value"), _L + "SELECT id, 'parrilla' AS key, 'true' AS value FROM listings UNION ALL SELECT id, 'cantidad_plantas', CAST(id % 5 AS VARCHAR) FROM listings WHERE id % 5 <> 0 UNION ALL SELECT id, 'nota', 'a};b m' FROM listings")
 _add("page_picture_count", lambda s, d: made_pages(s, d).select("id", pages.picture_count(F.col("html"), F.col("id") + 100000).alias("pictures")), _L + "SELECT id, CAST(CASE WHEN id % 6 > 0 THEN id % 6 END AS INT) AS pictures FROM listings")
-_add("page_text_fields", lambda s, d: pages.text_fields(made_pages(s, d)).select("id", "type", "description", "heading"), _L + "SELECT id, CASE id % 3 WHEN 0 THEN 'house' WHEN 1 THEN 'apartment' ELSE 'ph' END AS type, 'Bright home' || chr(10) || address AS description, title AS heading FROM listings")
-_add("page_seller", lambda s, d: pages.seller(made_pages(s, d)).select("id", "seller_name", "seller_type"), _L + "SELECT id, seller_name, CASE WHEN seller_name IS NOT NULL THEN CASE id % 3 WHEN 0 THEN 'inmobiliaria' WHEN 1 THEN 'developer' ELSE 'particular' END END AS seller_type FROM listings")
-_add("page_ldjson_property", lambda s, d: pages.ld_property(made_pages(s, d)).select("id", "ld_city", "ld_province", "ld_country"), _L + "SELECT id, CASE WHEN id % 4 <> 3 THEN city END AS ld_city, CASE WHEN id % 4 <> 3 THEN province_name END AS ld_province, CASE WHEN id % 4 <> 3 THEN 'Argentina' END AS ld_country FROM listings")
-_add("page_next_data", lambda s, d: pages.next_data(made_pages(s, d)).select("id", "next_price", "next_currency"), _L + "SELECT id, CAST(price_amount AS DOUBLE) AS next_price, coalesce(price_currency, 'USD') AS next_currency FROM listings")
+_add("page_text_fields", lambda s, d: pages.text_fields(made_pages(s, d)).select("id", "type", "description", "heading"), _L + "SELECT id, CASE id % 3 WHEN 0 THEN 'Casa' WHEN 1 THEN 'Departamento' ELSE 'PH' END AS type, 'Bright home' || chr(10) || address AS description, title AS heading FROM listings")
+_add("page_seller", lambda s, d: pages.seller(made_pages(s, d)).select("id", "seller_name", "seller_type"), _L + "SELECT id, seller_name, CASE WHEN seller_name IS NOT NULL THEN CASE id % 4 WHEN 0 THEN 'inmobiliaria' WHEN 1 THEN 'desarrollador' WHEN 2 THEN 'particular' END END AS seller_type FROM listings")
+_add("page_ldjson_property", lambda s, d: pages.ld_property(made_pages(s, d)).select("id", "ld_title", "ld_street", "ld_city", "ld_province", "ld_country", "ld_neighborhood"), _L + "SELECT id, CASE WHEN id % 4 <> 3 THEN title END AS ld_title, CASE WHEN id % 4 <> 3 THEN address END AS ld_street, CASE WHEN id % 4 <> 3 THEN province_name END AS ld_neighborhood, CASE WHEN id % 4 <> 3 THEN city END AS ld_city, CASE WHEN id % 4 <> 3 THEN province_name END AS ld_province, CASE WHEN id % 4 <> 3 THEN 'Argentina' END AS ld_country FROM listings")
+_add("page_next_data", lambda s, d: pages.next_data(made_pages(s, d)).select("id", "next_price", "next_currency"), _L + "SELECT id, CAST(floor(price_amount) AS BIGINT) AS next_price, coalesce(price_currency, 'USD') AS next_currency FROM listings")
 _add("next_data_links", lambda s, d: pages.next_data_links(made_pages(s, d)).select("id", "link"), _L + "SELECT id, 'https://portal.example/propiedades/clasificado/otra-' || (id + 200000) || '.html' AS link FROM listings WHERE id % 2 = 0")
 _add("listing_page_links", lambda s, d: pages.listing_links(made_pages(s, d), "https://portal.example").select("id", "external_id", "link"), _L + "SELECT id, CAST(id + 200000 AS VARCHAR) AS external_id, 'https://portal.example/propiedades/clasificado/otra-' || (id + 200000) || '.html' AS link FROM listings WHERE id % 2 = 0 UNION ALL SELECT id, CAST(id + 300000 AS VARCHAR), 'https://portal.example/propiedades/clasificado/tercera-' || (id + 300000) || '.html' FROM listings WHERE id % 2 = 1")
 _add("page_extract_priority", lambda s, d: pages.assemble(made_pages(s, d)).select("id", "price", "price_currency", "rooms", "surface", "days", "lat"), _L + """SELECT id, CASE WHEN id % 4 <> 3 AND price_currency = 'USD' THEN floor(price_amount) ELSE floor(price_amount) END::DOUBLE AS price, CASE WHEN price_currency = 'USD' THEN 'USD' ELSE 'ARS' END AS price_currency, CAST(rooms AS INT) AS rooms,
     CASE WHEN id % 4 <> 3 THEN nullif(CAST(surface_total AS DOUBLE), 0) END AS surface, CAST(CASE id % 4 WHEN 0 THEN id % 20 + 2 WHEN 1 THEN 0 WHEN 2 THEN 1 ELSE (id % 5 + 2) * 30 END AS INT) AS days, CAST(lat AS DOUBLE) AS lat FROM listings""")
 _add("page_extract_generic", lambda s, d: pages.generic(made_pages(s, d)).select("id", "price", "surface", "layout"), _L + """SELECT id, CASE WHEN id % 4 <> 3 THEN CASE WHEN price_currency = 'USD' THEN CAST(floor(price_amount) AS BIGINT) END WHEN price_amount > 1000 THEN CAST(floor(price_amount) AS BIGINT) END AS price,
     CASE WHEN id % 4 <> 3 THEN CAST(surface_total AS DOUBLE) ELSE CAST(surface_covered AS DOUBLE) END AS surface, CASE WHEN id % 4 <> 3 THEN 'json-ld' ELSE 'body' END AS layout FROM listings""")
-_add("page_hidden_input", lambda s, d: pages.hidden_inputs(made_pages(s, d)).select("id", "hidden_price", "hidden_type", "uncovered"), _L + "SELECT id, CAST(price_amount AS DOUBLE) AS hidden_price, property_type AS hidden_type, CASE WHEN round(CAST(surface_total - surface_covered AS DOUBLE), 1) > 0 THEN round(CAST(surface_total - surface_covered AS DOUBLE), 1) END AS uncovered FROM listings")
+_add("page_hidden_input", lambda s, d: pages.hidden_inputs(made_pages(s, d)).select("id", "hidden_price", "hidden_currency", "hidden_kind", "uncovered", "hidden_age"), _L + "SELECT id, CAST(floor(price_amount) AS BIGINT) AS hidden_price, CASE WHEN price_currency = 'USD' THEN 'USD' ELSE 'ARS' END AS hidden_currency, CASE id % 3 WHEN 0 THEN 'Casa' WHEN 2 THEN 'PH' END AS hidden_kind, CAST(id % 30 AS INT) AS hidden_age, CASE WHEN round(CAST(surface_total - surface_covered AS DOUBLE), 1) > 0 THEN round(CAST(surface_total - surface_covered AS DOUBLE), 1) END AS uncovered FROM listings")
 _add("page_icon_image", lambda s, d: pages.icon_images(made_pages(s, d)).select("id", "image_bathrooms", "image_garages"), _L + "SELECT id, CAST(bathrooms AS INT) AS image_bathrooms, CAST(CASE WHEN id % 7 = 0 THEN NULL ELSE garages END AS INT) AS image_garages FROM listings")

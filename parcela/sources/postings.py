@@ -14,7 +14,7 @@ _PLACE = "STRUCT<depth: INT, name: STRING>"
 for _ in range(4):
     _PLACE = f"STRUCT<depth: INT, name: STRING, parent: {_PLACE}>"
 PAIR = "STRUCT<value STRING, label STRING, measure STRING>"
-POSTING = f"""postingId STRING, id STRING, url STRING, status STRING, modified_date STRING, generatedTitle STRING, descriptionNormalized STRING,
+POSTING = f"""postingId STRING, id STRING, url STRING, link STRING, status STRING, modified_date STRING, generatedTitle STRING, descriptionNormalized STRING,
   realEstateType STRUCT<realEstateTypeId: STRING, name: STRING>,
   priceOperationTypes ARRAY<STRUCT<operationType: STRUCT<name: STRING>, prices: ARRAY<STRUCT<amount: DOUBLE, currency: STRING>>>>,
   expenses STRUCT<amount: DOUBLE, currency: STRING>, mainFeatures MAP<STRING, {PAIR}>,
@@ -104,7 +104,7 @@ def normalize(postings: DataFrame, base: str = "https://portal.example", column:
     geo = p["postingLocation"]["postingGeolocation"]["geolocation"]
     features = {n: feature_int(p["mainFeatures"], f) for n, f in FEATURES.items()}
     return rows.select(
-        "external_id", canonical_url(p["url"], F.col("external_id"), base).alias("canonical_url"), mapped(p["status"], STATES, "unknown").alias("status"), offset_time(p["modified_date"]).alias("source_modified_at"),
+        "external_id", canonical_url(F.coalesce(F.nullif(p["url"], F.lit("")), p["link"], F.lit("")), F.col("external_id"), base).alias("canonical_url"), mapped(p["status"], STATES, "unknown").alias("status"), offset_time(p["modified_date"]).alias("source_modified_at"),
         F.nullif(F.lower(offer["operationType"]["name"]), F.lit("")).alias("operation_type"), F.nullif(F.lower(p["realEstateType"]["name"]), F.lit("")).alias("property_type"),
         strip_nul(p["generatedTitle"]).alias("generated_title"), strip_nul(p["descriptionNormalized"]).alias("description"),
         price["amount"].cast("decimal(18,2)").alias("price_amount"), price["currency"].alias("price_currency"),

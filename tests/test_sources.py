@@ -54,3 +54,71 @@ def test_null_payload_overwrites_on_change(spark):
     new = spark.createDataFrame([(1, "a", "paused", None, 0, 0)], "source_id int, external_id string, status string, rooms int, page int, position int")
     row = lifecycle.merge(cur, new, F.lit("1999-01-01")).first()
     assert (row["status"], row["rooms"], row["first_seen_at"], row["last_changed_at"]) == ("paused", None, "1998-01-01", "1999-01-01")
+
+
+def _page(spark, html):
+    return spark.createDataFrame([(1, "u", html)], "id int, url string, html string")
+
+
+def test_json_ld_rules(spark):
+    block = lambda d: f'<script type="application/ld+json">{json.dumps(d)}</script>'
+    got = pages.ld_json(_page(spark, block({"@type": "House", "offers": {"price": "120000.9"}, "address": {"addressRegion": "Caballito"}, "datePublished": "1999-05-01"}) + "<script type='application/ld+json'>[1]</script>")).first()
+    assert (got["price"], got["currency"], got["address"], got["kind"], got["posted"]) == (120000, "USD", None, "Casa", "1999-05-01")
+    got = pages.ld_json(_page(spark, block({"@type": "Product", "offers": {"price": 5, "priceCurrency": "ARS"}, "address": {"streetAddress": " Calle 1 ", "addressRegion": ""}, "floorSize": {"value": "45.5"}}) + block({"@type": "apartment", "offers": {"price": 0}}))).first()
+    assert (got["price"], got["address"], got["kind"], got["surface"]) == (None, "Calle 1", "Departamento", 45.5)
+    made = {"@type": "Apartment", "name": "Depto 2 amb - Portal", "numberOfBedrooms": "2", "numberOfBathroomsTotal": 1, "description": " d ", "address": {"streetAddress": "Rivadavia 1", "addressRegion": "Flores", "addressLocality": "Capital Federal, Argentina, "}}
+    got = pages.ld_property(_page(spark, block({"@type": "Product"}) + block(made))).first()
+    assert tuple(got[f"ld_{c}"] for c in ("title", "description", "bedrooms", "bathrooms", "street", "city", "province", "country", "neighborhood")) == ("Depto 2 amb", "d", 2, 1, "Rivadavia 1", "Capital Federal", "Capital Federal", "Argentina", "Flores")
+    days = spark.createDataFrame([("1999-05-01",), ("1999-05-30T00:00:00Z",), ("x",), ("2001-01-01",)], "p string").select(pages.market_days(F.col("p"), F.lit("1999-05-31T12:00:00Z").cast("timestamp")))
+    assert [r[0] for r in days.collect()] == [30, 1, None, 0]
+
+
+def test_price_blocks(spark):
+    cases = {
+        '<div class="price-value"><span>Alquiler  temporal</span> <b>USD 1.500</b></div>': ("alquiler temporal", "USD", 1500), '<p class="block-price-container x">venta $ 90.000,5</p>': ("venta", "ARS", 90000),
+        '<div class="price-items">Consultar</div>': (None, None, None), "<div>venta USD 5</div>": (None, None, None),
+    }
+    for html, want in cases.items():
+        got = pages.price_block(_page(spark, html)).first()
+        assert (got["operation"], got["block_currency"], got["block_amount"]) == want
+
+
+def test_body_text_rules(spark):
+    got = pages.body_text(_page(spark, "<p>USD 500 o USD 95.000 Antigüedad 12, 60 m2 totales 10,5 m² semicubiertos 30 m² Orientación: NE piso 4 pileta</p>")).first()
+    assert (got["body_price"], got["body_age"], got["body_surface"], got["body_semi"], got["body_orientation"], got["body_floor"], got["body_pool"], got["body_garage"]) == (95000, None, 60.0, 10.5, "Norte", 4, True, False)
+    got = pages.body_text(_page(spark, "<p>20 años de antiguedad, 45,5 m² cubiertos, cocheras</p>")).first()
+    assert (got["body_age"], got["body_surface"], got["body_garage"]) == (20, 45.5, False)
+
+
+def test_seller_pictures_icons_and_features(spark):
+    kinds = {"/inmobiliarias/a": "inmobiliaria", "/CORREDORES/b": "corredor", "/desarrolladores/c": "desarrollador", "/constructoras/d": "desarrollador", "/particulares/e": "particular", "/usuarios/f": None}
+    for href, want in kinds.items():
+        assert pages.seller(_page(spark, f'<a class="seller" href="{href}">N</a>')).first()["seller_type"] == want
+    html = 'avisos/1/00/12/34/56/360x266/7.jpg avisos/2/00/12/34/56/x/7.jpg avisos/1/00/12/34/56/x/8.jpg avisos/1/00/12/34/57/x/9.jpg'
+    assert _page(spark, html).select(pages.picture_count(F.col("html"), F.lit("123456")), pages.picture_count(F.col("html"), F.lit("12345"))).first() == (2, None)
+    icons = '<ul><li><i class="icon-stotal x"></i> 1.250,5 m²</li><li><i class="icon-bano"></i><span>2</span> baños</li><li><i class="icon-toilet"></i>1</li><li><i class="icon-antiguedad"></i>A estrenar</li><li><i class="icon-orientacion"></i>Norte</li></ul>'
+    got = pages.icon_features(_page(spark, icons)).first()
+    assert (got["icon_total"], got["icon_bathrooms"], got["icon_toilettes"], got["icon_age"], got["icon_orientation"], got["icon_rooms"]) == (1250.5, 2, 1, 0, "Norte", None)
+    made = {"A": {"1": {"label": " Aire  Acondicionado! ", "value": None}, "2": {"label": "x", "value": "0"}, "3": {"label": "Baños", "value": "2", "icon": "bano"}, "4": {"label": "Nota", "value": "a};b", "measure": "m"}, "5": {"label": "Pisos", "value": 12}, "6": {"label": "Frente", "value": "8,5", "measure": "m"}, "7": {"label": "", "value": "1"}}}
+    got = {r["key"]: r["value"] for r in pages.features(_page(spark, f"<script>const generalFeatures = {json.dumps(made, ensure_ascii=False)}; var x = {{}};</script>")).collect()}
+    assert got == {"aire_acondicionado": "true", "nota": "a};b m", "pisos": "12", "frente": "8.5"}
+
+
+def test_next_data_and_hidden_input(spark):
+    script = lambda d: f'<script id="__NEXT_DATA__" type="application/json">{json.dumps({"props": {"pageProps": d}})}</script>'
+    cases = [
+        ({"listing": {}, "posting": {"price": {"amount": 0, "value": "95000.7", "currency": "ARS"}, "geo": {"lat": -346037000, "lon": "-58.38"}}}, (95000, "ARS", -34.6037, -58.38)),
+        ({"initialData": {"listing": {"prices": [{"amount": None}, {"value": 7}]}}}, (7, "USD", None, None)), ({"listing": {"priceOperationType": {"prices": [{"amount": 3, "currency": "ARS"}]}}}, (3, "ARS", None, None)), ({"x": 1}, (None, None, None, None)),
+    ]
+    for made, want in cases:
+        got = pages.next_data(_page(spark, script(made))).first()
+        assert (got["next_price"], got["next_currency"], got["next_lat"], got["next_lon"]) == want
+    html = '<input type="hidden" data-moneda="usd" data-price="85000.5" data-tipo-propiedad="PH"><div class="property-features"><b>Sup. Total:</b> 90,5 Sup. Cubierta 60 Sup Semicubierta: 10 Antigüedad: 8</div>'
+    got = pages.hidden_inputs(_page(spark, html)).first()
+    assert (got["hidden_price"], got["hidden_currency"], got["hidden_kind"], got["uncovered"], got["hidden_age"]) == (85000, "USD", "PH", 20.5, 8)
+
+
+def test_posting_link_where_the_url_is_empty(spark):
+    raw = [{"postingId": "1", "url": "", "link": "/a.html"}, {"postingId": "2", "link": "https://x.example/b"}, {"postingId": "3", "url": "/c.html", "link": "/d.html"}]
+    rows = spark.createDataFrame([(json.dumps(x),) for x in raw], "posting string")
+    assert {r["external_id"]: r["canonical_url"] for r in postings.normalize(rows).collect()} == {"1": "https://portal.example/a.html", "2": "https://x.example/b", "3": "https://portal.example/c.html"}
