@@ -57,6 +57,35 @@ def last_runs(runs: DataFrame) -> DataFrame:
     return runs.where(F.col("status").isin("success", "failed", "partial")).groupBy("run_type").agg(F.max("id").alias("id"), F.max_by("status", "id").alias("status"), F.max_by("finished_at", "id").alias("finished_at"))
 
 
+def active_runs(runs: DataFrame) -> DataFrame:
+    """Runs that wait or run, the latest start first."""
+    return runs.where(F.col("status").isin("queued", "running")).orderBy(F.desc_nulls_last("started_at"), F.desc("id"))
+
+
+def recent_runs(runs: DataFrame, run_type: str | None = None, limit: int = 20) -> DataFrame:
+    """The last runs, of one type or of all."""
+    kept = runs.where(F.col("run_type") == run_type) if run_type else runs
+    return kept.orderBy(F.desc_nulls_last("started_at"), F.desc("id")).limit(limit)
+
+
+def listings_page(entities: DataFrame, status: str | None = None, limit: int = 100, offset: int = 0) -> DataFrame:
+    """A page of listings, the last seen first."""
+    kept = entities.where(F.col("status") == status) if status else entities
+    return kept.orderBy(F.desc_nulls_last("last_seen_at"), F.desc("id")).offset(offset).limit(limit)
+
+
+def snapshots_of(snapshots: DataFrame, listing_id: int) -> DataFrame:
+    """A listing's history, the latest capture first."""
+    return snapshots.where(F.col("listing_id") == listing_id).orderBy(F.desc("captured_at"), F.desc("id"))
+
+
+def run_records(summary: DataFrame, group: str, run_type: str, started: Column, finished: Column) -> DataFrame:
+    """A run record for each summed batch: failed where nothing went well, partial with failures, else success; its numbers as JSON."""
+    status = F.when((F.col("processed") > 0) & (F.col("failed") == F.col("processed")), "failed").when(F.col("failed") > 0, "partial").otherwise("success")
+    seconds = (F.unix_micros(finished.cast("timestamp")) - F.unix_micros(started.cast("timestamp"))) / F.lit(1_000_000.0)
+    return summary.select(F.col(group).alias("batch"), F.lit(run_type).alias("run_type"), status.alias("status"), started.alias("started_at"), finished.alias("finished_at"), seconds.alias("duration_seconds"), F.to_json(F.struct("processed", "failed", "error_rate_pct")).alias("stats_json"))
+
+
 def run_durations(runs: DataFrame, now: Column, stale_hours: int = 24) -> DataFrame:
     """Seconds that each run took; runs that are still running after ``stale_hours`` have failed."""
     seconds = (F.unix_micros(F.col("finished_at").cast("timestamp")) - F.unix_micros(F.col("started_at").cast("timestamp"))) / F.lit(1_000_000.0)

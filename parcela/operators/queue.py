@@ -37,15 +37,35 @@ def reset_stale(queue: DataFrame, now: Column, hours: int | None = 6) -> DataFra
     return queue.withColumns({"status": F.when(stale, "pending").otherwise(F.col("status")), "locked_at": F.when(~F.coalesce(stale, F.lit(False)), F.col("locked_at"))})
 
 
+# What a finished scan reports, with what stands where it does not.
+COUNTERS = {
+    "pages_scanned": 0, "listings_found": 0, "new_count": 0, "changed_count": 0, "requests_total": 0, "requests_success": 0, "requests_failed": 0, "requests_403": 0, "requests_429": 0, "requests_5xx": 0,
+    "timeouts": 0, "avg_latency_ms": None, "max_latency_ms": None, "cooldown_triggered": False,
+}
+
+
 def apply_outcomes(queue: DataFrame, outcomes: DataFrame, now: Column) -> DataFrame:
-    """Rows with an outcome (``segment_id, outcome``: started, complete, pending or failed) change state; a third failure is final."""
-    rows = queue.join(outcomes.select("segment_id", "outcome"), "segment_id", "left")
+    """Rows with an outcome (``segment_id, outcome``: started, complete, pending or failed) change state; a third failure is final.
+
+    A start sets ``started_at``, a finished scan the counters that the queue has, and one that goes
+    back its ``last_error`` if it brings one. ``outcomes`` has a segment once.
+    """
+    brought = [c for c in (*COUNTERS, "last_error") if c in outcomes.columns]
+    rows = queue.join(outcomes.select("segment_id", "outcome", *[F.col(c).alias(f"__{c}") for c in brought]), "segment_id", "left")
     o, tries = F.col("outcome"), F.col("attempt_count") + 1
     status = F.when(o == "started", "running").when(o == "complete", "complete").when(o == "pending", "pending").when(o == "failed", F.when(tries >= MAX_ATTEMPTS, "failed").otherwise("pending")).otherwise(F.col("status"))
-    return rows.withColumns({
+    changed = {
         "status": status, "attempt_count": F.when(o == "failed", tries).otherwise(F.col("attempt_count")), "completed_at": F.when(o == "complete", now).otherwise(F.col("completed_at")),
         "locked_at": F.when(o == "started", now).when(o.isNull(), F.col("locked_at")), "updated_at": F.when(o.isNotNull(), now).otherwise(F.col("updated_at")),
-    }).drop("outcome")
+    }
+    for c, none in COUNTERS.items():
+        if c in queue.columns:
+            changed[c] = F.when(o == "complete", F.coalesce(F.col(f"__{c}") if c in brought else F.lit(None), F.lit(none)).cast(queue.schema[c].dataType)).otherwise(F.col(c))
+    if "started_at" in queue.columns:
+        changed["started_at"] = F.when(o == "started", now).otherwise(F.col("started_at"))
+    if {"last_error"} <= {*queue.columns} & {*brought}:
+        changed["last_error"] = F.when(o.isin("pending", "failed"), F.coalesce("__last_error", "last_error")).otherwise(F.col("last_error"))
+    return rows.withColumns(changed).drop("outcome", *[f"__{c}" for c in brought])
 
 
 def refresh_reason() -> Column:

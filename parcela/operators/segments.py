@@ -90,6 +90,25 @@ def deactivate(segments: DataFrame, portal: str) -> DataFrame:
     return segments.withColumn("status", F.when((F.col("portal") == portal) & (F.col("status") == "active"), "inactive").otherwise(F.col("status")))
 
 
+# The columns that make a segment one, and those that a rebuild replaces.
+BOUNDARIES = ("portal", "operation_key", "province_key", "price_min", "price_max", "surface_min", "surface_max")
+REBUILT = ("total_count", "depth", "parent_id", "is_leaf", "is_oversized")
+
+
+def upsert_segments(segments: DataFrame, rebuilt: DataFrame, now: Column) -> DataFrame:
+    """The segments after a rebuild: those with the same boundaries become active again and take the new counts, others come in without an id, the rest stay.
+
+    ``rebuilt`` has a box once. Churn figures stay with their segment.
+    """
+    columns = [c for c in REBUILT if c in segments.columns and c in rebuilt.columns]
+    new = rebuilt.select(*BOUNDARIES, *[F.col(c).alias(f"__{c}") for c in columns], F.lit(True).alias("__hit"))
+    hit = F.col("__hit").isNotNull()
+    made = {c: F.when(hit, F.col(f"__{c}")).otherwise(F.col(c)) for c in columns} | {"status": F.when(hit, "active").otherwise(F.col("status")), "created_at": F.coalesce("created_at", now), "updated_at": F.when(hit, now).otherwise(F.col("updated_at"))}
+    if "last_checked_at" in segments.columns:
+        made["last_checked_at"] = F.when(hit, now).otherwise(F.col("last_checked_at"))
+    return segments.join(new, list(BOUNDARIES), "full_outer").withColumns(made).select(*segments.columns)
+
+
 def latest_two(snapshots: DataFrame) -> DataFrame:
     """The last two counts of each segment that has two: ``segment_id, current_count, prev_count``."""
     ranked = snapshots.withColumn("__n", F.row_number().over(Window.partitionBy("segment_id").orderBy(F.desc("captured_at"), F.desc("id")))).where(F.col("__n") <= 2)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import lifecycle as L
+from ..operators import segments as T
 from ..session import table
 from .views import ctes, view
 
@@ -61,14 +62,23 @@ def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
 _add("rehash_diff", lambda s, d: L.rehash(_stored(s, d)), ctes("listings") + f"SELECT id, 'old' AS content_hash, {_hash_sql()} AS new_hash FROM listings WHERE id % 12 = 0")
 
 
-def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return view(spark, sf_dir, "segments").select("id", "total_count", "status", "churn_ewma", "created_at", "updated_at")
+_BOX = ", ".join(T.BOUNDARIES)
 
 
-_add("segment_upsert", lambda s, d: L.merge_upsert(_segments(s, d), view(s, d, "segments").where(F.col("id") % 3 == 0).select((F.col("id") + 700).alias("id"), (F.col("total_count") + 1).alias("total_count"), F.lit("active").alias("status")), ["id"], ["total_count", "status"], _now()),
-     ctes("segments") + f"""SELECT coalesce(t.id, u.id) AS id, CASE WHEN u.id IS NOT NULL THEN u.total_count ELSE t.total_count END AS total_count, CASE WHEN u.id IS NOT NULL THEN 'active' ELSE t.status END AS status, t.churn_ewma,
-    coalesce(t.created_at, {_T}) AS created_at, CASE WHEN u.id IS NOT NULL THEN {_T} ELSE t.updated_at END AS updated_at
-    FROM segments t FULL JOIN (SELECT id + 700 AS id, total_count + 1 AS total_count FROM segments WHERE id % 3 = 0) u ON t.id = u.id""")
+def _rebuilt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A third of the boxes again with new counts, and boxes that are not there yet."""
+    rows = view(spark, sf_dir, "segments").where(F.col("id") % 3 == 0)
+    moved = rows.withColumn("portal", F.concat("portal", F.lit("-"), F.col("id").cast("string")))
+    again = rows.groupBy(*T.BOUNDARIES).agg(F.max("total_count").alias("total_count"), F.max("depth").alias("depth"))
+    return again.unionByName(moved.select(*T.BOUNDARIES, "total_count", "depth")).withColumns({"total_count": F.col("total_count") + 1, "is_leaf": F.lit(True), "is_oversized": F.lit(False)})
+
+
+_add("segment_upsert", lambda s, d: T.upsert_segments(view(s, d, "segments"), _rebuilt(s, d), _now()), ctes("segments", more={
+    "rebuilt": f"SELECT {_BOX}, max(total_count) + 1 AS total_count, max(depth) AS depth FROM segments WHERE id % 3 = 0 GROUP BY {_BOX} UNION ALL SELECT portal || '-' || id, {_BOX.removeprefix('portal, ')}, total_count + 1, depth FROM segments WHERE id % 3 = 0",
+}) + f"""SELECT t.id, {', '.join(f'coalesce(t.{c}, u.{c}) AS {c}' for c in T.BOUNDARIES)}, coalesce(u.depth, t.depth) AS depth, coalesce(u.total_count, t.total_count) AS total_count,
+    CASE WHEN u.portal IS NOT NULL THEN true ELSE is_leaf END AS is_leaf, CASE WHEN u.portal IS NOT NULL THEN false ELSE is_oversized END AS is_oversized, CASE WHEN u.portal IS NOT NULL THEN 'active' ELSE t.status END AS status,
+    t.churn_ewma, t.churn_samples, coalesce(t.created_at, {_T}) AS created_at, CASE WHEN u.portal IS NOT NULL THEN {_T} ELSE t.updated_at END AS updated_at
+    FROM segments t FULL JOIN rebuilt u ON {' AND '.join(f't.{c} = u.{c}' for c in T.BOUNDARIES)}""")
 _add("merge_upsert", lambda s, d: L.merge_upsert(view(s, d, "current_entities").select("external_id", "price_amount", F.col("first_seen_at").alias("created_at"), F.col("last_seen_at").alias("updated_at")), L.latest_per_key(view(s, d, "incoming"), L.KEYS, [F.desc("page"), F.desc("position")]), ["external_id"], ["price_amount"], _now()),
      _CASES + f"SELECT external_id, CASE WHEN k <> 'D' THEN in_price_amount ELSE CAST(price_amount AS DOUBLE) END AS price_amount, coalesce(first_seen_at, {_T}) AS created_at, CASE WHEN k <> 'D' THEN {_T} ELSE last_seen_at END AS updated_at FROM cases")
 _add("append_row", lambda s, d: L.append_row(view(s, d, "runs").select("id", "run_type", "status", F.col("started_at").alias("created_at")), view(s, d, "runs").where("status = 'failed'").select("id", "run_type"), _now()),

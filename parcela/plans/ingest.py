@@ -22,12 +22,12 @@ def _add(name: str, query, sql: str) -> None:
 _POSTING = """to_json(named_struct('postingId', case when id % 50 = 0 then '' else external_id end, 'id', case when id % 100 = 0 then '' else external_id end, 'url', case id % 3 when 0 then concat('/p-', external_id, '.html') when 1 then concat('https://other.example/', external_id) end,
   'status', upper(case status when 'active' then 'online' else status end), 'modified_date', concat('1999-05-0', id % 9 + 1, 'T10:00:00-0400'), 'generatedTitle', title,
   'realEstateType', named_struct('realEstateTypeId', string(id % 40), 'name', property_type),
-  'priceOperationTypes', array(named_struct('operationType', named_struct('name', initcap(operation_type)), 'prices', array(named_struct('amount', double(price_amount), 'currency', price_currency)))),
+  'priceOperationTypes', array(named_struct('operationType', named_struct('name', initcap(operation_type)), 'lowPricePercentage', case when id % 5 = 0 then 7.5D end, 'prices', array(named_struct('amount', double(price_amount), 'currency', price_currency)))),
   'expenses', named_struct('amount', case when id % 4 = 1 then double(expenses_amount) else 0.0D end, 'currency', 'ARS'),
-  'mainFeatures', map('CFT1', named_struct('value', string(rooms), 'label', 'amb'), 'CFT2', named_struct('value', concat(string(bedrooms), '.9'), 'label', 'dorm'), 'CFT100', named_struct('value', string(surface_total), 'label', 'tot'), 'X9', named_struct('value', case when id % 2 = 0 then 'si' end, 'label', 'Pileta')),
+  'mainFeatures', map('CFT1', named_struct('value', string(rooms), 'label', 'amb', 'measure', ''), 'CFT2', named_struct('value', concat(string(bedrooms), '.9'), 'label', 'dorm', 'measure', ''), 'CFT100', named_struct('value', string(surface_total), 'label', 'tot', 'measure', 'm2'), '1000019', named_struct('value', case when id % 2 = 0 then 'Frente' end, 'label', 'disp', 'measure', ''), '1000029', named_struct('value', 'Norte', 'label', 'ori', 'measure', ''), 'X9', named_struct('value', case when id % 2 = 0 then 'si' end, 'label', 'Pileta', 'measure', '')),
   'postingLocation', named_struct('address', named_struct('name', address), 'postingGeolocation', named_struct('geolocation', named_struct('latitude', double(lat), 'longitude', double(lon))),
      'location', named_struct('depth', 3, 'name', neighborhood, 'parent', named_struct('depth', 2, 'name', city, 'parent', named_struct('depth', 1, 'name', province_name)))),
-  'publisher', named_struct('publisherId', seller_id, 'name', seller_name, 'publisherTypeId', string(id % 4)), 'postingCode', case when id % 6 = 0 then concat('code', external_id) else '' end))"""
+  'publisher', named_struct('publisherId', seller_id, 'name', seller_name, 'publisherTypeId', string(id % 4)), 'reserved', id % 3 = 0, 'postingCode', case when id % 6 = 0 then concat('code', external_id) else '' end))"""
 
 
 def raw_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,9 +36,9 @@ def raw_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _KEPT = "id % 100 <> 0 AND id % 40 NOT IN (33, 34)"
 _L = ctes("listings")
-_add("posting_normalize", lambda s, d: postings.normalize(raw_postings(s, d)).drop("extra_data", "description"), _L + f"""SELECT external_id,
+_add("posting_normalize", lambda s, d: postings.normalize(raw_postings(s, d)).drop("extra_data"), _L + f"""SELECT external_id,
     CASE id % 3 WHEN 0 THEN 'https://portal.example/p-' || external_id || '.html' WHEN 1 THEN 'https://other.example/' || external_id ELSE 'https://portal.example/propiedades/' || external_id || '.html' END AS canonical_url,
-    status, CAST('1999-05-0' || (id % 9 + 1) || ' 14:00:00' AS TIMESTAMP) AS source_modified_at, operation_type, property_type, title AS generated_title, price_amount, price_currency,
+    status, CAST('1999-05-0' || (id % 9 + 1) || ' 14:00:00' AS TIMESTAMP) AS source_modified_at, operation_type, property_type, title AS generated_title, CAST(NULL AS VARCHAR) AS description, 'm2' AS surface_unit, CASE WHEN id % 2 = 0 THEN 'Frente' END AS disposition, 'Norte' AS orientation, price_amount, price_currency,
     CASE WHEN id % 4 = 1 THEN expenses_amount END AS expenses_amount, CASE WHEN id % 4 = 1 THEN 'ARS' END AS expenses_currency, surface_total, CAST(NULL AS DECIMAL(18,2)) AS surface_covered, rooms, bedrooms,
     CAST(NULL AS INT) AS bathrooms, CAST(NULL AS INT) AS toilettes, CAST(NULL AS INT) AS antiquity_years, CAST(NULL AS INT) AS garages, address, province_name, city, neighborhood, lat, lon, seller_id, seller_name,
     CASE id % 4 WHEN 1 THEN 'particular' WHEN 2 THEN 'inmobiliaria' WHEN 3 THEN 'developer' END AS seller_type FROM listings WHERE {_KEPT}""")
@@ -47,8 +47,8 @@ _add("feature_pivot", lambda s, d: postings.normalize(raw_postings(s, d)).select
 _add("location_hierarchy", lambda s, d: postings.normalize(raw_postings(s, d)).select("external_id", "province_name", "city", "neighborhood"), _L + f"SELECT external_id, province_name, city, neighborhood FROM listings WHERE {_KEPT}")
 _add("enum_map", lambda s, d: postings.normalize(raw_postings(s, d)).groupBy("status", "seller_type").agg(F.count(F.lit(1)).alias("n")), _L + f"SELECT status, CASE id % 4 WHEN 1 THEN 'particular' WHEN 2 THEN 'inmobiliaria' WHEN 3 THEN 'developer' END AS seller_type, count(*) AS n FROM listings WHERE {_KEPT} GROUP BY ALL")
 _add("offset_timestamp", lambda s, d: view(s, d, "listings").select("id", postings.offset_time(F.expr("concat('1999-05-0', id % 9 + 1, case id % 3 when 0 then 'T10:00:00-0400' when 1 then 'T10:00:00.250-0400' else ' never' end)")).alias("at")), _L + "SELECT id, CASE id % 3 WHEN 0 THEN CAST('1999-05-0' || (id % 9 + 1) || ' 14:00:00' AS TIMESTAMP) WHEN 1 THEN CAST('1999-05-0' || (id % 9 + 1) || ' 14:00:00.25' AS TIMESTAMP) END AS at FROM listings")
-_add("extra_data_pack", lambda s, d: postings.normalize(raw_postings(s, d)).select("external_id", F.get_json_object("extra_data", "$.posting_code").alias("posting_code"), F.get_json_object(F.get_json_object("extra_data", "$.feature_X9"), "$.value").alias("x9"), F.col("extra_data").isNull().alias("nothing")),
-     _L + f"SELECT external_id, CASE WHEN id % 6 = 0 THEN 'code' || external_id END AS posting_code, CASE WHEN id % 2 = 0 THEN 'si' END AS x9, id % 2 <> 0 AS nothing FROM listings WHERE {_KEPT}")
+_add("extra_data_pack", lambda s, d: postings.normalize(raw_postings(s, d)).select("external_id", F.get_json_object("extra_data", "$.posting_code").alias("posting_code"), F.get_json_object(F.get_json_object("extra_data", "$.feature_X9"), "$.value").alias("x9"), *[F.get_json_object("extra_data", f"$.{k}").alias(k) for k in ("reserved", "real_estate_type_id", "low_price_percentage")]),
+     _L + f"SELECT external_id, CASE WHEN id % 6 = 0 THEN 'code' || external_id END AS posting_code, CASE WHEN id % 2 = 0 THEN 'si' END AS x9, CAST(id % 3 = 0 AS VARCHAR) AS reserved, CAST(id % 40 AS VARCHAR) AS real_estate_type_id, CASE WHEN id % 5 = 0 THEN '7.5' END AS low_price_percentage FROM listings WHERE {_KEPT}")
 
 
 def _posting_pages(spark: SparkSession, sf_dir: str) -> DataFrame:

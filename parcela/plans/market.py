@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import facts as M
+from ..operators import lifecycle
 from ..operators import search as S
 from .views import ctes, view
 
@@ -134,3 +135,17 @@ _add("search_result", lambda s, d: S.result(S.page(market_facts(s, d), entities(
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Market facts, filtered, ranked and cut to fifty."""
     return QUERIES["search_result"](spark, sf_dir)
+
+
+def _facts_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts of the even listings as they stood, then those of a third of the listings merged in by listing."""
+    built = QUERIES["market_facts"](spark, sf_dir).select("listing_id", "price_usd", "market_bucket")
+    was = built.where(F.col("listing_id") % 2 == 0).select("listing_id", F.lit(1.5).alias("price_usd"), "market_bucket", F.lit("1998-01-01 00:00:00").cast("timestamp_ntz").alias("created_at"), F.lit("1998-01-01 00:00:00").cast("timestamp_ntz").alias("updated_at"))
+    rows = built.where(F.col("listing_id") % 3 == 0).withColumn("price_usd", F.col("price_usd").cast("double"))
+    return lifecycle.merge_upsert(was, rows, ["listing_id"], ["price_usd", "market_bucket"], F.lit("1999-06-01 00:00:00").cast("timestamp_ntz"))
+
+
+QUERIES["facts_upsert"] = _facts_upsert
+ORACLE["facts_upsert"] = f"""SELECT listing_id, CASE WHEN listing_id % 3 = 0 THEN CAST(price_usd AS DOUBLE) ELSE 1.5e0 END AS price_usd, market_bucket,
+    CASE WHEN listing_id % 2 = 0 THEN TIMESTAMP '1998-01-01 00:00:00' ELSE TIMESTAMP '1999-06-01 00:00:00' END AS created_at, CASE WHEN listing_id % 3 = 0 THEN TIMESTAMP '1999-06-01 00:00:00' ELSE TIMESTAMP '1998-01-01 00:00:00' END AS updated_at
+    FROM ({ORACLE["market_facts"]}) f WHERE listing_id % 2 = 0 OR listing_id % 3 = 0"""

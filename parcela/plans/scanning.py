@@ -166,4 +166,10 @@ def batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 _add("batch_run_summary", batches, ctes("scan_history") + _BATCH)
 _add("error_rate_alert", lambda s, d: O.alerts(batches(s, d), 5.0), ctes("scan_history", more={"b": _BATCH}) + "SELECT * FROM b WHERE error_rate_pct >= 5")
 _add("ops_top_errors", lambda s, d: O.top_errors(view(s, d, "errors"), 3), _E + "SELECT error_type, count(*) AS n FROM errors GROUP BY 1 ORDER BY n DESC, error_type LIMIT 3")
+_add("ops_active_runs", lambda s, d: O.active_runs(view(s, d, "runs")), _R + "SELECT * FROM runs WHERE status IN ('queued', 'running')")
+_add("ops_recent_runs", lambda s, d: O.recent_runs(view(s, d, "runs"), "facts", 15), _R + "SELECT * FROM runs WHERE run_type = 'facts' ORDER BY started_at DESC NULLS LAST, id DESC LIMIT 15")
+_add("listings_page", lambda s, d: O.listings_page(view(s, d, "listings").select("id", "status", "title", "last_seen_at"), "active", 25, 10), ctes("listings") + "SELECT id, status, title, last_seen_at FROM listings WHERE status = 'active' ORDER BY last_seen_at DESC, id DESC LIMIT 25 OFFSET 10")
+_add("listing_snapshots", lambda s, d: O.snapshots_of(view(s, d, "snapshots"), 7), ctes("snapshots") + "SELECT * FROM snapshots WHERE listing_id = 7")
+_add("run_records", lambda s, d: O.run_records(O.batch_summary(view(s, d, "scan_history"), "batch_id", F.col("listings_found") == 0), "batch_id", "discovery", _at("1999-01-01 00:00:00"), _at("1999-01-01 01:00:00")).withColumn("stats_json", F.get_json_object("stats_json", "$.processed").cast("long")),
+     ctes("scan_history") + "SELECT batch_id AS batch, 'discovery' AS run_type, CASE WHEN f = n THEN 'failed' WHEN f > 0 THEN 'partial' ELSE 'success' END AS status, TIMESTAMP '1999-01-01 00:00:00' AS started_at, TIMESTAMP '1999-01-01 01:00:00' AS finished_at, 3600.0e0 AS duration_seconds, n AS stats_json FROM (SELECT batch_id, count(*) AS n, count(*) FILTER (listings_found = 0) AS f FROM scan_history GROUP BY 1)")
 _add("latest_snapshot", lambda s, d: O.latest_snapshot(view(s, d, "snapshots")), ctes("snapshots") + "SELECT * FROM snapshots QUALIFY row_number() OVER (PARTITION BY listing_id ORDER BY captured_at DESC, id DESC, price_amount DESC) = 1")

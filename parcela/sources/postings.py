@@ -16,12 +16,20 @@ for _ in range(4):
 PAIR = "STRUCT<value STRING, label STRING, measure STRING>"
 POSTING = f"""postingId STRING, id STRING, url STRING, link STRING, status STRING, modified_date STRING, generatedTitle STRING, descriptionNormalized STRING,
   realEstateType STRUCT<realEstateTypeId: STRING, name: STRING>,
-  priceOperationTypes ARRAY<STRUCT<operationType: STRUCT<name: STRING>, prices: ARRAY<STRUCT<amount: DOUBLE, currency: STRING>>>>,
+  priceOperationTypes ARRAY<STRUCT<operationType: STRUCT<name: STRING>, lowPricePercentage: DOUBLE, prices: ARRAY<STRUCT<amount: DOUBLE, currency: STRING>>>>,
   expenses STRUCT<amount: DOUBLE, currency: STRING>, mainFeatures MAP<STRING, {PAIR}>,
-  postingLocation STRUCT<address: STRUCT<name: STRING>, postingGeolocation: STRUCT<geolocation: STRUCT<latitude: DOUBLE, longitude: DOUBLE>>, location: {_PLACE}>,
-  publisher STRUCT<publisherId: STRING, name: STRING, publisherTypeId: STRING, url: STRING, premier: BOOLEAN>, postingCode STRING, reserved BOOLEAN, premier BOOLEAN, whatsApp STRING"""
+  postingLocation STRUCT<address: STRUCT<name: STRING, visibility: STRING>, postingGeolocation: STRUCT<geolocation: STRUCT<latitude: DOUBLE, longitude: DOUBLE>>, location: {_PLACE}>,
+  publisher STRUCT<publisherId: STRING, name: STRING, publisherTypeId: STRING, url: STRING, mainPhone: STRING, premier: BOOLEAN, created_date: STRING>, postingCode STRING, reserved BOOLEAN, premier BOOLEAN,
+  hasVideos BOOLEAN, hasTour BOOLEAN, hasPlans BOOLEAN, triggerPill STRING, alphanumeric_key STRING, whatsApp STRING, publicationAreaId STRING"""
 # Feature ids of the listing columns, codes of sellers and states, categories that are not homes.
 FEATURES = {"surface_total": "CFT100", "surface_covered": "CFT101", "rooms": "CFT1", "bedrooms": "CFT2", "bathrooms": "CFT3", "toilettes": "CFT4", "antiquity_years": "CFT5", "garages": "CFT7"}
+TEXT_FEATURES = {"disposition": "1000019", "orientation": "1000029"}
+# Fields that go into the residue under new names.
+RESIDUE = {
+    "address_visibility": "postingLocation.address.visibility", "posting_code": "postingCode", "reserved": "reserved", "premier": "premier", "has_videos": "hasVideos", "has_tour": "hasTour", "has_plans": "hasPlans",
+    "trigger_pill": "triggerPill", "alphanumeric_key": "alphanumeric_key", "whatsapp": "whatsApp", "publication_area_id": "publicationAreaId", "real_estate_type_id": "realEstateType.realEstateTypeId",
+    "publisher_url": "publisher.url", "publisher_phone": "publisher.mainPhone", "publisher_premier": "publisher.premier", "publisher_created_date": "publisher.created_date",
+}
 SELLERS = {"1": "particular", "2": "inmobiliaria", "3": "developer"}
 STATES = {"ONLINE": "active", "OFFLINE": "offline", "PAUSED": "paused", "RESERVED": "reserved"}
 EXCLUDED_TYPES = ("33", "34")
@@ -82,14 +90,22 @@ def canonical_url(url: Column, id_: Column, base: str) -> Column:
 
 
 def extra_data(p: Column) -> Column:
-    """JSON of what no column holds: further fields under new names and unmapped features; null if there is nothing."""
-    known = list(FEATURES.values())
-    rest = F.map_filter(p["mainFeatures"], lambda k, v: ~k.isin(*known) & v["value"].isNotNull())
-    features = F.transform(F.map_entries(rest), lambda e: F.struct(F.concat(F.lit("feature_"), e["key"]), F.to_json(F.struct(F.coalesce(e["value"]["label"], e["key"]).alias("label"), e["value"]["value"].alias("value")))))
-    plain = F.create_map(F.lit("posting_code"), p["postingCode"], F.lit("publisher_url"), p["publisher"]["url"], F.lit("whatsapp"), p["whatsApp"])
-    kept = F.map_filter(plain, lambda k, v: v.isNotNull() & (v != ""))
-    packed = F.map_concat(kept, F.coalesce(F.map_from_entries(features), F.create_map().cast("map<string,string>")))
-    return F.when(F.size(packed) > 0, F.to_json(packed))
+    """A JSON object of what no column holds: further fields under new names and unmapped features; null if there is nothing."""
+
+    def field(path: str) -> Column:
+        out = p
+        for name in path.split("."):
+            out = out[name]
+        return out
+
+    as_json = lambda v: F.regexp_replace(F.to_json(F.array(v)), r"^\[|\]$", "")
+    named = {name: field(path) for name, path in RESIDUE.items()} | {"low_price_percentage": F.try_element_at(p["priceOperationTypes"], F.lit(1))["lowPricePercentage"]}
+    plain = F.array(*[F.when(v.isNotNull() & (v.cast("string") != ""), F.concat(F.lit(f'"{name}":'), as_json(v))) for name, v in named.items()])
+    known = [*FEATURES.values(), *TEXT_FEATURES.values()]
+    rest = F.map_entries(F.map_filter(p["mainFeatures"], lambda k, v: ~k.isin(*known) & v["value"].isNotNull()))
+    features = F.transform(rest, lambda e: F.concat(as_json(F.concat(F.lit("feature_"), e["key"])), F.lit(":"), F.to_json(F.struct(F.coalesce(e["value"]["label"], e["key"]).alias("label"), e["value"]["value"].alias("value")))))
+    packed = F.array_compact(F.concat(plain, F.coalesce(features, F.array().cast("array<string>"))))
+    return F.when(F.size(packed) > 0, F.concat(F.lit("{"), F.array_join(packed, ","), F.lit("}")))
 
 
 def normalize(postings: DataFrame, base: str = "https://portal.example", column: str = "posting") -> DataFrame:
@@ -110,6 +126,8 @@ def normalize(postings: DataFrame, base: str = "https://portal.example", column:
         price["amount"].cast("decimal(18,2)").alias("price_amount"), price["currency"].alias("price_currency"),
         F.when(spent != 0, spent).cast("decimal(18,2)").alias("expenses_amount"), F.when(spent != 0, p["expenses"]["currency"]).alias("expenses_currency"),
         *[(c.cast("decimal(18,2)") if n.startswith("surface") else c).alias(n) for n, c in features.items()],
+        F.nullif(F.try_element_at(p["mainFeatures"], F.lit(FEATURES["surface_total"]))["measure"], F.lit("")).alias("surface_unit"),
+        *[F.nullif(F.try_element_at(p["mainFeatures"], F.lit(f))["value"], F.lit("")).alias(n) for n, f in TEXT_FEATURES.items()],
         p["postingLocation"]["address"]["name"].alias("address"), *[c.alias(n) for n, c in place_names(p["postingLocation"]["location"]).items()],
         geo["latitude"].cast("decimal(10,6)").alias("lat"), geo["longitude"].cast("decimal(10,6)").alias("lon"),
         p["publisher"]["publisherId"].alias("seller_id"), p["publisher"]["name"].alias("seller_name"), mapped(p["publisher"]["publisherTypeId"], SELLERS).alias("seller_type"), extra_data(p).alias("extra_data"),

@@ -150,6 +150,16 @@ def test_slugs_by_decomposition(spark):
     assert [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(X.slugify(F.col("t"))).collect()] == want
 
 
+def test_queue_outcomes_take_counters(spark):
+    cols = "segment_id long, status string, attempt_count int, completed_at timestamp_ntz, locked_at timestamp_ntz, updated_at timestamp_ntz, started_at timestamp_ntz, last_error string, pages_scanned int, avg_latency_ms double, cooldown_triggered boolean, timeouts int"
+    rows = spark.createDataFrame([(i, "running", 1, None, None, None, None, "old", 9, 1.0, True, 7) for i in range(1, 6)], cols)
+    done = spark.createDataFrame([(1, "complete", 4, 2.5, None), (2, "failed", None, None, "boom"), (3, "pending", None, None, None), (4, "started", None, None, None)], "segment_id long, outcome string, pages_scanned int, avg_latency_ms double, last_error string")
+    got = {r["segment_id"]: r for r in queue.apply_outcomes(rows, done, F.lit("1999-01-01 00:00:00").cast("timestamp_ntz")).collect()}
+    pick = lambda i: tuple(got[i][c] for c in ("status", "last_error", "pages_scanned", "avg_latency_ms", "cooldown_triggered", "timeouts", "attempt_count"))
+    assert pick(1) == ("complete", "old", 4, 2.5, False, 0, 1) and pick(2) == ("pending", "boom", 9, 1.0, True, 7, 2)
+    assert pick(3)[:2] == ("pending", "old") and got[4]["started_at"].year == 1999 and pick(5) == ("running", "old", 9, 1.0, True, 7, 1) and got[5]["updated_at"] is None
+
+
 def test_empty_batch_rate(spark):
     assert ops.batch_summary(spark.createDataFrame([], "b int, f boolean"), "b", F.col("f")).count() == 0
 
