@@ -1,16 +1,21 @@
 """License scans: exact set-similarity join of text blocks with license templates.
 
-A block matches a template where it contains at least ``threshold`` of the template's distinct
-words. Words stand in one global order, rarest in the corpus first. A template of m words that
-needs o of them must share a word of its first m - o + 1 (prefix filter) with the block; the block
-needs o words of the template vocabulary (length filter); the words that can still follow the
-first shared one must be enough (positional filter); then the overlap is counted. DataFrame
-expressions only. A block is joined by its prefix words with a table of the templates' prefix
-words, whose size is fixed by the templates; documents themselves are never shuffled.
+A block matches a template where it contains at least its share of the template's distinct words.
+Words stand in one global order, rarest in the corpus first. A template of m words that needs o of
+them must share a word of its first m - o + 1 (prefix filter) with the block; the block needs o words
+of the template vocabulary (length filter); the words that can still follow the first shared one must
+be enough (positional filter); then the overlap is counted. DataFrame expressions only. A block is
+joined by its prefix words with a table of the templates' prefix words, whose size is fixed by the
+templates; documents themselves are never shuffled.
+
+Blocks follow from the templates. A notice of up to n words (with slack) is looked for in blocks twice
+as long, at every n-th word, where n is a power of two, so each passage lies in some block as a whole.
+A short statement must stand in a block of its own length, at any word, with all its words.
 """
 
 from __future__ import annotations
 
+import json
 import math
 from dataclasses import dataclass, field
 
@@ -21,32 +26,69 @@ from .common import let
 
 # The phrases of the base rule with their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-# First sentences of public licenses, lower-cased words only.
-TEMPLATES = {
+# What public licenses have their users say, lower-cased words only.
+STATEMENTS = {
     "agpl-3.0": "this program is licensed under the gnu affero general public license version 3",
     "apache-2.0": "licensed under the apache license version 2 0",
-    "bsd": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
     "cc-by-4.0": "this work is licensed under a creative commons attribution 4 0 international license",
     "cc-by-nc-4.0": "licensed under cc by nc 4 0",
     "gpl-3.0": "this work is licensed under the gnu general public license version 3",
-    "isc": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
-    "lgpl": "redistribute it and or modify it under the terms of the gnu lesser general public license",
     "mit": "released under the mit license",
     "mpl-2.0": "this source code form is subject to the terms of the mozilla public license v 2 0",
-    "unlicense": "this is free and unencumbered software released into the public domain",
 }
+# The notices of public licenses, lower-cased words only.
+NOTICES = {
+    "agpl-3.0": "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
+    "apache-2.0": "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
+    "bsd": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
+    "gpl-3.0": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
+    "isc": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    "lgpl-3.0": "this program is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
+    "mit": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
+    "mpl-2.0": "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0",
+    "unlicense": "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
+    "zlib": "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely",
+}
+# Words that a notice's block must have, and words of its relatives that it must not have.
+REQUIRED = {"agpl-3.0": ["affero"], "apache-2.0": ["apache"], "gpl-3.0": ["gnu"], "lgpl-3.0": ["lesser"], "mpl-2.0": ["mozilla"]}
+EXCLUDED = {"gpl-3.0": ["affero", "lesser"]}
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 @dataclass(frozen=True)
 class LicenseConfig:
-    """Blocks are ``block_words`` words long and start every ``block_step`` words."""
+    """``threshold``: the share of a notice's distinct words that a block needs; ``slack``: words between a notice's own, as a share of them."""
 
     threshold: float = 0.85
-    block_words: int = 40
-    block_step: int = 20
-    templates: dict[str, str] = field(default_factory=lambda: dict(TEMPLATES))
+    slack: float = 0.25
+    statements: dict[str, str] = field(default_factory=lambda: dict(STATEMENTS))
+    notices: dict[str, str] = field(default_factory=lambda: dict(NOTICES))
+
+
+@dataclass(frozen=True)
+class Template:
+    """``block`` words from every ``step``-th word on are compared."""
+
+    label: str
+    words: tuple[str, ...]
+    need: int
+    block: int
+    step: int
+    required: tuple[str, ...] = ()
+    excluded: tuple[str, ...] = ()
+
+
+def templates(config: LicenseConfig) -> list[Template]:
+    out = []
+    for label, text in sorted(config.statements.items()):
+        words = tuple(sorted(set(text.split())))
+        out.append(Template(label, words, len(words), len(text.split()), 1))
+    for label, text in sorted(config.notices.items()):
+        words = tuple(sorted(set(text.split())))
+        step = 1 << math.ceil(math.log2(len(text.split()) * (1 + config.slack)))
+        out.append(Template(label, words, math.ceil(round(config.threshold * len(words), 9)), 2 * step, step, tuple(REQUIRED.get(label, ())), tuple(EXCLUDED.get(label, ()))))
+    return out
 
 
 def _words(text: Column) -> Column:
@@ -61,14 +103,13 @@ def _vocabulary_order(docs: DataFrame, text_col: str, vocabulary: list[str]) ->
     return sorted(vocabulary, key=lambda w: (count.get(w, 0), w))
 
 
-def _prefix_rows(order: list[str], config: LicenseConfig) -> list[tuple]:
-    """(word, label, place in the template, words, needed words, the template's words in global order) of every prefix word."""
+def _prefix_rows(order: list[str], known: list[Template]) -> list[tuple]:
+    """(word, block, number and label of the template, place in it, words, needed words, its words in global order, required and excluded ones) of every prefix word."""
     rank = {w: i for i, w in enumerate(order)}
     rows = []
-    for label, text in sorted(config.templates.items()):
-        words = sorted(set(text.split()), key=rank.__getitem__)
-        need = math.ceil(round(config.threshold * len(words), 9))
-        rows += [(words[i], label, i, len(words), need, words) for i in range(len(words) - need + 1)]
+    for number, t in enumerate(known):
+        words = sorted(t.words, key=rank.__getitem__)
+        rows += [(words[i], t.block, number, t.label, i, len(words), t.need, words, list(t.required), list(t.excluded)) for i in range(len(words) - t.need + 1)]
     return rows
 
 
@@ -109,34 +150,42 @@ def scan_licenses(docs: DataFrame, config: LicenseConfig = LicenseConfig(), id_c
     columns of ``docs`` are ignored.
     """
     spark: SparkSession = docs.sparkSession
-    vocabulary = sorted({w for t in config.templates.values() for w in t.split()})
+    known = templates(config)
+    vocabulary = sorted({w for t in known for w in (*t.words, *t.required, *t.excluded)})
     order = _vocabulary_order(docs, text_col, vocabulary)
-    rows = _prefix_rows(order, config)
-    index = F.broadcast(spark.createDataFrame(rows, "w string, label string, i int, m int, need int, words array<string>").alias("t"))
-    prefix = F.array(*[F.lit(w) for w in sorted({r[0] for r in rows})])
-    ordered = F.array(*map(F.lit, order))
+    rows = _prefix_rows(order, known)
+    index = F.broadcast(spark.createDataFrame(rows, "w string, c int, t int, label string, i int, m int, need int, words array<string>, required array<string>, excluded array<string>").alias("t"))
+    constant = lambda x: F.from_json(F.lit(json.dumps(sorted(x))), "array<string>")  # noqa: E731  one folded literal
+    prefix = constant({r[0] for r in rows})
+    ordered = F.from_json(F.lit(json.dumps(order)), "array<string>")
+
+    def blocks_of(words: Column, block: int, step: int) -> Column:
+        """Blocks of one length that have a prefix word of a template of that length."""
+        own = constant({r[0] for r in rows if r[1] == block})
+        starts = F.sequence(F.lit(0), F.greatest(F.size(words) - (block if step == 1 else 1), F.lit(0)), F.lit(step))
+        cut = F.transform(starts, lambda s: F.struct(F.lit(block).alias("c"), F.slice(words, s + 1, F.lit(block)).alias("b")))
+        return F.when(F.arrays_overlap(words, own), F.filter(cut, lambda x: F.arrays_overlap(x["b"], own))).otherwise(empty)
 
     def blocks(words: Column) -> Column:
-        starts = F.sequence(F.lit(0), F.greatest(F.size(words) - 1, F.lit(0)), F.lit(config.block_step))
-        cut = F.transform(starts, lambda s: F.slice(words, s + 1, F.lit(config.block_words)))
-        return F.filter(cut, lambda b: F.arrays_overlap(b, prefix))
+        return F.concat(*[blocks_of(words, *x) for x in sorted({(t.block, t.step) for t in known})])
 
+    empty = F.array().cast("array<struct<c:int,b:array<string>>>")
     words = docs.select(F.col(id_col), _words(F.col(text_col)).alias("__words"), F.monotonically_increasing_id().alias("__row"))
     norm = words.withColumn("__norm", F.concat(F.lit(" "), F.array_join("__words", " "), F.lit(" ")))
-    empty = F.array().cast("array<array<string>>")
     hits = let(F.col("__words"), lambda w: F.when(F.arrays_overlap(w, prefix), blocks(w)).otherwise(empty))
     based = norm.select(id_col, "__row", *[c.alias(k) for k, c in _base(F.col("__norm")).items()], hits.alias("__blocks"))
     digest = [id_col, "__row", "n_words", "n_base", "first_word", "last_word", "__base"]
     block = based.select(*digest, F.posexplode_outer("__blocks").alias("__b", "__block"))
-    block = block.select(*digest, "__b", F.array_intersect(ordered, F.col("__block")).alias("__known"))
-    probe = block.select(*digest, "__b", "__known", F.explode_outer(F.array_intersect(F.col("__known"), prefix)).alias("__w"))
-    pair = probe.join(index, F.col("__w") == F.col("t.w"), "left")
+    block = block.select(*digest, "__b", F.col("__block.c").alias("__c"), F.array_intersect(ordered, F.col("__block.b")).alias("__known"))
+    probe = block.select(*digest, "__b", "__c", "__known", F.explode_outer(F.array_intersect(F.col("__known"), prefix)).alias("__w"))
+    pair = probe.join(index, (F.col("__w") == F.col("t.w")) & (F.col("__c") == F.col("t.c")), "left")
     place = F.array_position(F.col("__known"), F.col("__w")) - 1
     first = ~F.arrays_overlap(F.slice(F.col("t.words"), F.lit(1), F.col("t.i")), F.col("__known"))  # each pair once, by its first shared word
     length = F.size("__known") >= F.col("t.need")
     position = F.least(F.col("t.m") - F.col("t.i"), F.size("__known") - place) >= F.col("t.need")
     shared = F.size(F.array_intersect(F.col("t.words"), F.col("__known")))
-    overlap = F.when(F.col("t.label").isNotNull() & length & position & first, shared)
+    own = (F.size(F.array_except(F.col("t.required"), F.col("__known"))) == 0) & (F.size(F.array_intersect(F.col("t.excluded"), F.col("__known"))) == 0)
+    overlap = F.when(F.col("t.label").isNotNull() & length & position & first & own, shared)
     match = pair.select(*digest, F.when(overlap >= F.col("t.need"), F.struct(F.col("t.label").alias("label"), (overlap / F.col("t.m")).alias("share"))).alias("__m"))
     total = match.groupBy(*digest).agg(F.collect_set("__m.label").alias("__labels"), F.max("__m.share").alias("__share"), F.count("__m").alias("n_blocks"))
     return total.select(

@@ -411,6 +411,26 @@ def test_revisits_against_a_plain_search(spark):
     assert Counter(r["outcome"] for r in got if r["canonical_url"] is None) == Counter({"orphan": 4}) and len(got) == 6
 
 
+def test_license_notices(spark):
+    """Notices at any place, with words put in and left out, and statements that must stand together."""
+    rng = np.random.default_rng(6)
+    fill = lambda n: [f"f{x}" for x in rng.integers(0, 50, n)]
+    texts, want = [], []
+    for label, text in license_scan.NOTICES.items():
+        w = text.split()
+        for at in (0, 7, 130, 301):
+            kept = [x for i, x in enumerate(w) if i % 15 != 7 or x in license_scan.REQUIRED.get(label, ())]
+            spread = [y for x in kept for y in ([x, "extra"] if rng.random() < 0.1 else [x])]
+            texts.append(" ".join([*fill(at), *spread, *fill(90)]))
+            want.append(label)
+    texts += ["the mit group released under protest the license", "x Released under the MIT license. y", "licensed under CC BY 4.0 and more", " ".join(license_scan.NOTICES["gpl-3.0"].split()[:30])]
+    want += [None, "mit", None, None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["labels"].split(",") for r in license_scan.scan_licenses(docs).collect()}
+    base = set(license_scan.PHRASES.values())
+    assert [sorted(set(got[i]) - base - {""}) for i in range(len(texts))] == [[x] if x else [] for x in want]
+
+
 def test_odd_and_empty_tables(spark, odd, none):
     bench = spark.createDataFrame([(1, "one two three four five six")], "item_id long, text string")
     labels = spark.createDataFrame([(1, 1), (2, 0), (None, 1), (5, None)], "doc_id long, quality int")
