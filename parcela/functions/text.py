@@ -23,7 +23,7 @@ def slugify(text: Column) -> Column:
     letters, forms, longer = _plain_letters()
     forms_of = F.from_json(F.lit(json.dumps(longer)), "map<string,string>")
     spelled = F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(F.element_at(forms_of, c), c)), "")
-    whole = F.when(text.rlike("[" + "".join(longer) + "]"), spelled).otherwise(text)
+    whole = F.when(F.translate(text, "".join(longer), "") != text, spelled).otherwise(text)
     ascii_only = F.regexp_replace(F.translate(whole, letters, forms), r"[^\x00-\x7F]", "")
     return F.regexp_replace(F.regexp_replace(F.lower(ascii_only), "[^a-z0-9]+", "-"), "^-+|-+$", "")
 
