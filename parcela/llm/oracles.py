@@ -12,7 +12,7 @@ def _list(items: list[str]) -> str:
 
 
 def license_scan() -> str:
-    """Every block of every document against every template."""
+    """Every block of a document against every template of which the document has enough words."""
     known = L.templates(L.LicenseConfig())
     templates = ", ".join(f"('{t.label}', {_list(list(t.words))}, {t.need}, {t.block}, CAST({_list(list(t.required))} AS VARCHAR[]), CAST({_list(list(t.excluded))} AS VARCHAR[]))" for t in known)
     cuts = ", ".join(f"({b}, {s})" for b, s in sorted({(t.block, t.step) for t in known}))
@@ -22,8 +22,9 @@ def license_scan() -> str:
     docs AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{L.UPPER}', '{L.LOWER}'), '{L.NOT_WORD}'), lambda w: w <> '') AS w FROM documents),
     places AS (SELECT rid, label, i FROM (SELECT rid, w, unnest(range(0, len(w))) AS i FROM docs), phrases WHERE w[i + 1] = p[1] AND w[i + 1:i + m] = p),
     base AS (SELECT rid, count(*) AS n, min(i) AS a, max(i) AS b, list_sort(list_distinct(list(label))) AS labels FROM places GROUP BY rid),
-    blocks AS (SELECT rid, c, w[s + 1:s + c] AS b FROM (SELECT rid, w, c, unnest(range(0, greatest(CASE WHEN step = 1 THEN len(w) - c + 1 ELSE len(w) END, 1), step)) AS s FROM docs, cuts)),
-    hits AS (SELECT rid, label, len(list_intersect(t, b)) / CAST(len(t) AS DOUBLE) AS share FROM blocks JOIN templates USING (c) WHERE len(list_intersect(t, b)) >= need AND len(list_intersect(required, b)) = len(required) AND len(list_intersect(excluded, b)) = 0),
+    able AS (SELECT rid, w, tm.*, step FROM docs, templates tm JOIN cuts USING (c) WHERE len(list_intersect(t, w)) >= need),
+    blocks AS (SELECT rid, label, t, need, required, excluded, w[s + 1:s + c] AS b FROM (SELECT *, unnest(range(0, greatest(CASE WHEN step = 1 THEN len(w) - c + 1 ELSE len(w) END, 1), step)) AS s FROM able)),
+    hits AS (SELECT rid, label, len(list_intersect(t, b)) / CAST(len(t) AS DOUBLE) AS share FROM blocks WHERE len(list_intersect(t, b)) >= need AND len(list_intersect(required, b)) = len(required) AND len(list_intersect(excluded, b)) = 0),
     found AS (SELECT rid, list_distinct(list(label)) AS labels, max(share) AS share, count(*) AS n FROM hits GROUP BY rid)
     SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(base.n, 0) AS n_base, a AS first_word, b AS last_word, coalesce(array_to_string(base.labels, ','), '') AS base_labels,
       coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(found.labels, [])))), ','), '') AS labels,
