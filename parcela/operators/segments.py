@@ -245,20 +245,44 @@ def churn_ewma(outcomes: DataFrame, prior: DataFrame | None = None, alpha: float
     return seen.select("segment_id", F.aggregate("__s", F.col("__prior"), step).alias("churn_ewma"), "churn_samples")
 
 
+def _level(low: str, high: str) -> Column:
+    """The power of two that a box's width, of at least 1, does not exceed."""
+    return F.ceil(F.log2(F.greatest((F.col(high) - F.col(low)).cast("double"), F.lit(1.0))))
+
+
+def _cell(bound: str, level: str) -> Column:
+    """The place of a bound among cells of a level's width."""
+    return F.floor(F.col(bound).cast("double") / F.pow(F.lit(2.0), F.col(level)))
+
+
 def inherit_churn(segments: DataFrame, sample_cap: int = 0) -> DataFrame:
     """Children without churn take it from the smallest box that contains theirs: ``id, donor_id, churn_ewma, churn_samples``.
 
-    Donors share portal, operation and province, which are the join's keys; containment is its residue.
+    Donors share portal, operation and province. A donor lies on the few grid cells, about as wide
+    as itself, that its box touches, and a child looks up the cell of its lower corner on each level
+    that donors have: the join is by cell, so a province with many segments is spread, and a child
+    meets only donors near it. Of donors with the same box the two smallest ids are enough, as a
+    child is not its own donor. Ties go to the smallest id. A box with a null bound, or an upper
+    bound below its lower one, contains and is contained in none.
     """
     keys = ["portal", "operation_key", "province_key"]
-    child = segments.where((F.col("status") == "active") & F.col("is_leaf") & F.col("churn_ewma").isNull() & (F.col("churn_samples") == 0)).alias("c")
-    donor = segments.where(F.col("churn_ewma").isNotNull()).alias("d")
+    bounds = ["price_min", "price_max", "surface_min", "surface_max"]
+    proper = segments.where((F.col("price_min") <= F.col("price_max")) & (F.col("surface_min") <= F.col("surface_max")))
+    same_box = Window.partitionBy(*keys, *bounds).orderBy("id")
+    donor = proper.where(F.col("churn_ewma").isNotNull()).select("id", *keys, *bounds, "churn_ewma", "churn_samples").withColumn("__n", F.row_number().over(same_box)).where(F.col("__n") <= 2)
+    donor = donor.withColumns({"__p": _level("price_min", "price_max"), "__s": _level("surface_min", "surface_max")})
+    levels = donor.select(*keys, "__p", "__s").distinct()
+    for side, level in (("price", "__p"), ("surface", "__s")):
+        donor = donor.withColumn(f"__{side}", F.explode(F.sequence(_cell(f"{side}_min", level), _cell(f"{side}_max", level))))
+    child = proper.where((F.col("status") == "active") & F.col("is_leaf") & F.col("churn_ewma").isNull() & (F.col("churn_samples") == 0)).select("id", *keys, *bounds)
+    child = child.join(levels, keys).withColumns({"__price": _cell("price_min", "__p"), "__surface": _cell("surface_min", "__s")})
+
+    on = F.lit(True)
+    for k in (*keys, "__p", "__s", "__price", "__surface"):
+        on = on & (F.col(f"c.{k}") == F.col(f"d.{k}"))
     inside = (F.col("d.price_min") <= F.col("c.price_min")) & (F.col("d.price_max") >= F.col("c.price_max")) & (F.col("d.surface_min") <= F.col("c.surface_min")) & (F.col("d.surface_max") >= F.col("c.surface_max")) & (F.col("d.id") != F.col("c.id"))
     area = (F.col("d.price_max") - F.col("d.price_min")) * (F.col("d.surface_max") - F.col("d.surface_min"))
-    on = inside
-    for k in keys:
-        on = (F.col(f"c.{k}") == F.col(f"d.{k}")) & on
-    best = child.join(donor, on).groupBy(F.col("c.id").alias("id")).agg(F.min_by(F.struct(F.col("d.id").alias("id"), F.col("d.churn_ewma").alias("e"), F.col("d.churn_samples").alias("n")), F.struct(area.alias("a"), F.col("d.id").alias("b"))).alias("__d"))
+    best = child.alias("c").join(donor.alias("d"), on & inside).groupBy(F.col("c.id").alias("id")).agg(F.min_by(F.struct(F.col("d.id").alias("id"), F.col("d.churn_ewma").alias("e"), F.col("d.churn_samples").alias("n")), F.struct(area.alias("a"), F.col("d.id").alias("b"))).alias("__d"))
     return best.select("id", F.col("__d.id").alias("donor_id"), F.col("__d.e").alias("churn_ewma"), F.least(F.col("__d.n"), F.lit(sample_cap)).alias("churn_samples"))
 
 

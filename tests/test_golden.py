@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import random
 import re
 import unicodedata
 from decimal import Decimal
@@ -33,6 +34,25 @@ def test_structural_reason_and_top(spark):
     assert [r["delta"] for r in T.top_delta(many).collect()] == [300, 200, 150, 120, 100, 90, 80, 60, 50, 40]
 
 
+def test_inherit_churn_is_all_pairs(spark):
+    rng = random.Random(5)
+    rows = []
+    for i in range(240):
+        low, wide, floor, tall = rng.choice([0, 5, 10, 64, 100]), rng.choice([0, 1, 3, 16, 64, 100, 1000]), rng.choice([-8, 0, 7, 32]), rng.choice([0, 2, 32, 70])
+        rows.append((i, rng.choice(["p", "q"]), "sale", rng.choice(["a", None]), float(low), float(low + wide), float(floor), float(floor + tall), "active", i % 3 > 0, None if i % 2 else i / 1000, 0 if i % 2 else 4))
+    rows += [(240, "p", "sale", "a", None, 5.0, 0.0, 2.0, "active", True, None, 0), (241, "p", "sale", "a", 9.0, 5.0, 0.0, 2.0, "active", True, None, 0), (242, "p", "sale", "a", float("-inf"), float("inf"), -100.0, 1e6, "active", False, 0.5, 9)]
+    schema = "id int, portal string, operation_key string, province_key string, price_min double, price_max double, surface_min double, surface_max double, status string, is_leaf boolean, churn_ewma double, churn_samples int"
+    want = set()
+    for c in (r for r in rows if r[9] and r[10] is None and r[3] and r[4] is not None and r[4] <= r[5]):
+        holds = [d for d in rows if d[10] is not None and d[:4][1:] == c[:4][1:] and d[4] <= c[4] and d[5] >= c[5] and d[6] <= c[6] and d[7] >= c[7]]
+        for best in sorted(holds, key=lambda d: ((d[5] - d[4]) * (d[7] - d[6]), d[0]))[:1]:
+            want.add((c[0], best[0], best[10], min(best[11], 3)))
+    segments = spark.createDataFrame(rows, schema)
+    assert {tuple(r) for r in T.inherit_churn(segments, 3).collect()} == want
+    assert len({w[1] for w in want}) > 10
+    assert T.inherit_churn(segments.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize(("new", "changed", "found", "days", "want"), [(10, 10, 200, 1.0, 0.10), (10, 10, 200, 14.0, 0.10 / 14), (5, 5, 0, 1.0, None), (10, 10, 200, 0.01, 0.20), (200, 0, 200, 0.5, 1.0)])
 def test_churn(spark, new, changed, found, days, want):
     got = spark.range(1).select(T.churn_daily(F.lit(new), F.lit(changed), F.lit(found), F.lit(days)).alias("c")).first()["c"]
