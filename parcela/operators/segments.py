@@ -287,9 +287,19 @@ def inherit_churn(segments: DataFrame, sample_cap: int = 0) -> DataFrame:
 
 
 def monitor_action(old: Column, new: Column, skip: float = 0.02, partial: float = 0.10) -> Column:
-    """What a change of a count asks for."""
+    """What a change of a count asks for: null where there is no new count. A missing old count is 0."""
+    old = F.coalesce(old, F.lit(0))
     ratio = F.abs(new - old) / F.nullif(old, F.lit(0))
-    return F.when(old == 0, F.when(new > 0, "full_scan").otherwise("skip")).when(ratio < skip, "skip").when(ratio < partial, "partial_scan").otherwise("full_scan")
+    return F.when(new.isNull(), None).when(old == 0, F.when(new > 0, "full_scan").otherwise("skip")).when(ratio < skip, "skip").when(ratio < partial, "partial_scan").otherwise("full_scan")
+
+
+def monitor_rollup(rows: DataFrame, old: str, new: str) -> DataFrame:
+    """One row of counts over all segments checked. One without a new count is checked, but neither skipped nor scanned, and has no snapshot."""
+    action = monitor_action(F.col(old), F.col(new))
+    return rows.agg(
+        F.count(F.lit(1)).alias("segments_checked"), F.count_if(action == "skip").alias("segments_skipped"), F.count_if(action == "partial_scan").alias("segments_partial_scan"),
+        F.count_if(action == "full_scan").alias("segments_full_scan"), F.count(new).alias("snapshots_saved"),
+    )
 
 
 def parse_reason(reason: Column) -> Column:

@@ -112,4 +112,8 @@ _add("page_extract_priority", lambda s, d: pages.assemble(made_pages(s, d)).sele
 _add("page_extract_generic", lambda s, d: pages.generic(made_pages(s, d)).select("id", "price", "surface", "layout"), _L + """SELECT id, CASE WHEN id % 4 <> 3 THEN CASE WHEN price_currency = 'USD' THEN CAST(floor(price_amount) AS BIGINT) END WHEN price_amount > 1000 THEN CAST(floor(price_amount) AS BIGINT) END AS price,
     CASE WHEN id % 4 <> 3 THEN CAST(surface_total AS DOUBLE) ELSE CAST(surface_covered AS DOUBLE) END AS surface, CASE WHEN id % 4 <> 3 THEN 'json-ld' ELSE 'body' END AS layout FROM listings""")
 _add("page_hidden_input", lambda s, d: pages.hidden_inputs(made_pages(s, d)).select("id", "hidden_price", "hidden_currency", "hidden_kind", "uncovered", "hidden_age"), _L + "SELECT id, CAST(floor(price_amount) AS BIGINT) AS hidden_price, CASE WHEN price_currency = 'USD' THEN 'USD' ELSE 'ARS' END AS hidden_currency, CASE id % 3 WHEN 0 THEN 'Casa' WHEN 2 THEN 'PH' END AS hidden_kind, CAST(id % 30 AS INT) AS hidden_age, CASE WHEN round(CAST(surface_total - surface_covered AS DOUBLE), 1) > 0 THEN round(CAST(surface_total - surface_covered AS DOUBLE), 1) END AS uncovered FROM listings")
-_add("page_icon_image", lambda s, d: pages.icon_images(made_pages(s, d)).select("id", "image_bathrooms", "image_garages"), _L + "SELECT id, CAST(bathrooms AS INT) AS image_bathrooms, CAST(CASE WHEN id % 7 = 0 THEN NULL ELSE garages END AS INT) AS image_garages FROM listings")
+_add("page_icon_image", lambda s, d: pages.icon_images(made_pages(s, d)).select("id", "image_bathrooms", "image_garages", "image_price", "image_covered", "image_garage", "image_address"),
+     _L + """SELECT id, CAST(bathrooms AS INT) AS image_bathrooms, CAST(CASE WHEN id % 7 = 0 THEN NULL ELSE garages END AS INT) AS image_garages, CASE WHEN floor(price_amount) > 100 THEN CAST(floor(price_amount) AS BIGINT) END AS image_price,
+     CAST(surface_covered AS DOUBLE) AS image_covered, coalesce(id % 7 <> 0 AND garages > 0, false) AS image_garage, address AS image_address FROM listings""")
+_add("page_main_image", lambda s, d: made_pages(s, d).select("id", pages.main_image(F.col("html")).alias("image")),
+     _L + "SELECT id, CASE WHEN id % 5 <> 4 THEN 'https://img.example/' || id || '.jpg' WHEN id % 10 = 4 THEN 'https://img.example/g/' || id || '.jpg' END AS image FROM listings")

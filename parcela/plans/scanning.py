@@ -110,6 +110,12 @@ _add("churn_inherit", lambda s, d: T.inherit_churn(view(s, d, "segments")), ctes
     WHERE c.status = 'active' AND c.is_leaf AND c.churn_ewma IS NULL AND c.churn_samples = 0 GROUP BY c.id""")
 _add("monitor_action", lambda s, d: T.latest_two(view(s, d, "segment_snapshots")).groupBy(T.monitor_action(F.col("prev_count"), F.col("current_count")).alias("action")).agg(F.count(F.lit(1)).alias("n")),
      ctes("segment_snapshots", more=_TWO) + "SELECT CASE WHEN prev_count = 0 THEN CASE WHEN current_count > 0 THEN 'full_scan' ELSE 'skip' END WHEN abs(current_count - prev_count) / CAST(prev_count AS DOUBLE) < 0.02e0 THEN 'skip' WHEN abs(current_count - prev_count) / CAST(prev_count AS DOUBLE) < 0.1e0 THEN 'partial_scan' ELSE 'full_scan' END AS action, count(*) AS n FROM pair GROUP BY 1")
+_add("monitor_rollup", lambda s, d: T.monitor_rollup(view(s, d, "segments").join(T.latest_two(view(s, d, "segment_snapshots")).select(F.col("segment_id").alias("id"), "current_count"), "id", "left"), "total_count", "current_count"),
+     ctes("segments", "segment_snapshots", more={**_TWO, "checked": """SELECT o, n, CASE WHEN n IS NULL THEN NULL WHEN o = 0 THEN CASE WHEN n > 0 THEN 'full_scan' ELSE 'skip' END
+       WHEN abs(n - o) / CAST(o AS DOUBLE) < 0.02e0 THEN 'skip' WHEN abs(n - o) / CAST(o AS DOUBLE) < 0.1e0 THEN 'partial_scan' ELSE 'full_scan' END AS action
+     FROM (SELECT coalesce(total_count, 0) AS o, current_count AS n FROM segments LEFT JOIN pair ON id = segment_id)"""})
+     + """SELECT count(*) AS segments_checked, count(*) FILTER (action = 'skip') AS segments_skipped, count(*) FILTER (action = 'partial_scan') AS segments_partial_scan,
+     count(*) FILTER (action = 'full_scan') AS segments_full_scan, count(n) AS snapshots_saved FROM checked""")
 _add("reason_parse", lambda s, d: view(s, d, "scan_queue").select("id", T.parse_reason(F.col("reason")).alias("batch_id"), T.tier_of_priority(F.col("priority")).alias("tier")), ctes("scan_queue") + "SELECT id, nullif(regexp_extract(reason, '(?:^|;)batch_id=([^;]*)', 1), '') AS batch_id, nullif(regexp_extract(priority, '^refresh_(.*)$', 1), '') AS tier FROM scan_queue")
 
 # --- queue ------------------------------------------------------------------------------------

@@ -22,9 +22,11 @@ def _add(name: str, query, sql: str) -> None:
     QUERIES[name], ORACLE[name] = query, sql
 
 
-def _final(stream: DataFrame, mode: str) -> DataFrame:
-    """The rows of the last batch that had any: with these tables there is one batch, and one that closes it."""
+def _final(stream: DataFrame, mode: str, key: str | None = None) -> DataFrame:
+    """The last state of what a stream wrote: with a key (update mode) each key's row of its last batch, else all rows of the last batch that had any."""
     out = J.drain(stream, mode)
+    if key:
+        return out.groupBy(key).agg(F.max_by(F.struct(*stream.columns), "batch_id").alias("last")).select("last.*")
     last = out.agg(F.max("batch_id").alias("b")).first()["b"]
     return out.where(F.col("batch_id") == F.lit(last)).drop("batch_id")
 
@@ -49,7 +51,7 @@ def stream_churn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The outcomes of scans come as a stream of a written table."""
     path = f"{shared_root(spark)}/parcela/outcomes-{uuid.uuid4().hex}"
     T.scan_outcomes(view(spark, sf_dir, "scan_history")).select("segment_id", "id", "scanned_at", "churn").write.parquet(path)
-    out = _final(J.churn_ewma(spark.readStream.schema("segment_id long, id long, scanned_at timestamp_ntz, churn double").parquet(path)), "update")
+    out = _final(J.churn_ewma(spark.readStream.schema("segment_id long, id long, scanned_at timestamp_ntz, churn double").parquet(path)), "update", "segment_id")
     return out.withColumn("churn_ewma", F.round("churn_ewma", 6))
 
 
@@ -61,7 +63,7 @@ def stream_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("id"), F.col("l_partkey").alias("listing_id"), F.col("l_shipdate").cast("timestamp_ntz").alias("captured_at"),
         F.col("l_extendedprice").alias("price"), F.when(F.col("l_returnflag") == "R", "ARS").otherwise("USD").alias("price_currency"),
     )
-    return _final(J.price_history(rows), "update")
+    return _final(J.price_history(rows), "update", "listing_id")
 
 
 _add("stream_price_history", stream_prices, ctes("snapshots") + """SELECT listing_id, min_by(p, (captured_at, id, p)) AS initial_price, max_by(p, (captured_at, id, p)) AS last_price, min(p) AS min_price, max(p) AS max_price,

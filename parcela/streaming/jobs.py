@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..operators import lifecycle as L
 from ..session import shared_root, ship_package
@@ -41,7 +42,7 @@ def drain(stream: DataFrame, mode: str) -> DataFrame:
         batch.write.mode("overwrite").parquet(f"{root}/out/batch_id={batch_id}")
 
     stream.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).foreachBatch(sink).start().awaitTermination()
-    return spark.read.schema(stream.schema.add("batch_id", "long")).option("basePath", f"{root}/out").parquet(f"{root}/out")
+    return spark.read.schema(StructType([*stream.schema, StructField("batch_id", LongType())])).option("basePath", f"{root}/out").parquet(f"{root}/out")
 
 
 def merge_batches(incoming: DataFrame, current_path: str, snapshot_path: str, checkpoint: str, now) -> Any:

@@ -238,3 +238,8 @@ def test_budget_arrays_are_bounded(spark, monkeypatch, most):
     _bounded_lists(monkeypatch, 300)
     got = T.take_within_budget(_due(spark, pages), "portal", [-F.col("overdue_ratio")], 60, most).collect()
     assert sorted(r["segment_id"] for r in got) == sorted(taken)
+
+
+def test_monitor_counts(spark):
+    rows = spark.createDataFrame([(1, 100, 101), (2, 100, 105), (3, 100, 110), (4, None, 3), (5, 0, 0), (6, 50, None)], "id int, old long, new long")
+    assert tuple(T.monitor_rollup(rows, "old", "new").first()) == (6, 2, 1, 2, 5)

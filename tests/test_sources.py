@@ -122,3 +122,25 @@ def test_posting_link_where_the_url_is_empty(spark):
     raw = [{"postingId": "1", "url": "", "link": "/a.html"}, {"postingId": "2", "link": "https://x.example/b"}, {"postingId": "3", "url": "/c.html", "link": "/d.html"}]
     rows = spark.createDataFrame([(json.dumps(x),) for x in raw], "posting string")
     assert {r["external_id"]: r["canonical_url"] for r in postings.normalize(rows).collect()} == {"1": "https://portal.example/a.html", "2": "https://x.example/b", "3": "https://portal.example/c.html"}
+
+
+def test_icon_portal_rules(spark):
+    cases = {
+        '<p class="miniinfo"><span><img src="a/ico_precio_us.png"> U$S 49.700</span><span><img src="ico_mt2cub.png"/> 62,5 m2</span><span><img src="ico_cocheras.png"> 2</span><span><img src="ico_dire.png"> <b>San Juan</b>  10</span></p>': (49700, 62.5, True, "San Juan 10"),
+        """<meta name="description" content="Casa u$s120,000"><span><img src="ico_precio_us.png"> 99</span><span><img src="ico_cocheras.png">--</span><script>x = {ubicacion: 'Mitre 5'}</script>""": (120000, None, False, "Mitre 5"),
+        '<span><img src="ico_cocheras.png">0</span>': (None, None, False, None),
+    }
+    for html, want in cases.items():
+        got = pages.icon_images(_page(spark, html)).first()
+        assert (got["image_price"], got["image_covered"], got["image_garage"], got["image_address"]) == want
+
+
+def test_image_and_address_fallbacks(spark):
+    cases = {
+        '<meta property="og:image" content="https://a/1.jpg"><div class="gallery"><img src="https://a/2.jpg"></div>': ("https://a/1.jpg", None),
+        '<div class="photo-slider"><img src="data:x" data-src="https://a/3.jpg"></div><h2 data-qa="posting-location"> Mitre  10, <b>Rosario</b></h2>': ("https://a/3.jpg", "Mitre 10, Rosario"),
+        '<div class="section-location">' + "x" * 150 + '</div><meta property="og:title" content="Casa en venta en Fisherton - Rosario">': (None, "venta en Fisherton"),
+        '<img src="https://a/4.jpg">': (None, None),
+    }
+    for html, want in cases.items():
+        assert tuple(_page(spark, html).select(pages.main_image(F.col("html")), pages.address_text(F.col("html"))).first()) == want
