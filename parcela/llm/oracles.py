@@ -108,5 +108,36 @@ def sharding() -> str:
     return "SELECT doc_id, lang, source, n_chars, CAST(strlen(text) AS BIGINT) AS n_bytes, md5(text) AS text_md5 FROM documents"
 
 
+def hard_negatives() -> str:
+    """All anchors against all rows; sums of whole numbers are exact in doubles here."""
+    return """
+    WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+      FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    scores AS (SELECT DISTINCT a.vec_id AS a, a.label AS own, r.vec_id AS r, r.label, CAST(list_inner_product(a.q, r.q) AS BIGINT) AS s FROM v a JOIN v r ON a.vec_id % 100 = 0 AND len(a.q) = len(r.q)),
+    positives AS (SELECT a, own, r, s FROM scores WHERE label = own AND r <> a QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, r) <= 5)
+    SELECT p.a AS anchor_id, p.r AS positive_id, CAST(row_number() OVER (PARTITION BY p.a, p.r ORDER BY n.s DESC, n.r) AS INTEGER) AS rank, n.r AS negative_id, p.s AS positive_score, n.s AS negative_score
+    FROM positives p JOIN scores n ON n.a = p.a AND n.label <> p.own AND 30 * p.s <= 100 * n.s AND 100 * n.s <= 90 * p.s
+    QUALIFY row_number() OVER (PARTITION BY p.a, p.r ORDER BY n.s DESC, n.r) <= 10"""
+
+
+def spelling_variants() -> str:
+    """CRC-32 by its table; near words meet in what is left when one letter goes, at the same place (replaced) or as the shorter word (inserted)."""
+    return r"""
+    WITH RECURSIVE bits AS (SELECT b, 0 AS k, b AS c FROM (SELECT unnest(range(0, 256)) AS b) UNION ALL SELECT b, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bits WHERE k < 8),
+    crc AS (SELECT list(c ORDER BY b) AS t FROM bits WHERE k = 8),
+    runs AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{00C0}-\x{00FF}]{7,}')) AS w FROM documents),
+    uses AS (SELECT doc_id, w, count(*) AS n FROM runs GROUP BY ALL),
+    hexes AS (SELECT w, doc_id, n, hex(encode(doc_id || ':' || w)) AS x FROM uses),
+    hashed AS (SELECT doc_id, w, n, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(x), 2), lambda i: CAST('0x' || x[i:i + 1] AS BIGINT))), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295::BIGINT) AS h FROM hexes, crc),
+    edited AS (SELECT CASE WHEN h % 31 = 0 THEN w[1:h % length(w)] || w[h % length(w) + 2:] ELSE w END AS word, n FROM hashed),
+    words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM edited WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+    cut AS (SELECT word, n, i, word[1:i] || word[i + 2:] AS rest FROM (SELECT word, n, unnest(range(0, length(word))) AS i FROM words)),
+    near AS (SELECT a.word, b.word AS near, b.n FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word UNION SELECT a.word, b.word, b.n FROM cut a JOIN words b ON a.rest = b.word UNION SELECT b.word, a.word, a.n FROM cut a JOIN words b ON a.rest = b.word),
+    best AS (SELECT word, count(*) AS n_near, min((-n, near)) AS b FROM near GROUP BY word),
+    forms AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN -b[1] >= 10 * w.n THEN b[2] END AS form, CASE WHEN -b[1] >= 10 * w.n THEN -b[1] END AS form_n FROM words w LEFT JOIN best USING (word)),
+    walk AS (SELECT word, word AS root, 0 AS k FROM forms UNION ALL SELECT walk.word, f.form, k + 1 FROM walk JOIN forms f ON f.word = walk.root WHERE f.form IS NOT NULL)
+    SELECT f.word, form, root, n, n_near, form_n FROM forms f JOIN (SELECT word, arg_max(root, k) AS root FROM walk GROUP BY word) r ON r.word = f.word"""
+
+
 def all_sql() -> dict[str, str]:
-    return {"op2_license_scan": license_scan(), "op6_revisits": revisits(), "op8_quality_rules": quality_rules(), "op9_jaccard_join": jaccard_join(), "op10_sharding": sharding()}
+    return {"op2_license_scan": license_scan(), "op6_revisits": revisits(), "op8_quality_rules": quality_rules(), "op9_jaccard_join": jaccard_join(), "op10_sharding": sharding(), "op11_hard_negatives": hard_negatives(), "op13_spelling_variants": spelling_variants()}

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_root, table
-from . import decontamination, jaccard_join, language_id, license_scan, oracles, packing, quality_model, quality_rules, revisits, sharding, token_counts
+from . import decontamination, hard_negatives, jaccard_join, language_id, license_scan, oracles, packing, quality_model, quality_rules, revisits, sharding, spelling, token_counts, winnowing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -69,7 +69,21 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read().select("doc_id", "lang", "source", "n_chars", F.octet_length("text").cast("long").alias("n_bytes"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_packing, op2_license_scan, op3_quality_classifier, op4_decontamination, op5_language_id, op6_revisits, op7_token_counts, op8_quality_rules, op9_jaccard_join, op10_sharding)}
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
+def op12_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"), spelling.SpellingConfig(delete_every=31))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_packing, op2_license_scan, op3_quality_classifier, op4_decontamination, op5_language_id, op6_revisits, op7_token_counts, op8_quality_rules, op9_jaccard_join, op10_sharding, op11_hard_negatives, op12_winnowing, op13_spelling_variants)}
 ORACLE: dict[str, str] = oracles.all_sql()
 
 
