@@ -65,9 +65,9 @@ def strip_nul(text: Column) -> Column:
 
 
 def dedupe_parts(address: Column) -> Column:
-    """An address without its label, link text and repeated parts between commas."""
-    bare = F.regexp_replace(F.regexp_replace(address, "^Ubicación ", ""), "Ver información.*$", "")
-    return F.array_join(F.array_distinct(F.transform(F.split(bare, ","), lambda p: F.trim(p))), ", ")
+    """An address without its label, link text and repeated or empty parts between commas; either case, with or without accents."""
+    bare = F.regexp_replace(F.regexp_replace(address, r"(?iu)^ubicaci[oó]n\s+", ""), r"(?iu)\s*ver informaci[oó]n.*$", "")
+    return F.array_join(F.array_distinct(F.filter(F.transform(F.split(bare, ","), lambda p: F.trim(p)), lambda p: p != "")), ", ")
 
 
 def rooms_text(rooms: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parcela.operators import lifecycle
-from parcela.sources import jsonl, pages, postings
+from parcela.sources import elements, jsonl, pages, postings
 
 
 def test_jsonl_skips_bad_lines_and_appends_new_ids(spark, tmp_path):
@@ -90,32 +90,122 @@ def test_body_text_rules(spark):
     assert (got["body_age"], got["body_surface"], got["body_garage"]) == (20, 45.5, False)
 
 
-def test_seller_pictures_icons_and_features(spark):
+def test_sellers(spark):
     kinds = {"/inmobiliarias/a": "inmobiliaria", "/CORREDORES/b": "corredor", "/desarrolladores/c": "desarrollador", "/constructoras/d": "desarrollador", "/particulares/e": "particular", "/usuarios/f": None}
-    for href, want in kinds.items():
-        assert pages.seller(_page(spark, f'<a class="seller" href="{href}">N</a>')).first()["seller_type"] == want
+    cases = {f'<a href="{href}" data-qa="seller-link"> <b>N</b>  M</a>': ("N M", want) for href, want in kinds.items()} | {
+        """<a data-qa="linkMicrositioAnuncianteLeads" href="/inmobiliarias/x">A</a><a data-qa='publisher' href='/particulares/'>B</a>""": ("A", "inmobiliaria"),
+        "<a data-qa='myAnunciante' href='/x'>B</a>": ("B", None),
+        '<section class="publisher-card"><p>x</p><span class="user-label">Empresa <i>constructora</i></span><div><a class="publisherCard-module__info-name___1" href="/u">C</a></div></section>': ("C", "inmobiliaria"),
+        '<div class="publisherCard"><p class="type">Developer</p></div><a data-qa="seller-link">D</a>': ("D", None),
+        '<div class="publisher-name"> </div><div class="publisherName"><b>E</b></div>': ("E", None), "<a href='/inmobiliarias/q'>F</a>": (None, None),
+    }
+    rows = spark.createDataFrame([(h, "u", h) for h in cases], "id string, url string, html string")
+    assert {r["id"]: (r["seller_name"], r["seller_type"]) for r in pages.seller(rows).collect()} == cases
+
+
+def test_pictures_icons_and_features(spark):
     html = 'avisos/1/00/12/34/56/360x266/7.jpg avisos/2/00/12/34/56/x/7.jpg avisos/1/00/12/34/56/x/8.jpg avisos/1/00/12/34/57/x/9.jpg'
     assert _page(spark, html).select(pages.picture_count(F.col("html"), F.lit("123456")), pages.picture_count(F.col("html"), F.lit("12345"))).first() == (2, None)
-    icons = '<ul><li><i class="icon-stotal x"></i> 1.250,5 m²</li><li><i class="icon-bano"></i><span>2</span> baños</li><li><i class="icon-toilet"></i>1</li><li><i class="icon-antiguedad"></i>A estrenar</li><li><i class="icon-orientacion"></i>Norte</li></ul>'
+    icons = """<ul><li>1.250,5 m² <i class="icon-stotal x"></i></li><li><b><i class="icon-bano"></i></b><span>2</span> baños</li><li><i class='icon-toilet'></i>1</li><li><i class="icon-antiguedad"></i>A estrenar</li></ul>
+      <p><i class="icon-orientacion"></i><b>Norte</b></p><span><i class="icon-ambientes"></i>9</span>"""
     got = pages.icon_features(_page(spark, icons)).first()
     assert (got["icon_total"], got["icon_bathrooms"], got["icon_toilettes"], got["icon_age"], got["icon_orientation"], got["icon_rooms"]) == (1250.5, 2, 1, 0, "Norte", None)
-    made = {"A": {"1": {"label": " Aire  Acondicionado! ", "value": None}, "2": {"label": "x", "value": "0"}, "3": {"label": "Baños", "value": "2", "icon": "bano"}, "4": {"label": "Nota", "value": "a};b", "measure": "m"}, "5": {"label": "Pisos", "value": 12}, "6": {"label": "Frente", "value": "8,5", "measure": "m"}, "7": {"label": "", "value": "1"}}}
-    got = {r["key"]: r["value"] for r in pages.features(_page(spark, f"<script>const generalFeatures = {json.dumps(made, ensure_ascii=False)}; var x = {{}};</script>")).collect()}
-    assert got == {"aire_acondicionado": "true", "nota": "a};b m", "pisos": "12", "frente": "8.5"}
+    made = {
+        "A": {"1": {"label": " Aire  Acondicionado! ", "value": None}, "2": {"label": "x", "value": "0"}, "3": {"label": "Baños", "value": "2", "icon": "bano"}, "4": {"label": "Nota", "value": "a};b", "measure": "m"}, "5": {"label": "Pisos", "value": 12}},
+        "B": {"6": {"label": "Frente", "value": "8,5", "measure": "m"}, "7": {"label": "", "value": "1"}, "8": {"label": "Fondo", "value": "1.250"}, "9": {"label": "Alto", "value": "1.2.3"}, "10": {"label": "nota", "value": "b"}},
+    }
+    got = [(r["key"], r["value"]) for r in pages.features(_page(spark, f"<script>const generalFeatures = {json.dumps(made, ensure_ascii=False)}; var x = {{}};</script>")).collect()]
+    assert sorted(got) == [("aire_acondicionado", "true"), ("alto", "12.3"), ("fondo", "1.25"), ("frente", "85"), ("nota", "b"), ("pisos", "12")]
+
+
+def test_element_tree(spark):
+    html = """<!-- <p>no</p> --><DIV Class='a  b' data-x=1><p>one &amp; <br>two<li>three</p><script>var s = "<p>four</p>";</script></div></span>tail <b title="x > y">five"""
+    nodes, texts = elements.elements(html)
+    assert [(n["tag"], n["parent"]) for n in nodes] == [("div", None), ("p", 0), ("br", 1), ("li", 1), ("script", 0), ("b", None)]
+    assert dict(nodes[0]["attrs"]) == {"class": "a  b", "data-x": "1"} and dict(nodes[5]["attrs"]) == {"title": "x > y"}
+    inside = lambda n: [t["text"].strip() for t in texts if n["start"] <= t["at"] <= n["stop"] and not t["raw"]]
+    assert inside(nodes[0]) == inside(nodes[1]) == ["one &", "two", "three"] and inside(nodes[5]) == ["five"] and inside(nodes[4]) == []
+    assert elements.elements("") == ([], []) and elements.elements("a < b")[1][0]["text"] == "a < b"
+    t, rows = elements.Tree(), elements.with_tree(spark.createDataFrame([(html,), (None,)], "html string"))
+    got = rows.select(t.body().alias("body"), t.text(t.around(t.first(elements.tagged("li")), elements.tagged("div"))).alias("card"), t.text(t.first(elements.of_class("b"), elements.tagged("b"))).alias("b"), F.size(t.inside(t.first(elements.tagged("p")), lambda n: F.lit(True))).alias("n")).collect()
+    assert [tuple(r) for r in got] == [("one & two three tail five", "one & two three", "one & two three", 2), ("", None, None, 0)]
+
+
+def test_script_literals():
+    page = """<script>const antiquity='Publicado \\'hoy\\''; x.publisher = {"a": "}", 'b': ['{']}; var publisherId = {"z": 1}; "visibility" : "EXACT"; videos = [1, "]"]; tier=="3"; latitude: -34.5e, longitude = '7'; usersViews = abc; publisher = {"open": 1</script>"""
+    got = [(v["name"], v["quoted"], v["kind"], v["text"]) for v in elements.literals(page)]
+    assert got == [
+        ("antiquity", False, "s", "Publicado 'hoy'"), ("publisher", False, "o", """{"a": "}", 'b': ['{']}"""), ("visibility", True, "s", "EXACT"), ("videos", False, "o", '[1, "]"]'), ("latitude", False, "n", "-34.5"), ("longitude", False, "s", "7"),
+    ]
+
+
+def test_inline_variables(spark):
+    far = " " * 500
+    cases = {
+        "<script>const antiquity = 'Publicado hace 5 días'; const usersViews = 77; latitude: -346037220; Longitude = \"-58.38\"</script>": (5, 77, -34.603722, -58.38, None, None, None, False, False, None),
+        """<script>const antiquity = 'hace más de 1 año'; publisher = {"publisherId": 0, "license": "", "urlLogo": "https://l"}; tier: '3', m = {'1': 'simple'}; "visibility": "hidden"; const videos = ["a"]; tour360Url = "http://x"</script>""": (365, None, None, None, "superdestacado", None, "https://l", True, False, "HIDDEN"),
+        f"""<script>tier = 2;{far}m = {{'1' : 'simple'}}; publisher={{"publisherId": 12, "license": "M1"}}; "videoUrl": "https://v", "tourUrl" : "https://t"; const antiquity = "hoy"; "latitude": 5</script>""": (0, None, None, None, None, "12", None, True, True, None),
+        "<script>const antiquity = 'hace 3 horas'</script>": (0, None, None, None, None, None, None, False, False, None), "": (None, None, None, None, None, None, None, False, False, None),
+    }
+    rows = spark.createDataFrame([(h, "u", h) for h in cases], "id string, url string, html string")
+    got = {r["id"]: tuple(r[c] for c in ("days", "views", "lat", "lon", "publication_tier", "seller_id", "seller_logo", "has_video", "has_tour_360", "visibility")) for r in pages.inline_variables(rows).collect()}
+    assert got == cases
 
 
 def test_next_data_and_hidden_input(spark):
     script = lambda d: f'<script id="__NEXT_DATA__" type="application/json">{json.dumps({"props": {"pageProps": d}})}</script>'
     cases = [
         ({"listing": {}, "posting": {"price": {"amount": 0, "value": "95000.7", "currency": "ARS"}, "geo": {"lat": -346037000, "lon": "-58.38"}}}, (95000, "ARS", -34.6037, -58.38)),
+        ({"listing": {"geo": {"lat": -34.6}, "location": {"latitude": -30.0, "longitude": -60.0}}}, (None, None, -30.0, -60.0)), ({"listing": [1], "posting": {"geo": {"lat": 0, "lon": 5}, "coordinates": {"lat": 1, "lon": 2}}}, (None, None, 1.0, 2.0)),
         ({"initialData": {"listing": {"prices": [{"amount": None}, {"value": 7}]}}}, (7, "USD", None, None)), ({"listing": {"priceOperationType": {"prices": [{"amount": 3, "currency": "ARS"}]}}}, (3, "ARS", None, None)), ({"x": 1}, (None, None, None, None)),
     ]
     for made, want in cases:
         got = pages.next_data(_page(spark, script(made))).first()
         assert (got["next_price"], got["next_currency"], got["next_lat"], got["next_lon"]) == want
-    html = '<input type="hidden" data-moneda="usd" data-price="85000.5" data-tipo-propiedad="PH"><div class="property-features"><b>Sup. Total:</b> 90,5 Sup. Cubierta 60 Sup Semicubierta: 10 Antigüedad: 8</div>'
-    got = pages.hidden_inputs(_page(spark, html)).first()
-    assert (got["hidden_price"], got["hidden_currency"], got["hidden_kind"], got["uncovered"], got["hidden_age"]) == (85000, "USD", "PH", 20.5, 8)
+    ld = lambda d: f'<script type="application/ld+json">{json.dumps(d)}</script>'
+    fields = ("hidden_price", "hidden_currency", "hidden_kind", "covered", "uncovered", "hidden_age", "hidden_orientation", "hidden_floor", "hidden_garage", "hidden_pool", "hidden_address", "hidden_posted")
+    cases = {
+        """<input type="hidden" data-moneda="usd" data-price='85000.5' data-tipo-propiedad="oficina" data-barrio="Flores" data-localidad=""><div class="x property-features"><b>Sup. Total:</b> 90,5 Sup. <i>Cubierta</i> 60 Sup Semicubierta: 10 Antigüedad: 8 Orientación: noreste Piso 4 Cochera</div>""": (85000, "USD", "Local", 60.0, 20.5, 8, "Norte", 4, True, None, "Flores", None),
+        '<p class="card-price">desde USD 500</p><p class="titlebar__price">consultar <b>$ 95.000</b></p><p class="card-price">USD 120.000</p>' + ld({"@type": "VideoObject", "uploadDate": "1999-05-02"}): (95000, "ARS", None, None, None, None, None, None, None, None, None, "1999-05-02"),
+        '<input data-price="0" data-barrio="B"><p class="card-price">USD 500 $ 2.000</p>' + ld({"@type": "House", "address": {"streetAddress": "Mitre 1", "addressRegion": "R"}, "floorSize": {"value": 70}, "datePosted": "1999-01-01"}) + ld({"@type": "Apartment", "datePublished": "1999-02-01"}): (2000, "ARS", "Casa", 70.0, None, None, None, None, None, None, "Mitre 1, R", "1999-02-01"),
+    }
+    rows = spark.createDataFrame([(h, "u", h) for h in cases], "id string, url string, html string")
+    assert {r["id"]: tuple(r[c] for c in fields) for r in pages.hidden_inputs(rows).collect()} == cases
+
+
+def test_rendered_pages(spark):
+    fields = ("shown_price", "shown_address", "shown_covered", "shown_semi", "shown_kind", "shown_age", "shown_orientation", "shown_floor", "shown_garage", "shown_pool")
+    cases = {
+        '<h1>PH con local</h1><div class="ui-pdp-media__title">ubicacion Belgrano, , Capital Federal, Capital Federal VER INFORMACION de la zona</div><p class="big-price">U$S 95.000</p><p>80 m² totales 10 m² semicubiertos, 12 años de antigüedad, orientación Sur, piso: 3, cochera</p>': (95000, "Belgrano, Capital Federal", 80.0, 10.0, "PH", 12, "Sur", 3, True, None),
+        '<script type="application/ld+json">{"@type":"Place"}</script><script type="application/ld+json">{"@type":"Product","offers":{"price":"70000","priceCurrency":"ARS"},"address":{"streetAddress":"Mitre 10"}}</script><p class="price-tag">USD 800 o USD 80.000</p><p class="x price">USD 81.000</p><p class="location">Otra calle</p>': (81000, "Mitre 10", None, None, None, None, None, None, None, None),
+        '<p class="location">abc</p><p class="my-location">Av. Rivadavia 100</p><b>departamento</b> casa 45,5 m2 cubiertos 50 m² totales piscina': (None, None, 45.5, None, "Departamento", None, None, None, None, True),
+    }
+    rows = spark.createDataFrame([(h, "u", h) for h in cases], "id string, url string, html string")
+    assert {r["id"]: tuple(r[c] for c in fields) for r in pages.rendered(rows).collect()} == cases
+
+
+def test_assembly_order(spark):
+    ld = json.dumps({"@type": "House", "name": "LD - Portal", "offers": {"price": 90000}, "floorSize": {"value": 50}, "numberOfBedrooms": 0, "geo": {"latitude": -30.0, "longitude": 0}, "address": {"streetAddress": "Mitre 1"}})
+    html = f"""<script type="application/ld+json">{ld}</script><script>longitude = -58.5; latitude = -35.5</script><div class="price-value"><div>Venta</div> <span>USD 120.000</span></div><li><i class="icon-dormitorio"></i>3</li>
+      <div class="post-antiquity"><p>Publicado hace 2 meses</p></div><div class="wrapper-description"><b>uno</b><br><i>dos</i></div>"""
+    got = pages.assemble(_page(spark, html)).first()
+    assert (got["price"], got["price_currency"], got["surface_total"], got["bedrooms"], got["lat"], got["lon"], got["title"], got["days"], got["description"], got["address"], got["operation"]) == (120000, "USD", None, 3, -30.0, -58.5, "LD", 60, "uno\ndos", "Mitre 1", "venta")
+    blank = pages.assemble(_page(spark, None)).first()
+    assert blank["price"] is None and blank["title"] is None and blank["has_video"] is False
+
+
+def test_portal_links(spark):
+    cases = {
+        "https://www.argenprop.com/x": ("""<script>window.__INITIAL_STATE__ = {"a": ["https:\\/\\/www.argenprop.com\\/casa-en-venta--1", "https://www.argenprop.com/otra"]};</script><a href="/ph-x">p</a>""", ["https://www.argenprop.com/casa-en-venta--1"]),
+        "https://argenprop.com/y": ("<a href='/ph-x?a'>p</a><a href='/ph-x#b'>p</a><a href=/local-z>q</a>", ["https://www.argenprop.com/ph-x", "https://www.argenprop.com/local-z"]),
+        "https://www.buscainmueble.com/": ('<a href="/casa-10">a</a><a href="/aviso/casa-11?x">b</a>', ["https://www.buscainmueble.com/aviso/casa-11"]), "https://www.inmuebles.clarin.com/": ('<a href="/casa/x-10.html">a</a>', ["https://www.inmuebles.clarin.com/casa/x-10.html"]),
+        "https://mercadolibre.com/p": ("<a href='https://x.mercadolibre.com.ar/MLA-1'>a</a>", None), "https://mercadolibre.com/MLA": ("<a href='https://x.mercadolibre.com.ar/MLA-1#c'>a</a><a href='https://x.mercadolibre.com.ar/list?MLA-2'>a</a>", ["https://x.mercadolibre.com.ar/MLA-1"]),
+    }
+    rows = spark.createDataFrame([(u, h) for u, (h, _) in cases.items()], "url string, html string")
+    got: dict = {}
+    for r in pages.portal_links(rows).orderBy("url", "position").collect():
+        got.setdefault(r["url"], []).append(r["link"])
+    assert got == {u: w for u, (_, w) in cases.items() if w}
 
 
 def test_posting_link_where_the_url_is_empty(spark):
@@ -143,4 +233,5 @@ def test_image_and_address_fallbacks(spark):
         '<img src="https://a/4.jpg">': (None, None),
     }
     for html, want in cases.items():
-        assert tuple(_page(spark, html).select(pages.main_image(F.col("html")), pages.address_text(F.col("html"))).first()) == want
+        got = pages.address(pages.media(_page(spark, html))).first()
+        assert (got["image"], got["page_address"]) == want
