@@ -33,6 +33,19 @@ def hash_place(column: str) -> Column:
     return F.shiftrightunsigned(F.xxhash64(column), 1) / F.lit(2.0**63)
 
 
+def named(column: str) -> Column:
+    """A column by its whole name, which may hold dots."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A name like ``name`` that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def id_type(df: DataFrame, name: str) -> T.DataType:
     return df.schema[name].dataType
 
@@ -46,7 +59,8 @@ def arrow_map(df: DataFrame, columns: list[str], body: Callable[[pa.RecordBatch]
                 yield from out.to_batches() if isinstance(out, pa.Table) else [out]
 
     ship_package(df.sparkSession)
-    return df.select(*columns).mapInArrow(run, schema)
+    # columns are named by place: mapInArrow does not take names with dots
+    return df.select(*[named(c).alias(f"c{i}") for i, c in enumerate(columns)]).mapInArrow(run, schema)
 
 
 def text_slices(texts: list[str | None], most_chars: int) -> Iterator[tuple[int, int]]:

@@ -153,23 +153,33 @@ def _scan(text: np.ndarray, item: np.ndarray, free_text: np.ndarray, free_item:
         return at, _windows(ids, length)[at]
 
     at, h = open_windows(text, free_text)
-    table: dict[int, list[int]] = {}
-    for p, x in zip(at.tolist(), h.tolist(), strict=True):
-        table.setdefault(x, []).append(p)
+    order = np.argsort(h, kind="stable")
+    at, h = at[order], h[order]
+    places, wanted = open_windows(item, free_item)
+    low, high = np.searchsorted(h, wanted, "left"), np.searchsorted(h, wanted, "right")
+    room_text, room_item = _open_ahead(free_text), _open_ahead(free_item)
     longest, found = 0, []
-    for q, x in zip(*(v.tolist() for v in open_windows(item, free_item)), strict=True):
-        for p in table.get(x, ()):
-            if p and q and free_text[p - 1] and free_item[q - 1] and text[p - 1] == item[q - 1]:
-                continue  # part of a longer match that began earlier
-            size = 0
-            while p + size < len(text) and q + size < len(item) and free_text[p + size] and free_item[q + size] and text[p + size] == item[q + size]:
-                size += 1
+    for k in np.flatnonzero(high > low):
+        q, p = int(places[k]), at[low[k] : high[k]]
+        if q and free_item[q - 1]:  # the others are parts of longer matches that began earlier
+            p = p[(p == 0) | ~free_text[p - 1] | (text[p - 1] != item[q - 1])]
+        for start in p.tolist():
+            room = int(min(room_text[start], room_item[q]))
+            differs = text[start : start + room] != item[q : q + room]
+            size = int(differs.argmax()) if differs.any() else room
             if size >= length:
                 longest = max(longest, size)
-                found.append((size, p, q))
+                found.append((size, start, q))
     return longest, found
 
 
+def _open_ahead(free: np.ndarray) -> np.ndarray:
+    """The number of unmarked words in a row from each place on."""
+    stops = np.append(np.flatnonzero(~free), len(free))
+    places = np.arange(len(free))
+    return stops[np.searchsorted(stops, places)] - places
+
+
 def benchmark_blocks(benchmark: DataFrame, config: TilingConfig, id_col: str, text_col: str) -> Iterator[Broadcast]:
     """Broadcast blocks of the benchmark, each of about ``block_chars`` characters: as many as its measured size needs."""
     usable = benchmark.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))

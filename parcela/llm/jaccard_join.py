@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import drop_materialized, materialize, ship_package
-from .common import id_type
+from .common import free_name, id_type
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _FINAL = np.uint64(0xBF58476D1CE4E5B9)
@@ -401,8 +401,9 @@ def keep_one(docs: DataFrame, config: JaccardConfig = JaccardConfig(), id_col: s
     rows, labels = _grouped(docs, config, id_col, text_col, key)
     best = F.min(F.struct(F.col("id").isNull().alias("a"), F.col("id").alias("b"), F.col("key").alias("key")))
     named = _with_component(rows.where(F.col("n") > 0).groupBy("k").agg(best.alias("best")), labels)
-    keepers = named.groupBy("comp").agg(F.min("best").alias("best")).select(F.col("best.key").alias("__key"))
-    kept = materialize(keepers.unionByName(rows.where(F.col("n") == 0).select(F.col("key").alias("__key"))).distinct(), "keepers")
+    keepers = named.groupBy("comp").agg(F.min("best").alias("best")).select(F.col("best.key").alias("key"))
+    kept = materialize(keepers.unionByName(rows.where(F.col("n") == 0).select("key")).distinct(), "keepers")
     for used in (rows, labels):
         drop_materialized(used)
-    return docs.withColumn("__key", key).join(kept, "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")
+    own = free_name(docs, "__key")
+    return docs.withColumn(own, key).join(kept.withColumnRenamed("key", own), own, "left_semi").dropDuplicates([own]).drop(own)

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import drop_materialized, materialize
-from .common import arrow_map, hash_place, id_type, text_slices
+from .common import arrow_map, hash_place, id_type, named, text_slices
 
 START = "▁"
 #: The probability of a letter that no piece covers.
@@ -202,17 +202,18 @@ def train(docs: DataFrame, config: LanguageConfig = LanguageConfig(), id_col: st
     ids is then joined with the texts.
     """
     vocab = vocabulary(config.vocabulary)
-    usable = docs.where(training_rows(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    sizes = {r["__lang"]: r["count"] for r in usable.groupBy(F.col(lang_col).alias("__lang")).count().collect()}  # a row a language
+    usable = docs.select(named(id_col).alias("id"), named(lang_col).alias("lang"), named(text_col).alias("text"))  # own names: docs may have any others
+    usable = usable.where(training_rows("id") & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    sizes = {r["__lang"]: r["count"] for r in usable.groupBy(F.col("lang").alias("__lang")).count().collect()}  # a row a language
     languages = sorted(sizes)
     if not languages:
         return LanguageModel([], np.zeros((len(vocab.pieces), 0)), config)
     # twice the share that fills the sample is ranked, so that a large language sends few rows to its task
     shares = docs.sparkSession.createDataFrame([(k, min(1.0, 2.0 * config.docs_per_language / n)) for k, n in sizes.items()], "__lang string, __share double")
     by_hash = Window.partitionBy("__lang").orderBy(hash_place("__id"), "__id")
-    ids = usable.select(F.col(id_col).alias("__id"), F.col(lang_col).alias("__lang")).join(F.broadcast(shares), "__lang").where(hash_place("__id") <= F.col("__share"))
+    ids = usable.select(F.col("id").alias("__id"), F.col("lang").alias("__lang")).join(F.broadcast(shares), "__lang").where(hash_place("__id") <= F.col("__share"))
     chosen = ids.withColumn("__n", F.row_number().over(by_hash)).where(F.col("__n") <= config.docs_per_language).select("__id").distinct()
-    sample = usable.join(F.broadcast(chosen), F.col(id_col) == F.col("__id"), "left_semi").select(F.col(lang_col).alias("__lang"), F.col(text_col).alias("__text"))
+    sample = usable.join(F.broadcast(chosen), F.col("id") == F.col("__id"), "left_semi").select(F.col("lang").alias("__lang"), F.col("text").alias("__text"))
     number = {k: i for i, k in enumerate(languages)}
 
     def count(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_map, hash_place, id_type
+from .common import arrow_map, hash_place, id_type, named
 
 FEATURES = (
     "log_words", "word_length", "long_words", "distinct_words", "top_word", "repeated_next", "lower", "upper", "digit", "space",
@@ -187,7 +187,8 @@ def train(docs: DataFrame, labels: DataFrame, config: GamConfig = GamConfig(), i
     share = min(1.0, 2.0 * config.sample_rows / max(1, usable.count()))
     drawn = usable.select(F.col(id_col).alias("__id"), F.col(label_col).cast("double").alias("__y")).where(hash_place("__id") <= share)
     chosen = drawn.groupBy("__id").agg(F.max("__y").alias("__y")).orderBy(hash_place("__id"), "__id").limit(config.sample_rows)
-    sample = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("__id")).select(F.col(id_col).cast("string").alias("__id"), F.col(text_col).alias("__text"), "__y")
+    texts = docs.select(named(id_col).alias("id"), named(text_col).alias("text"))  # own names: docs may have any others
+    sample = texts.join(F.broadcast(chosen), F.col("id") == F.col("__id")).select(F.col("id").cast("string").alias("__id"), F.col("text").alias("__text"), "__y")
 
     def body(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         x = _matrix(batch.column(1))

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ..session import drop_materialized, materialize
-from .common import let, words_of
+from .common import let, named, words_of
 
 SYMBOLS = "[#*$%&|<>]"
 WINDOW = 5
@@ -172,6 +172,6 @@ def score_quality(docs: DataFrame, config: QualityConfig = QualityConfig(), id_c
 def keep_good(docs: DataFrame, config: QualityConfig = QualityConfig(), text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of ``docs`` that are kept, with their own columns. The same rules as ``score_quality``; empty in, empty out."""
     references = language_references(docs, config, text_col, lang_col)
-    judged = _judged(docs, [F.struct(*docs.columns).alias("__row")], config, references, text_col)
+    judged = _judged(docs, [F.struct(*map(named, docs.columns)).alias("__row")], config, references, text_col)
     # a plain filter would be pushed under the columns it needs, and then split the text for each of them anew
-    return judged.select(F.explode_outer(F.when(F.col("kept"), F.array("__row"))).alias("__row")).where(F.col("__row").isNotNull()).select("__row.*")
+    return judged.select(F.explode_outer(F.when(F.col("kept"), F.array("__row"))).alias("__row")).where(F.col("__row").isNotNull()).select(*[F.col("__row").getField(c).alias(c) for c in docs.columns])
