@@ -1,7 +1,7 @@
 """Spelling variants: words one edit apart, found by walking a trie that is a distributed edge table.
 
 1. Words are counted in one pass over the texts; each task sums its own words before they move.
-2. The vocabulary's trie is a table. A node is the 128-bit digest of a prefix; only nodes that branch
+2. The vocabulary's trie is a table. A node is the digest of a prefix; only nodes that branch
    are kept, so an edge carries a whole label, and a chain of letters of any length is one edge.
 3. Two words one edit apart agree in one of their halves. So there are two tries, of the words and of
    the words reversed, and in each a word makes its edit in its second half only, where few words
@@ -9,7 +9,8 @@
    a word's own path: another letter than the word's replaces it, or is inserted before it.
    An insertion is made as late as it can, as the letter inserted differs from the one that follows.
 4. Level by level the states join the edges that leave their node with the letter at their position,
-   and go on where the label agrees. A state that ends with its word at a leaf has found a neighbour.
+   and go on where the label agrees and the child has an edge for the letter that follows. A state
+   that ends with its word at a leaf has found a neighbour.
    Every level is a written table; the loop ends when no states are left.
 
 Edges of a node that many words pass are dealt under several salts, its states under one of them each.
@@ -34,6 +35,8 @@ from .common import arrow_map
 
 #: What ends a word in the trie; no letter.
 END = ""
+#: Words up to this length are their own keys.
+SHORT = 24
 
 
 @dataclass(frozen=True)
@@ -92,44 +95,53 @@ def count_words(docs: DataFrame, config: SpellingConfig = SpellingConfig(), id_c
     return counted.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= config.min_count)
 
 
+def _key(word: Column) -> Column:
+    """A short word itself, a longer one's digest after a sign that is no letter."""
+    return F.when(F.length(word) <= SHORT, word).otherwise(F.concat(F.lit("#"), F.md5(F.encode(word, "UTF-8"))))
+
+
+def _number(letter: Column) -> Column:
+    """a to z, then the Latin-1 letters, then no letter: 0 to 90."""
+    code = F.ascii(letter)
+    return F.when(code.between(97, 122), code - 97).when(code.between(192, 255), code - 166).otherwise(90)
+
+
 def _steps(words: DataFrame) -> DataFrame:
-    """``digest, way, depth, node, letter`` of the prefixes that a state may reach: those of at least half a word, of the word (way 0) and reversed (way 1)."""
+    """``key, way, depth, node, letter`` (its number) of the prefixes that a state may reach: those of at least half a word, of the word (way 0) and reversed (way 1)."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.Table]:
         out: list[list] = [[], [], [], [], []]
-        for word in batch.column(0).to_pylist():
-            digest = xxhash.xxh3_128_digest(word.encode())
+        for key, word in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             for way, w in enumerate((word, word[::-1])):
                 start = (len(w) - 1) // 2
-                state = xxhash.xxh3_128(bytes([way]) + w[:start].encode())
-                for depth in range(start, len(w) + 1):
-                    for column, value in zip(out, (digest, way, depth, state.digest(), w[depth : depth + 1]), strict=True):
+                state = xxhash.xxh3_64(bytes([way]) + w[:start].encode())
+                for depth in range(start, len(w)):
+                    code = ord(w[depth])
+                    for column, value in zip(out, (key, way, depth, state.intdigest() - 2**63, code - 97 if code < 192 else code - 166), strict=True):
                         column.append(value)
-                    state.update(w[depth : depth + 1].encode())
+                    state.update(w[depth].encode())
+                for column, value in zip(out, (key, way, len(w), state.intdigest() - 2**63, 90), strict=True):
+                    column.append(value)
                 if len(out[0]) > 100_000:
                     yield table(out)
                     out = [[], [], [], [], []]
         yield table(out)
 
     def table(out: list[list]) -> pa.Table:
-        return pa.table([pa.array(c, t) for c, t in zip(out, (pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.string()), strict=True)], names=["digest", "way", "depth", "node", "letter"])
+        return pa.table([pa.array(c, t) for c, t in zip(out, (pa.string(), pa.int8(), pa.int32(), pa.int64(), pa.int8()), strict=True)], names=["key", "way", "depth", "node", "letter"])
 
-    return arrow_map(words, ["word"], run, "digest binary, way int, depth int, node binary, letter string")
+    return arrow_map(words.select(_key(F.col("word")).alias("key"), "word"), ["key", "word"], run, "key string, way byte, depth int, node long, letter byte")
 
 
 def _paths(words: DataFrame, config: SpellingConfig) -> DataFrame:
-    """``word, n, way, path`` with the oriented word and the branching nodes on its way: depth, node and fan (the number of its salts)."""
+    """``word, n, way, path`` with the oriented word and the branching nodes on its way: depth, node, fan (the number of its salts), and masks of the letters that leave it."""
     steps = materialize(_steps(words), "trie-steps")
-    nodes = steps.groupBy("node").agg(F.min("letter").alias("a"), F.max("letter").alias("b"), F.count(F.lit(1)).alias("n")).where(F.col("a") != F.col("b"))
-    nodes = nodes.select("node", F.ceil(F.col("n") / config.salt_words).cast("int").alias("fan"))
-    on_path = steps.join(nodes, "node").groupBy("digest", "way").agg(F.array_sort(F.collect_list(F.struct("depth", "node", "fan"))).alias("path"))
-
-    def digests(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(w.encode()) for w in batch.column(0).to_pylist()], pa.binary()), *batch.columns], names=["digest", "word", "n"])
-
-    named = arrow_map(words, ["word", "n"], digests, "digest binary, word string, n long")
+    bit = lambda low: F.when(F.col("letter").between(low, low + 61), F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("letter") - low).cast("int"))).otherwise(F.lit(0).cast("long"))
+    nodes = steps.groupBy("node").agg(F.bit_or(bit(0)).alias("m0"), F.bit_or(bit(62)).alias("m1"), F.count(F.lit(1)).alias("n")).where(F.bit_count("m0") + F.bit_count("m1") > 1)
+    nodes = nodes.select("node", "m0", "m1", F.ceil(F.col("n") / config.salt_words).cast("int").alias("fan"))
+    on_path = steps.join(nodes, "node").groupBy("key", "way").agg(F.array_sort(F.collect_list(F.struct("depth", "node", "fan", "m0", "m1"))).alias("path"))
     oriented = F.when(F.col("way") == 0, F.col("word")).otherwise(F.reverse("word"))
-    out = materialize(named.join(on_path, "digest").select("n", "way", oriented.alias("word"), "path"), "trie-paths")
+    out = materialize(words.withColumn("key", _key(F.col("word"))).join(on_path, "key").select("n", "way", oriented.alias("word"), "path"), "trie-paths")
     drop_materialized(steps)
     return out
 
@@ -139,23 +151,26 @@ def _part(word: Column, start: Column, length: Column) -> Column:
 
 
 def _edges(paths: DataFrame) -> DataFrame:
-    """``node, salt, letter, label, child, fan, leaf, leaf_n``: the label follows the letter; a leaf edge ends a word."""
+    """``node, salt, letter, label, child, fan, m0, m1, leaf, leaf_n``: the label follows the letter; a leaf edge ends a word."""
     at = F.posexplode("path").alias("i", "e")
     rows = paths.select("word", "n", "path", at).withColumn("to", F.get("path", F.col("i") + 1))
     rest = F.coalesce(F.col("to.depth"), F.length("word")) - F.col("e.depth") - 1
     edge = rows.select(
         F.col("e.node").alias("node"), F.col("e.fan").alias("own_fan"), _part(F.col("word"), F.col("e.depth"), F.lit(1)).alias("letter"), _part(F.col("word"), F.col("e.depth") + 1, rest).alias("label"),
-        F.col("to.node").alias("child"), F.col("to.fan").alias("fan"), F.when(F.col("to").isNull(), F.col("word")).alias("leaf"), F.when(F.col("to").isNull(), F.col("n")).alias("leaf_n"),
+        F.col("to.node").alias("child"), F.col("to.fan").alias("fan"), F.col("to.m0").alias("m0"), F.col("to.m1").alias("m1"),
+        F.when(F.col("to").isNull(), F.col("word")).alias("leaf"), F.when(F.col("to").isNull(), F.col("n")).alias("leaf_n"),
     )
-    one = edge.groupBy("node", "letter").agg(*[F.first(c).alias(c) for c in ("own_fan", "label", "child", "fan", "leaf", "leaf_n")])
-    return one.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("own_fan") - 1))).drop("own_fan")
+    # whole edges are told apart, so two nodes that share a digest lose none
+    return edge.distinct().withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("own_fan") - 1))).drop("own_fan")
 
 
 def _walked(joined: DataFrame, start: Column) -> DataFrame:
-    """States whose word goes on with the edge's label from ``start``; at a leaf the word has to end there."""
+    """States whose word goes on with the edge's label from ``start``, and then with a letter that leaves the child; at a leaf the word has to end there."""
     end = start + F.length("label")
-    fits = (_part(F.col("word"), start, F.length("label")) == F.col("label")) & F.when(F.col("leaf").isNull(), end <= F.length("word")).otherwise(end == F.length("word"))
-    return joined.where(fits).select("way", "word", "n", end.alias("position"), F.col("child").alias("node"), F.col("fan").alias("node_fan"), "leaf", "leaf_n")
+    number = _number(_part(F.col("word"), end, F.lit(1))).cast("int")
+    leaves = F.when(number < 62, F.call_function("shiftright", F.col("m0"), number)).otherwise(F.call_function("shiftright", F.col("m1"), number - 62)).bitwiseAND(F.lit(1)) == 1
+    fits = (_part(F.col("word"), start, F.length("label")) == F.col("label")) & F.when(F.col("leaf").isNull(), (end <= F.length("word")) & leaves).otherwise(end == F.length("word"))
+    return joined.where(fits).select("way", "word", "n", "place", "replaced", end.alias("position"), F.col("child").alias("node"), F.col("fan").alias("node_fan"), "leaf", "leaf_n")
 
 
 def _salt(fan: Column) -> Column:
@@ -163,19 +178,23 @@ def _salt(fan: Column) -> Column:
 
 
 def neighbours(words: DataFrame, config: SpellingConfig = SpellingConfig()) -> DataFrame:
-    """``word, near, near_n``: both orders of all pairs of ``words`` (``word, n``, distinct) that one inserted, deleted or replaced code point tells apart."""
+    """``word, near, near_n``: both orders of all pairs of ``words`` (``word, n``, distinct, of Latin letters) that one inserted, deleted or replaced code point tells apart."""
     paths = _paths(words, config)
     edges = materialize(_edges(paths), "trie-edges")
     at = paths.select("way", "word", "n", F.explode("path").alias("e")).where(F.col("e.depth") >= F.floor((F.length("word") + F.col("way")) / 2))
     at = at.select("way", "word", "n", F.col("e.depth").alias("depth"), F.col("e.node").alias("node"), _salt(F.col("e.fan")).alias("salt"))
     begun = at.join(edges, ["node", "salt"]).where((F.col("letter") != END) & (F.col("letter") != _part(F.col("word"), F.col("depth"), F.lit(1))))
-    # one join, two edits: the letter stands for the word's own, or before it
-    edits = begun.withColumn("start", F.explode(F.array(F.col("depth"), F.col("depth") + 1))).where((F.col("start") == F.col("depth")) | (F.col("depth") < F.length("word")))
-    levels = [materialize(_walked(edits, F.col("start")), "trie-states")]
+    # one join, two edits: the letter stands before the word's own, or for it
+    edits = begun.withColumn("replaced", F.explode(F.array(F.lit(0), F.lit(1)))).where((F.col("replaced") == 0) | (F.col("depth") < F.length("word"))).withColumnRenamed("depth", "place")
+    levels = [materialize(_walked(edits, F.col("place") + F.col("replaced")), "trie-states")]
     while levels[-1].where(F.col("leaf").isNull()).limit(1).count():
-        states = levels[-1].where(F.col("leaf").isNull()).select("way", "word", "n", "position", "node", _salt(F.col("node_fan")).alias("salt"), _part(F.col("word"), F.col("position"), F.lit(1)).alias("letter"))
+        states = levels[-1].where(F.col("leaf").isNull()).select("way", "word", "n", "place", "replaced", "position", "node", _salt(F.col("node_fan")).alias("salt"), _part(F.col("word"), F.col("position"), F.lit(1)).alias("letter"))
         levels.append(materialize(_walked(states.join(edges, ["node", "salt", "letter"]), F.col("position") + F.length("letter")), "trie-states"))
     ends = reduce(DataFrame.unionByName, levels).where(F.col("leaf").isNotNull())
+    # nodes go by 64-bit digests, so each pair is checked at the place of its edit
+    whole, place = F.length("leaf"), F.col("place")
+    before = _part(F.col("word"), F.lit(0), place) == _part(F.col("leaf"), F.lit(0), place)
+    ends = ends.where(before & (_part(F.col("word"), place + F.col("replaced"), whole) == _part(F.col("leaf"), place + 1, whole)))
     plain = lambda c: F.when(F.col("way") == 0, F.col(c)).otherwise(F.reverse(c))
     both = ends.select(F.explode(F.array(F.struct(plain("word").alias("word"), plain("leaf").alias("near"), F.col("leaf_n").alias("near_n")), F.struct(plain("leaf").alias("word"), plain("word").alias("near"), F.col("n").alias("near_n")))).alias("x"))
     out = materialize(both.select("x.*").distinct(), "neighbours")

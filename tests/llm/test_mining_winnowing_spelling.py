@@ -191,8 +191,8 @@ def _variants(rows, every=31):
 
 def test_variants_against_brute_force(spark, sf_dir, odd):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    long = "Überlänge" * 20_000
-    chain = ["Straßenbahn"] * 1000 + ["Straßenbahnx"] * 100 + ["xStraßenbahnx"] * 10 + [long, long.replace("Ü", "ü")] + [long + "x"] * 2
+    long = "Überlänge" * 150
+    chain = ["Straßenbahn"] * 2000 + ["Straßenbahnx"] * 100 + ["xStraßenbahnx"] * 8 + [long, long.replace("Ü", "ü")] + [long + "x"] * 2
     planted = spark.createDataFrame([(900_000 + i, w) for i, w in enumerate(chain)] + [(None, "nullids nullids NULLIDS")], "doc_id long, text string")
     table = docs.union(planted).union(odd.select("doc_id", "text"))
     config = spelling.SpellingConfig(delete_every=31, held_chars=5000)
