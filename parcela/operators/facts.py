@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 DAY_MICROS = 86_400_000_000
 
 
@@ -63,6 +65,54 @@ def price_history(snapshots: DataFrame) -> DataFrame:
     )
 
 
+#: A listing's history as a mergeable record; ``first`` and ``last`` are its first and last dollar prices with their places.
+POINT = "STRUCT<captured_at: TIMESTAMP_NTZ, id: BIGINT, price: DECIMAL(18,2)>"
+
+
+def history_state(snapshots: DataFrame) -> DataFrame:
+    """``listing_id, first, last, low, high, changes, changed_at, seen_at, n``: what a history comes to, in a form that a later part can be merged into."""
+    point = F.struct("captured_at", "id", F.col("price_amount").cast("decimal(18,2)").alias("price")).cast(POINT)
+    usd = (F.col("price_currency") == "USD") & F.col("price_amount").isNotNull()
+    rows = snapshots.select("listing_id", "captured_at", F.when(usd, point).alias("p"))
+    before = F.last("p", ignorenulls=True).over(Window.partitionBy("listing_id").orderBy("p").rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("moved", F.coalesce(F.col("p.price") != before["price"], F.lit(False)))
+    return rows.groupBy("listing_id").agg(
+        F.min("p").alias("first"), F.max("p").alias("last"), F.min("p.price").alias("low"), F.max("p.price").alias("high"), F.count_if("moved").alias("changes"),
+        F.max(F.when(F.col("moved"), F.col("captured_at"))).alias("changed_at"), F.max("captured_at").alias("seen_at"), F.count(F.lit(1)).alias("n"),
+    )
+
+
+def merge_history(state: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Two states of a history, where ``fresh`` follows ``state``, as one; ``late`` where a fresh price stands before a known one, so that the merged row does not hold."""
+    a, b = state.alias("a"), fresh.alias("b")
+    both = a.join(b, F.col("a.listing_id") == F.col("b.listing_id"), "full_outer")
+    seam = F.coalesce(F.col("a.last.price") != F.col("b.first.price"), F.lit(False))
+    count = lambda c: F.coalesce(F.col(f"a.{c}"), F.lit(0)) + F.coalesce(F.col(f"b.{c}"), F.lit(0))
+    return both.select(
+        F.coalesce("a.listing_id", "b.listing_id").alias("listing_id"), F.coalesce("a.first", "b.first").alias("first"), F.coalesce("b.last", "a.last").alias("last"), F.least("a.low", "b.low").alias("low"), F.greatest("a.high", "b.high").alias("high"),
+        (count("changes") + seam.cast("int")).alias("changes"), F.greatest("a.changed_at", "b.changed_at", F.when(seam, F.col("b.first.captured_at"))).alias("changed_at"), F.greatest("a.seen_at", "b.seen_at").alias("seen_at"),
+        count("n").alias("n"), F.coalesce(F.col("b.first") < F.col("a.last"), F.lit(False)).alias("late"),
+    )
+
+
+def advance_history(state: DataFrame, fresh: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """The state after new snapshots. Only listings that got a price from before a known one are built again, from all of ``snapshots``, which is read for them alone."""
+    merged = materialize(merge_history(state, history_state(fresh)), "history")
+    late = merged.where("late").select("listing_id")
+    kept = merged.where(~F.col("late")).drop("late")
+    if late.limit(1).count() == 0:
+        return kept
+    return kept.unionByName(history_state(snapshots.join(late, "listing_id", "left_semi")))
+
+
+def history_of(state: DataFrame) -> DataFrame:
+    """A state in the columns of ``price_history``."""
+    return state.select(
+        "listing_id", F.col("first.price").alias("initial_price_usd"), F.col("low").alias("min_price_usd"), F.col("high").alias("max_price_usd"), F.col("changes").alias("price_change_count"),
+        F.col("changed_at").alias("last_price_change_at"), F.col("seen_at").alias("last_snapshot_at"), F.col("n").alias("snapshot_count"),
+    )
+
+
 def price_delta(current: Column, initial: Column) -> Column:
     return current - initial
 
@@ -117,7 +167,25 @@ def choose_location(facts: DataFrame) -> DataFrame:
 
 def build_market_facts(entities: DataFrame, snapshots: DataFrame, locations: DataFrame, as_of: str) -> DataFrame:
     """One facts row a listing, as of a time given by the caller."""
-    history = price_history(snapshots)
+    return facts_of(entities, price_history(snapshots), locations, as_of)
+
+
+def build_incrementally(facts: DataFrame, entities: DataFrame, state: DataFrame, fresh: DataFrame, snapshots: DataFrame, locations: DataFrame, as_of: str) -> tuple[DataFrame, DataFrame]:
+    """The facts and the histories after new snapshots: rows of listings that have any, that were not built, or that changed since are built again, the others stay as they are.
+
+    ``facts`` has its build time in ``updated_at``; so has the result. Old snapshots are read only for listings with late ones.
+    """
+    now = F.lit(as_of).cast("timestamp_ntz")
+    ahead = materialize(advance_history(state, fresh, snapshots), "history")
+    due = pending_ids(entities, facts).union(fresh.select("listing_id")).distinct().withColumnRenamed("id", "listing_id")
+    due = materialize(due, "pending")
+    some = entities.join(due.withColumnRenamed("listing_id", "id"), "id", "left_semi")
+    built = facts_of(some, history_of(ahead.join(due, "listing_id", "left_semi")), locations, as_of).withColumn("updated_at", now)
+    return facts.join(due, "listing_id", "left_anti").unionByName(built.select(*facts.columns)), ahead
+
+
+def facts_of(entities: DataFrame, history: DataFrame, locations: DataFrame, as_of: str) -> DataFrame:
+    """Facts from listings, their price histories and their places."""
     place = locations.select("listing_id", "normalized_province", "normalized_city", "normalized_neighborhood", "normalized_latitude", "normalized_longitude")
     rows = entities.withColumnRenamed("id", "listing_id").join(history, "listing_id", "left").join(place, "listing_id", "left")
     now = F.lit(as_of).cast("timestamp_ntz")

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import segments as T
+from ..operators.lifecycle import KEYS
 from ..session import shared_root
+from ..sources.versions import VersionedTable
 from ..streaming import jobs as J
 from .changes import MERGED, _now
 from .scanning import _OUT
@@ -74,12 +76,13 @@ _add("stream_price_history", stream_prices, ctes("snapshots") + """SELECT listin
 def stream_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The current table after a stream of postings has been merged into it."""
     root = f"{shared_root(spark)}/parcela/lifecycle-{uuid.uuid4().hex}"
-    view(spark, sf_dir, "current_entities").write.parquet(f"{root}/current/version=0")
+    known = view(spark, sf_dir, "current_entities").withColumn("content_hash", F.lit(None).cast("string"))
+    current = VersionedTable(spark, f"{root}/current", known.schema, list(KEYS), 8)
+    current.merge(known, lambda _, rows: rows)
     view(spark, sf_dir, "incoming").write.parquet(f"{root}/incoming")
     incoming = spark.readStream.schema(view(spark, sf_dir, "incoming").schema).parquet(f"{root}/incoming")
-    query = J.merge_batches(incoming, f"{root}/current", f"{root}/snapshots", f"{root}/checkpoint", _now())
-    query.awaitTermination()
-    return spark.read.parquet(f"{root}/current/version={query.lastProgress['batchId'] + 1}")
+    J.merge_batches(incoming, current, f"{root}/snapshots", f"{root}/checkpoint", _now()).awaitTermination()
+    return current.read()
 
 
 _add("stream_lifecycle_merge", stream_lifecycle, MERGED)

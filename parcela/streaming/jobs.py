@@ -18,6 +18,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from ..operators import lifecycle as L
 from ..session import shared_root, ship_package
+from ..sources.versions import VersionedTable
 
 
 def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,19 +46,22 @@ def drain(stream: DataFrame, mode: str) -> DataFrame:
     return spark.read.schema(StructType([*stream.schema, StructField("batch_id", LongType())])).option("basePath", f"{root}/out").parquet(f"{root}/out")
 
 
-def merge_batches(incoming: DataFrame, current_path: str, snapshot_path: str, checkpoint: str, now) -> Any:
-    """Start the lifecycle merge of a stream of postings.
+def merge_batches(incoming: DataFrame, current: VersionedTable, snapshot_path: str, checkpoint: str, now) -> Any:
+    """Start the lifecycle merge of a stream of postings into a versioned table with the keys of a listing.
 
-    A batch reads version n of the current table and writes version n + 1, where n is its number,
-    and its snapshots into a folder of its own: a batch that is run again gives the same tables.
-    Version 0 is what stands at ``current_path`` before the start.
+    A batch rewrites only the buckets that its keys fall into, and its snapshots go into a folder of
+    its own before the version is made. The version carries the batch's number, so a batch that is run
+    again, before or after its version was made, leaves the same tables.
     """
 
     def merge(batch: DataFrame, n: int) -> None:
-        spark = batch.sparkSession
-        current = spark.read.parquet(f"{current_path}/version={n}")
-        L.merge(current, batch, now).write.mode("overwrite").parquet(f"{current_path}/version={n + 1}")
-        L.snapshots(L.classify(current, batch), now).write.mode("overwrite").parquet(f"{snapshot_path}/batch={n}")
+        held = batch.persist()
+
+        def history(known: DataFrame, rows: DataFrame) -> None:
+            L.snapshots(L.classify(known, rows), now).write.mode("overwrite").parquet(f"{snapshot_path}/batch={n}")
+
+        current.merge(held, lambda known, rows: L.merge(known, rows, now), mark=n, also=history)
+        held.unpersist()
 
     return incoming.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
