@@ -48,7 +48,7 @@ class SpellingConfig:
     ratio: int = 10
     delete_every: int | None = None
     salt_words: int = 5000
-    held_chars: int = 4_000_000
+    held_chars: int = 1_000_000
 
 
 def _words_in(text: str | None, doc_id, config: SpellingConfig, pattern: re.Pattern) -> Iterator[tuple[str, int]]:
@@ -122,7 +122,7 @@ def _steps(words: DataFrame) -> DataFrame:
                     state.update(w[depth].encode())
                 for column, value in zip(out, (key, way, len(w), state.intdigest() - 2**63, 90), strict=True):
                     column.append(value)
-                if len(out[0]) > 100_000:
+                if len(out[0]) > 20_000:
                     yield table(out)
                     out = [[], [], [], [], []]
         yield table(out)
