@@ -25,8 +25,8 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,8 +35,9 @@ from .common import arrow_map
 
 #: What ends a word in the trie; no letter.
 END = ""
-#: Words up to this length are their own keys.
-SHORT = 24
+#: Words up to this length are their own keys, and from the other on their characters are counted.
+SHORT, LONG = 24, 64
+_MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
 @dataclass(frozen=True)
@@ -48,23 +49,24 @@ class SpellingConfig:
     ratio: int = 10
     delete_every: int | None = None
     salt_words: int = 5000
-    held_chars: int = 1_000_000
+    held_chars: int = 16_000_000
 
 
-def _words_in(text: str | None, doc_id, config: SpellingConfig, pattern: re.Pattern) -> Iterator[tuple[str, int]]:
+def _add_words(held: dict[str, int], text: str | None, doc_id, config: SpellingConfig, pattern: re.Pattern) -> int:
+    """Count a text's words into ``held``; the characters of long ones are returned."""
     found = Counter(pattern.findall((text or "").encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")))  # bytes.lower touches A-Z only
-    if config.delete_every is None or doc_id is None:
-        yield from found.items()
-        return
-    seed = zlib.crc32(f"{doc_id}:".encode())
+    every = None if doc_id is None else config.delete_every
+    seed, crc, have, long = zlib.crc32(f"{doc_id}:".encode()), zlib.crc32, held.get, 0
     for word, n in found.items():
-        h = zlib.crc32(word.encode(), seed)
-        if h % config.delete_every == 0:
+        if every is not None and not (h := crc(word.encode(), seed)) % every:
             at = h % len(word)
             word = word[:at] + word[at + 1 :]
             if len(word) < config.min_chars:
                 continue
-        yield word, n
+        held[word] = have(word, 0) + n
+        if len(word) > LONG:
+            long += len(word)
+    return long
 
 
 def count_words(docs: DataFrame, config: SpellingConfig = SpellingConfig(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -73,22 +75,19 @@ def count_words(docs: DataFrame, config: SpellingConfig = SpellingConfig(), id_c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pattern = re.compile("[a-zÀ-ÿ]{%d,}" % config.min_chars)
-        held: Counter = Counter()
-        chars = 0
+        held: dict[str, int] = {}
+        long = 0
 
         def emit() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                for word, n in _words_in(text.as_py(), doc_id, config, pattern):
-                    if word not in held:
-                        chars += len(word)
-                    held[word] += n
-                if chars > config.held_chars:
+                long += _add_words(held, text.as_py(), doc_id, config, pattern)
+                if len(held) * LONG + long > config.held_chars:
                     yield emit()
                     held.clear()
-                    chars = 0
+                    long = 0
         yield emit()
 
     counted = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "word string, n long")
@@ -110,25 +109,34 @@ def _steps(words: DataFrame) -> DataFrame:
     """``key, way, depth, node, letter`` (its number) of the prefixes that a state may reach: those of at least half a word, of the word (way 0) and reversed (way 1)."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.Table]:
-        out: list[list] = [[], [], [], [], []]
-        for key, word in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            for way, w in enumerate((word, word[::-1])):
-                start = (len(w) - 1) // 2
-                state = xxhash.xxh3_64(bytes([way]) + w[:start].encode())
-                for depth in range(start, len(w)):
-                    code = ord(w[depth])
-                    for column, value in zip(out, (key, way, depth, state.intdigest() - 2**63, code - 97 if code < 192 else code - 166), strict=True):
-                        column.append(value)
-                    state.update(w[depth].encode())
-                for column, value in zip(out, (key, way, len(w), state.intdigest() - 2**63, 90), strict=True):
-                    column.append(value)
-                if len(out[0]) > 20_000:
-                    yield table(out)
-                    out = [[], [], [], [], []]
-        yield table(out)
-
-    def table(out: list[list]) -> pa.Table:
-        return pa.table([pa.array(c, t) for c, t in zip(out, (pa.string(), pa.int8(), pa.int32(), pa.int64(), pa.int8()), strict=True)], names=["key", "way", "depth", "node", "letter"])
+        found = batch.column(1).to_pylist()
+        sizes = np.array([len(w) for w in found])
+        for n in np.unique(sizes):
+            same = np.flatnonzero(sizes == n)
+            for part in np.array_split(same, -(-len(same) * int(n) // 400_000)):  # words of one length, so many letters at once
+                codes = np.frombuffer("".join(found[i] for i in part).encode("latin-1"), dtype=np.uint8).reshape(len(part), n)
+                for way, c in enumerate((codes, codes[:, ::-1])):
+                    yield table(batch.column(0), part, way, c, (int(n) - 1) // 2)
+
+    def table(keys: pa.Array, rows: np.ndarray, way: int, codes: np.ndarray, start: int) -> pa.Table:
+        """Prefixes of words of one length from ``start`` letters on; each letter mixes into the digest of those before it."""
+        n = codes.shape[1]
+        nodes = np.empty((len(rows), n + 1 - start), dtype=np.uint64)
+        h = np.full(len(rows), way + 1, dtype=np.uint64)
+        with np.errstate(over="ignore"):
+            for j in range(n + 1):
+                if j >= start:
+                    nodes[:, j - start] = h
+                if j < n:
+                    h = (h ^ (codes[:, j].astype(np.uint64) + np.uint64(1))) * _MULT
+                    h ^= h >> np.uint64(32)
+        c = codes[:, start:].astype(np.int16)
+        letters = np.concatenate([np.where(c < 192, c - 97, c - 166), np.full((len(rows), 1), 90)], axis=1).astype(np.int8)
+        m = nodes.shape[1]
+        return pa.table({
+            "key": keys.take(pa.array(np.repeat(rows, m))), "way": pa.array(np.full(nodes.size, way, dtype=np.int8)), "depth": pa.array(np.tile(np.arange(start, n + 1, dtype=np.int32), len(rows))),
+            "node": pa.array(nodes.reshape(-1).view(np.int64)), "letter": pa.array(letters.reshape(-1)),
+        })
 
     return arrow_map(words.select(_key(F.col("word")).alias("key"), "word"), ["key", "word"], run, "key string, way byte, depth int, node long, letter byte")
 

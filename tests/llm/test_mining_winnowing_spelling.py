@@ -195,7 +195,7 @@ def test_variants_against_brute_force(spark, sf_dir, odd):
     chain = ["Straßenbahn"] * 2000 + ["Straßenbahnx"] * 100 + ["xStraßenbahnx"] * 8 + [long, long.replace("Ü", "ü")] + [long + "x"] * 2
     planted = spark.createDataFrame([(900_000 + i, w) for i, w in enumerate(chain)] + [(None, "nullids nullids NULLIDS")], "doc_id long, text string")
     table = docs.union(planted).union(odd.select("doc_id", "text"))
-    config = spelling.SpellingConfig(delete_every=31, held_chars=5000)
+    config = spelling.SpellingConfig(delete_every=31, held_chars=5000 * 8)
     got = spelling.variants(table, config).collect()
     want = _variants([tuple(r) for r in table.collect()])
     assert {tuple(r) for r in got} == want and len(got) == len(want)
