@@ -5,16 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.versions import VersionedTable
+
 
 def performance(queue: DataFrame, since: Column) -> DataFrame:
-    """Request totals of the rows finished since a time, mean and largest latency, cooldowns and the success rate in percent."""
-    total, failed = F.sum("requests_total"), F.sum("requests_failed")
-    return queue.where(F.col("completed_at") >= since).agg(
-        total.alias("requests_total"), failed.alias("requests_failed"), F.round(F.avg("avg_latency_ms"), 6).alias("avg_latency_ms"), F.max("avg_latency_ms").alias("max_latency_ms"),
-        F.count_if("cooldown_triggered").alias("cooldowns"), F.round((total - failed) * 100.0 / F.nullif(total, F.lit(0)), 1).alias("success_rate"),
+    """Sums over the rows completed since a time: listings found, new and changed, requests, mean and largest latency, cooldowns, and the success rate in percent (null without requests)."""
+    total, success = F.sum("requests_total"), F.sum("requests_success")
+    done = queue.where((F.col("status") == "complete") & (F.col("completed_at") >= since))
+    return done.agg(
+        F.sum("listings_found").alias("urls_discovered"), F.sum("new_count").alias("urls_new"), F.sum("changed_count").alias("urls_changed"), total.alias("requests_total"), success.alias("requests_success"),
+        F.sum("requests_failed").alias("requests_failed"), F.round(F.avg("avg_latency_ms"), 6).alias("avg_latency_ms"), F.max("max_latency_ms").alias("max_latency_ms"), F.count_if("cooldown_triggered").alias("cooldowns"),
+        F.round(F.coalesce(success, F.lit(0)) * 100.0 / F.nullif(total, F.lit(0)), 1).alias("success_rate"),
     )
 
 
+def cooldowns_today(queue: DataFrame, now: Column) -> DataFrame:
+    """Rows with a cooldown that were completed since midnight, whatever their state."""
+    return queue.where(F.col("cooldown_triggered") & (F.col("completed_at") >= F.date_trunc("day", now))).agg(F.count(F.lit(1)).alias("cooldowns_today"))
+
+
 def errors_by_type(errors: DataFrame, since: Column) -> DataFrame:
     return errors.where(F.col("failed_at") >= since).groupBy("error_type").agg(F.count(F.lit(1)).alias("n"))
 
@@ -33,13 +42,16 @@ def error_class(status: Column) -> dict[str, Column]:
 
 
 def problem_segments(queue: DataFrame, limit: int = 10) -> DataFrame:
-    """Rows that used up their attempts or failed, the latest first."""
-    return queue.where((F.col("status") == "failed") | (F.col("attempt_count") >= 3)).orderBy(F.desc("updated_at"), "id").limit(limit)
+    """Failed rows, the latest first."""
+    return queue.where(F.col("status") == "failed").orderBy(F.desc("updated_at"), "id").limit(limit)
 
 
-def daily_trends(queue: DataFrame, since: Column) -> DataFrame:
-    """Finished rows a day: requests, failures and mean latency; days without any are left out."""
-    return queue.where(F.col("completed_at") >= since).groupBy(F.to_date("completed_at").alias("day")).agg(F.sum("requests_total").alias("requests"), F.sum("requests_failed").alias("failures"), F.round(F.avg("avg_latency_ms"), 6).alias("avg_latency_ms"), F.count(F.lit(1)).alias("n"))
+def daily_trends(queue: DataFrame, errors: DataFrame, since: Column) -> DataFrame:
+    """A row a day with anything: listings found and mean latency (one digit) of the rows completed, and errors; null where a day has none of a kind."""
+    done = queue.where((F.col("status") == "complete") & (F.col("completed_at") >= since)).groupBy(F.to_date("completed_at").alias("day"))
+    found = done.agg(F.sum("listings_found").alias("urls"), F.round(F.avg("avg_latency_ms"), 1).alias("avg_latency_ms"))
+    failed = errors.where(F.col("failed_at") >= since).groupBy(F.to_date("failed_at").alias("day")).agg(F.count(F.lit(1)).alias("errors"))
+    return found.join(failed, "day", "full_outer")
 
 
 def segment_totals(segments: DataFrame) -> DataFrame:
@@ -57,40 +69,62 @@ def last_runs(runs: DataFrame) -> DataFrame:
     return runs.where(F.col("status").isin("success", "failed", "partial")).groupBy("run_type").agg(F.max("id").alias("id"), F.max_by("status", "id").alias("status"), F.max_by("finished_at", "id").alias("finished_at"))
 
 
+#: States of a run that has not ended.
+UNFINISHED = ("running", "stopping", "force_stopping")
+
+
 def active_runs(runs: DataFrame) -> DataFrame:
-    """Runs that wait or run, the latest start first."""
-    return runs.where(F.col("status").isin("queued", "running")).orderBy(F.desc_nulls_last("started_at"), F.desc("id"))
+    """Runs that have not ended, the newest id first; the first is the active one."""
+    return runs.where(F.col("status").isin(*UNFINISHED)).orderBy(F.desc("id"))
 
 
-def recent_runs(runs: DataFrame, run_type: str | None = None, limit: int = 20) -> DataFrame:
-    """The last runs, of one type or of all."""
+def recent_runs(runs: DataFrame, run_type: str | None = None, limit: int = 20, offset: int = 0, source_id: int | None = None) -> DataFrame:
+    """The last runs by id, of one type and source or of all."""
     kept = runs.where(F.col("run_type") == run_type) if run_type else runs
-    return kept.orderBy(F.desc_nulls_last("started_at"), F.desc("id")).limit(limit)
+    kept = kept.where(F.col("source_id") == source_id) if source_id is not None else kept
+    return kept.orderBy(F.desc("id")).offset(offset).limit(limit)
 
 
-def listings_page(entities: DataFrame, status: str | None = None, limit: int = 100, offset: int = 0) -> DataFrame:
-    """A page of listings, the last seen first."""
+def listings_page(entities: DataFrame, status: str | None = None, limit: int = 100, offset: int = 0, source_id: int | None = None) -> DataFrame:
+    """A page of listings, the newest id first, of one source and state or of all."""
     kept = entities.where(F.col("status") == status) if status else entities
-    return kept.orderBy(F.desc_nulls_last("last_seen_at"), F.desc("id")).offset(offset).limit(limit)
+    kept = kept.where(F.col("source_id") == source_id) if source_id is not None else kept
+    return kept.orderBy(F.desc("id")).offset(offset).limit(limit)
 
 
-def snapshots_of(snapshots: DataFrame, listing_id: int) -> DataFrame:
-    """A listing's history, the latest capture first."""
-    return snapshots.where(F.col("listing_id") == listing_id).orderBy(F.desc("captured_at"), F.desc("id"))
+def snapshots_of(snapshots: DataFrame, listing_id: int, limit: int = 100, offset: int = 0) -> DataFrame:
+    """A page of a listing's history, the latest capture first."""
+    return snapshots.where(F.col("listing_id") == listing_id).orderBy(F.desc("captured_at"), F.desc("id")).offset(offset).limit(limit)
 
 
-def run_records(summary: DataFrame, group: str, run_type: str, started: Column, finished: Column) -> DataFrame:
-    """A run record for each summed batch: failed where nothing went well, partial with failures, else success; its numbers as JSON."""
-    status = F.when((F.col("processed") > 0) & (F.col("failed") == F.col("processed")), "failed").when(F.col("failed") > 0, "partial").otherwise("success")
+def run_records(items: DataFrame, group: str, failed: Column, error: Column, started: Column, finished: Column, n_top: int = 5) -> DataFrame:
+    """A run record for each batch: its numbers, the most frequent errors of its failures (by count, then name), seconds and items a minute."""
     seconds = (F.unix_micros(finished.cast("timestamp")) - F.unix_micros(started.cast("timestamp"))) / F.lit(1_000_000.0)
-    return summary.select(F.col(group).alias("batch"), F.lit(run_type).alias("run_type"), status.alias("status"), started.alias("started_at"), finished.alias("finished_at"), seconds.alias("duration_seconds"), F.to_json(F.struct("processed", "failed", "error_rate_pct")).alias("stats_json"))
+    kinds = items.where(failed & error.isNotNull()).groupBy(group, error.alias("error")).agg(F.count(F.lit(1)).alias("n"))
+    ranked = kinds.withColumn("k", F.row_number().over(Window.partitionBy(group).orderBy(F.desc("n"), "error"))).where(F.col("k") <= n_top)
+    top = ranked.groupBy(group).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "error", "n"))), lambda x: F.concat(x["error"], F.lit(": "), x["n"].cast("string"))), ", ").alias("top_errors"))
+    status = F.when((F.col("processed") > 0) & (F.col("failed") == F.col("processed")), "failed").when(F.col("failed") > 0, "partial").otherwise("success")
+    return batch_summary(items, group, failed).join(top, group, "left").select(
+        F.col(group).alias("run_id"), status.alias("status"), "processed", "successful", "failed", "error_rate_pct", F.coalesce("top_errors", F.lit("")).alias("top_errors"), started.alias("started_at"), finished.alias("finished_at"),
+        F.round(seconds, 1).alias("elapsed_seconds"), F.round(F.col("processed") * 60.0 / F.nullif(seconds, F.lit(0.0)), 1).alias("avg_rate_per_min"),
+    )
+
 
+def append_run_records(table: VersionedTable, records: DataFrame) -> int:
+    """Add run records to their table, a run once however often it reports, and return the version."""
+    return table.append_new(records)
 
-def run_durations(runs: DataFrame, now: Column, stale_hours: int = 24) -> DataFrame:
-    """Seconds that each run took; runs that are still running after ``stale_hours`` have failed."""
+
+def run_durations(runs: DataFrame) -> DataFrame:
+    """Seconds that each run took from start to end; null for one that has not ended."""
     seconds = (F.unix_micros(F.col("finished_at").cast("timestamp")) - F.unix_micros(F.col("started_at").cast("timestamp"))) / F.lit(1_000_000.0)
-    stale = (F.col("status") == "running") & (F.col("started_at") < now - F.expr(f"INTERVAL {stale_hours} HOURS"))
-    return runs.select("id", "run_type", F.when(stale, "failed").otherwise(F.col("status")).alias("status"), seconds.alias("duration_seconds"))
+    return runs.withColumn("duration_seconds", seconds)
+
+
+def fail_unfinished(runs: DataFrame, now: Column) -> DataFrame:
+    """The runs at a new start: those that have not ended failed now, however long ago they began."""
+    stale = F.col("status").isin(*UNFINISHED)
+    return runs.withColumns({"finished_at": F.when(stale, now).otherwise(F.col("finished_at")), "status": F.when(stale, "failed").otherwise(F.col("status"))})
 
 
 def request_metrics(requests: DataFrame) -> DataFrame:
@@ -104,9 +138,9 @@ def request_metrics(requests: DataFrame) -> DataFrame:
 
 
 def batch_summary(items: DataFrame, group: str, failed: Column) -> DataFrame:
-    """Items and failures of each batch, with the failure rate in percent, 0 for none."""
+    """Items, successes and failures of each batch, with the failure rate in percent, 0 for none."""
     n, bad = F.count(F.lit(1)), F.count_if(failed)
-    return items.groupBy(group).agg(n.alias("processed"), bad.alias("failed"), F.coalesce(F.round(bad * 100.0 / F.nullif(n, F.lit(0)), 2), F.lit(0.0)).alias("error_rate_pct"))
+    return items.groupBy(group).agg(n.alias("processed"), (n - bad).alias("successful"), bad.alias("failed"), F.coalesce(F.round(bad * 100.0 / F.nullif(n, F.lit(0)), 2), F.lit(0.0)).alias("error_rate_pct"))
 
 
 def top_errors(errors: DataFrame, n: int = 5) -> DataFrame:

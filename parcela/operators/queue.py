@@ -71,7 +71,7 @@ def apply_outcomes(queue: DataFrame, outcomes: DataFrame, now: Column) -> DataFr
 def refresh_reason() -> Column:
     """Why a segment is refreshed: with churn figures, or that it has none."""
     base = F.format_string("refresh:%s;age_hours=%.1f;gap_hours=%.1f", "tier", "age_hours", "gap_hours")
-    number = lambda c: F.col(c).cast("double").cast("string")
+    number = lambda c: F.coalesce(F.round(F.col(c).cast("double"), 4).cast("string"), F.lit("None"))
     known = F.concat(
         base, F.lit(";score="), number("score"), F.lit(";churn_ewma="), number("churn_ewma"), F.lit(";churn_samples="), F.col("churn_samples").cast("string"), F.lit(";count_volatility="), number("count_volatility"),
         F.lit(";volume="), F.col("total_count").cast("string"), F.lit(";estimated_pages="), F.col("estimated_pages").cast("string"),
@@ -80,14 +80,15 @@ def refresh_reason() -> Column:
     return F.when(F.col("tier") == "unknown", none).otherwise(known)
 
 
-def enqueue_refresh(queue: DataFrame, selected: DataFrame) -> DataFrame:
-    """Finished rows of the selected segments are pending again, with priority ``refresh_<tier>``, a reason and no attempts."""
+def enqueue_refresh(queue: DataFrame, selected: DataFrame, now: Column) -> DataFrame:
+    """Finished rows of the selected segments are pending again now, with priority ``refresh_<tier>``, a reason (numbers at four digits) and no attempts."""
     s = selected.select("segment_id", F.concat(F.lit("refresh_"), "tier").alias("__priority"), refresh_reason().alias("__reason"))
     rows = queue.join(s, "segment_id", "left")
     hit = F.col("__priority").isNotNull() & (F.col("status") == "complete")
     return rows.withColumns({
         "priority": F.when(hit, F.col("__priority")).otherwise(F.col("priority")), "reason": F.when(hit, F.col("__reason")).otherwise(F.col("reason")),
         "attempt_count": F.when(hit, 0).otherwise(F.col("attempt_count")), "locked_at": F.when(~hit, F.col("locked_at")), "status": F.when(hit, "pending").otherwise(F.col("status")),
+        "updated_at": F.when(hit, now).otherwise(F.col("updated_at")),
     }).drop("__priority", "__reason")
 
 

@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 
 @dataclass(frozen=True)
 class RefreshConfig:
@@ -95,8 +97,54 @@ BOUNDARIES = ("portal", "operation_key", "province_key", "price_min", "price_max
 REBUILT = ("total_count", "depth", "parent_id", "is_leaf", "is_oversized")
 
 
+def tree_boxes(leaves: DataFrame, config: TreeConfig = TreeConfig()) -> DataFrame:
+    """Adds ``price_min, price_max, surface_min, surface_max`` to the leaves of ``segment_tree``: the path's bits halve the price first, then the surface."""
+    n_price = _halvings(config.price_width, config.min_price_width)
+
+    def side(bits: Column, width: float, name: str) -> dict[str, Column]:
+        step = F.lit(width) / F.pow(F.lit(2.0), F.length(bits))
+        place = F.coalesce(F.conv(F.when(bits != "", bits), 2, 10).cast("double"), F.lit(0.0))
+        return {f"{name}_min": place * step, f"{name}_max": (place + 1) * step}
+
+    price, surface = F.substring("path", F.lit(1), F.lit(n_price)), F.substring("path", F.lit(n_price + 1), F.length("path"))
+    return leaves.withColumns({**side(price, config.price_width, "price"), **side(surface, config.surface_width, "surface")})
+
+
+def with_new_ids(segments: DataFrame) -> DataFrame:
+    """The segments with ids for those that have none: numbers after the largest id, by partition and place in it, so that no task sees all of them."""
+    new = materialize(segments.where(F.col("id").isNull()), "new-segments").withColumn("__p", F.spark_partition_id())
+    new = materialize(new, "new-segments")  # a partition's number is part of the row from here on
+    first = segments.agg(F.max("id").alias("m")).first()["m"] or 0
+    starts, at = [], first
+    for r in new.groupBy("__p").count().orderBy("__p").collect():  # a row a partition
+        starts.append((r["__p"], at))
+        at += r["count"]
+    if not starts:
+        return segments
+    held = F.broadcast(segments.sparkSession.createDataFrame(starts, "__p int, __start long"))
+    order = [F.col(c) for c in BOUNDARIES if c in segments.columns]
+    numbered = new.join(held, "__p").withColumn("id", (F.col("__start") + F.row_number().over(Window.partitionBy("__p").orderBy(*order))).cast(segments.schema["id"].dataType))
+    return segments.where(F.col("id").isNotNull()).unionByName(numbered.select(*segments.columns))
+
+
+def apply_inheritance(segments: DataFrame, sample_cap: int, now: Column) -> DataFrame:
+    """The segments after churn was inherited: churn, time of the last observation and samples (capped) of the donor."""
+    taken = inherit_churn(segments, sample_cap).withColumnsRenamed({"churn_ewma": "__e", "churn_samples": "__n", "last_churn_observed_at": "__at"}).drop("donor_id")
+    hit = F.col("__n").isNotNull()
+    made = {"churn_ewma": F.when(hit, F.col("__e")).otherwise(F.col("churn_ewma")), "churn_samples": F.when(hit, F.col("__n")).otherwise(F.col("churn_samples")), "updated_at": F.when(hit, now).otherwise(F.col("updated_at"))}
+    if "last_churn_observed_at" in segments.columns:
+        made["last_churn_observed_at"] = F.when(hit, F.col("__at")).otherwise(F.col("last_churn_observed_at"))
+    return segments.join(taken, "id", "left").withColumns(made).select(*segments.columns)
+
+
+def rebuild(segments: DataFrame, rebuilt: DataFrame, portal: str, now: Column, sample_cap: int) -> DataFrame:
+    """The segments after a new tree of a portal: all become inactive, the tree's boxes are taken up or come in with ids, and new leaves inherit churn from the smallest box around them."""
+    taken = upsert_segments(deactivate(segments, portal), rebuilt, now)
+    return apply_inheritance(materialize(with_new_ids(materialize(taken, "segments")), "segments"), sample_cap, now)
+
+
 def upsert_segments(segments: DataFrame, rebuilt: DataFrame, now: Column) -> DataFrame:
-    """The segments after a rebuild: those with the same boundaries become active again and take the new counts, others come in without an id, the rest stay.
+    """The segments after a rebuild: those with the same boundaries become active again and take the new counts, others come in without an id and with no churn samples, the rest stay.
 
     ``rebuilt`` has a box once. Churn figures stay with their segment.
     """
@@ -104,6 +152,8 @@ def upsert_segments(segments: DataFrame, rebuilt: DataFrame, now: Column) -> Dat
     new = rebuilt.select(*BOUNDARIES, *[F.col(c).alias(f"__{c}") for c in columns], F.lit(True).alias("__hit"))
     hit = F.col("__hit").isNotNull()
     made = {c: F.when(hit, F.col(f"__{c}")).otherwise(F.col(c)) for c in columns} | {"status": F.when(hit, "active").otherwise(F.col("status")), "created_at": F.coalesce("created_at", now), "updated_at": F.when(hit, now).otherwise(F.col("updated_at"))}
+    if "churn_samples" in segments.columns:
+        made["churn_samples"] = F.coalesce("churn_samples", F.lit(0)).cast(segments.schema["churn_samples"].dataType)
     if "last_checked_at" in segments.columns:
         made["last_checked_at"] = F.when(hit, now).otherwise(F.col("last_checked_at"))
     return segments.join(new, list(BOUNDARIES), "full_outer").withColumns(made).select(*segments.columns)
@@ -256,7 +306,7 @@ def _cell(bound: str, level: str) -> Column:
 
 
 def inherit_churn(segments: DataFrame, sample_cap: int = 0) -> DataFrame:
-    """Children without churn take it from the smallest box that contains theirs: ``id, donor_id, churn_ewma, churn_samples``.
+    """Children without churn take it from the smallest box that contains theirs: ``id, donor_id, churn_ewma, churn_samples, last_churn_observed_at`` (null where segments have none).
 
     Donors share portal, operation and province. A donor lies on the few grid cells, about as wide
     as itself, that its box touches, and a child looks up the cell of its lower corner on each level
@@ -269,7 +319,8 @@ def inherit_churn(segments: DataFrame, sample_cap: int = 0) -> DataFrame:
     bounds = ["price_min", "price_max", "surface_min", "surface_max"]
     proper = segments.where((F.col("price_min") <= F.col("price_max")) & (F.col("surface_min") <= F.col("surface_max")))
     same_box = Window.partitionBy(*keys, *bounds).orderBy("id")
-    donor = proper.where(F.col("churn_ewma").isNotNull()).select("id", *keys, *bounds, "churn_ewma", "churn_samples").withColumn("__n", F.row_number().over(same_box)).where(F.col("__n") <= 2)
+    seen = F.col("last_churn_observed_at") if "last_churn_observed_at" in segments.columns else F.lit(None).cast("timestamp_ntz").alias("last_churn_observed_at")
+    donor = proper.where(F.col("churn_ewma").isNotNull()).select("id", *keys, *bounds, "churn_ewma", "churn_samples", seen).withColumn("__n", F.row_number().over(same_box)).where(F.col("__n") <= 2)
     donor = donor.withColumns({"__p": _level("price_min", "price_max"), "__s": _level("surface_min", "surface_max")})
     levels = donor.select(*keys, "__p", "__s").distinct()
     for side, level in (("price", "__p"), ("surface", "__s")):
@@ -282,8 +333,8 @@ def inherit_churn(segments: DataFrame, sample_cap: int = 0) -> DataFrame:
         on = on & (F.col(f"c.{k}") == F.col(f"d.{k}"))
     inside = (F.col("d.price_min") <= F.col("c.price_min")) & (F.col("d.price_max") >= F.col("c.price_max")) & (F.col("d.surface_min") <= F.col("c.surface_min")) & (F.col("d.surface_max") >= F.col("c.surface_max")) & (F.col("d.id") != F.col("c.id"))
     area = (F.col("d.price_max") - F.col("d.price_min")) * (F.col("d.surface_max") - F.col("d.surface_min"))
-    best = child.alias("c").join(donor.alias("d"), on & inside).groupBy(F.col("c.id").alias("id")).agg(F.min_by(F.struct(F.col("d.id").alias("id"), F.col("d.churn_ewma").alias("e"), F.col("d.churn_samples").alias("n")), F.struct(area.alias("a"), F.col("d.id").alias("b"))).alias("__d"))
-    return best.select("id", F.col("__d.id").alias("donor_id"), F.col("__d.e").alias("churn_ewma"), F.least(F.col("__d.n"), F.lit(sample_cap)).alias("churn_samples"))
+    best = child.alias("c").join(donor.alias("d"), on & inside).groupBy(F.col("c.id").alias("id")).agg(F.min_by(F.struct(F.col("d.id").alias("id"), F.col("d.churn_ewma").alias("e"), F.col("d.churn_samples").alias("n"), F.col("d.last_churn_observed_at").alias("at")), F.struct(area.alias("a"), F.col("d.id").alias("b"))).alias("__d"))
+    return best.select("id", F.col("__d.id").alias("donor_id"), F.col("__d.e").alias("churn_ewma"), F.least(F.col("__d.n"), F.lit(sample_cap)).alias("churn_samples"), F.col("__d.at").alias("last_churn_observed_at"))
 
 
 def monitor_action(old: Column, new: Column, skip: float = 0.02, partial: float = 0.10) -> Column:

@@ -77,7 +77,7 @@ _add("segment_upsert", lambda s, d: T.upsert_segments(view(s, d, "segments"), _r
     "rebuilt": f"SELECT {_BOX}, max(total_count) + 1 AS total_count, max(depth) AS depth FROM segments WHERE id % 3 = 0 GROUP BY {_BOX} UNION ALL SELECT portal || '-' || id, {_BOX.removeprefix('portal, ')}, total_count + 1, depth FROM segments WHERE id % 3 = 0",
 }) + f"""SELECT t.id, {', '.join(f'coalesce(t.{c}, u.{c}) AS {c}' for c in T.BOUNDARIES)}, coalesce(u.depth, t.depth) AS depth, coalesce(u.total_count, t.total_count) AS total_count,
     CASE WHEN u.portal IS NOT NULL THEN true ELSE is_leaf END AS is_leaf, CASE WHEN u.portal IS NOT NULL THEN false ELSE is_oversized END AS is_oversized, CASE WHEN u.portal IS NOT NULL THEN 'active' ELSE t.status END AS status,
-    t.churn_ewma, t.churn_samples, coalesce(t.created_at, {_T}) AS created_at, CASE WHEN u.portal IS NOT NULL THEN {_T} ELSE t.updated_at END AS updated_at
+    t.churn_ewma, coalesce(t.churn_samples, 0) AS churn_samples, t.last_churn_observed_at, coalesce(t.created_at, {_T}) AS created_at, CASE WHEN u.portal IS NOT NULL THEN {_T} ELSE t.updated_at END AS updated_at
     FROM segments t FULL JOIN rebuilt u ON {' AND '.join(f't.{c} = u.{c}' for c in T.BOUNDARIES)}""")
 _add("merge_upsert", lambda s, d: L.merge_upsert(view(s, d, "current_entities").select("external_id", "price_amount", F.col("first_seen_at").alias("created_at"), F.col("last_seen_at").alias("updated_at")), L.latest_per_key(view(s, d, "incoming"), L.KEYS, [F.desc("page"), F.desc("position")]), ["external_id"], ["price_amount"], _now()),
      _CASES + f"SELECT external_id, CASE WHEN k <> 'D' THEN in_price_amount ELSE CAST(price_amount AS DOUBLE) END AS price_amount, coalesce(first_seen_at, {_T}) AS created_at, CASE WHEN k <> 'D' THEN {_T} ELSE last_seen_at END AS updated_at FROM cases")

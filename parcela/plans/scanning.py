@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from ..operators import facts as M
 from ..operators import ops as O
 from ..operators import queue as K
 from ..operators import segments as T
+from ..session import shared_root
+from ..sources.versions import VersionedTable
 from .market import _PENDING, _built, entities
 from .views import ctes, view
 
@@ -104,10 +108,44 @@ _add("churn_daily", lambda s, d: outcomes(s, d).select("id", F.round("elapsed_da
 _add("scan_history", lambda s, d: outcomes(s, d).select("id", "segment_id", "priority", "listings_found", F.round("churn", 4).alias("churn_daily"), T.tier_of_priority(F.col("priority")).alias("tier")), _H + "SELECT id, segment_id, priority, listings_found, round(churn, 4) AS churn_daily, nullif(regexp_extract(priority, '^refresh_(.*)$', 1), '') AS tier FROM outcomes")
 _add("history_delta", lambda s, d: outcomes(s, d).select("id", "delta_total_count"), _H + "SELECT id, delta_total_count FROM outcomes")
 _add("churn_ewma", lambda s, d: T.churn_ewma(outcomes(s, d)).withColumn("churn_ewma", F.round("churn_ewma", 6)), _H + "SELECT segment_id, round(list_reduce(list(churn ORDER BY scanned_at, id), lambda a, x: 0.5e0 * x + 0.5e0 * a), 6) AS churn_ewma, CAST(count(*) AS INT) AS churn_samples FROM outcomes WHERE churn IS NOT NULL GROUP BY 1")
-_add("churn_inherit", lambda s, d: T.inherit_churn(view(s, d, "segments")), ctes("segments") + """SELECT c.id, min_by(d.id, (a, d.id)) AS donor_id, min_by(d.churn_ewma, (a, d.id)) AS churn_ewma, CAST(0 AS INT) AS churn_samples FROM segments c
+_add("churn_inherit", lambda s, d: T.inherit_churn(view(s, d, "segments"), 2), ctes("segments") + """
+    SELECT c.id, min_by(d.id, (a, d.id)) AS donor_id, min_by(d.churn_ewma, (a, d.id)) AS churn_ewma, least(min_by(d.churn_samples, (a, d.id)), 2) AS churn_samples, min_by(d.last_churn_observed_at, (a, d.id)) AS last_churn_observed_at FROM segments c
     JOIN (SELECT *, (price_max - price_min) * (surface_max - surface_min) AS a FROM segments WHERE churn_ewma IS NOT NULL) d ON c.portal = d.portal AND c.operation_key = d.operation_key AND c.province_key = d.province_key
       AND d.price_min <= c.price_min AND d.price_max >= c.price_max AND d.surface_min <= c.surface_min AND d.surface_max >= c.surface_max AND d.id <> c.id
     WHERE c.status = 'active' AND c.is_leaf AND c.churn_ewma IS NULL AND c.churn_samples = 0 GROUP BY c.id""")
+_SPLIT = """SELECT portal, operation_key, province_key, price_min, CASE WHEN h = 1 THEN (price_min + price_max) / 2 ELSE price_max END AS price_max, surface_min, surface_max, CAST(total_count / 2 AS INT) AS total_count, depth + 1 AS depth, true AS is_leaf, false AS is_oversized
+    FROM (SELECT *, CASE WHEN id % 4 = 1 THEN 1 END AS h FROM ONE) WHERE id % 4 <> 3"""
+
+
+def _rebuilt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A new tree: of the segments' boxes, each once, a quarter goes, a quarter is halved and the rest stay."""
+    one = view(spark, sf_dir, "segments").groupBy(*T.BOUNDARIES).agg(F.min("id").alias("id"), F.min_by("total_count", "id").alias("total_count"), F.min_by("depth", "id").alias("depth"))
+    return spark.sql(_SPLIT.replace("ONE", "{one}"), one=one)
+
+
+def _rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments of distinct boxes after a new tree, without the numbers of the new ids."""
+    known = view(spark, sf_dir, "segments").join(view(spark, sf_dir, "segments").groupBy(*T.BOUNDARIES).agg(F.min("id").alias("id")).select("id"), "id", "left_semi")
+    out = T.rebuild(known, _rebuilt(spark, sf_dir), "portal", _at(NOW), 2)
+    largest = known.agg(F.max("id").alias("m"))
+    rows = out.crossJoin(F.broadcast(largest)).withColumn("is_new", F.col("id") > F.col("m"))
+    return rows.select("is_new", F.when(~F.col("is_new"), F.col("id")).alias("id"), *T.BOUNDARIES, "status", "total_count", "churn_ewma", "churn_samples", "last_churn_observed_at", "updated_at")
+
+
+_KEYLIST = ", ".join(T.BOUNDARIES)
+_add("segment_rebuild", _rebuild, ctes("segments", more={
+    "known": f"SELECT * FROM segments QUALIFY row_number() OVER (PARTITION BY {_KEYLIST} ORDER BY id) = 1",
+    "tree": _SPLIT.replace("ONE", "known").replace("CAST(total_count / 2 AS INT)", "CAST(trunc(total_count / 2) AS INT)"),
+    "taken": f"""SELECT k.id IS NULL AS is_new, k.id, {", ".join(f"coalesce(k.{c}, t.{c}) AS {c}" for c in T.BOUNDARIES)}, CASE WHEN t.is_leaf THEN 'active' ELSE 'inactive' END AS status, CASE WHEN t.is_leaf THEN t.total_count ELSE k.total_count END AS total_count,
+      CASE WHEN t.is_leaf THEN true ELSE k.is_leaf END AS is_leaf, k.churn_ewma, coalesce(k.churn_samples, 0) AS churn_samples, k.last_churn_observed_at, CASE WHEN t.is_leaf THEN {_TS} ELSE k.updated_at END AS updated_at
+      FROM known k FULL JOIN tree t ON {" AND ".join(f"k.{c} = t.{c}" for c in T.BOUNDARIES)}""",
+    "given": f"""SELECT c.is_new, {", ".join("c." + c for c in T.BOUNDARIES)}, min_by(d.churn_ewma, (d.a, d.id)) AS e, least(min_by(d.churn_samples, (d.a, d.id)), 2) AS n, min_by(d.last_churn_observed_at, (d.a, d.id)) AS seen
+      FROM taken c JOIN (SELECT *, (price_max - price_min) * (surface_max - surface_min) AS a FROM taken WHERE churn_ewma IS NOT NULL) d ON c.portal = d.portal AND c.operation_key = d.operation_key AND c.province_key = d.province_key
+        AND d.price_min <= c.price_min AND d.price_max >= c.price_max AND d.surface_min <= c.surface_min AND d.surface_max >= c.surface_max
+      WHERE c.status = 'active' AND c.is_leaf AND c.churn_ewma IS NULL AND c.churn_samples = 0 GROUP BY ALL""",
+}) + f"""SELECT t.is_new, t.id, {", ".join("t." + c for c in T.BOUNDARIES)}, status, total_count, CASE WHEN n IS NULL THEN churn_ewma ELSE e END AS churn_ewma, coalesce(n, churn_samples) AS churn_samples,
+      CASE WHEN n IS NULL THEN last_churn_observed_at ELSE seen END AS last_churn_observed_at, CASE WHEN n IS NULL THEN updated_at ELSE {_TS} END AS updated_at
+    FROM taken t LEFT JOIN given g ON {" AND ".join(f"t.{c} = g.{c}" for c in T.BOUNDARIES)}""")
 _add("monitor_action", lambda s, d: T.latest_two(view(s, d, "segment_snapshots")).groupBy(T.monitor_action(F.col("prev_count"), F.col("current_count")).alias("action")).agg(F.count(F.lit(1)).alias("n")),
      ctes("segment_snapshots", more=_TWO) + "SELECT CASE WHEN prev_count = 0 THEN CASE WHEN current_count > 0 THEN 'full_scan' ELSE 'skip' END WHEN abs(current_count - prev_count) / CAST(prev_count AS DOUBLE) < 0.02e0 THEN 'skip' WHEN abs(current_count - prev_count) / CAST(prev_count AS DOUBLE) < 0.1e0 THEN 'partial_scan' ELSE 'full_scan' END AS action, count(*) AS n FROM pair GROUP BY 1")
 _add("monitor_rollup", lambda s, d: T.monitor_rollup(view(s, d, "segments").join(T.latest_two(view(s, d, "segment_snapshots")).select(F.col("segment_id").alias("id"), "current_count"), "id", "left"), "total_count", "current_count"),
@@ -130,9 +168,12 @@ _add("queue_apply_outcomes", lambda s, d: K.apply_outcomes(view(s, d, "scan_queu
      ctes("scan_queue") + f"""SELECT id, CASE o WHEN 'started' THEN 'running' WHEN 'complete' THEN 'complete' WHEN 'pending' THEN 'pending' WHEN 'failed' THEN CASE WHEN attempt_count + 1 >= 3 THEN 'failed' ELSE 'pending' END ELSE status END AS status,
     CASE WHEN o = 'failed' THEN attempt_count + 1 ELSE attempt_count END AS attempt_count, CASE WHEN o = 'complete' THEN {_TS} ELSE completed_at END AS completed_at,
     CASE WHEN o = 'started' THEN {_TS} WHEN o IS NULL THEN locked_at END AS locked_at, CASE WHEN o IS NOT NULL THEN {_TS} ELSE updated_at END AS updated_at FROM (SELECT *, {_OUTCOME} AS o FROM scan_queue)""")
-_add("queue_enqueue_refresh", lambda s, d: K.enqueue_refresh(view(s, d, "scan_queue"), T.select_refresh(due(s, d))).select("id", "status", "priority", "attempt_count"),
-     _REFRESH + """SELECT q.id, CASE WHEN hit THEN 'pending' ELSE q.status END AS status, CASE WHEN hit THEN 'refresh_' || tier ELSE priority END AS priority, CASE WHEN hit THEN 0 ELSE attempt_count END AS attempt_count
-    FROM (SELECT q.*, tier, coalesce(q.status = 'complete' AND d.segment_id IS NOT NULL, false) AS hit FROM scan_queue q LEFT JOIN (SELECT segment_id, tier FROM due WHERE segment_id IN (SELECT taken FROM walk WHERE taken IS NOT NULL)) d ON q.segment_id = d.segment_id) q""")
+_add("queue_enqueue_refresh", lambda s, d: K.enqueue_refresh(view(s, d, "scan_queue"), T.select_refresh(due(s, d)), _at(NOW)).select("id", "status", "priority", "attempt_count", "locked_at", "updated_at", "reason"),
+     _REFRESH + f"""SELECT q.id, CASE WHEN hit THEN 'pending' ELSE q.status END AS status, CASE WHEN hit THEN 'refresh_' || tier ELSE priority END AS priority, CASE WHEN hit THEN 0 ELSE attempt_count END AS attempt_count, CASE WHEN NOT hit THEN locked_at END AS locked_at,
+      CASE WHEN hit THEN {_TS} ELSE updated_at END AS updated_at, CASE WHEN hit THEN printf('refresh:%s;age_hours=%.1f;gap_hours=%.1f', tier, age_hours, gap_hours) || CASE WHEN tier = 'unknown' THEN ';churn_samples=' || churn_samples || ';reason=no_churn_history'
+        ELSE ';score=' || score || ';churn_ewma=' || coalesce(CAST(round(churn_ewma, 4) AS VARCHAR), 'None') || ';churn_samples=' || churn_samples || ';count_volatility=' || round(count_volatility, 4) || ';volume=' || total_count END || ';estimated_pages=' || estimated_pages ELSE reason END AS reason
+    FROM (SELECT q.*, tier, age_hours, gap_hours, score, churn_ewma, churn_samples, count_volatility, total_count, estimated_pages, coalesce(q.status = 'complete' AND d.segment_id IS NOT NULL, false) AS hit
+      FROM scan_queue q LEFT JOIN (SELECT * FROM due WHERE segment_id IN (SELECT taken FROM walk WHERE taken IS NOT NULL)) d ON q.segment_id = d.segment_id) q""")
 _add("full_scan_select", lambda s, d: T_full(s, d), ctes("segments", "scan_queue", "scan_history", more={
     "u": "SELECT s.id AS segment_id, s.portal, CAST(greatest(ceil(total_count / 20.0e0), 1) AS INT) AS estimated_pages, CASE WHEN s.id IN (SELECT segment_id FROM scan_history WHERE batch_id = 'b1' AND priority = 'normal') THEN 'already_done' WHEN q.status IN ('pending', 'running') THEN 'in_flight' WHEN q.status = 'complete' THEN 'candidate' ELSE 'not_enqueueable' END AS c FROM segments s LEFT JOIN scan_queue q ON q.segment_id = s.id WHERE s.status = 'active' AND is_leaf AND NOT is_oversized AND total_count > 0",
     "candidates": "SELECT * FROM u WHERE c = 'candidate'",
@@ -146,23 +187,30 @@ def T_full(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- rollups ----------------------------------------------------------------------------------
 
 _Q, _E = ctes("scan_queue"), ctes("errors")
-_add("ops_performance", lambda s, d: O.performance(view(s, d, "scan_queue"), _at(SINCE)), _Q + f"""SELECT CAST(sum(requests_total) AS BIGINT) AS requests_total, CAST(sum(requests_failed) AS BIGINT) AS requests_failed, round(avg(avg_latency_ms), 6) AS avg_latency_ms, max(avg_latency_ms) AS max_latency_ms,
-    count(*) FILTER (cooldown_triggered) AS cooldowns, round((sum(requests_total) - sum(requests_failed)) * 100.0e0 / nullif(sum(requests_total), 0), 1) AS success_rate FROM scan_queue WHERE completed_at >= {_SINCE}""")
+_add("ops_performance", lambda s, d: O.performance(view(s, d, "scan_queue"), _at(SINCE)), _Q + f"""
+    SELECT CAST(sum(listings_found) AS BIGINT) AS urls_discovered, CAST(sum(new_count) AS BIGINT) AS urls_new, CAST(sum(changed_count) AS BIGINT) AS urls_changed, CAST(sum(requests_total) AS BIGINT) AS requests_total, CAST(sum(requests_success) AS BIGINT) AS requests_success,
+      CAST(sum(requests_failed) AS BIGINT) AS requests_failed, round(avg(avg_latency_ms), 6) AS avg_latency_ms, max(max_latency_ms) AS max_latency_ms, count(*) FILTER (cooldown_triggered) AS cooldowns,
+      CASE WHEN sum(requests_total) > 0 THEN round(sum(requests_success) * 100.0e0 / sum(requests_total), 1) END AS success_rate FROM scan_queue WHERE status = 'complete' AND completed_at >= {_SINCE}""")
+_add("ops_cooldowns_today", lambda s, d: O.cooldowns_today(view(s, d, "scan_queue"), _at("1998-03-20 17:30:00")), _Q + "SELECT count(*) AS cooldowns_today FROM scan_queue WHERE cooldown_triggered AND completed_at >= TIMESTAMP '1998-03-20 00:00:00'")
 _add("ops_errors_by_type", lambda s, d: O.errors_by_type(view(s, d, "errors"), _at("1998-01-01 00:00:00")), _E + "SELECT error_type, count(*) AS n FROM errors WHERE failed_at >= TIMESTAMP '1998-01-01 00:00:00' GROUP BY 1")
 _add("ops_recent_errors", lambda s, d: O.recent_errors(view(s, d, "errors"), 20, 5, error_type="http"), _E + "SELECT * FROM errors WHERE error_type = 'http' ORDER BY id DESC LIMIT 20 OFFSET 5")
 _add("http_error_class", lambda s, d: view(s, d, "errors").select("id", *[c.alias(n) for n, c in O.error_class(F.col("http_status")).items()]), _E + "SELECT id, CASE WHEN http_status IS NULL THEN 'timeout_or_connection' ELSE 'http_' || http_status END AS error_class, CASE WHEN http_status IS NULL THEN true WHEN http_status IN (403, 404) THEN false WHEN http_status = 429 THEN true ELSE http_status >= 500 END AS retryable FROM errors")
-_add("ops_problem_segments", lambda s, d: O.problem_segments(view(s, d, "scan_queue")).select("id", "segment_id", "updated_at"), _Q + "SELECT id, segment_id, updated_at FROM scan_queue WHERE status = 'failed' OR attempt_count >= 3 ORDER BY updated_at DESC, id LIMIT 10")
-_add("ops_daily_trends", lambda s, d: O.daily_trends(view(s, d, "scan_queue"), _at(SINCE)), _Q + f"SELECT CAST(completed_at AS DATE) AS day, CAST(sum(requests_total) AS BIGINT) AS requests, CAST(sum(requests_failed) AS BIGINT) AS failures, round(avg(avg_latency_ms), 6) AS avg_latency_ms, count(*) AS n FROM scan_queue WHERE completed_at >= {_SINCE} GROUP BY 1")
+_add("ops_problem_segments", lambda s, d: O.problem_segments(view(s, d, "scan_queue")).select("id", "segment_id", "updated_at"), _Q + "SELECT id, segment_id, updated_at FROM scan_queue WHERE status = 'failed' ORDER BY updated_at DESC, id LIMIT 10")
+_add("ops_daily_trends", lambda s, d: O.daily_trends(view(s, d, "scan_queue"), view(s, d, "errors"), _at(SINCE)), ctes("scan_queue", "errors") + f"""
+    SELECT coalesce(q.day, e.day) AS day, urls, avg_latency_ms, errors FROM (SELECT CAST(completed_at AS DATE) AS day, CAST(sum(listings_found) AS BIGINT) AS urls, round(avg(avg_latency_ms), 1) AS avg_latency_ms FROM scan_queue WHERE status = 'complete' AND completed_at >= {_SINCE} GROUP BY 1) q
+    FULL JOIN (SELECT CAST(failed_at AS DATE) AS day, count(*) AS errors FROM errors WHERE failed_at >= {_SINCE} GROUP BY 1) e ON q.day = e.day""")
 _add("ops_pipeline_tables", lambda s, d: O.table_totals(entities(s, d), view(s, d, "snapshots"), M.pending_ids(entities(s, d), _built(s, d))), ctes("listings", "snapshots") + f"SELECT 'listings' AS name, count(*) AS n FROM listings UNION ALL SELECT 'snapshots', count(*) FROM snapshots UNION ALL SELECT 'pending', count(*) FROM ({_PENDING})")
 _add("ops_segment_totals", lambda s, d: O.segment_totals(view(s, d, "segments")), ctes("segments") + "SELECT count(*) AS total, count(*) FILTER (is_leaf) AS leaves, count(*) FILTER (is_oversized) AS oversized FROM segments WHERE status = 'active'")
 _add("ops_progress", lambda s, d: O.progress(view(s, d, "scan_queue")), _Q + "SELECT count(*) AS total, count(*) FILTER (status = 'complete') AS complete, round(count(*) FILTER (status = 'complete') * 100.0e0 / nullif(count(*), 0), 1) AS progress_pct FROM scan_queue")
 _R = ctes("runs")
 _add("ops_last_run", lambda s, d: O.last_runs(view(s, d, "runs")), _R + "SELECT run_type, max(id) AS id, max_by(status, id) AS status, max_by(finished_at, id) AS finished_at FROM runs WHERE status IN ('success', 'failed', 'partial') GROUP BY 1")
-_add("ops_run_duration", lambda s, d: O.run_durations(view(s, d, "runs"), _at(NOW)), _R + f"SELECT id, run_type, CASE WHEN status = 'running' AND started_at < {_TS} - INTERVAL 24 HOUR THEN 'failed' ELSE status END AS status, (epoch_us(finished_at) - epoch_us(started_at)) / 1000000.0e0 AS duration_seconds FROM runs")
+_add("ops_run_duration", lambda s, d: O.run_durations(O.fail_unfinished(view(s, d, "runs"), _at(NOW))), _R + f"""
+    SELECT *, (epoch_us(finished_at) - epoch_us(started_at)) / 1000000.0e0 AS duration_seconds
+    FROM (SELECT * EXCLUDE (stale) REPLACE (CASE WHEN stale THEN 'failed' ELSE status END AS status, CASE WHEN stale THEN {_TS} ELSE finished_at END AS finished_at) FROM (SELECT *, status IN ('running', 'stopping', 'force_stopping') AS stale FROM runs))""")
 _add("ops_request_metrics", lambda s, d: O.request_metrics(view(s, d, "requests")), ctes("requests") + """SELECT segment_id, count(*) AS requests_total, count(*) FILTER (http_status = 200) AS requests_success, count(*) FILTER (http_status IS NULL OR http_status <> 200) AS requests_failed,
     count(*) FILTER (http_status = 403) AS requests_403, count(*) FILTER (http_status = 429) AS requests_429, count(*) FILTER (http_status >= 500) AS requests_5xx, count(*) FILTER (http_status IS NULL) AS timeouts,
     round(avg(latency_ms), 1) AS avg_latency_ms, round(max(latency_ms), 1) AS max_latency_ms FROM requests GROUP BY 1""")
-_BATCH = "SELECT batch_id, count(*) AS processed, count(*) FILTER (listings_found = 0) AS failed, coalesce(round(count(*) FILTER (listings_found = 0) * 100.0e0 / nullif(count(*), 0), 2), 0) AS error_rate_pct FROM scan_history GROUP BY 1"
+_BATCH = "SELECT batch_id, count(*) AS processed, count(*) FILTER (listings_found <> 0) AS successful, count(*) FILTER (listings_found = 0) AS failed, coalesce(round(count(*) FILTER (listings_found = 0) * 100.0e0 / nullif(count(*), 0), 2), 0) AS error_rate_pct FROM scan_history GROUP BY 1"
 
 
 def batches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,10 +220,24 @@ def batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 _add("batch_run_summary", batches, ctes("scan_history") + _BATCH)
 _add("error_rate_alert", lambda s, d: O.alerts(batches(s, d), 5.0), ctes("scan_history", more={"b": _BATCH}) + "SELECT * FROM b WHERE error_rate_pct >= 5")
 _add("ops_top_errors", lambda s, d: O.top_errors(view(s, d, "errors"), 3), _E + "SELECT error_type, count(*) AS n FROM errors GROUP BY 1 ORDER BY n DESC, error_type LIMIT 3")
-_add("ops_active_runs", lambda s, d: O.active_runs(view(s, d, "runs")), _R + "SELECT * FROM runs WHERE status IN ('queued', 'running')")
-_add("ops_recent_runs", lambda s, d: O.recent_runs(view(s, d, "runs"), "facts", 15), _R + "SELECT * FROM runs WHERE run_type = 'facts' ORDER BY started_at DESC NULLS LAST, id DESC LIMIT 15")
-_add("listings_page", lambda s, d: O.listings_page(view(s, d, "listings").select("id", "status", "title", "last_seen_at"), "active", 25, 10), ctes("listings") + "SELECT id, status, title, last_seen_at FROM listings WHERE status = 'active' ORDER BY last_seen_at DESC, id DESC LIMIT 25 OFFSET 10")
-_add("listing_snapshots", lambda s, d: O.snapshots_of(view(s, d, "snapshots"), 7), ctes("snapshots") + "SELECT * FROM snapshots WHERE listing_id = 7")
-_add("run_records", lambda s, d: O.run_records(O.batch_summary(view(s, d, "scan_history"), "batch_id", F.col("listings_found") == 0), "batch_id", "discovery", _at("1999-01-01 00:00:00"), _at("1999-01-01 01:00:00")).withColumn("stats_json", F.get_json_object("stats_json", "$.processed").cast("long")),
-     ctes("scan_history") + "SELECT batch_id AS batch, 'discovery' AS run_type, CASE WHEN f = n THEN 'failed' WHEN f > 0 THEN 'partial' ELSE 'success' END AS status, TIMESTAMP '1999-01-01 00:00:00' AS started_at, TIMESTAMP '1999-01-01 01:00:00' AS finished_at, 3600.0e0 AS duration_seconds, n AS stats_json FROM (SELECT batch_id, count(*) AS n, count(*) FILTER (listings_found = 0) AS f FROM scan_history GROUP BY 1)")
+_add("ops_active_runs", lambda s, d: O.active_runs(view(s, d, "runs")), _R + "SELECT * FROM runs WHERE status IN ('running', 'stopping', 'force_stopping')")
+_add("ops_recent_runs", lambda s, d: O.recent_runs(view(s, d, "runs"), "facts", 15, 5, 1), _R + "SELECT * FROM runs WHERE run_type = 'facts' AND source_id = 1 ORDER BY id DESC LIMIT 15 OFFSET 5")
+_add("listings_page", lambda s, d: O.listings_page(view(s, d, "listings").select("id", "source_id", "status", "title", "last_seen_at"), "active", 25, 3, 2), ctes("listings") + "SELECT id, source_id, status, title, last_seen_at FROM listings WHERE status = 'active' AND source_id = 2 ORDER BY id DESC LIMIT 25 OFFSET 3")
+_add("listing_snapshots", lambda s, d: O.snapshots_of(view(s, d, "snapshots"), 7, 12, 4), ctes("snapshots") + "SELECT * FROM snapshots WHERE listing_id = 7 ORDER BY captured_at DESC, id DESC LIMIT 12 OFFSET 4")
+
+
+def _run_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of the scan batches, written twice by the same runs and read back."""
+    made = O.run_records(view(spark, sf_dir, "scan_history"), "batch_id", F.col("listings_found") == 0, F.concat(F.lit("empty_"), "priority"), _at("1999-01-01 00:00:00"), _at("1999-01-01 01:00:00"))
+    out = VersionedTable(spark, f"{shared_root(spark)}/parcela/runs-{uuid.uuid4().hex}", made.schema, ["run_id"], 4)
+    O.append_run_records(out, made)
+    O.append_run_records(out, made)
+    return out.read()
+
+
+_add("run_records", _run_records, ctes("scan_history", more={
+    "kinds": "SELECT batch_id, 'empty_' || priority AS error, count(*) AS n FROM scan_history WHERE listings_found = 0 GROUP BY ALL", "tops": "SELECT batch_id, string_agg(error || ': ' || n, ', ' ORDER BY n DESC, error) AS t FROM kinds GROUP BY 1",
+    "sums": "SELECT batch_id, count(*) AS n, count(*) FILTER (listings_found = 0) AS f FROM scan_history GROUP BY 1",
+}) + """SELECT s.batch_id AS run_id, CASE WHEN f = n THEN 'failed' WHEN f > 0 THEN 'partial' ELSE 'success' END AS status, n AS processed, n - f AS successful, f AS failed, round(f * 100.0e0 / n, 2) AS error_rate_pct, coalesce(t, '') AS top_errors,
+      TIMESTAMP '1999-01-01 00:00:00' AS started_at, TIMESTAMP '1999-01-01 01:00:00' AS finished_at, 3600.0e0 AS elapsed_seconds, round(n / 60.0e0, 1) AS avg_rate_per_min FROM sums s LEFT JOIN tops USING (batch_id)""")
 _add("latest_snapshot", lambda s, d: O.latest_snapshot(view(s, d, "snapshots")), ctes("snapshots") + "SELECT * FROM snapshots QUALIFY row_number() OVER (PARTITION BY listing_id ORDER BY captured_at DESC, id DESC, price_amount DESC) = 1")

@@ -60,13 +60,15 @@ SQL: dict[str, str] = {
         CAST(0 AS DOUBLE) AS surface_min, CAST(1000 AS DOUBLE) AS surface_max, CAST(c_custkey * 7 % 2600 AS INT) AS total_count,
         c_custkey % 5 <> 0 AS is_leaf, c_custkey % 37 = 0 AS is_oversized, CASE WHEN c_custkey % 23 = 0 THEN 'inactive' ELSE 'active' END AS status,
         CASE WHEN c_custkey % 2 = 1 THEN (c_custkey % 70) / 1000.0E0 END AS churn_ewma, CAST(CASE WHEN c_custkey % 2 = 1 THEN c_custkey % 4 WHEN c_custkey % 10 = 0 THEN 3 ELSE 0 END AS INT) AS churn_samples,
+        CASE WHEN c_custkey % 2 = 1 THEN CAST(CAST('1998-01-10' AS DATE) + CAST(c_custkey % 20 AS INT) AS TS) END AS last_churn_observed_at,
         CAST('1998-01-01 00:00:00' AS TS) AS created_at, CAST('1998-02-01 00:00:00' AS TS) AS updated_at FROM {customer}""",
     "segment_snapshots": "SELECT o_orderkey AS id, o_custkey AS segment_id, CAST(o_orderdate AS TS) AS captured_at, CAST(floor(o_totalprice / 1000) AS INT) AS total_count FROM {orders}",
-    "scan_queue": """SELECT c_custkey + 100000 AS id, c_custkey AS segment_id, CASE c_custkey % 4 WHEN 0 THEN 'pending' WHEN 1 THEN 'complete' WHEN 2 THEN 'running' ELSE 'complete' END AS status,
+    "scan_queue": """SELECT c_custkey + 100000 AS id, c_custkey AS segment_id, CASE c_custkey % 4 WHEN 0 THEN 'pending' WHEN 1 THEN 'complete' WHEN 2 THEN CASE WHEN c_custkey % 3 = 0 THEN 'failed' ELSE 'running' END ELSE 'complete' END AS status,
         CASE c_custkey % 9 WHEN 0 THEN 'high' WHEN 1 THEN 'refresh_hot' WHEN 2 THEN 'full_scan_compare' WHEN 3 THEN 'full_scan_baseline' WHEN 4 THEN 'normal' WHEN 5 THEN 'refresh_unknown' WHEN 6 THEN 'refresh_warm' WHEN 7 THEN 'refresh_cold' END AS priority,
         CAST(c_custkey % 4 AS INT) AS attempt_count, CASE WHEN c_custkey % 3 = 0 THEN concat('batch_id=b', CAST(c_custkey % 5 AS STRING), ';tier=hot') END AS reason,
         CAST(c_custkey % 50 AS INT) AS requests_total, CAST(c_custkey % 7 AS INT) AS requests_failed, CASE WHEN c_custkey % 6 <> 0 THEN CAST(c_custkey % 900 AS DOUBLE) END AS avg_latency_ms,
-        c_custkey % 31 = 0 AS cooldown_triggered,
+        CAST(c_custkey % 50 - c_custkey % 7 AS INT) AS requests_success, CAST(c_custkey % 83 AS INT) AS listings_found, CAST(c_custkey % 11 AS INT) AS new_count, CAST(c_custkey % 6 AS INT) AS changed_count,
+        CASE WHEN c_custkey % 6 <> 0 THEN CAST(c_custkey % 900 + c_custkey % 70 AS DOUBLE) END AS max_latency_ms, c_custkey % 31 = 0 AS cooldown_triggered,
         CASE WHEN c_custkey % 6 <> 5 THEN CAST(CAST('1998-03-01' AS DATE) + CAST(c_custkey % 40 AS INT) AS TS) END AS completed_at,
         CASE WHEN c_custkey % 4 = 2 THEN CAST(CAST('1998-04-01' AS DATE) + CAST(c_custkey % 20 AS INT) AS TS) END AS locked_at,
         CAST(CAST('1998-03-05' AS DATE) + CAST(c_custkey % 30 AS INT) AS TS) AS updated_at, CAST('1998-01-01 00:00:00' AS TS) AS created_at FROM {customer}""",
@@ -78,7 +80,7 @@ SQL: dict[str, str] = {
     "requests": """SELECT event_id AS id, user_id AS segment_id, CAST(ts AS TS) AS requested_at, CASE event_id % 8 WHEN 0 THEN 403 WHEN 1 THEN 429 WHEN 2 THEN 500 WHEN 3 THEN NULL ELSE 200 END AS http_status,
         CASE WHEN event_id % 8 <> 3 THEN CAST(event_id % 700 AS DOUBLE) END AS latency_ms FROM {events}""",
     "runs": """SELECT c_custkey AS id, CASE c_custkey % 3 WHEN 0 THEN 'discovery' WHEN 1 THEN 'facts' ELSE 'location' END AS run_type,
-        CASE c_custkey % 5 WHEN 0 THEN 'success' WHEN 1 THEN 'failed' WHEN 2 THEN 'partial' WHEN 3 THEN 'running' ELSE 'queued' END AS status,
+        CASE c_custkey % 5 WHEN 0 THEN 'success' WHEN 1 THEN 'failed' WHEN 2 THEN 'partial' WHEN 3 THEN CASE WHEN c_custkey % 2 = 0 THEN 'running' ELSE 'stopping' END ELSE 'queued' END AS status, CAST(c_custkey % 3 AS BIGINT) AS source_id,
         CAST(CAST('1998-01-01' AS DATE) + CAST(c_custkey % 90 AS INT) AS TS) AS started_at,
         CASE WHEN c_custkey % 5 < 3 THEN CAST(CAST('1998-01-02' AS DATE) + CAST(c_custkey % 90 AS INT) AS TS) END AS finished_at FROM {customer}""",
     "pages_seen": "SELECT l_suppkey AS segment, l_linenumber + CAST(l_orderkey % 6 AS INT) * 7 AS page, l_partkey % 30 AS item FROM {lineitem}",

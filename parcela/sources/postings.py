@@ -111,7 +111,8 @@ def extra_data(p: Column) -> Column:
 def normalize(postings: DataFrame, base: str = "https://portal.example", column: str = "posting") -> DataFrame:
     """Listing rows of posting JSON. Postings without an id, and of excluded categories, are dropped; unreadable JSON counts as no id."""
     p = F.col("__p")
-    rows = postings.select(F.from_json(F.translate(column, "\x00", ""), POSTING).alias("__p"))
+    # a generator's output: a filter on it stays above it, while one on a projection is pushed below with a parse for each of its parts
+    rows = postings.select(F.explode(F.array(F.from_json(F.translate(column, "\x00", ""), POSTING))).alias("__p"))
     key = F.trim(F.coalesce(F.nullif(p["postingId"], F.lit("")), p["id"]))
     rows = rows.withColumn("external_id", key).where((F.col("external_id") != "") & F.coalesce(~p["realEstateType"]["realEstateTypeId"].isin(*EXCLUDED_TYPES), F.lit(True)))
     offer = F.try_element_at(p["priceOperationTypes"], F.lit(1))

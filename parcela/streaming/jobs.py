@@ -17,6 +17,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import LongType, StructField, StructType
 
 from ..operators import lifecycle as L
+from ..operators.facts import advance_history
 from ..session import shared_root, ship_package
 from ..sources.versions import VersionedTable
 
@@ -66,6 +67,29 @@ def merge_batches(incoming: DataFrame, current: VersionedTable, snapshot_path: s
     return incoming.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def merge_histories(snapshots: DataFrame, states: VersionedTable, kept_path: str, checkpoint: str) -> Any:
+    """Start keeping the mergeable price history of each listing over a stream of snapshots, in a versioned table by listing.
+
+    A batch's snapshots are kept first, in a folder of its own. Prices that follow the known ones are
+    merged into the history; a listing that gets one from before is built again from all that is kept,
+    for it alone. So the table equals the batch form whatever the order of arrival.
+    """
+
+    def merge(batch: DataFrame, n: int) -> None:
+        held = batch.persist()
+
+        def keep(_: DataFrame, rows: DataFrame) -> None:
+            rows.write.mode("overwrite").parquet(f"{kept_path}/batch={n}")
+
+        def advance(known: DataFrame, rows: DataFrame) -> DataFrame:
+            return advance_history(known, rows, batch.sparkSession.read.parquet(kept_path).drop("batch"))
+
+        states.merge(held, advance, mark=n, also=keep)
+        held.unpersist()
+
+    return snapshots.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def distinct_postings(stream: DataFrame, time: str, keys: list[str], delay: str = "1 day") -> DataFrame:
     """Each key once within the watermark; its state is dropped after that."""
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)

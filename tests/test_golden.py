@@ -224,6 +224,53 @@ def test_incremental_facts_equal_the_full_build(spark):
     assert sorted(map(tuple, facts.history_of(merged).select(columns).collect()), key=str) == want
 
 
+def test_histories_of_a_stream_in_any_order(spark, tmp_path):
+    """Snapshots in three shuffled batches, late ones among them, the last batch twice: the same histories as the batch form."""
+    rng = np.random.default_rng(12)
+    rows = [(i, int(rng.integers(0, 9)), datetime(1999, 1, 1) + timedelta(hours=int(rng.integers(0, 50))), Decimal(int(rng.integers(1, 4))), "USD" if rng.random() < 0.8 else "ARS") for i in range(120)]
+    table = spark.createDataFrame(rows, "id long, listing_id long, captured_at timestamp_ntz, price_amount decimal(18,2), price_currency string")
+    states = VersionedTable(spark, f"file://{tmp_path}/states", facts.history_state(table).schema, ["listing_id"], 4)
+    start = lambda: jobs.merge_histories(spark.readStream.schema(table.schema).parquet(f"{tmp_path}/in"), states, f"file://{tmp_path}/kept", f"{tmp_path}/checkpoint").awaitTermination()
+    for k in range(3):
+        table.where(F.col("id") % 3 == k).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        start()
+    for name in ("2", ".2.crc"):
+        (tmp_path / "checkpoint" / "commits" / name).unlink(missing_ok=True)
+    start()
+    columns = facts.price_history(table).columns
+    assert sorted(map(tuple, facts.history_of(states.read()).select(columns).collect()), key=str) == sorted(map(tuple, facts.price_history(table).collect()), key=str)
+    assert states.version() == 3 and spark.read.parquet(f"{tmp_path}/kept").count() == 120
+
+
+def test_rebuilt_segments_inherit_churn(spark):
+    """Split parents with churn: their halves come in with ids and no samples, and inherit churn, time and capped samples; then the first observation mixes with the prior. A loop over all pairs says the same."""
+    seen, old = datetime(1999, 1, 5), datetime(1999, 1, 1)
+    cols = "id long, portal string, operation_key string, province_key string, depth int, price_min double, price_max double, surface_min double, surface_max double, total_count int, is_leaf boolean, is_oversized boolean, status string, churn_ewma double, churn_samples int, last_churn_observed_at timestamp_ntz, created_at timestamp_ntz, updated_at timestamp_ntz"
+    box = lambda i, a, b, churn, n, k="v": (i, "p", k, "x", 1, a, b, 0.0, 10.0, 5, True, False, "active", churn, n, seen if churn else None, old, old)
+    known = spark.createDataFrame([box(1, 0.0, 100.0, 0.04, 9), box(2, 100.0, 200.0, None, 0), box(7, 0.0, 400.0, 0.5, 1), box(9, 0.0, 100.0, 0.3, 5, "w"), (20, "other", *box(20, 0.0, 50.0, None, 0)[2:])], cols)
+    tree = [("p", "v", "x", a, b, 0.0, 10.0, 3, 2, True, False) for a, b in ((0.0, 50.0), (50.0, 100.0), (100.0, 200.0), (200.0, 500.0))]
+    rebuilt = spark.createDataFrame(tree, "portal string, operation_key string, province_key string, price_min double, price_max double, surface_min double, surface_max double, total_count int, depth int, is_leaf boolean, is_oversized boolean").repartition(3)
+    out = T.rebuild(known, rebuilt, "p", F.lit("1999-02-01 00:00:00").cast("timestamp_ntz"), 2).collect()
+    got = {(r["portal"], r["operation_key"], r["price_min"], r["price_max"]): (r["status"], r["churn_ewma"], r["churn_samples"], r["last_churn_observed_at"]) for r in out}
+    assert got == {
+        ("p", "v", 0.0, 100.0): ("inactive", 0.04, 9, seen), ("p", "v", 100.0, 200.0): ("active", 0.5, 1, seen), ("p", "v", 0.0, 400.0): ("inactive", 0.5, 1, seen), ("p", "w", 0.0, 100.0): ("inactive", 0.3, 5, seen), ("other", "v", 0.0, 50.0): ("active", None, 0, None),
+        ("p", "v", 0.0, 50.0): ("active", 0.04, 2, seen), ("p", "v", 50.0, 100.0): ("active", 0.04, 2, seen), ("p", "v", 200.0, 500.0): ("active", None, 0, None),
+    }
+    ids = {r["id"] for r in out}
+    assert len(ids) == 8 and None not in ids and {1, 2, 7, 9, 20} < ids and min(ids - {1, 2, 7, 9, 20}) == 21 and max(ids) == 23
+    child = next(r for r in out if r["price_max"] == 50.0 and r["portal"] == "p")
+    first = spark.createDataFrame([(child["id"], 1, datetime(1999, 2, 2), 0.1)], "segment_id long, id long, scanned_at timestamp_ntz, churn double")
+    prior = spark.createDataFrame([(child["id"], child["churn_ewma"])], "segment_id long, churn_ewma double")
+    assert T.churn_ewma(first, prior).first()["churn_ewma"] == pytest.approx(0.5 * 0.1 + 0.5 * 0.04)
+
+
+def test_tree_boxes(spark):
+    config = T.TreeConfig(price_width=8.0, surface_width=4.0, min_price_width=2.0, min_surface_width=2.0)
+    leaves = spark.createDataFrame([("r", ""), ("r", "1"), ("r", "01"), ("r", "110"), ("r", "101")], "root string, path string")
+    got = {r["path"]: (r["price_min"], r["price_max"], r["surface_min"], r["surface_max"]) for r in T.tree_boxes(leaves, config).collect()}
+    assert got == {"": (0, 8, 0, 4), "1": (4, 8, 0, 4), "01": (2, 4, 0, 4), "110": (6, 8, 0, 2), "101": (4, 6, 2, 4)}
+
+
 def test_slugs_by_decomposition(spark):
     texts = ["Łódź ½ ﬁn", "Ñandú  Árbol!", "Ⅷ ㎏ Ａｂ", "ß æ", "", "--x--"]
     want = ["-".join(re.findall("[a-z0-9]+", unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode().lower())) for t in texts]
