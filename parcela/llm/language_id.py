@@ -34,25 +34,24 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 @dataclass(frozen=True)
 class LanguageConfig:
-    """``docs_per_language`` bounds the training sample (documents of smallest hash). ``fit_deviations``: how far under its language's mean a text's log probability a letter may lie, for one of ``fit_letters`` letters; shorter texts may lie further."""
+    """``docs_per_language`` bounds the training sample (documents of smallest hash). ``fit_gap``: how far under its language's mean a text's log probability a letter may lie; one of fewer than ``fit_letters`` letters may lie further, by the root of the letters that it lacks."""
 
     vocabulary: str = "piece_bpe_32k.model"
     docs_per_language: int = 1000
     rounds: int = 2
     smoothing: float = 0.05
-    fit_deviations: float = 20.0
-    fit_letters: int = 400
+    fit_gap: float = 1.8
+    fit_letters: int = 150
 
 
 @dataclass(frozen=True)
 class LanguageModel:
-    """Languages, a piece x language matrix of probabilities, and each language's least log probability a letter (see ``fit_limits``)."""
+    """Languages, a piece x language matrix of probabilities, and the mean log probability a letter of each language's own texts."""
 
     languages: list[str]
     probability: np.ndarray
     config: LanguageConfig
     mean: np.ndarray | None = None
-    spread: np.ndarray | None = None
 
 
 class Vocabulary:
@@ -255,10 +254,7 @@ def _maximize(table: DataFrame, p: np.ndarray, config: LanguageConfig, n_languag
 
 
 def _with_limits(sample: DataFrame, model: LanguageModel) -> LanguageModel:
-    """The model with the mean and spread of the log probability a letter over each language's sample texts.
-
-    The spread is that of a text of ``fit_letters`` letters: deviations count times the root of the text's letters over that number.
-    """
+    """The model with the mean log probability a letter over each language's sample texts; texts under ``fit_letters`` letters count less."""
     held = sample.sparkSession.sparkContext.broadcast(model)
     number = {k: i for i, k in enumerate(model.languages)}
 
@@ -270,11 +266,11 @@ def _with_limits(sample: DataFrame, model: LanguageModel) -> LanguageModel:
 
     fits = arrow_map(sample, ["__lang", "__text"], body, "lang int, fit double, letters long")
     weight = F.least(F.col("letters") / model.config.fit_letters, F.lit(1.0))
-    found = fits.groupBy("lang").agg((F.sum(F.col("fit") * weight) / F.sum(weight)).alias("m"), (F.sum(F.pow("fit", F.lit(2)) * weight) / F.sum(weight)).alias("m2")).collect()  # a row a language
-    mean, spread = np.zeros(len(model.languages)), np.full(len(model.languages), np.inf)
+    found = fits.groupBy("lang").agg((F.sum(F.col("fit") * weight) / F.sum(weight)).alias("m")).collect()  # a row a language
+    mean = np.full(len(model.languages), -np.inf)
     for r in found:
-        mean[r["lang"]], spread[r["lang"]] = r["m"], max(0.02, max(0.0, r["m2"] - r["m"] ** 2) ** 0.5)
-    return replace(model, mean=mean, spread=spread)
+        mean[r["lang"]] = r["m"]
+    return replace(model, mean=mean)
 
 
 def log_scores(texts: list[str | None], model: LanguageModel) -> tuple[np.ndarray, np.ndarray]:
@@ -308,7 +304,7 @@ def score(texts: list[str | None], model: LanguageModel) -> tuple[list[str], lis
     for k in np.flatnonzero(letters):
         langs[k], scores[k] = model.languages[best[k]], float(share[k])
         if model.mean is not None:
-            slack = model.config.fit_deviations * model.spread[best[k]] * max(1.0, (model.config.fit_letters / letters[k]) ** 0.5)
+            slack = model.config.fit_gap * max(1.0, (model.config.fit_letters / letters[k]) ** 0.5)
             fits[k] = bool(totals[k, best[k]] / letters[k] >= model.mean[best[k]] - slack)
     return langs, scores, fits
 
