@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import facts as M
+from ..operators import geo
 from ..operators import lifecycle
 from ..operators import search as S
+from ..session import shared_root
 from .views import ctes, view
 
 AS_OF = "2000-01-01 12:00:00"
@@ -165,3 +168,14 @@ def _facts_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["facts_incremental"] = _facts_incremental
 ORACLE["facts_incremental"] = ORACLE["market_facts"]
+
+
+def _search_by_place(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The radius search over facts that were written by place first."""
+    path = f"{shared_root(spark)}/parcela/places-{uuid.uuid4().hex}"
+    geo.write_by_place(market_facts(spark, sf_dir), path, 16)
+    return geo.within_radius(spark, path, -34.6, -58.4, 6000).select("listing_id", "latitude", "longitude")
+
+
+QUERIES["search_radius_by_place"] = _search_by_place
+ORACLE["search_radius_by_place"] = ORACLE["search_radius"]

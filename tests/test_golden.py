@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import math
 import random
 import re
 import unicodedata
@@ -9,11 +10,12 @@ from datetime import datetime, timedelta
 from decimal import Decimal
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from parcela.functions import text as X
-from parcela.operators import facts, lifecycle, ops, queue
+from parcela.operators import facts, geo, lifecycle, ops, queue
 from parcela.operators import search as S
 from parcela.operators import segments as T
 from parcela.operators.lifecycle import insert_if_absent
@@ -271,6 +273,31 @@ def test_tree_boxes(spark):
     assert got == {"": (0, 8, 0, 4), "1": (4, 8, 0, 4), "01": (2, 4, 0, 4), "110": (6, 8, 0, 2), "101": (4, 6, 2, 4)}
 
 
+def test_radius_by_place(spark, tmp_path):
+    """The same rows as all distances, at the antimeridian, at a pole and on edges too, from fewer row groups."""
+    rng = np.random.default_rng(13)
+    points = [(i, float(rng.uniform(-90, 90)), float(rng.uniform(-180, 180))) for i in range(3000)] + [(5000 + i, float(-34.6 + rng.normal() / 20), float(-58.4 + rng.normal() / 20)) for i in range(2000)]
+    points += [(9000 + i, float(rng.normal() / 10), float(180 - abs(rng.normal()) / 10) * (1 if i % 2 else -1)) for i in range(500)] + [(9900, 90.0, 180.0), (9901, -90.0, -180.0), (9902, 0.0, 180.0), (9903, None, 1.0), (9904, 1.0, None)]
+    table = spark.createDataFrame(points, "id long, latitude double, longitude double")
+    path = f"{tmp_path}/places"
+    geo.write_by_place(table, f"file://{path}", 32)
+    held = [g for f in sorted((tmp_path / "places").glob("*.parquet")) for m in [pq.ParquetFile(f).metadata] for g in [m.row_group(k).column(m.schema.names.index(geo.KEY)).statistics for k in range(m.num_row_groups)]]
+    assert len(held) >= 24
+    for lat, lon, radius in ((-34.6, -58.4, 3000), (-34.6, -58.4, 50_000), (0.0, 179.99, 20_000), (0.0, -180.0, 15_000), (89.9, 10.0, 300_000), (12.0, 13.0, 900_000), (-34.6, -58.4, 1)):
+        def far(p, lat=lat, lon=lon):
+            a = math.sin(math.radians(p[1] - lat) / 2) ** 2 + math.cos(math.radians(p[1])) * math.cos(math.radians(lat)) * math.sin(math.radians(p[2] - lon) / 2) ** 2
+            return 2 * 6_371_000 * math.asin(min(1.0, math.sqrt(a)))
+
+        want = {p[0] for p in points if None not in p and far(p) <= radius}
+        assert {r["id"] for r in geo.within_radius(spark, f"file://{path}", lat, lon, radius).collect()} == want
+        ranges = geo.key_ranges(lat, lon, radius)
+        assert len(ranges) <= 128
+        if radius <= 20_000:
+            assert sum(any(s.has_min_max and s.min <= b and s.max >= a for a, b in ranges) for s in held) < len(held) / 2
+    plan = geo.within_radius(spark, f"file://{path}", -34.6, -58.4, 3000)._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [Or(" in plan
+
+
 def test_slugs_by_decomposition(spark):
     texts = ["Łódź ½ ﬁn", "Ñandú  Árbol!", "Ⅷ ㎏ Ａｂ", "ß æ", "", "--x--"]
     want = ["-".join(re.findall("[a-z0-9]+", unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode().lower())) for t in texts]
