@@ -112,6 +112,14 @@ def counters(classified: DataFrame) -> DataFrame:
     return classified.groupBy("source_id").agg(*[F.count_if(F.col("case") == k).alias(n) for k, n in (("A", "new_count"), ("C", "changed_count"), ("B", "unchanged_count"), ("D", "disappeared_count"))])
 
 
+def scan_counters(classified: DataFrame, incoming: DataFrame, by: str) -> DataFrame:
+    """What each scan of ``by`` (such as a segment) brought: all postings it found, repeated ones too, and its new, changed and unchanged listings, each counted where its last posting was."""
+    kept = latest_per_key(incoming, KEYS, [F.desc("page"), F.desc("position")]).select(*KEYS, by)
+    case = kept.join(classified.select(*KEYS, "case"), list(KEYS)).groupBy(by).agg(*[F.count_if(F.col("case") == k).alias(n) for k, n in (("A", "new_count"), ("C", "changed_count"), ("B", "unchanged_count"))])
+    found = incoming.groupBy(by).agg(F.count(F.lit(1)).alias("found_count"))
+    return found.join(case, by, "left").fillna(0, ["new_count", "changed_count", "unchanged_count"])
+
+
 def rehash(entities: DataFrame, key: str = "id", stored: str = "content_hash") -> DataFrame:
     """Rows whose stored hash is not the hash of their content, with the new one."""
     return entities.withColumn("new_hash", content_hash(entities.columns)).where(~F.col("new_hash").eqNullSafe(F.col(stored))).select(key, stored, "new_hash")

@@ -17,9 +17,10 @@ def priority_rank(priority: Column) -> Column:
     return F.coalesce(F.try_element_at(table, F.coalesce(priority, F.lit("normal"))), F.lit(9))
 
 
-def pending(queue: DataFrame, segments: DataFrame) -> DataFrame:
-    """Pending rows of active segments with their rank; the caller orders by ``rank, completed_at nulls first, id``."""
-    active = segments.where(F.col("status") == "active").select(F.col("id").alias("segment_id"))
+def pending(queue: DataFrame, segments: DataFrame, portal: str | None = None) -> DataFrame:
+    """Pending rows of active segments, of one portal or of all, with their rank; the caller orders by ``rank, completed_at nulls first, id``."""
+    of = F.lit(True) if portal is None else F.col("portal") == portal
+    active = segments.where((F.col("status") == "active") & of).select(F.col("id").alias("segment_id"))
     return queue.where(F.col("status") == "pending").join(active, "segment_id", "left_semi").withColumn("rank", priority_rank(F.col("priority")))
 
 

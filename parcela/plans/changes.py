@@ -49,6 +49,10 @@ _add("lifecycle_classify", lambda s, d: cases(s, d).select("source_id", "externa
 _add("lifecycle_merge", lambda s, d: L.merge(view(s, d, "current_entities"), view(s, d, "incoming"), _now()), MERGED)
 _add("lifecycle_snapshots", lambda s, d: L.snapshots(cases(s, d), _now()), _CASES + f"SELECT source_id, external_id, {_T} AS captured_at, " + ", ".join(f"{_IN(c)} AS {c}" for c in L.PAYLOAD) + ", in_h AS content_hash FROM cases WHERE k IN ('A','C')")
 _add("lifecycle_counts", lambda s, d: L.counters(cases(s, d)), _CASES + "SELECT source_id, count(*) FILTER (k='A') AS new_count, count(*) FILTER (k='C') AS changed_count, count(*) FILTER (k='B') AS unchanged_count, count(*) FILTER (k='D') AS disappeared_count FROM cases GROUP BY 1")
+_add("lifecycle_scan_counts", lambda s, d: L.scan_counters(cases(s, d), view(s, d, "incoming").withColumn("segment_id", F.col("page") % 37), "segment_id"), _CASES + """
+    SELECT segment_id, found_count, coalesce(new_count, 0) AS new_count, coalesce(changed_count, 0) AS changed_count, coalesce(unchanged_count, 0) AS unchanged_count
+    FROM (SELECT page % 37 AS segment_id, count(*) AS found_count FROM incoming GROUP BY 1) LEFT JOIN (SELECT f.page % 37 AS segment_id, count(*) FILTER (k = 'A') AS new_count, count(*) FILTER (k = 'C') AS changed_count, count(*) FILTER (k = 'B') AS unchanged_count
+      FROM fresh f JOIN cases c ON c.source_id = f.source_id AND c.external_id = f.external_id GROUP BY 1) USING (segment_id)""")
 _add("disappeared_listings", lambda s, d: cases(s, d).where(F.col("case") == "D").select("source_id", "external_id"), _CASES + "SELECT source_id, external_id FROM cases WHERE k = 'D'")
 
 _add("content_hash", lambda s, d: view(s, d, "listings").select("id", L.content_hash(list(L.HASHED)).alias("content_hash")), ctes("listings") + f"SELECT id, {_hash_sql()} AS content_hash FROM listings")

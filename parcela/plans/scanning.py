@@ -159,8 +159,8 @@ _add("reason_parse", lambda s, d: view(s, d, "scan_queue").select("id", T.parse_
 # --- queue ------------------------------------------------------------------------------------
 
 _RANKSQL = "CASE coalesce(priority, 'normal') " + " ".join(f"WHEN '{p}' THEN {r}" for p, r in K.RANK.items()) + " ELSE 9 END"
-_add("queue_pending", lambda s, d: K.pending(view(s, d, "scan_queue"), view(s, d, "segments")).orderBy("rank", F.asc_nulls_first("completed_at"), "id").limit(100).select("id", "segment_id", "rank", "completed_at"),
-     ctes("scan_queue", "segments") + f"SELECT id, segment_id, {_RANKSQL} AS rank, completed_at FROM scan_queue WHERE status = 'pending' AND segment_id IN (SELECT id FROM segments WHERE status = 'active') ORDER BY rank, completed_at NULLS FIRST, id LIMIT 100")
+_add("queue_pending", lambda s, d: K.pending(view(s, d, "scan_queue"), view(s, d, "segments"), "portal").orderBy("rank", F.asc_nulls_first("completed_at"), "id").limit(100).select("id", "segment_id", "rank", "completed_at"),
+     ctes("scan_queue", "segments") + f"SELECT id, segment_id, {_RANKSQL} AS rank, completed_at FROM scan_queue WHERE status = 'pending' AND segment_id IN (SELECT id FROM segments WHERE status = 'active' AND portal = 'portal') ORDER BY rank, completed_at NULLS FIRST, id LIMIT 100")
 _add("queue_counts", lambda s, d: K.counts(view(s, d, "scan_queue"), view(s, d, "segments")), ctes("scan_queue", "segments") + "SELECT portal, q.status, coalesce(priority, 'unset') AS priority, count(*) AS n FROM scan_queue q JOIN segments s ON q.segment_id = s.id GROUP BY ALL")
 _add("queue_reset_stale", lambda s, d: K.reset_stale(view(s, d, "scan_queue"), _at(NOW)).select("id", "status", "locked_at"), ctes("scan_queue") + f"SELECT id, CASE WHEN stale THEN 'pending' ELSE status END AS status, CASE WHEN NOT coalesce(stale, false) THEN locked_at END AS locked_at FROM (SELECT *, status = 'running' AND locked_at < {_TS} - INTERVAL 6 HOUR AS stale FROM scan_queue)")
 _OUTCOME = "case segment_id % 6 when 0 then 'started' when 1 then 'complete' when 2 then 'failed' when 3 then 'pending' end"
