@@ -2,7 +2,7 @@
 
 A score is the inner product of two integer vectors, ``floor(scale * x)`` by component. It is found
 without rounding in float32: both matrices are reduced modulo several small primes, so that every sum
-of products stays below 2^24, multiplied once a prime, and the residues are put together by Chinese
+of products stays below 2^23, multiplied once a prime, and the residues are put together by Chinese
 remaindering in balanced mixed radix, whose digits give signed numbers at once. The primes are as
 many as the product of the longest vectors asks for.
 
@@ -45,7 +45,7 @@ class MiningConfig:
 
 def primes_for(dim: int, bound: float) -> list[int]:
     """Odd primes, largest first, with which float32 sums of ``dim`` products (a segment at most) are exact and that tell all numbers up to ``bound`` apart, or all of 64 bits."""
-    most = 2 * int((2**24 / max(1, min(dim, SEGMENT))) ** 0.5) + 1
+    most = 2 * int((2**23 / max(1, min(dim, SEGMENT))) ** 0.5) + 1  # so that a sum, and the multiple of a prime next to it, are exact
     found: list[int] = []
     product = 1
     p = min(most, 1021)
