@@ -47,7 +47,7 @@ def _hash(data: Column, at: Column, config: WinnowConfig) -> Column:
 
 def _kept(data: Column, first: Column, last: Column, window: Column, config: WinnowConfig) -> Column:
     """Places that windows inside the grams ``first`` to ``last`` keep."""
-    low = F.lit(-(2**63) + 2**64 * config.candidates // config.window)
+    low = F.lit(min(2**63 - 1, -(2**63) + 2**64 * config.candidates // config.window))
 
     def with_gaps(found: Column) -> Column:
         ends = F.arrays_zip(F.concat(F.array(first - 1), found).alias("a"), F.concat(found, F.array(last + 1)).alias("b"))
