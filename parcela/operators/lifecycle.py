@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip_nul
+from .ranges import RANGE, by_ranges, spread_join, with_summary
 
 # The fields that make a listing's content, numbers and texts, in alphabetical order.
 NUMBERS = ("bathrooms", "bedrooms", "expenses_amount", "garages", "price_amount", "rooms", "surface_total")
@@ -159,23 +160,54 @@ def dedupe_keep_first(rows: DataFrame, key: str, order: str) -> DataFrame:
     return trimmed.withColumns({"__n": F.row_number().over(w.orderBy(order)), "n_duplicates": F.count(F.lit(1)).over(w) - 1}).where(F.col("__n") == 1).drop("__n")
 
 
+def page_counts(seen: DataFrame) -> DataFrame:
+    """``segment, page, new_items, n_items``: the distinct items of each page, and those of them that no earlier page of the segment shows.
+
+    First pages are a minimum by segment and item, so neither a segment nor an item on many pages is one task.
+    """
+    items = seen.select("segment", "page", "item").distinct()
+    first = items.groupBy("segment", "item").agg(F.min("page").alias("page"))
+    shown = items.groupBy("segment", "page").agg(F.lit(0).cast("long").alias("new_items"), F.count(F.lit(1)).alias("n_items"))
+    fresh = first.where(F.col("page").isNotNull()).groupBy("segment", "page").agg(F.count(F.lit(1)).alias("new_items"), F.lit(0).cast("long").alias("n_items"))
+    return shown.unionByName(fresh).groupBy("segment", "page").agg(F.sum("new_items").alias("new_items"), F.sum("n_items").alias("n_items"))
+
+
+def before_recycled(pages: DataFrame) -> DataFrame:
+    """Pages of a segment before its first one without a new item; all where there is none."""
+    cut = pages.where(F.col("new_items") == 0).groupBy("segment").agg(F.min("page").alias("__cut"))
+    cut_known = spread_join(pages, cut, "segment", F.col("page"))
+    return cut_known.where(F.col("__cut").isNull() | (F.col("page") < F.col("__cut"))).select("segment", "page", "new_items", "n_items")
+
+
 def kept_pages(seen: DataFrame) -> DataFrame:
     """Pages of a segment before its first recycled page, one that shows only items of earlier pages."""
-    items = seen.select("segment", "page", "item").distinct()
-    first = items.withColumn("__first", F.min("page").over(Window.partitionBy("segment", "item")))
-    pages = first.groupBy("segment", "page").agg(F.count_if(F.col("page") == F.col("__first")).alias("new_items"), F.count(F.lit(1)).alias("n_items"))
-    cut = F.min(F.when(F.col("new_items") == 0, F.col("page"))).over(Window.partitionBy("segment"))
-    return pages.withColumn("__cut", cut).where(F.col("__cut").isNull() | (F.col("page") < F.col("__cut"))).drop("__cut")
-
-
-def before_empty_streak(pages: DataFrame, streak: int = 3) -> DataFrame:
-    """Pages of a catalog up to and with the one that completes ``streak`` empty pages in a row; error pages neither count nor break a run."""
-    order = Window.partitionBy("catalog").orderBy("page").rowsBetween(Window.unboundedPreceding, 0)
-    island = pages.withColumn("__island", F.count_if(F.col("result") == "ok").over(order))
-    run = Window.partitionBy("catalog", "__island").orderBy("page").rowsBetween(Window.unboundedPreceding, 0)
-    counted = island.withColumn("__empty", F.count_if(F.col("result") == "empty").over(run))
-    stop = F.min(F.when((F.col("result") == "empty") & (F.col("__empty") == streak), F.col("page"))).over(Window.partitionBy("catalog"))
-    return counted.withColumn("__stop", stop).where(F.col("__stop").isNull() | (F.col("page") <= F.col("__stop"))).select("catalog", "page", "result")
+    return before_recycled(page_counts(seen))
+
+
+def before_empty_streak(pages: DataFrame, streak: int = 3, ranges: int | None = None) -> DataFrame:
+    """Pages of a catalog up to and with the one that completes ``streak`` empty pages in a row; error pages neither count nor break a run.
+
+    A range of pages is summed up as the empty pages that begin it (at most ``streak`` of them, as more
+    end the scan), the run that it ends with, whether an ok page broke runs, and the first streak after
+    one. The fold over ranges knows the run that each begins with.
+    """
+    dealt = by_ranges(pages.select("catalog", "page", "result"), "catalog", ["page"], "catalog-pages", ranges)
+    inside, empty, page = Window.partitionBy("catalog", RANGE), F.col("result") == "empty", F.col("page")
+    run = dealt.withColumn("__ok", F.count_if(F.col("result") == "ok").over(inside.orderBy("page").rowsBetween(Window.unboundedPreceding, 0)))
+    run = run.withColumn("__run", F.count_if(empty).over(Window.partitionBy("catalog", RANGE, "__ok").orderBy("page").rowsBetween(Window.unboundedPreceding, 0)))
+    part = run.groupBy("catalog", RANGE).agg(
+        (F.max("__ok") > 0).alias("__broken"), F.max(F.struct("__ok", "__run"))["__run"].alias("__tail"),
+        F.collect_list(F.when(empty & (F.col("__ok") == 0) & (F.col("__run") <= streak), F.struct(F.col("__run").alias("run"), page.alias("page")))).alias("__head"),
+        F.min(F.when(empty & (F.col("__ok") > 0) & (F.col("__run") == streak), page)).alias("__later"),
+    )
+    ranged = Window.partitionBy("catalog").orderBy(RANGE)
+    part = part.withColumn("__since", F.count_if(F.col("__broken")).over(ranged.rowsBetween(Window.unboundedPreceding, 0)))
+    part = part.withColumn("__end", F.sum("__tail").over(Window.partitionBy("catalog", "__since").orderBy(RANGE).rowsBetween(Window.unboundedPreceding, 0)))
+    part = part.withColumn("__begin", F.coalesce(F.lag("__end").over(ranged), F.lit(0)))
+    completing = F.filter("__head", lambda x: x["run"] + F.col("__begin") == streak)
+    part = part.withColumn("__first", F.least(F.get(completing, F.lit(0))["page"], "__later"))
+    stop = part.select("catalog", RANGE, F.min("__first").over(Window.partitionBy("catalog")).alias("__stop"))
+    return with_summary(dealt, stop, "catalog").where(F.col("__stop").isNull() | (page <= F.col("__stop"))).select("catalog", "page", "result")
 
 
 def scan_stats(pages: DataFrame) -> DataFrame:

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from .ranges import RANGE, by_ranges, with_summary
 
 
 @dataclass(frozen=True)
@@ -257,26 +257,34 @@ def churn_daily(new: Column, changed: Column, found: Column, elapsed_days: Colum
     return F.when(found > 0, F.least((new + changed) / F.nullif(found, F.lit(0)) / F.greatest(elapsed_days, F.lit(0.5)), F.lit(1.0)))
 
 
-def scan_outcomes(history: DataFrame) -> DataFrame:
-    """Each scan with the days since the one before, its churn a day (not for baselines or first scans), and the count's move."""
-    w = Window.partitionBy("segment_id").orderBy("scanned_at", "id")
-    days = (F.unix_micros(F.col("scanned_at").cast("timestamp")) - F.unix_micros(F.lag("scanned_at").over(w).cast("timestamp"))) / F.lit(86_400_000_000.0)
-    rows = history.withColumns({"elapsed_days": days, "delta_total_count": F.col("total_count") - F.lag("total_count").over(w)})
+def scan_outcomes(history: DataFrame, ranges: int | None = None) -> DataFrame:
+    """Each scan with the days since the one before, its churn a day (not for baselines or first scans), and the count's move.
+
+    The scan before is looked for in the scan's own range, else it is the last one of the ranges before.
+    """
+    dealt = by_ranges(history, "segment_id", ["scanned_at", "id"], "scans", ranges)
+    seen = F.struct(F.col("scanned_at").alias("at"), F.col("total_count").alias("total"))
+    near = F.lag(seen).over(Window.partitionBy("segment_id", RANGE).orderBy("scanned_at", "id"))
+    last = dealt.groupBy("segment_id", RANGE).agg(F.max_by(seen, F.struct("scanned_at", "id")).alias("__last"))
+    far = last.select("segment_id", RANGE, F.lag("__last").over(Window.partitionBy("segment_id").orderBy(RANGE)).alias("__far"))
+    rows = with_summary(dealt.withColumn("__near", near), far, "segment_id")
+    before = F.when(F.col("__near").isNotNull(), F.col("__near")).otherwise(F.col("__far"))
+    days = (F.unix_micros(F.col("scanned_at").cast("timestamp")) - F.unix_micros(before["at"].cast("timestamp"))) / F.lit(86_400_000_000.0)
+    rows = rows.withColumns({"elapsed_days": days, "delta_total_count": F.col("total_count") - before["total"]})
     counts = F.col("elapsed_days").isNotNull() & (F.col("priority") != "full_scan_baseline")
-    return rows.withColumn("churn", F.when(counts, churn_daily(F.col("new_count"), F.col("changed_count"), F.col("listings_found"), F.col("elapsed_days"))))
+    churn = F.when(counts, churn_daily(F.col("new_count"), F.col("changed_count"), F.col("listings_found"), F.col("elapsed_days")))
+    return rows.select(*history.columns, "elapsed_days", "delta_total_count", churn.alias("churn"))
 
 
-def churn_ewma(outcomes: DataFrame, prior: DataFrame | None = None, alpha: float = 0.5, chunks: int | None = None) -> DataFrame:
+def churn_ewma(outcomes: DataFrame, prior: DataFrame | None = None, alpha: float = 0.5, ranges: int | None = None) -> DataFrame:
     """``segment_id, churn_ewma, churn_samples``: the exponentially weighted churn in scan order, from an inherited prior where there is one.
 
     A run of ``n`` scans takes a value ``v`` to ``(1 - alpha)^n v + s``, so a segment's scans are cut
-    into chunks of time, each becomes its ``n`` and ``s``, and the fold goes over the chunks. ``chunks``:
-    their number; by default the root of the number of scans.
+    into ranges of even size, each becomes its ``n`` and ``s``, and the fold goes over the ranges, of
+    which there are ``ranges`` in all; by default as many as shuffle partitions.
     """
-    scans = outcomes.where(F.col("churn").isNotNull()).select("segment_id", "scanned_at", "id", "churn", F.unix_micros(F.col("scanned_at").cast("timestamp")).alias("__at"))
-    span = scans.agg(F.min("__at").alias("a"), F.max("__at").alias("b"), F.count(F.lit(1)).alias("n")).first()
-    width = max(1, -(-((span["b"] or 0) - (span["a"] or 0) + 1) // (chunks or max(1, math.isqrt(span["n"])))))
-    scans = scans.withColumn("__c", F.coalesce(F.floor((F.col("__at") - F.lit(span["a"] or 0)) / F.lit(width)), F.lit(-1)))
+    scans = by_ranges(outcomes.where(F.col("churn").isNotNull()).select("segment_id", "scanned_at", "id", "churn"), "segment_id", ["scanned_at", "id"], "churns", ranges)
+    scans = scans.withColumnRenamed(RANGE, "__c")
     inside = Window.partitionBy("segment_id", "__c")
     placed = scans.withColumns({"__k": F.row_number().over(inside.orderBy("scanned_at", "id")), "__n": F.count(F.lit(1)).over(inside)})
     # a segment's first value counts whole where there is no prior, so it is kept apart

@@ -14,6 +14,7 @@ from ..session import shared_root
 from ..sources.versions import VersionedTable
 from ..streaming import jobs as J
 from .changes import MERGED, _now
+from .changes import ORACLE as CHANGES
 from .market import _HISTORY_SQL
 from .scanning import _OUT
 from .views import ctes, view
@@ -90,6 +91,28 @@ def stream_histories(spark: SparkSession, sf_dir: str) -> DataFrame:
 _add("stream_price_states", stream_histories, ctes("snapshots", more={"history": _HISTORY_SQL}) + "SELECT * FROM history")
 
 
+def _in_files(spark: SparkSession, rows: DataFrame, by: str, n: int = 3) -> DataFrame:
+    """The rows as a stream that gets them in ``n`` batches, dealt by a hash of a column."""
+    path = f"{shared_root(spark)}/parcela/dealt-{uuid.uuid4().hex}"
+    for k in range(n):
+        rows.where(F.pmod(F.xxhash64(by), F.lit(n)) == k).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def stream_recycled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages before a recycled one, where pages come in any order."""
+    return J.kept_pages(J.drain(J.page_deltas(_in_files(spark, view(spark, sf_dir, "pages_seen"), "page")), "update"))
+
+
+def stream_empty_streak(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages up to a run of empty ones, where pages come in any order."""
+    return J.pages_read(J.drain(J.page_results(_in_files(spark, view(spark, sf_dir, "catalog_pages"), "page")), "update"))
+
+
+_add("stream_recycled_pages", stream_recycled, CHANGES["recycled_pages"])
+_add("stream_empty_streak", stream_empty_streak, CHANGES["empty_streak_cut"])
+
+
 def stream_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The current table after a stream of postings has been merged into it."""
     root = f"{shared_root(spark)}/parcela/lifecycle-{uuid.uuid4().hex}"

@@ -95,6 +95,65 @@ def distinct_postings(stream: DataFrame, time: str, keys: list[str], delay: str
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
 
 
+def page_deltas(seen: DataFrame, time: str | None = None, hours: int = 24, parts: int = 16) -> DataFrame:
+    """Changes to ``operators.lifecycle.page_counts`` after each batch of ``segment, page, item``: ``segment, page, new_items, n_items`` to add up.
+
+    State is kept a segment and part of its items, so a segment that holds most rows is ``parts`` keys. It
+    knows the pages of each item: a repeated row changes nothing, and an item that turns up on an earlier
+    page than before is taken off the later one, so the sums are right in any order of arrival. With
+    ``time``, a part that gets no rows for ``hours`` is dropped, and the segment's next rows are a new
+    scan. Rows without a page or an item take no part.
+    """
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        known = pd.DataFrame(dict(zip(("item", "page"), state.get))) if state.exists else pd.DataFrame({"item": pd.Series(dtype=object), "page": pd.Series(dtype="int64")})
+        rows = pd.concat(list(frames))
+        both = pd.concat([known, rows[["item", "page"]]]).drop_duplicates(ignore_index=True)
+        state.update((both["item"].tolist(), both["page"].tolist()))
+        if time is not None:
+            last = int(rows["__at"].max().timestamp() * 1000)
+            state.setTimeoutTimestamp(max(last + hours * 3_600_000, state.getCurrentWatermarkMs() + 1))
+        after = both.groupby("item")["page"].min()
+        before = known.groupby("item")["page"].min().reindex(after.index)
+        moved = before != after  # new items have no page before
+        delta = pd.DataFrame({"n_items": both["page"][len(known) :].value_counts(), "up": after[moved].value_counts(), "down": before[moved].dropna().astype("int64").value_counts()}).fillna(0).astype("int64")
+        if len(delta):
+            yield pd.DataFrame({"segment": key[0], "page": delta.index, "new_items": delta["up"] - delta["down"], "n_items": delta["n_items"]})
+
+    item = F.col("item").cast("string")
+    rows = seen.where(F.col("page").isNotNull() & F.col("item").isNotNull())
+    rows = rows.select("segment", F.pmod(F.xxhash64(item), F.lit(parts)).alias("__part"), item.alias("item"), F.col("page").cast("long").alias("page"), *([F.col(time).cast("timestamp").alias("__at")] if time else []))
+    if time:
+        rows = rows.withWatermark("__at", "1 minute")
+    ship_package(seen.sparkSession)
+    kind = seen.schema["segment"].dataType.simpleString()
+    limit = GroupStateTimeout.EventTimeTimeout if time else GroupStateTimeout.NoTimeout
+    return rows.groupBy("segment", "__part").applyInPandasWithState(step, f"segment {kind}, page long, new_items long, n_items long", "items array<string>, pages array<long>", "update", limit)
+
+
+def kept_pages(deltas: DataFrame) -> DataFrame:
+    """The pages before a segment's first recycled one, of all changes written so far: ``lifecycle.kept_pages`` of the same rows."""
+    return L.before_recycled(deltas.groupBy("segment", "page").agg(F.sum("new_items").alias("new_items"), F.sum("n_items").alias("n_items")))
+
+
+def page_results(stream: DataFrame, width: int = 1000) -> DataFrame:
+    """The distinct results by page of each catalog and range of ``width`` page numbers, after each batch: ``catalog, range, results``.
+
+    A range is one small record of state, however long its catalog.
+    """
+    at = F.floor(F.col("page") / F.lit(width)).alias("range")
+    return stream.groupBy("catalog", at).agg(F.array_sort(F.collect_set(F.struct("page", "result"))).alias("results"))
+
+
+def pages_read(ranges: DataFrame, streak: int = 3) -> DataFrame:
+    """``lifecycle.before_empty_streak`` of the last record of each range; ``ranges`` is what ``page_results`` wrote, with ``batch_id``."""
+    last = ranges.groupBy("catalog", "range").agg(F.max_by("results", "batch_id").alias("results"))
+    return L.before_empty_streak(last.select("catalog", F.inline("results")), streak)
+
+
 def daily_trends(stream: DataFrame, time: str, value: str, delay: str = "1 day") -> DataFrame:
     """Rows and mean value a day."""
     day = F.window(time, "1 day")
