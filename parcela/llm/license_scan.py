@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import json
 import math
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,19 +29,26 @@ from .common import let
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 # What public licenses have their users say, lower-cased words only.
 STATEMENTS = {
-    "agpl-3.0": "this program is licensed under the gnu affero general public license version 3",
-    "apache-2.0": "licensed under the apache license version 2 0",
-    "cc-by-4.0": "this work is licensed under a creative commons attribution 4 0 international license",
-    "cc-by-nc-4.0": "licensed under cc by nc 4 0",
-    "gpl-3.0": "this work is licensed under the gnu general public license version 3",
-    "mit": "released under the mit license",
-    "mpl-2.0": "this source code form is subject to the terms of the mozilla public license v 2 0",
+    "agpl-3.0": ("this program is licensed under the gnu affero general public license version 3",),
+    "apache-2.0": ("licensed under the apache license version 2 0",),
+    "cc-by-4.0": ("this work is licensed under a creative commons attribution 4 0 international license",),
+    "cc-by-nc-4.0": ("creative commons attribution noncommercial 4 0 international", "licensed under cc by nc 4 0"),
+    "cc-by-nc-sa-4.0": ("creative commons attribution noncommercial sharealike 4 0 international", "licensed under cc by nc sa 4 0"),
+    "cc-by-nd-4.0": ("creative commons attribution noderivatives 4 0 international", "licensed under cc by nd 4 0"),
+    "cc-by-sa-4.0": ("creative commons attribution sharealike 4 0 international", "licensed under cc by sa 4 0"),
+    "cc0-1.0": ("has waived all copyright and related or neighboring rights to this work", "cc0 1 0 universal"),
+    "gpl-3.0": ("this work is licensed under the gnu general public license version 3",),
+    "mit": ("released under the mit license", "licensed under the mit license"),
+    "mpl-2.0": ("this source code form is subject to the terms of the mozilla public license v 2 0",),
 }
+# Licenses whose tag in a source file is looked for.
+TAGGED = ("agpl-3.0", "apache-2.0", "bsd-2-clause", "bsd-3-clause", "cc-by-4.0", "cc-by-sa-4.0", "cc0-1.0", "gpl-3.0", "isc", "lgpl-3.0", "mit", "mpl-2.0", "unlicense", "zlib")
 # The notices of public licenses, lower-cased words only.
 NOTICES = {
     "agpl-3.0": "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
     "apache-2.0": "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
     "bsd": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
+    "bsd-3-clause": "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
     "gpl-3.0": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
     "isc": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
     "lgpl-3.0": "this program is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
@@ -56,14 +64,50 @@ NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def spdx_tags(labels: tuple[str, ...] = TAGGED) -> dict[str, str]:
+    """The words of ``SPDX-License-Identifier: <label>``."""
+    return {x: "spdx license identifier " + re.sub("[-.]", " ", x) for x in labels}
+
+
+def _statements() -> dict[str, tuple[str, ...]]:
+    tags = spdx_tags()
+    return {x: (*STATEMENTS.get(x, ()), *([tags[x]] if x in tags else [])) for x in sorted({*STATEMENTS, *tags})}
+
+
 @dataclass(frozen=True)
 class LicenseConfig:
-    """``threshold``: the share of a notice's distinct words that a block needs; ``slack``: words between a notice's own, as a share of them."""
+    """``threshold``: the share of a notice's distinct words that a block needs; ``slack``: words between a notice's own, as a share of them.
+
+    A label has any number of statements and of notices. ``required`` and ``excluded``: words that a block of a label's notice must and must not have.
+    """
 
     threshold: float = 0.85
     slack: float = 0.25
-    statements: dict[str, str] = field(default_factory=lambda: dict(STATEMENTS))
-    notices: dict[str, str] = field(default_factory=lambda: dict(NOTICES))
+    statements: dict[str, tuple[str, ...]] = field(default_factory=_statements)
+    notices: dict[str, tuple[str, ...]] = field(default_factory=lambda: {x: (t,) for x, t in NOTICES.items()})
+    required: dict[str, list[str]] = field(default_factory=lambda: dict(REQUIRED))
+    excluded: dict[str, list[str]] = field(default_factory=lambda: dict(EXCLUDED))
+
+
+def read_templates(table: DataFrame, threshold: float = 0.85, slack: float = 0.25, most_words: int = 500_000) -> LicenseConfig:
+    """A configuration from a table of ``label, kind ('statement' or 'notice'), text``, in place of the given one.
+
+    Texts are whole license texts as published; words are cut as in documents. An optional column
+    ``required`` and one ``excluded`` (arrays of words) tell relatives apart. Rows with a null label
+    or without a word are left out. Templates are broadcast, so a table of more than ``most_words``
+    words is an error.
+    """
+    extra = [c for c in ("required", "excluded") if c in table.columns]
+    rows = table.where(F.col("label").isNotNull()).select("label", "kind", _words(F.col("text")).alias("words"), *extra).where(F.size("words") > 0)
+    total = rows.agg(F.coalesce(F.sum(F.size("words")), F.lit(0)).alias("n")).first()["n"]
+    if total > most_words:
+        raise ValueError(f"templates have {total} words, more than {most_words}")
+    made: dict[str, dict] = {k: {} for k in ("statement", "notice", "required", "excluded")}
+    for r in sorted(rows.collect(), key=lambda r: (r["label"], r["words"])):
+        made[r["kind"]][r["label"]] = (*made[r["kind"]].get(r["label"], ()), " ".join(r["words"]))
+        for k in extra:
+            made[k][r["label"]] = sorted({*made[k].get(r["label"], ()), *(r[k] or ())})
+    return LicenseConfig(threshold, slack, made["statement"], made["notice"], made["required"], made["excluded"])
 
 
 @dataclass(frozen=True)
@@ -81,13 +125,13 @@ class Template:
 
 def templates(config: LicenseConfig) -> list[Template]:
     out = []
-    for label, text in sorted(config.statements.items()):
+    for label, text in sorted((x, t) for x, many in config.statements.items() for t in many):
         words = tuple(sorted(set(text.split())))
         out.append(Template(label, words, len(words), len(text.split()), 1))
-    for label, text in sorted(config.notices.items()):
+    for label, text in sorted((x, t) for x, many in config.notices.items() for t in many):
         words = tuple(sorted(set(text.split())))
         step = 1 << math.ceil(math.log2(len(text.split()) * (1 + config.slack)))
-        out.append(Template(label, words, math.ceil(round(config.threshold * len(words), 9)), 2 * step, step, tuple(REQUIRED.get(label, ())), tuple(EXCLUDED.get(label, ()))))
+        out.append(Template(label, words, math.ceil(round(config.threshold * len(words), 9)), 2 * step, step, tuple(config.required.get(label, ())), tuple(config.excluded.get(label, ()))))
     return out
 
 
@@ -167,7 +211,7 @@ def scan_licenses(docs: DataFrame, config: LicenseConfig = LicenseConfig(), id_c
         return F.when(F.arrays_overlap(words, own), F.filter(cut, lambda x: F.arrays_overlap(x["b"], own))).otherwise(empty)
 
     def blocks(words: Column) -> Column:
-        return F.concat(*[blocks_of(words, *x) for x in sorted({(t.block, t.step) for t in known})])
+        return F.concat(empty, *[blocks_of(words, *x) for x in sorted({(t.block, t.step) for t in known})])
 
     empty = F.array().cast("array<struct<c:int,b:array<string>>>")
     words = docs.select(F.col(id_col), _words(F.col(text_col)).alias("__words"), F.monotonically_increasing_id().alias("__row"))

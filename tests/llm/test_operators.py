@@ -464,6 +464,33 @@ def test_license_notices(spark):
     assert [sorted(set(got[i]) - base - {""}) for i in range(len(texts))] == [[x] if x else [] for x in want]
 
 
+def test_license_tags_deeds_and_tables(spark):
+    texts = [
+        "# SPDX-License-Identifier: Apache-2.0", "/* SPDX-License-Identifier: BSD-3-Clause */", "// SPDX-License-Identifier: MIT\nint main", "spdx license and apache 2 0", "SPDX-License-Identifier: CC-BY-4.0",
+        "A. Author has waived all copyright and related or neighboring rights to this work.", "CC0 1.0 Universal", "This is under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+        "Creative Commons Attribution-NonCommercial 4.0 International", "the creative attribution of commons, 4 of 0, international and noncommercial", None, "",
+    ]
+    want = [["apache-2.0"], ["bsd-3-clause"], ["mit"], [], ["cc-by-4.0"], ["cc0-1.0"], ["cc0-1.0"], ["cc-by-sa-4.0"], ["cc-by-nc-4.0"], [], [], []]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: sorted(set(r["labels"].split(",")) - {"", "cc-by"}) for r in license_scan.scan_licenses(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+    # whole texts from a table: long ones in the hundreds, each found in its document and nowhere else, with one word in 20 left out
+    rng = np.random.default_rng(8)
+    long = {f"own-{k}": " ".join(f"W{x}" for x in rng.integers(0, 400, 300)) for k in range(60)}
+    rows = [(x, "notice", t, None) for x, t in long.items()] + [("short", "statement", "Ask the Author, first!", None), ("short", "statement", "all is free", ["x"]), (None, "notice", "a b c", None), ("blank", "notice", "--", None)]
+    table = spark.createDataFrame(rows, "label string, kind string, text string, required array<string>")
+    config = license_scan.read_templates(table)
+    assert len(license_scan.templates(config)) == 62
+    held = [(k, " ".join(w for i, w in enumerate(("start " + t + " end").split()) if i % 20)) for k, t in enumerate(long.values())] + [(90, "please ask the author first"), (91, "All is free"), (92, "the author asked first")]
+    found = {r["doc_id"]: r["labels"] for r in license_scan.scan_licenses(spark.createDataFrame(held, "doc_id long, text string"), config).collect()}
+    assert found == {**{k: x for k, x in enumerate(long)}, 90: "short", 91: "short", 92: ""}
+    with pytest.raises(ValueError, match="words"):
+        license_scan.read_templates(table, most_words=1000)
+    none = license_scan.read_templates(table.where("false"))
+    assert [r["labels"] for r in license_scan.scan_licenses(docs.where("doc_id = 4"), none).collect()] == ["cc-by"]
+
+
 def test_odd_and_empty_tables(spark, odd, none):
     bench = spark.createDataFrame([(1, "one two three four five six")], "item_id long, text string")
     labels = spark.createDataFrame([(1, 1), (2, 0), (None, 1), (5, None)], "doc_id long, quality int")
