@@ -7,6 +7,7 @@ where they can. Stateful jobs keep one small record a key.
 from __future__ import annotations
 
 import uuid
+from collections import Counter
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -95,39 +96,53 @@ def distinct_postings(stream: DataFrame, time: str, keys: list[str], delay: str
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
 
 
-def page_deltas(seen: DataFrame, time: str | None = None, hours: int = 24, parts: int = 16) -> DataFrame:
+def page_deltas(seen: DataFrame, time: str | None = None, hours: int = 24, parts: int = 8) -> DataFrame:
     """Changes to ``operators.lifecycle.page_counts`` after each batch of ``segment, page, item``: ``segment, page, new_items, n_items`` to add up.
 
     State is kept a segment and part of its items, so a segment that holds most rows is ``parts`` keys. It
     knows the pages of each item: a repeated row changes nothing, and an item that turns up on an earlier
     page than before is taken off the later one, so the sums are right in any order of arrival. With
     ``time``, a part that gets no rows for ``hours`` is dropped, and the segment's next rows are a new
-    scan. Rows without a page or an item take no part.
+    scan. Rows without a page or an item take no part, with ``time`` those without one neither.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        known = pd.DataFrame(dict(zip(("item", "page"), state.get))) if state.exists else pd.DataFrame({"item": pd.Series(dtype=object), "page": pd.Series(dtype="int64")})
-        rows = pd.concat(list(frames))
-        both = pd.concat([known, rows[["item", "page"]]]).drop_duplicates(ignore_index=True)
-        state.update((both["item"].tolist(), both["page"].tolist()))
+        known = dict.fromkeys(zip(*state.get)) if state.exists else {}  # pairs, in order of arrival
+        first: dict[str, int] = {}
+        for name, page in known:
+            first[name] = min(page, first.get(name, page))
+        new, shown, last = Counter(), Counter(), None
+        for rows in frames:
+            if time is not None:
+                latest = rows["__at"].max()
+                last = latest if last is None else max(last, latest)
+            for pair in zip(rows["item"].tolist(), rows["page"].tolist()):
+                if pair in known:
+                    continue
+                known[pair] = None
+                name, page = pair
+                shown[page] += 1
+                before = first.get(name)
+                if before is None or page < before:
+                    new[page] += 1
+                    first[name] = page
+                    if before is not None:
+                        new[before] -= 1
+        state.update(([x for x, _ in known], [p for _, p in known]))
         if time is not None:
-            last = int(rows["__at"].max().timestamp() * 1000)
-            state.setTimeoutTimestamp(max(last + hours * 3_600_000, state.getCurrentWatermarkMs() + 1))
-        after = both.groupby("item")["page"].min()
-        before = known.groupby("item")["page"].min().reindex(after.index)
-        moved = before != after  # new items have no page before
-        delta = pd.DataFrame({"n_items": both["page"][len(known) :].value_counts(), "up": after[moved].value_counts(), "down": before[moved].dropna().astype("int64").value_counts()}).fillna(0).astype("int64")
-        if len(delta):
-            yield pd.DataFrame({"segment": key[0], "page": delta.index, "new_items": delta["up"] - delta["down"], "n_items": delta["n_items"]})
+            state.setTimeoutTimestamp(max(int(last.timestamp() * 1000) + hours * 3_600_000, state.getCurrentWatermarkMs() + 1))
+        if shown:
+            pages = sorted({*new, *shown})
+            yield pd.DataFrame({"segment": key[0], "page": pages, "new_items": [new[p] for p in pages], "n_items": [shown[p] for p in pages]})
 
     item = F.col("item").cast("string")
     rows = seen.where(F.col("page").isNotNull() & F.col("item").isNotNull())
     rows = rows.select("segment", F.pmod(F.xxhash64(item), F.lit(parts)).alias("__part"), item.alias("item"), F.col("page").cast("long").alias("page"), *([F.col(time).cast("timestamp").alias("__at")] if time else []))
     if time:
-        rows = rows.withWatermark("__at", "1 minute")
+        rows = rows.where(F.col("__at").isNotNull()).withWatermark("__at", "1 minute")
     ship_package(seen.sparkSession)
     kind = seen.schema["segment"].dataType.simpleString()
     limit = GroupStateTimeout.EventTimeTimeout if time else GroupStateTimeout.NoTimeout
