@@ -11,6 +11,7 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -210,31 +211,50 @@ def churn_ewma(outcomes: DataFrame, alpha: float = 0.5) -> DataFrame:
     return _keyed(outcomes, "segment_id", step, "segment_id long, churn_ewma double, churn_samples int", "value double, n int, last long")
 
 
-def price_history(snapshots: DataFrame) -> DataFrame:
+def price_history(snapshots: DataFrame, width: int = 1000) -> DataFrame:
     """First, last, least and largest dollar price and the number of changes of each listing after each batch.
 
-    Snapshots older than the last one seen are counted in ``n_late``: they need the batch rebuild.
+    Snapshots older than the last one seen are counted in ``n_late``: they need the batch rebuild. State
+    is kept a range of ``width`` listing ids, as columns, so that a batch's work goes by ranges and not by listings.
     """
+    kinds = {"first": "double", "last": "double", "low": "double", "high": "double", "changes": "int", "at": "long", "late": "int"}
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        first, last, low, high, changes, at_last, late = state.get if state.exists else (None, None, None, None, 0, -1, 0)
+        ids, *held = state.get if state.exists else ([] for _ in ("ids", *kinds))
+        known = pd.DataFrame(dict(zip(kinds, map(list, held))), index=pd.Index(list(ids), dtype="int64"))
         rows = pd.concat(list(frames))
+        rows["listing_id"] = rows["listing_id"].fillna(0).astype("int64")  # null ids are a range of their own
+        seen = rows["listing_id"].unique()
         rows = rows[(rows["price_currency"] == "USD") & rows["price"].notna()].copy()
         rows["at"] = rows["captured_at"].astype("datetime64[us]").astype("int64")
-        for at, price in rows.sort_values(["at", "id", "price"])[["at", "price"]].itertuples(index=False):
-            if at < at_last:
-                late += 1
-                continue
-            changes += last is not None and price != last
-            first = price if first is None else first
-            low, high = (price, price) if low is None else (min(low, price), max(high, price))
-            last, at_last = price, int(at)
-        if first is not None:
-            state.update((first, last, low, high, changes, at_last, late))
-            yield pd.DataFrame({"listing_id": [key[0]], "initial_price": [first], "last_price": [last], "min_price": [low], "max_price": [high], "price_change_count": [changes], "n_late": [late]})
+        times = dict(zip(known.index.tolist(), known["at"].tolist()))
+        codes, which = pd.factorize(rows["listing_id"])
+        late = rows["at"] < np.array([times.get(i, -1) for i in which], "int64")[codes]
+        counted = rows.loc[late, "listing_id"].value_counts()
+        rows = rows[~late].sort_values(["listing_id", "at", "id", "price"])
+        before = rows.groupby("listing_id")["price"].shift().fillna(rows["listing_id"].map(known["last"]))
+        rows["change"] = before.notna() & (rows["price"] != before)
+        new = rows.groupby("listing_id").agg(first=("price", "first"), last=("price", "last"), low=("price", "min"), high=("price", "max"), changes=("change", "sum"))
+        every = known.index.union(new.index)
+        old, new = known.reindex(every), new.reindex(every)
+        both = {
+            "first": old["first"].fillna(new["first"]), "last": new["last"].fillna(old["last"]), "low": np.fmin(old["low"], new["low"]), "high": np.fmax(old["high"], new["high"]),
+            "changes": old["changes"].fillna(0) + new["changes"].fillna(0), "late": old["late"].fillna(0) + counted.reindex(every).fillna(0),
+        }
+        times |= rows.groupby("listing_id")["at"].last().to_dict()
+        out = pd.DataFrame(both, index=every)
+        if len(out):
+            out["at"] = [times[i] for i in every]
+            out = out.astype({"changes": "int64", "late": "int64"})
+            state.update((every.tolist(), *[out[k].tolist() for k in kinds]))
+            told = out[every.isin(seen)]
+            if len(told):
+                ids = told.index if not pd.isna(key[0]) else [None] * len(told)
+                yield pd.DataFrame({"listing_id": ids, "initial_price": told["first"].values, "last_price": told["last"].values, "min_price": told["low"].values, "max_price": told["high"].values, "price_change_count": told["changes"].values, "n_late": told["late"].values})
 
     out = "listing_id long, initial_price double, last_price double, min_price double, max_price double, price_change_count int, n_late int"
-    return _keyed(snapshots, "listing_id", step, out, "first double, last double, low double, high double, changes int, at long, late int")
+    dealt = snapshots.withColumn("__range", F.floor(F.col("listing_id") / F.lit(width)))
+    return _keyed(dealt, "__range", step, out, ", ".join(["ids array<long>", *[f"{k} array<{v}>" for k, v in kinds.items()]]))
 
 
 def stale_work(events: DataFrame, time: str = "at", hours: int = 6) -> DataFrame:

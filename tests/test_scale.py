@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import tracemalloc
+from datetime import datetime, timedelta
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from parcela.plans import ingest
 from parcela.sources import elements
+from parcela.streaming import jobs
 
 
 @pytest.fixture(scope="module")
@@ -43,3 +46,34 @@ def test_trees_without_scripts_differ_in_literals_only():
     whole, bare = elements._trees(pages), elements._bare_trees(pages)
     assert [len(x) for x in whole.field("literals")] == [1, 0] and [len(x) for x in bare.field("literals")] == [0, 0]
     assert whole.field("nodes").equals(bare.field("nodes")) and whole.field("texts").equals(bare.field("texts"))
+
+
+def test_streamed_prices_by_ranges_equal_a_fold(spark, tmp_path):
+    """Batches of snapshots in any order, with ids far apart and null, late ones and other currencies: a plain fold a listing says the same after each batch; a range is one record of state."""
+    rng = np.random.default_rng(5)
+    ids = [0, 1, 2, 999, 1000, 5_000_000_000, -3, None]
+    rows = [(i, ids[int(rng.integers(0, len(ids)))], datetime(1999, 1, 1) + timedelta(hours=int(rng.integers(0, 30))), float(rng.integers(1, 4)) if rng.random() < 0.9 else None, "USD" if rng.random() < 0.8 else "ARS") for i in range(240)]
+    schema = "id long, listing_id long, captured_at timestamp_ntz, price double, price_currency string"
+    dealt = [rows[0::3], rows[1::3], [r for r in rows[2::3] if r[1] in (1, 2)]]
+    for batch in dealt:
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    out = jobs.drain(jobs.price_history(stream), "update")
+    want, state = [], {}
+    for n, batch in enumerate(dealt):
+        for key in {r[1] for r in batch}:
+            first, last, low, high, changes, at_last, late = state.get(key, (None, None, None, None, 0, datetime(1970, 1, 1), 0))
+            for i, _, at, price, currency in sorted((r for r in batch if r[1] == key and r[4] == "USD" and r[3] is not None), key=lambda r: (r[2], r[0])):
+                if at < at_last:
+                    late += 1
+                    continue
+                changes += last is not None and price != last
+                first, low, high, last, at_last = price if first is None else first, price if low is None else min(low, price), price if high is None else max(high, price), price, at
+            if first is not None:
+                state[key] = (first, last, low, high, changes, at_last, late)
+                want.append((key, first, last, low, high, changes, late, n))
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str)
+    assert any(w[6] for w in want)
+    query = jobs.price_history(stream).writeStream.outputMode("update").option("checkpointLocation", f"{tmp_path}/checkpoint").trigger(availableNow=True).foreachBatch(lambda batch, n: batch.collect()).start()
+    query.awaitTermination()
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] == len({None if i is None else i // 1000 for i in ids})
