@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import facts as M
@@ -76,14 +76,26 @@ _add("stream_price_history", stream_prices, ctes("snapshots") + """SELECT listin
     FROM (SELECT *, CAST(price_amount AS DOUBLE) AS p, lag(CAST(price_amount AS DOUBLE)) OVER (PARTITION BY listing_id ORDER BY captured_at, id, price_amount) AS prev FROM snapshots WHERE price_currency = 'USD') GROUP BY 1""")
 
 
+def _deal(rows: DataFrame, part: Column, path: str, n: int = 3) -> DataFrame:
+    """The rows as a stream that gets them in about ``n`` batches, written part by part, each by all tasks that read it."""
+    spark = rows.sparkSession
+    for k in range(n):
+        rows.where(part == k).write.mode("append").parquet(path)
+    files = len(spark.read.schema(rows.schema).parquet(path).inputFiles())  # names only
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", -(-files // n)).parquet(path)
+
+
+def _buckets(rows: DataFrame, a_bucket: int = 500_000) -> int:
+    """So many buckets that one of them, which is one task of a merge, does not grow with the table; at least 8. The count is read from the files' footers."""
+    return max(8, -(-rows.count() // a_bucket))
+
+
 def stream_histories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Price histories after the snapshots came in three files, dealt by id, so that most listings get late ones."""
+    """Price histories after the snapshots came in three parts, dealt by id, so that most listings get late ones."""
     root = f"{shared_root(spark)}/parcela/histories-{uuid.uuid4().hex}"
     rows = view(spark, sf_dir, "snapshots")
-    for k in range(3):
-        rows.where(F.pmod("id", F.lit(3)) == k).coalesce(1).write.mode("append").parquet(f"{root}/in")
-    states = VersionedTable(spark, f"{root}/states", M.history_state(rows).schema, ["listing_id"], 8)
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    stream = _deal(rows, F.pmod("id", F.lit(3)), f"{root}/in")
+    states = VersionedTable(spark, f"{root}/states", M.history_state(rows).schema, ["listing_id"], _buckets(rows))
     J.merge_histories(stream, states, f"{root}/kept", f"{root}/checkpoint").awaitTermination()
     return M.history_of(states.read())
 
@@ -92,11 +104,8 @@ _add("stream_price_states", stream_histories, ctes("snapshots", more={"history":
 
 
 def _in_files(spark: SparkSession, rows: DataFrame, by: str, n: int = 3) -> DataFrame:
-    """The rows as a stream that gets them in ``n`` batches, dealt by a hash of a column."""
-    path = f"{shared_root(spark)}/parcela/dealt-{uuid.uuid4().hex}"
-    for k in range(n):
-        rows.where(F.pmod(F.xxhash64(by), F.lit(n)) == k).coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    """The rows as a stream that gets them in about ``n`` batches, dealt by a hash of a column."""
+    return _deal(rows, F.pmod(F.xxhash64(by), F.lit(n)), f"{shared_root(spark)}/parcela/dealt-{uuid.uuid4().hex}", n)
 
 
 def stream_recycled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,7 +126,7 @@ def stream_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The current table after a stream of postings has been merged into it."""
     root = f"{shared_root(spark)}/parcela/lifecycle-{uuid.uuid4().hex}"
     known = view(spark, sf_dir, "current_entities").withColumn("content_hash", F.lit(None).cast("string"))
-    current = VersionedTable(spark, f"{root}/current", known.schema, list(KEYS), 8)
+    current = VersionedTable(spark, f"{root}/current", known.schema, list(KEYS), _buckets(known, 100_000))
     current.merge(known, lambda _, rows: rows)
     view(spark, sf_dir, "incoming").write.parquet(f"{root}/incoming")
     incoming = spark.readStream.schema(view(spark, sf_dir, "incoming").schema).parquet(f"{root}/incoming")

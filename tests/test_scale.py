@@ -10,7 +10,9 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from parcela.plans import ingest
+from parcela.operators import ops
+from parcela.plans import ingest, registry, streams
+from parcela.plans.views import view
 from parcela.sources import elements
 from parcela.streaming import jobs
 
@@ -77,3 +79,24 @@ def test_streamed_prices_by_ranges_equal_a_fold(spark, tmp_path):
     query = jobs.price_history(stream).writeStream.outputMode("update").option("checkpointLocation", f"{tmp_path}/checkpoint").trigger(availableNow=True).foreachBatch(lambda batch, n: batch.collect()).start()
     query.awaitTermination()
     assert query.lastProgress["stateOperators"][0]["numRowsTotal"] == len({None if i is None else i // 1000 for i in ids})
+
+
+def test_batches_of_a_dealt_stream_are_written_by_all_tasks(spark):
+    """Eight tasks' rows come in three batches of several files; no file holds a whole part."""
+    rows = spark.range(0, 3000, 1, 8).withColumn("page", F.col("id") % 30)
+    stream = streams._in_files(spark, rows, "page")
+    out = jobs.drain(stream.withColumn("file", F.col("_metadata.file_path")), "append")
+    batches = out.groupBy("batch_id").agg(F.count_distinct("file").alias("files"), F.count(F.lit(1)).alias("n")).collect()
+    assert len(batches) == 3 and all(b["files"] == 8 for b in batches) and sum(b["n"] for b in batches) == 3000
+
+
+def test_a_bucket_does_not_grow_with_the_table(spark):
+    assert [streams._buckets(spark.range(n), 100) for n in (1, 800, 801, 5000)] == [8, 8, 9, 50]
+
+
+def test_a_listings_whole_history(spark, sf_dir):
+    """More snapshots than a page holds, none left out; a page is still what it was."""
+    rows = spark.range(150).selectExpr("id", "7L as listing_id", "timestamp_ntz'1999-01-01' + make_dt_interval(0, int(id div 2)) as captured_at")
+    assert [r["id"] for r in ops.snapshots_of(rows, 7, None).collect()] == list(range(149, -1, -1))
+    assert [r["id"] for r in ops.snapshots_of(rows, 7, 12, 4).collect()] == list(range(145, 133, -1))
+    assert registry.QUERIES["listing_snapshots"](spark, sf_dir).count() == view(spark, sf_dir, "snapshots").where("listing_id = 7").count()
