@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from parcela.operators import ops
 from parcela.plans import ingest, registry, streams
 from parcela.plans.views import view
-from parcela.sources import elements
+from parcela.sources import elements, pages
 from parcela.streaming import jobs
 
 
@@ -35,17 +35,17 @@ def test_one_file_of_listings_is_several_tasks(spark, large, rows):
 
 
 def test_trees_of_a_batch_hold_little_beside_their_columns():
-    pages = pa.array([f"<div class='a{i}'>" + "<p id=x>text</p>" * 50 + "</div>" for i in range(1500)])
+    html = pa.array([f"<div class='a{i}'>" + "<p id=x>text</p>" * 50 + "</div>" for i in range(1500)])
     tracemalloc.start()
-    made = elements._trees(pages)
+    made = elements._trees(html)
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert len(made) == 1500 and peak < 8_000_000
 
 
 def test_trees_without_scripts_differ_in_literals_only():
-    pages = pa.array(["<script>tier = '1'</script><p>a &amp; b</p>", None])
-    whole, bare = elements._trees(pages), elements._bare_trees(pages)
+    html = pa.array(["<script>tier = '1'</script><p>a &amp; b</p>", None])
+    whole, bare = elements._trees(html), elements._bare_trees(html)
     assert [len(x) for x in whole.field("literals")] == [1, 0] and [len(x) for x in bare.field("literals")] == [0, 0]
     assert whole.field("nodes").equals(bare.field("nodes")) and whole.field("texts").equals(bare.field("texts"))
 
@@ -100,3 +100,10 @@ def test_a_listings_whole_history(spark, sf_dir):
     assert [r["id"] for r in ops.snapshots_of(rows, 7, None).collect()] == list(range(149, -1, -1))
     assert [r["id"] for r in ops.snapshots_of(rows, 7, 12, 4).collect()] == list(range(145, 133, -1))
     assert registry.QUERIES["listing_snapshots"](spark, sf_dir).count() == view(spark, sf_dir, "snapshots").where("listing_id = 7").count()
+
+
+def test_numbers_beside_pictures(spark):
+    html = "<span><img src='/img/ico_banios.png'><b>2</b></span><span><img src='/img/ico_cocheras.png'> {} </span>"
+    rows = spark.createDataFrame([(html.format("--"),), (html.format("3"),), ("",)], "html string")
+    got = [tuple(r) for r in pages.icon_images(rows).select("image_bathrooms", "image_garages", "image_garage").collect()]
+    assert got == [(2, None, False), (2, 3, True), (None, None, False)]
