@@ -107,3 +107,27 @@ def test_numbers_beside_pictures(spark):
     rows = spark.createDataFrame([(html.format("--"),), (html.format("3"),), ("",)], "html string")
     got = [tuple(r) for r in pages.icon_images(rows).select("image_bathrooms", "image_garages", "image_garage").collect()]
     assert got == [(2, None, False), (2, 3, True), (None, None, False)]
+
+
+def test_trees_leave_a_batch_some_pages_at_a_time():
+    """What a task holds beside its pages does not follow the batch, in Python and in Arrow."""
+    html = pa.array([f"<div class='a{i}'>" + "<p id=x>text</p>" * 200 + "</div>" for i in range(3000)])
+    held, most, rows = pa.total_allocated_bytes(), 0, 0
+    for made in elements._pieces([html, html.slice(0, 0)], elements.NAMES):
+        rows += len(made)
+        most = max(most, pa.total_allocated_bytes() - held)
+    assert rows == 3000 and most < elements._trees(html).nbytes / 10
+
+
+def test_trees_with_less_are_parts_of_whole_ones():
+    html = "a<div class=x>b<script>tier = '1'; videos = []</script><p><a href=/u>c &amp; <b>d</b></a><style>e</style></p></div>f"
+    made = lambda *args: next(elements._pieces([pa.array([html])], *args)).to_pylist()[0]
+    whole, some, none = made(elements.NAMES), made(("videos",), frozenset(("script", "a")), False), made((), frozenset())
+    place = lambda n: (n["tag"], n["attrs"], n["start"], n["stop"])
+    assert [place(n) for n in some["nodes"]] == [place(n) for n in whole["nodes"] if n["tag"] in ("script", "a")] and [n["parent"] for n in some["nodes"]] == [None, None]
+    assert some["texts"] == [t for t in whole["texts"] if t["raw"] and "tier" in t["text"]] and some["literals"] == [v for v in whole["literals"] if v["name"] == "videos"]
+    assert none == {"nodes": [], "texts": [t for t in whole["texts"] if not t["raw"]], "literals": []}
+
+
+def _plan(frame) -> str:
+    return frame._jdf.queryExecution().optimizedPlan().toString()
