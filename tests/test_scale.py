@@ -131,3 +131,9 @@ def test_trees_with_less_are_parts_of_whole_ones():
 
 def _plan(frame) -> str:
     return frame._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_data_script_is_read_once_for_a_path(spark):
+    """Eight places of a listing, and two coordinates of two names at five places."""
+    rows = spark.createDataFrame([("", "u")], "html string, url string")
+    assert _plan(pages.next_data(rows)).count("get_json_object(") <= 8 + 20
