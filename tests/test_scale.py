@@ -137,3 +137,8 @@ def test_a_data_script_is_read_once_for_a_path(spark):
     """Eight places of a listing, and two coordinates of two names at five places."""
     rows = spark.createDataFrame([("", "u")], "html string, url string")
     assert _plan(pages.next_data(rows)).count("get_json_object(") <= 8 + 20
+
+
+def test_a_features_number_is_worked_out_once(spark):
+    rows = spark.createDataFrame([("", "u")], "html string, url string")
+    assert _plan(pages.features(rows)).count("split(") <= 4
