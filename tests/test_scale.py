@@ -142,3 +142,9 @@ def test_a_data_script_is_read_once_for_a_path(spark):
 def test_a_features_number_is_worked_out_once(spark):
     rows = spark.createDataFrame([("", "u")], "html string, url string")
     assert _plan(pages.features(rows)).count("split(") <= 4
+
+
+def test_a_phrase_and_a_publisher_are_found_once(spark):
+    rows = spark.createDataFrame([("", "u")], "html string, url string")
+    plan = _plan(pages.inline_variables(rows))
+    assert plan.count("= antiquity") == 1 and plan.count("= publisher") == 1
