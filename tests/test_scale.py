@@ -148,3 +148,8 @@ def test_a_phrase_and_a_publisher_are_found_once(spark):
     rows = spark.createDataFrame([("", "u")], "html string, url string")
     plan = _plan(pages.inline_variables(rows))
     assert plan.count("= antiquity") == 1 and plan.count("= publisher") == 1
+
+
+def test_icons_are_picked_once_from_a_page(spark):
+    rows = spark.createDataFrame([("", "u")], "html string, url string")
+    assert _plan(pages.icon_features(rows)).count(" = i)") == 1
