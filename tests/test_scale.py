@@ -153,3 +153,8 @@ def test_a_phrase_and_a_publisher_are_found_once(spark):
 def test_icons_are_picked_once_from_a_page(spark):
     rows = spark.createDataFrame([("", "u")], "html string, url string")
     assert _plan(pages.icon_features(rows)).count(" = i)") == 1
+
+
+def test_a_published_phrase_is_looked_for_once(spark):
+    rows = spark.createDataFrame([("", "u")], "html string, url string")
+    assert _plan(pages.text_fields(rows)).count("Publicado") == 1
