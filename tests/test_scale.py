@@ -158,3 +158,9 @@ def test_icons_are_picked_once_from_a_page(spark):
 def test_a_published_phrase_is_looked_for_once(spark):
     rows = spark.createDataFrame([("", "u")], "html string, url string")
     assert _plan(pages.text_fields(rows)).count("Publicado") == 1
+
+
+def test_nothing_is_searched_around_an_element_that_is_not_there(spark):
+    t, rows = elements.Tree(), elements.with_tree(spark.createDataFrame([("<p><b>x</b></p>",)], "html string"))
+    missing = t.first(elements.tagged("i"))
+    assert rows.select(t.around(missing, lambda n: F.raise_error(F.lit("searched")).cast("boolean")).isNull()).first()[0]
