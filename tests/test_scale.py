@@ -164,3 +164,24 @@ def test_nothing_is_searched_around_an_element_that_is_not_there(spark):
     t, rows = elements.Tree(), elements.with_tree(spark.createDataFrame([("<p><b>x</b></p>",)], "html string"))
     missing = t.first(elements.tagged("i"))
     assert rows.select(t.around(missing, lambda n: F.raise_error(F.lit("searched")).cast("boolean")).isNull()).first()[0]
+
+
+def test_a_picture_and_its_text_are_found_once(spark):
+    rows = spark.createDataFrame([("", "u")], "html string, url string")
+    plan = _plan(pages.icon_images(rows))
+    assert [plan.count(f"ico_{name}") for name in ("banio", "cocheras", "precio_us", "mt2cub", "dire")] == [1] * 5
+
+
+def test_a_text_is_evaluated_once_where_it_may_be_empty(spark):
+    rows = spark.createDataFrame([("",), (" ",), ("a",), (None,)], "html string").select(elements.some(F.upper("html")).alias("x"))
+    assert _plan(rows).count("upper(") == 1 and [r[0] for r in rows.collect()] == [None, " ", "A", None]
+
+
+def test_texts_are_trimmed_once_as_a_whole(spark):
+    """Blanks of any kind at and between the parts, parts of blanks only, scripts and missing elements."""
+    t, html = elements.Tree(), " x <p> \n<b>\ta </b> <i> </i>b  c<script>d</script> </p> y\r\n<p> </p>"
+    rows = elements.with_tree(spark.createDataFrame([(html,), ("",)], "html string"))
+    paragraphs = t.all(elements.tagged("p"))
+    got = rows.select(t.body().alias("body"), t.text(F.get(paragraphs, F.lit(0))).alias("first"), t.text(F.get(paragraphs, F.lit(1))).alias("second"), t.strings(F.get(paragraphs, F.lit(0))).alias("parts"))
+    assert [tuple(r) for r in got.collect()] == [("x a b c y", "a b c", "", ["a", "b  c"]), ("", None, None, None)]
+    assert _plan(got.select("body", "first")).count("regexp_replace(") == 2
