@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tracemalloc
 from datetime import datetime, timedelta
 
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from parcela.operators import ops
 from parcela.plans import ingest, registry, streams
 from parcela.plans.views import view
+from parcela.session import spread
 from parcela.sources import elements, pages
 from parcela.streaming import jobs
 
@@ -185,3 +187,8 @@ def test_texts_are_trimmed_once_as_a_whole(spark):
     got = rows.select(t.body().alias("body"), t.text(F.get(paragraphs, F.lit(0))).alias("first"), t.text(F.get(paragraphs, F.lit(1))).alias("second"), t.strings(F.get(paragraphs, F.lit(0))).alias("parts"))
     assert [tuple(r) for r in got.collect()] == [("x a b c y", "a b c", "", ["a", "b  c"]), ("", None, None, None)]
     assert _plan(got.select("body", "first")).count("regexp_replace(") == 2
+
+
+def test_tasks_of_a_large_table_take_more_rows(spark):
+    made = lambda n: int(re.search(r"RepartitionByExpression \[id#\d+L\], (\d+)", _plan(spread(spark.range(n), "id")))[1])
+    assert [made(n) for n in (2001, 400_000, 1_600_000, 1_600_001, 7_200_000)] == [2, 200, 200, 201, 900]
