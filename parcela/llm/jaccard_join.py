@@ -112,11 +112,9 @@ def _batch(schema: pa.Schema, rows: int, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) if f.name in columns else pa.nulls(rows, f.type) for f in schema], schema=schema)
 
 
-def _distinct(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:
-    """The distinct tokens of a chunk, sorted, with their number of documents and the document's place, or SHARED where several have it;
+def _distinct(tokens: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """The distinct ones of a chunk's tokens, sorted, with their number of documents and the document's place, or SHARED where several have it;
     and the tokens and places of those. A token costs its range one entry a chunk, however many documents hold it."""
-    tokens = np.concatenate(sets)
-    places = np.repeat(np.arange(len(sets), dtype=np.uint16), [len(s) for s in sets])
     order = np.argsort(tokens, kind="stable")
     tokens, places = tokens[order], places[order]
     first = np.flatnonzero(np.concatenate([np.ones(min(1, len(tokens)), dtype=bool), tokens[1:] != tokens[:-1]]))
@@ -125,6 +123,16 @@ def _distinct(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return tokens[first], count, np.where(count > 1, SHARED, places[first]).astype(np.uint16), (tokens[many], places[many])
 
 
+def _shares(tokens: np.ndarray, places: np.ndarray, n_ranges: int) -> Iterator[tuple[range, np.ndarray, np.ndarray]]:
+    """A chunk's tokens and places by some consecutive ranges at a time, about an eighth of them, so that a task never sorts and packs a whole chunk at once."""
+    step = -(-n_ranges // 8)
+    for r in range(0, n_ranges, step):
+        end = min(r + step, n_ranges)
+        low, high = (np.uint64(-(-(x << 32) // n_ranges)) << np.uint64(TOKEN_BITS - 32) for x in (r, end))  # the first token of a range
+        own = (tokens >= low) & (tokens < high)
+        yield range(r, end), tokens[own], places[own]
+
+
 def _chunks(docs: DataFrame, config: JaccardConfig, n_ranges: int, id_col: str, text_col: str, key: Column) -> DataFrame:
     """Rows of three kinds: a document (chunk, place, id, key, n, digest), a chunk's tokens of one range with places and the uses of those that several of its documents have, or the places of the latter.
 
@@ -144,24 +152,31 @@ def _chunks(docs: DataFrame, config: JaccardConfig, n_ranges: int, id_col: str,
 
         def close() -> Iterator[pa.RecordBatch]:
             nonlocal seq, held, passed
+            place.clear()
+            word_hash.clear()
             if sets:
-                tokens, count, places, shared = _distinct(sets)
-                where = (tokens >> np.uint64(TOKEN_BITS - 32)).astype(np.int64) * n_ranges >> 32  # tokens are sorted, so these are
-                cuts = np.searchsorted(where, np.arange(n_ranges + 1))
-                full = np.flatnonzero(np.diff(cuts))
-                cut = lambda write: pa.array([write(slice(cuts[r], cuts[r + 1])) for r in full], pa.binary())
                 chunk = part << 32 | seq
-                yield _batch(
-                    arrow, len(full), range=pa.array(full.astype(np.int32)), chunk=pa.array(np.full(len(full), chunk, dtype=np.int64)), tokens=cut(lambda r: pack_sorted(tokens[r])),
-                    places=cut(lambda r: pack(places[r])), uses=cut(lambda r: pack(count[r][count[r] > 1])),
-                )
+                all_places = np.repeat(np.arange(len(sets), dtype=np.uint16), [len(s) for s in sets])
+                all_tokens = np.concatenate(sets)
+                sets.clear()
+                several: list[tuple[np.ndarray, np.ndarray]] = []
+                for ranges, tokens, places in _shares(all_tokens, all_places, n_ranges):
+                    tokens, count, places, shared = _distinct(tokens, places)
+                    several.append(shared)
+                    where = (tokens >> np.uint64(TOKEN_BITS - 32)).astype(np.int64) * n_ranges >> 32  # tokens are sorted, so these are
+                    cuts = np.searchsorted(where, np.arange(ranges.start, ranges.stop + 1))
+                    full = np.flatnonzero(np.diff(cuts))
+                    cut = lambda write: pa.array([write(slice(cuts[r], cuts[r + 1])) for r in full], pa.binary())  # noqa: B023, E731
+                    yield _batch(
+                        arrow, len(full), range=pa.array((ranges.start + full).astype(np.int32)), chunk=pa.array(np.full(len(full), chunk, dtype=np.int64)), tokens=cut(lambda r: pack_sorted(tokens[r])),  # noqa: B023
+                        places=cut(lambda r: pack(places[r])), uses=cut(lambda r: pack(count[r][count[r] > 1])),  # noqa: B023
+                    )
+                del all_tokens, all_places
+                shared = tuple(map(np.concatenate, zip(*several, strict=True)))
                 passed += 1
                 yield _batch(arrow, 1, range=pa.array([-1 - passed % n_ranges], pa.int32()), chunk=pa.array([chunk], pa.int64()), tokens=pa.array([pack_sorted(shared[0])], pa.binary()), places=pa.array([pack(shared[1])], pa.binary()))
             seq += 1
             held = 0
-            sets.clear()
-            place.clear()
-            word_hash.clear()
 
         for batch in batches:
             types = {"range": pa.int32(), "chunk": pa.int64(), "place": pa.int32(), "id": batch.column(0).type, "key": pa.binary(), "n": pa.int64(), "digest": pa.binary(), "tokens": pa.binary(), "places": pa.binary(), "uses": pa.binary()}

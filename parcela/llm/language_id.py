@@ -208,7 +208,8 @@ def train(docs: DataFrame, config: LanguageConfig = LanguageConfig(), id_col: st
     if not languages:
         return LanguageModel([], np.zeros((len(vocab.pieces), 0)), config)
     # twice the share that fills the sample is ranked, so that a large language sends few rows to its task
-    shares = docs.sparkSession.createDataFrame([(k, min(1.0, 2.0 * config.docs_per_language / n)) for k, n in sizes.items()], "__lang string, __share double")
+    # an Arrow table, as a list of rows would start Python workers of another kind, which stay beside those of the passes
+    shares = docs.sparkSession.createDataFrame(pa.table({"__lang": pa.array(list(sizes), pa.string()), "__share": pa.array([min(1.0, 2.0 * config.docs_per_language / n) for n in sizes.values()], pa.float64())}))
     by_hash = Window.partitionBy("__lang").orderBy(hash_place("__id"), "__id")
     ids = usable.select(F.col("id").alias("__id"), F.col("lang").alias("__lang")).join(F.broadcast(shares), "__lang").where(hash_place("__id") <= F.col("__share"))
     chosen = ids.withColumn("__n", F.row_number().over(by_hash)).where(F.col("__n") <= config.docs_per_language).select("__id").distinct()

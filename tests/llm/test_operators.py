@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from oracle_check import differences
+from pyspark import SparkContext
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -588,3 +592,58 @@ def test_packed_numbers_round_trip():
     for n in (0, 1, 2, 1000):
         v = np.sort(rng.integers(0, 2**56, n, dtype=np.uint64))
         assert (jaccard_join.unpack_sorted(jaccard_join.pack_sorted(v)) == v).all() and (jaccard_join.unpack(jaccard_join.pack(v)) == v).all()
+
+
+def test_chunk_is_closed_in_small_parts(spark, monkeypatch):
+    """A full chunk of two million tokens leaves in batches of about an eighth, with little more memory than the tokens take, and whole."""
+    runs, none = [], spark.createDataFrame([], "doc_id long, text string")
+    monkeypatch.setattr(type(none), "mapInArrow", lambda self, run, schema: runs.append(run) or self)
+    monkeypatch.setattr(jaccard_join, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    jaccard_join._chunks(none, jaccard_join.JaccardConfig(), 64, "doc_id", "text", F.lit(None).cast("binary"))
+    rng = np.random.default_rng(3)
+    texts = [" ".join(map(str, rng.integers(0, 5000, 100_000))) for _ in range(19)]
+    texts += [texts[0], texts[0] + " end"]
+    batch = pa.record_batch([pa.array(range(len(texts)), pa.int64()), pa.nulls(len(texts), pa.binary()), pa.array(texts, pa.string())], names=["id", "key", "text"])
+    tokens, shared, largest = [], 0, 0
+    tracemalloc.start()
+    try:
+        for out in runs[0](iter([batch])):
+            largest = max(largest, out.nbytes)
+            for r, t in zip(out.column("range").to_pylist(), out.column("tokens").to_pylist(), strict=True):
+                if t and r >= 0:
+                    found = jaccard_join.unpack_sorted(t)
+                    assert ((found >> np.uint64(24)).astype(np.int64) * 64 >> 32 == r).all()
+                    tokens.append(found.size)
+                elif t:
+                    shared += jaccard_join.unpack_sorted(t).size
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    sets = [jaccard_join.shingles(t, 4, jaccard_join._WordHash()) for t in texts]
+    assert sum(tokens) == np.unique(np.concatenate(sets)).size and shared >= 2 * sets[0].size
+    assert largest < 6e6 and peak < 9e7, (largest, peak)
+
+
+def test_pipeline_hands_small_batches_to_python(spark, sf_dir):
+    """Rows of 1 MB: a task of the stages that run Python is handed a few at a time, not all."""
+    rows = spark.range(12).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), 1 << 20).alias("text")).coalesce(1)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    try:
+        corpus_pipeline.pack(spark, rows, sf_dir)
+        seen = rows.mapInArrow(lambda batches: (pa.record_batch([pa.array([b.num_rows], pa.int64())], names=["n"]) for b in batches), "n long").collect()
+    finally:
+        spark.conf.set(key, before)
+    assert sum(r["n"] for r in seen) == 12 and max(r["n"] for r in seen) <= 5
+
+
+def test_language_training_makes_no_rdd(docs, monkeypatch):
+    """Rows that are handed over as an RDD start Python workers of a second kind in every executor."""
+    expected = language_id.train(docs)
+
+    def refuse(*args, **kwargs):
+        raise AssertionError("an RDD of rows")
+
+    monkeypatch.setattr(SparkContext, "parallelize", refuse)
+    found = language_id.train(docs)
+    assert found.languages == expected.languages and np.allclose(found.probability, expected.probability)
