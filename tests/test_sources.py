@@ -118,6 +118,42 @@ def test_pictures_icons_and_features(spark):
     assert sorted(got) == [("aire_acondicionado", "true"), ("alto", "12.3"), ("fondo", "1.25"), ("frente", "85"), ("nota", "b"), ("pisos", "12")]
 
 
+def _general(spark, *scripts: str) -> list[list[tuple[str, str]]]:
+    rows = spark.createDataFrame([(i, "u", f"<script>{x}</script>") for i, x in enumerate(scripts)], "id int, url string, html string")
+    got = pages.features(rows).collect()
+    return [sorted((r["key"], r["value"]) for r in got if r["id"] == i) for i in range(len(scripts))]
+
+
+def test_a_general_features_last_value_counts(spark):
+    """One row a key, as the portal's features are one dict; a feature that is left out replaces none."""
+    note, pool = {"label": "Nota", "value": "a};b", "measure": "m"}, {"label": "Pileta", "value": None}
+    made = [
+        {"A": {"1": note}, "B": {"2": pool}}, {"A": {"1": note}, "B": {"2": {"label": "nota!", "value": "z"}}}, {"A": {"1": note, "2": {"label": "Nota", "value": "0"}, "3": {"label": "Nota", "value": "9", "icon": "bano"}}},
+    ]
+    got = _general(spark, *[f"const generalFeatures = {json.dumps(x)};" for x in made])
+    assert got == [[("nota", "a};b m"), ("pileta", "true")], [("nota", "z")], [("nota", "a};b m")]]
+
+
+def test_general_features_beside_what_is_no_object(spark):
+    """Only the section or feature that is no object is passed over, not the page's others."""
+    a, b = {"label": "Nota", "value": "x", "measure": "m"}, {"label": "Pisos", "value": 2}
+    made = [{"A": odd, "B": {"1": a, "2": b}} for odd in ("x", [a], 5, None)] + [{"A": {"1": a, "0": odd}, "B": {"2": b}} for odd in ("x", [a], 5, None)]
+    got = _general(spark, *[f"generalFeatures={json.dumps(x)}; var x = {{}};" for x in made], "generalFeatures = {", "generalFeatures = {'A': oops};")
+    assert got == [[("nota", "x m"), ("pisos", "2")]] * len(made) + [[], []]
+
+
+def test_general_features_are_the_first_object_assigned(spark):
+    """As in the portal: not a list, a property of that name, or null; a longer name counts."""
+    one, other = ('{"A": {"1": {"label": "%s", "value": "1"}}}' % x for x in ("Uno", "Dos"))
+    scripts = [
+        f"generalFeatures = []; generalFeatures = {one}; generalFeatures = {other};", f'x = {{"generalFeatures": {{}}}}; const generalFeatures = {one};', f"x = {{generalFeatures: {other}}}; generalFeatures\n=\n{one}",
+        f"var generalFeatures = null; generalFeatures = {one};", f"var my_generalFeatures = {one};", f'x = {{"generalFeatures": {one}}}',
+    ]
+    assert _general(spark, *scripts) == [[("uno", "1")]] * len(scripts)
+    rows = spark.createDataFrame([("https://portal.example/propiedades/clasificado/casa-1.html", f"<script>{x}</script>") for x in scripts], "url string, html string")
+    assert [r["feature_sections"] for r in pages.assemble(rows).collect()] == [1] * len(scripts)
+
+
 def test_element_tree(spark):
     html = """<!-- <p>no</p> --><DIV Class='a  b' data-x=1><p>one &amp; <br>two<li>three</p><script>var s = "<p>four</p>";</script></div></span>tail <b title="x > y">five"""
     nodes, texts = elements.elements(html)
